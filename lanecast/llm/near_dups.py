@@ -7,10 +7,10 @@ never decides). Steps, none of which gathers a group or emits all its pairs:
 
 1. one pass: per document a digest of its words and its set's size; per task the sketch. Documents of equal words
    are one class from the start.
-2. prefix postings (shingle, document, size, place), one document of a class per task. In a shingle's postings, by
-   size, each document is paired with its neighbour; postings of a shingle that only one document has are dropped,
-   the rest are stored.
-3. pairs pass the length and positional filters, then the suffix filter (sizes of 16 hash classes of the sets
+2. prefix postings (shingle, document, size, place), one document of a class per task; postings of a shingle that
+   only one document has are dropped, the rest are stored. In a shingle's postings, by size, each document has the one
+   before it as neighbour; of its neighbours a document is paired with the one it meets most often.
+3. pairs pass the length and positional filters, then the suffix filter (sizes of 64 hash classes of the sets
    bound the overlap), are made distinct, and verified once each on their texts. Links are merged to components.
 4. a pair that could still join two components shares a stored shingle but wasn't a neighbour there: such pairs are
    formed between different components only, under the same filters, and verified. In a group of near copies all
@@ -37,7 +37,7 @@ from lanecast.llm.common import documents, stored, texts_of
 WORDS, PERCENT = 5, 80
 SKETCH_BITS = 20  # counters of the sketch; 4 bytes each are broadcast
 CHUNK = 1 << 14
-CLASSES = 16
+CLASSES = 64
 BUCKETS = 1 << 20  # hashed ids that a pre-filter of texts names at most
 HASHES = 500_000  # word hashes remembered by a worker; then forgotten and begun anew
 
@@ -114,7 +114,7 @@ def summarise(docs: DataFrame, n: int) -> tuple[DataFrame, np.ndarray]:
                 np.add.at(counts, (s & np.uint64(size - 1)).astype(np.int64), 1)
                 keys.append(hashlib.blake2b(b" ".join(words), digest_size=16).digest())
                 sizes.append(len(s))
-                classes.append(np.bincount((s >> np.uint64(60)).astype(np.int64), minlength=CLASSES).astype("<i4").tobytes())
+                classes.append(np.bincount((s >> np.uint64(58)).astype(np.int64), minlength=CLASSES).astype("<i4").tobytes())
             yield rows(batch.column("doc_id"), pa.array(keys, pa.binary()), pa.array(sizes, pa.int32()), pa.array(classes, pa.binary()), pa.nulls(len(texts), pa.int32()), pa.nulls(len(texts), pa.binary()))
         parts = [(k, counts[k * CHUNK : (k + 1) * CHUNK]) for k in range(chunks)]
         parts = [(k, c.astype("<i8").tobytes()) for k, c in parts if c.any()]
@@ -240,19 +240,21 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     w = Window.partitionBy("token").orderBy("size", "doc")
     post = prefix_postings(docs.where("doc_id IS NOT NULL"), sketch, n, percent)
-    post = post.withColumn("before", F.lag(F.struct("doc", "size", "place")).over(w)).withColumn("after", F.lead("doc").over(w))
-    post = stored(post.where("before IS NOT NULL OR after IS NOT NULL").drop("after"), "postings")
-    neighbours = post.where("before IS NOT NULL").select(F.col("doc").alias("b"), F.col("size").alias("b_size"), F.col("place").alias("b_place"), F.col("before.doc").alias("a"), F.col("before.size").alias("a_size"), F.col("before.place").alias("a_place"))
-    pairs = neighbours.where(passes(percent)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
+    post = post.withColumn("before", F.lag("doc").over(w)).withColumn("after", F.lead("doc").over(w))
+    post = stored(post.where("before IS NOT NULL OR after IS NOT NULL").drop("before", "after"), "postings")
     copies = stored(copies.distinct(), "copies")
-    tried = stored(apart(pairs, copies.select(F.col("a").alias("node"), F.col("b").alias("component"))), "tried")
+    known = copies.select(F.col("a").alias("node"), F.col("b").alias("component"))
+    near = with_components(post, known)
+    pairs = neighbours(near, percent).groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
+    best = pairs.groupBy("b").agg(F.max_by("a", F.struct("n", -F.col("a"))).alias("a"))
+    tried = stored(best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "tried")
     links = stored(verified(tried, docs, sets, n, percent).union(copies), "links")
     comp = stored(components(links), "components")
 
-    with_comp = post.drop("before").join(comp.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
-    with_comp = stored(with_comp, "postings")
-    mixed_tokens = with_comp.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("token")
-    rest = with_comp.join(mixed_tokens, "token", "left_semi")
+    near = with_components(post, comp)
+    whole = Window.partitionBy("token")
+    near = near.withColumn("lo", F.min("component").over(whole)).withColumn("hi", F.max("component").over(whole))
+    rest = stored(near.where("lo <> hi").drop("lo", "hi"), "open-postings")
     a, b = (rest.select("token", *[F.col(c).alias(f"{x}_{c}") for c in ("doc", "size", "place", "component")]) for x in "ab")
     later = (F.col("a_component") != F.col("b_component")) & ((F.col("a_size") < F.col("b_size")) | ((F.col("a_size") == F.col("b_size")) & (F.col("a_doc") < F.col("b_doc"))))
     more = a.join(b, (a["token"] == b["token"]) & later & passes(percent)).select(F.least("a_doc", "b_doc").alias("a"), F.greatest("a_doc", "b_doc").alias("b")).distinct()
@@ -264,11 +266,16 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return found.select("doc_id", F.col("size").cast("long").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
 
-def apart(pairs: DataFrame, comp: DataFrame) -> DataFrame:
-    """The pairs whose ends are not known to be together."""
-    a, b = (comp.select(F.col("node").alias(x), F.col("component").alias(f"{x}_component")) for x in "ab")
-    d = pairs.join(a, "a", "left").join(b, "b", "left")
-    return d.where(F.coalesce("a_component", "a") != F.coalesce("b_component", "b")).select("a", "b")
+def with_components(postings: DataFrame, comp: DataFrame) -> DataFrame:
+    return postings.join(comp.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
+
+
+def neighbours(postings: DataFrame, percent: int) -> DataFrame:
+    """(a, b): documents next to each other, a first, in a shingle's postings by size, that are not yet together."""
+    last = F.lag(F.struct("doc", "size", "place", "component")).over(Window.partitionBy("token").orderBy("size", "doc"))
+    d = postings.withColumn("before", last).where("before.component <> component")
+    d = d.select(*[F.col(c).alias(f"b_{c}") for c in ("doc", "size", "place")], *[F.col(f"before.{c}").alias(f"a_{c}") for c in ("doc", "size", "place")])
+    return d.where(passes(percent)).select(F.col("a_doc").alias("a"), F.col("b_doc").alias("b"))
 
 
 def keep_one(df: DataFrame) -> DataFrame:
