@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from lanecast.plans import betting, intake, timeline
+from lanecast.plans.registry import Query
+
 FLAGSHIP = "price_band_report"
+MODULES = (betting, timeline, intake)
 
 
-def queries():
-    return {}
+def queries() -> dict[str, Query]:
+    return {name: q for m in MODULES for name, q in m.QUERIES.items()}
 
 
-def oracle_sql():
-    return {}
+def oracle_sql() -> dict[str, str]:
+    return {name: text for m in MODULES for name, text in m.SQL.items()}
