@@ -28,6 +28,7 @@ from collections import defaultdict
 from fractions import Fraction
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -124,7 +125,7 @@ def summarise(docs: DataFrame, n: int) -> tuple[DataFrame, np.ndarray]:
     def rows(*columns):
         return pa.RecordBatch.from_arrays(list(columns), ["doc_id", "key", "size", "classes", "chunk", "counts"])
 
-    def total(key, group):
+    def total(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         counts = sum(np.frombuffer(c, "<i8") for c in group["counts"])
         group = group.iloc[:1].assign(counts=[np.minimum(counts, 2**31 - 1).astype("<i4").tobytes()])
         return group[["chunk", "counts"]]

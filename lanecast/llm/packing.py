@@ -3,8 +3,8 @@
 A document is its ids and an end id. Full blocks of `capacity` ids are sequences of their own. What is left of
 each document is packed, shard by shard: the shard opens the fewest sequences that hold it, and takes the rests
 in descending length; each goes to the sequence of lowest estimated attention cost (linear * n + quadratic * n^2
-over its pieces) that still has room for it whole, and is cut only where none has. At most one sequence a shard is
-not full.
+over its pieces) that still has room for it whole, and is cut only where none has. The padding of
+a shard is less than one sequence in all.
 
 Shards hold about `shard_docs` documents, by a hash of the id, so that memory per task is bounded and the result
 is the same on each run. Null or empty text: the end id alone. Repeated rows: each is packed. Other columns are
@@ -83,7 +83,7 @@ def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenize
                 tails.append(ids[full:].tobytes() if ids.max() > 65535 else ids[full:].astype("<u2").tobytes())
             yield pa.RecordBatch.from_arrays([batch.column("shard"), batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(crcs, pa.list_(pa.int64())), pa.array(tails, pa.binary())], ["shard", "doc_id", "doc_tokens", "full_crc32", "tail"])
 
-    def pack_shard(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def pack_shard(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["doc_id", "doc_tokens", "tail"], kind="stable", na_position="first")
         docs = list(zip(*(rows[c] for c in ("doc_id", "doc_tokens", "full_crc32", "tail")), strict=True))
         lengths = [int(n) % capacity for _, n, _, _ in docs]

@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from functools import reduce
 from itertools import product
 
 from pyspark.sql import Column, DataFrame
@@ -107,10 +108,12 @@ def postings(docs: DataFrame, trigrams: list[str]) -> DataFrame:
 def candidates(index: DataFrame, rules: tuple[Rule, ...], bits: int = BUCKET_BITS) -> DataFrame:
     """bucket, rules: the indexed rules (bits, by number) whose query some document of the bucket satisfies."""
     clauses = [(n, sorted(c)) for n, r in enumerate(rules) for c in trigram_query(r.regex)]
-    hits = index.groupBy("doc").agg(*[F.count_if(F.col("trigram").isin(c)).alias(f"c{k}") for k, (_, c) in enumerate(clauses)])
+    seen = {t: f"t{k}" for k, t in enumerate(sorted({t for _, c in clauses for t in c}))}
+    hits = index.groupBy("doc").agg(*[F.bool_or(F.col("trigram") == t).alias(name) for t, name in seen.items()])
     mask = F.lit(0)
-    for k, (n, c) in enumerate(clauses):
-        mask = mask.bitwiseOR(F.when(F.col(f"c{k}") == len(c), F.lit(1 << n)).otherwise(F.lit(0)))
+    for n, clause in clauses:
+        whole = reduce(lambda a, b: a & b, [F.col(seen[t]) for t in clause])
+        mask = mask.bitwiseOR(F.when(whole, F.lit(1 << n)).otherwise(F.lit(0)))
     found = hits.select(bucket_of(F.col("doc"), bits).alias("bucket"), mask.alias("rules")).where("rules != 0")
     return found.groupBy("bucket").agg(F.bit_or("rules").alias("rules"))
 
