@@ -8,13 +8,13 @@ never decides). Steps, none of which gathers a group or emits all its pairs:
 1. one pass: per document a digest of its words and its set's size; per task the sketch. Documents of equal words
    are one class from the start.
 2. prefix postings (shingle, document, size, place), one document of a class per task; postings of a shingle that
-   only one document has are dropped, the rest are stored. In a shingle's postings, by size, each document has the one
-   before it as neighbour; of its neighbours a document is paired with the one it meets most often.
-3. pairs pass the length and positional filters, then the suffix filter (sizes of 64 hash classes of the sets
-   bound the overlap), are made distinct, and verified once each on their texts. Links are merged to components.
-4. a pair that could still join two components shares a stored shingle but wasn't a neighbour there: such pairs are
-   formed between different components only, under the same filters, and verified. In a group of near copies all
-   are in one component by then, so nothing is left to pair. Links are merged again.
+   only one document has are dropped, the rest are stored.
+3. pairs pass the length and positional filters, then the suffix filter (sizes of 64 hash classes of the sets bound
+   the overlap), are made distinct, and verified once each on their texts. First each document is paired with one of
+   those that lead its shingles' postings (where the shingle stands earliest), the one it meets most often; links are
+   merged to components. Then likewise with the one before it in the postings, if they are still apart.
+4. every other pair that could still join two components shares a stored shingle: such pairs are formed between
+   different components only, with all three filters in the join, and verified. Links are merged again.
 
 Null or empty text, or text without words: empty set, linked with nothing. Equal rows and ids that repeat: one
 class of their words each; a row's component is that of its id and words. Ties in size: by id. Other columns are
@@ -26,6 +26,7 @@ from __future__ import annotations
 import hashlib
 from collections import defaultdict
 from fractions import Fraction
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -38,7 +39,8 @@ from lanecast.llm.common import documents, stored, texts_of
 WORDS, PERCENT = 5, 80
 SKETCH_BITS = 20  # counters of the sketch; 4 bytes each are broadcast
 CHUNK = 1 << 14
-CLASSES = 64
+CLASSES = 64  # one byte each, in eight longs; a set with more than 255 in a class has none and passes the filter
+SIGNATURE = [f"s{k}" for k in range(CLASSES // 8)]
 BUCKETS = 1 << 20  # hashed ids that a pre-filter of texts names at most
 HASHES = 500_000  # word hashes remembered by a worker; then forgotten and begun anew
 
@@ -52,11 +54,17 @@ def hash64(data: bytes) -> int:
     return int.from_bytes(hashlib.blake2b(data, digest_size=8).digest(), "little")
 
 
+class Hashes(dict):
+    def __missing__(self, word: bytes) -> int:
+        h = self[word] = hash64(word)
+        return h
+
+
 class Shingler:
     """Distinct shingle hashes of a word list; word hashes are remembered within a bound."""
 
     def __init__(self, n: int = WORDS):
-        self.n, self.memo = n, {}
+        self.n, self.memo = n, Hashes()
 
     def __call__(self, words: list[bytes]) -> np.ndarray:
         if not words:
@@ -64,14 +72,8 @@ class Shingler:
         if len(words) < self.n:
             return np.array([hash64(b"short\n" + b" ".join(words))], np.uint64)
         if len(self.memo) > HASHES:
-            self.memo = {}
-        memo, out = self.memo, []
-        for w in words:
-            h = memo.get(w)
-            if h is None:
-                h = memo[w] = hash64(w)
-            out.append(h)
-        h = np.array(out, np.uint64)
+            self.memo = Hashes()
+        h = np.fromiter(map(self.memo.__getitem__, words), np.uint64, len(words))
         with np.errstate(over="ignore"):
             s = h[: len(h) - self.n + 1].copy()
             for k in range(1, self.n):
@@ -102,40 +104,44 @@ def overlap_needed(a, b, percent: int):
 
 
 def summarise(docs: DataFrame, n: int) -> tuple[DataFrame, np.ndarray]:
-    """(doc_id, words digest, size, class sizes) of each row, stored; the sketch. docs: doc_id, text."""
+    """(doc_id, words digest, size, signature) of each row, stored; the sketch. docs: doc_id, text."""
     size, chunks = 1 << SKETCH_BITS, (1 << SKETCH_BITS) // CHUNK
 
     def read(batches):
         shingle, counts = Shingler(n), np.zeros(size, np.int64)
         for batch, texts in texts_of(batches):
-            keys, sizes, classes = [], [], []
+            keys, sizes, classes, small = [], [], [], []
             for text in texts:
                 words = words_of(text)
                 s = shingle(words)
                 np.add.at(counts, (s & np.uint64(size - 1)).astype(np.int64), 1)
                 keys.append(hashlib.blake2b(b" ".join(words), digest_size=16).digest())
                 sizes.append(len(s))
-                classes.append(np.bincount((s >> np.uint64(58)).astype(np.int64), minlength=CLASSES).astype("<i4").tobytes())
-            yield rows(batch.column("doc_id"), pa.array(keys, pa.binary()), pa.array(sizes, pa.int32()), pa.array(classes, pa.binary()), pa.nulls(len(texts), pa.int32()), pa.nulls(len(texts), pa.binary()))
+                c = np.bincount((s >> np.uint64(58)).astype(np.int64), minlength=CLASSES)
+                small.append(c.max() <= 255)
+                classes.append(np.minimum(c, 255).astype(np.uint8))
+            packed = np.array(classes, np.uint8).reshape(-1, CLASSES).view("<i8")
+            none = ~np.array(small, bool)
+            yield rows(batch.column("doc_id"), pa.array(keys, pa.binary()), pa.array(sizes, pa.int32()), *[pa.array(packed[:, k], pa.int64(), mask=none) for k in range(len(SIGNATURE))], pa.nulls(len(texts), pa.int32()), pa.nulls(len(texts), pa.binary()))
         parts = [(k, counts[k * CHUNK : (k + 1) * CHUNK]) for k in range(chunks)]
         parts = [(k, c.astype("<i8").tobytes()) for k, c in parts if c.any()]
         m = len(parts)
-        yield rows(pa.nulls(m, pa.int64()), pa.nulls(m, pa.binary()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary()), pa.array([k for k, _ in parts], pa.int32()), pa.array([c for _, c in parts], pa.binary()))
+        yield rows(pa.nulls(m, pa.int64()), pa.nulls(m, pa.binary()), pa.nulls(m, pa.int32()), *[pa.nulls(m, pa.int64())] * len(SIGNATURE), pa.array([k for k, _ in parts], pa.int32()), pa.array([c for _, c in parts], pa.binary()))
 
     def rows(*columns):
-        return pa.RecordBatch.from_arrays(list(columns), ["doc_id", "key", "size", "classes", "chunk", "counts"])
+        return pa.RecordBatch.from_arrays(list(columns), ["doc_id", "key", "size", *SIGNATURE, "chunk", "counts"])
 
     def total(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         counts = sum(np.frombuffer(c, "<i8") for c in group["counts"])
         group = group.iloc[:1].assign(counts=[np.minimum(counts, 2**31 - 1).astype("<i4").tobytes()])
         return group[["chunk", "counts"]]
 
-    both = stored(docs.mapInArrow(read, "doc_id long, key binary, size int, classes binary, chunk int, counts binary"), "shingle-sets")
+    both = stored(docs.mapInArrow(read, f"doc_id long, key binary, size int, {', '.join(f'{x} long' for x in SIGNATURE)}, chunk int, counts binary"), "shingle-sets")
     sketch = np.zeros(size, np.int32)
     sums = both.where("chunk IS NOT NULL").select("chunk", "counts").groupBy("chunk").applyInPandas(total, "chunk int, counts binary")
     for r in sums.toLocalIterator():
         sketch[r["chunk"] * CHUNK : (r["chunk"] + 1) * CHUNK] = np.frombuffer(r["counts"], "<i4")
-    return both.where("chunk IS NULL").select("doc_id", "key", "size", "classes"), sketch
+    return both.where("chunk IS NULL").select("doc_id", "key", "size", *SIGNATURE), sketch
 
 
 def prefix_postings(docs: DataFrame, sketch: np.ndarray, n: int, percent: int) -> DataFrame:
@@ -172,26 +178,28 @@ def passes(percent: int):
     return (100 * low >= percent * high) & (rest >= overlap_needed(F.col("a_size"), F.col("b_size"), percent))
 
 
-def verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, n: int, percent: int) -> DataFrame:
-    """The links among distinct pairs (a, b): the suffix filter on class sizes, then the texts themselves."""
-    ends = sets.select("doc_id", "classes", "size").dropDuplicates(["doc_id"])
-    p = pairs.join(ends.select(F.col("doc_id").alias("a"), F.col("classes").alias("ca")), "a").join(ends.select(F.col("doc_id").alias("b"), F.col("classes").alias("cb")), "b")
+def may_overlap(percent: int):
+    """Suffix filter: the classes' smaller sizes bound the overlap. Columns a_size, b_size, a_s0.., b_s0.."""
+    byte = lambda c, k: F.shiftrightunsigned(F.col(c), 8 * k).bitwiseAND(255)
+    both = reduce(lambda x, y: x + y, [F.least(byte(f"a_{c}", k), byte(f"b_{c}", k)) for c in SIGNATURE for k in range(8)])
+    return F.coalesce(100 * both >= percent * (F.col("a_size") + F.col("b_size") - both), F.lit(True))
 
-    def suffix(batches):
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            ca, cb = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<i4").reshape(-1, CLASSES) for c in ("ca", "cb"))
-            both = np.minimum(ca, cb).sum(1)
-            yield batch.select(["a", "b"]).filter(pa.array(100 * both >= percent * (ca.sum(1) + cb.sum(1) - both)))
 
-    p = stored(p.select("a", "b", "ca", "cb").mapInArrow(suffix, "a long, b long"), "pairs")
+def filtered(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that pass the suffix filter."""
+    ends = sets.select("doc_id", "size", *SIGNATURE).dropDuplicates(["doc_id"])
+    for x in "ab":
+        pairs = pairs.join(ends.select(F.col("doc_id").alias(x), *[F.col(c).alias(f"{x}_{c}") for c in ("size", *SIGNATURE)]), x)
+    return stored(pairs.where(may_overlap(percent)).select("a", "b"), "pairs")
+
+
+def verified(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
+    """The links among distinct pairs (a, b), by their texts. Texts are reduced to those of the pairs' hashed ids before they are shuffled."""
     bucket = F.pmod(F.xxhash64("doc_id"), F.lit(BUCKETS))
-    wanted = p.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
     near = docs.withColumn("bucket", bucket).join(F.broadcast(wanted.select(bucket.alias("bucket")).distinct()), "bucket", "left_semi")  # at most BUCKETS rows
-    # a row a document: among rows that share an id but not their words, the smallest text stands for it, as in `sets`
     texts = near.select("doc_id", "text").join(wanted, "doc_id", "left_semi")
-    full = p.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
+    full = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
 
     def check(batches):
         shingle = Shingler(n)
@@ -244,24 +252,26 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     post = post.withColumn("before", F.lag("doc").over(w)).withColumn("after", F.lead("doc").over(w))
     post = stored(post.where("before IS NOT NULL OR after IS NOT NULL").drop("before", "after"), "postings")
     copies = stored(copies.distinct(), "copies")
-    known = copies.select(F.col("a").alias("node"), F.col("b").alias("component"))
-    near = with_components(post, known)
-    pairs = neighbours(near, percent).groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
-    best = pairs.groupBy("b").agg(F.max_by("a", F.struct("n", -F.col("a"))).alias("a"))
-    tried = stored(best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "tried")
-    links = stored(verified(tried, docs, sets, n, percent).union(copies), "links")
-    comp = stored(components(links), "components")
-
+    comp, links, tried = copies.select(F.col("a").alias("node"), F.col("b").alias("component")), copies, None
     near = with_components(post, comp)
-    whole = Window.partitionBy("token")
-    near = near.withColumn("lo", F.min("component").over(whole)).withColumn("hi", F.max("component").over(whole))
-    rest = stored(near.where("lo <> hi").drop("lo", "hi"), "open-postings")
-    a, b = (rest.select("token", *[F.col(c).alias(f"{x}_{c}") for c in ("doc", "size", "place", "component")]) for x in "ab")
+    for nearest in (leading, preceding):
+        pairs = nearest(near, percent).groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
+        best = pairs.groupBy("b").agg(F.max_by("a", F.struct("n", -F.col("a"))).alias("a"))
+        best = best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        best = filtered(best if tried is None else best.join(tried, ["a", "b"], "left_anti"), sets, percent)
+        tried = best if tried is None else tried.union(best)
+        links = stored(links.union(verified(best, docs, n, percent)), "links")
+        comp = stored(components(links), "components")
+        near = stored(open_shingles(with_components(post, comp)), "open-postings")
+        post = near.drop("component")
+
+    rest = stored(near.join(sets.select(F.col("doc_id").alias("doc"), *SIGNATURE).dropDuplicates(["doc"]), "doc"), "open-postings")
+    a, b = (rest.select("token", *[F.col(c).alias(f"{x}_{c}") for c in ("doc", "size", "place", "component", *SIGNATURE)]) for x in "ab")
     later = (F.col("a_component") != F.col("b_component")) & ((F.col("a_size") < F.col("b_size")) | ((F.col("a_size") == F.col("b_size")) & (F.col("a_doc") < F.col("b_doc"))))
-    more = a.join(b, (a["token"] == b["token"]) & later & passes(percent)).select(F.least("a_doc", "b_doc").alias("a"), F.greatest("a_doc", "b_doc").alias("b")).distinct()
+    more = a.join(b, (a["token"] == b["token"]) & later & passes(percent) & may_overlap(percent)).select(F.least("a_doc", "b_doc").alias("a"), F.greatest("a_doc", "b_doc").alias("b")).distinct()
     more = stored(more.join(tried, ["a", "b"], "left_anti"), "more")
     if not more.isEmpty():
-        links = stored(links.union(verified(more, docs, sets, n, percent)), "links")
+        links = stored(links.union(verified(more, docs, n, percent)), "links")
         comp = stored(components(links), "components")
     found = sets.join(comp.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     return found.select("doc_id", F.col("size").cast("long").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
@@ -271,11 +281,28 @@ def with_components(postings: DataFrame, comp: DataFrame) -> DataFrame:
     return postings.join(comp.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
 
 
-def neighbours(postings: DataFrame, percent: int) -> DataFrame:
-    """(a, b): documents next to each other, a first, in a shingle's postings by size, that are not yet together."""
-    last = F.lag(F.struct("doc", "size", "place", "component")).over(Window.partitionBy("token").orderBy("size", "doc"))
-    d = postings.withColumn("before", last).where("before.component <> component")
-    d = d.select(*[F.col(c).alias(f"b_{c}") for c in ("doc", "size", "place")], *[F.col(f"before.{c}").alias(f"a_{c}") for c in ("doc", "size", "place")])
+def open_shingles(postings: DataFrame) -> DataFrame:
+    """Postings of shingles that more than one component has."""
+    whole = Window.partitionBy("token")
+    d = postings.withColumn("lo", F.min("component").over(whole)).withColumn("hi", F.max("component").over(whole))
+    return d.where("lo <> hi").drop("lo", "hi")
+
+
+def leading(postings: DataFrame, percent: int) -> DataFrame:
+    """(a, b): a leads the postings of a shingle that b has, and they aren't yet together."""
+    return _apart(postings, F.first, percent)
+
+
+def preceding(postings: DataFrame, percent: int) -> DataFrame:
+    """(a, b): a comes before b in the postings of a shingle, and they aren't yet together."""
+    return _apart(postings, F.lag, percent)
+
+
+def _apart(postings: DataFrame, pick, percent: int) -> DataFrame:
+    """Postings are ordered by the shingle's place in the set: the earlier, the fewer rarer shingles the set has."""
+    w = Window.partitionBy("token").orderBy("place", "size", "doc")
+    d = postings.withColumn("other", pick(F.struct("doc", "size", "place", "component")).over(w)).where("other.component <> component")
+    d = d.select(*[F.col(c).alias(f"b_{c}") for c in ("doc", "size", "place")], *[F.col(f"other.{c}").alias(f"a_{c}") for c in ("doc", "size", "place")])
     return d.where(passes(percent)).select(F.col("a_doc").alias("a"), F.col("b_doc").alias("b"))
 
 
