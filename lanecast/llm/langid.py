@@ -40,9 +40,9 @@ def held_out(doc_id: Column) -> Column:
 
 def fit(labelled: DataFrame, dict_bytes: int = DICT_BYTES, sample_rows: int = SAMPLE_ROWS) -> dict[str, bytes]:
     """A dictionary a language from lang, text. Per language the `sample_rows` texts of lowest hash: first those
-    below a hash bound that about four times as many pass, so that only few rows are ranked."""
+    below a hash bound that about four times as many different texts pass, so that only few rows are ranked."""
     rows = labelled.where("lang IS NOT NULL AND length(text) > 0")
-    sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    sizes = rows.groupBy("lang").agg(F.approx_count_distinct(F.xxhash64("text")).alias("n"))
     place = F.pmod(F.xxhash64("text"), F.lit(1 << 40)) / (1 << 40)
     few = rows.join(F.broadcast(sizes), "lang").withColumn("place", place).where(F.col("place") * F.col("n") < 4 * sample_rows)  # sizes: a row a language
     nth = F.row_number().over(Window.partitionBy("lang").orderBy("place", "text"))
