@@ -42,7 +42,10 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def texts_of(batches: Iterator, text_col: str = "text") -> Iterator[tuple]:
-    """(batch, list of texts) of Arrow batches; null texts are empty."""
+def texts_of(batches: Iterator, text_col: str = "text", rows: int = 256) -> Iterator[tuple]:
+    """(batch, list of texts) of Arrow batches, `rows` rows at a time, so that what is made of them stays small;
+    null texts are empty."""
     for batch in batches:
-        yield batch, [t or "" for t in batch.column(text_col).to_pylist()]
+        for k in range(0, batch.num_rows, rows):
+            part = batch.slice(k, rows)
+            yield part, [t or "" for t in part.column(text_col).to_pylist()]

@@ -4,7 +4,7 @@
 that belongs to them (figcaption, else alt). `resolve` joins the references to a media store by digest; positions
 and captions stay with their references. The store is reduced to one narrow row a digest before the shuffle: what
 a consumer needs of the stored bytes is read from them in the task that has them, so media bytes never travel,
-and a digest with any number of copies costs a row a task.
+and a digest with any number of copies costs a row a task. References to very frequent digests aren't shuffled.
 
 Here a document's payload, its UTF-8 bytes with zeros up to a positive multiple of 64, is stored as an 8-bit
 greyscale PNG 64 samples wide, whose page is its text and a figure that refers to the image.
@@ -26,9 +26,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lanecast.llm.common import documents, texts_of
+from lanecast.llm.common import documents, stored, texts_of
 
 WIDTH = 64
+HOT_SHARE = 1000
 _MAGIC = b"\x89PNG\r\n\x1a\n"
 SEQUENCE = "array<struct<position:int,kind:string,text:string,digest:string,caption:string>>"
 FEATURES = "media_digest string, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, feature string"
@@ -163,13 +164,21 @@ def read_back(store: DataFrame) -> DataFrame:
     return store.mapInArrow(read, FEATURES)
 
 
-def resolve(sequences: DataFrame, resolved: DataFrame) -> DataFrame:
-    """One row per media reference: the page's columns, position, caption, and what the store has for its digest."""
-    once = resolved.dropDuplicates(["media_digest"])
-    keep = [c for c in sequences.columns if c != "sequence"]
-    refs = sequences.select(*keep, F.inline(F.filter("sequence", lambda s: s["kind"] == "media")))
-    refs = refs.select(*keep, "position", "caption", F.col("digest").alias("media_sha256"))
-    return refs.join(once, refs["media_sha256"] == once["media_digest"], "left").drop("media_digest")
+def resolve(sequences: DataFrame, resolved: DataFrame, hot_share: int = HOT_SHARE) -> DataFrame:
+    """One row per media reference: the page's columns, position, caption, and what the store has for its digest.
+
+    A digest is hot when it holds more than 1/`hot_share` of all references, so fewer than `hot_share` are: their
+    features are broadcast to the references; all other references meet theirs in a shuffle by digest. A page's
+    columns named like one of the result's own give way to it.
+    """
+    keep = [c for c in sequences.columns if c.lower() not in {"sequence", "position", "caption", "media_sha256", *FEATURES.replace(",", "").split()[::2]}]
+    refs = sequences.select(*keep, F.inline(F.filter("sequence", lambda s: s["kind"] == "media")).alias("position", "kind", "text_", "digest", "caption_"))
+    refs = stored(refs.select(*keep, "position", F.col("caption_").alias("caption"), F.col("digest").alias("media_sha256")), "media_refs")
+    once = stored(resolved.dropDuplicates(["media_digest"]), "media_features").withColumnRenamed("media_digest", "media_sha256")
+    hot = refs.where("media_sha256 IS NOT NULL").groupBy("media_sha256").count()
+    hot = F.broadcast(hot.where(F.col("count") * hot_share > refs.count()).select("media_sha256"))
+    seen_often = refs.join(hot, "media_sha256", "left_semi").join(F.broadcast(once.join(hot, "media_sha256", "left_semi")), "media_sha256", "left")
+    return seen_often.unionByName(refs.join(hot, "media_sha256", "left_anti").join(once, "media_sha256", "left"))
 
 
 def media_of(docs: DataFrame) -> DataFrame:

@@ -190,6 +190,16 @@ def test_licenses(docs, empty):
         assert set(filter(None, r["base_labels"].split(","))) <= set(r["labels"].split(",")) and 0 <= r["score"] <= 1
 
 
+def test_media_hot_digest_missing_payload_and_clashing_columns(spark):
+    sequence = lambda *digests: [(k, "media", None, d, f"c{k}") for k, d in enumerate(digests)]
+    pages = spark.createDataFrame([(1, "x", sequence("a", "a", "b")), (2, "y", sequence("a", "lost", None)), (3, "z", [])], f"page_id long, feature string, sequence {media.SEQUENCE}")
+    store = spark.createDataFrame([("a", 64, "h", 1, 70, "fa"), ("a", 64, "h", 1, 70, "fa"), ("b", 64, "i", 2, 71, "fb")], media.FEATURES)
+    want = [(1, 0, "c0", "a", "fa"), (1, 1, "c1", "a", "fa"), (1, 2, "c2", "b", "fb"), (2, 0, "c0", "a", "fa"), (2, 1, "c1", "lost", None), (2, 2, "c2", None, None)]
+    for hot_share in (1000, 3, 1):  # all hot, one hot, none
+        got = media.resolve(pages, store, hot_share).select("page_id", "position", "caption", "media_sha256", "feature")
+        assert sorted(map(tuple, got.collect()), key=lambda r: r[:2]) == want
+
+
 def test_media(docs, empty):
     rows = docs.select("doc_id", "text")
     made = media.media_of(rows)
