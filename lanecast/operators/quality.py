@@ -82,11 +82,14 @@ def quarantine(store: DataFrame | None, rejected: DataFrame, record: list[str])
 
 
 def replay(store: DataFrame, corrections: DataFrame, fields: tuple[Field, ...]) -> DataFrame:
-    """Corrections by quarantine_id are validated again; the original record stays, the outcome is added once."""
-    fixed = validate(corrections, fields).select("quarantine_id", F.to_json(F.struct(*[f.name for f in fields])).alias("corrected"), "valid")
-    d = store.join(fixed, "quarantine_id", "left")
-    again = (F.col("state") == "pending") & F.col("valid")
-    return d.withColumn("state", F.when(again, "replayed").otherwise(F.col("state"))).withColumn("corrected", F.when(again, F.col("corrected"))).drop("valid")
+    """Corrections by quarantine_id are validated again; the original record stays, the outcome is added once.
+    Of several valid corrections of a record, the first as JSON text."""
+    fixed = validate(corrections, fields).where("valid").select("quarantine_id", F.to_json(F.struct(*[f.name for f in fields])).alias("__fixed"))
+    fixed = fixed.groupBy("quarantine_id").agg(F.min("__fixed").alias("__fixed"))
+    had = F.col("corrected") if "corrected" in store.columns else F.lit(None).cast("string")
+    again = (F.col("state") == "pending") & F.col("__fixed").isNotNull()
+    d = store.withColumn("corrected", had).join(fixed, "quarantine_id", "left")
+    return d.withColumn("corrected", F.when(again, F.col("__fixed")).otherwise(F.col("corrected"))).withColumn("state", F.when(again, "replayed").otherwise(F.col("state"))).drop("__fixed")
 
 
 def symmetric_difference(a: DataFrame, b: DataFrame, on: list[str]) -> DataFrame:
