@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from lanecast.plans import betting, intake, timeline
+from lanecast.plans import betting, intake, timeline, upkeep
 from lanecast.plans.registry import Query
 
 FLAGSHIP = "price_band_report"
-MODULES = (betting, timeline, intake)
+MODULES = (betting, timeline, intake, upkeep)
 
 
 def queries() -> dict[str, Query]:

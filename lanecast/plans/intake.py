@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -78,10 +76,10 @@ def streamed_freshness(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The event table as a file stream: idempotent append, then daily counts by source, run to the end of what is there."""
     source = spark.readStream.schema(spark.read.parquet(f"{sf_dir}/events.parquet").schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     s = source.select(F.col("user_id").alias("race_id"), F.col("event_type").alias("bet_type"), F.lit("1").alias("combination"), F.col("value").alias("odds"), F.col("ts").cast("timestamp").alias("observed_at")).withWatermark("observed_at", "40 days")
-    name = f"freshness_{uuid.uuid4().hex}"
-    q = streams.freshness(streams.idempotent(s), "1 day").writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.table(name).select(F.col("start").cast("timestamp_ntz").alias("start"), "bet_type", "n", F.col("last").cast("timestamp_ntz").alias("last"))
+    path = ledgers.shared_folder(spark, "freshness")
+    streams.drained(streams.freshness(streams.idempotent(s), "1 day"), streams.append_batches(path), "update")
+    d = streams.last_updates(spark.read.parquet(path), ["start", "bet_type"])
+    return d.select(F.col("start").cast("timestamp_ntz").alias("start"), "bet_type", "n", F.col("last").cast("timestamp_ntz").alias("last"))
 
 
 @R.query()

@@ -2,12 +2,21 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 SUFFIXES = (".lzh", ".txt", ".csv", ".zip", ".json")
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A fresh folder that driver and executors share: below spark.checkpoint.dir; a local one where that is unset (tests)."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='spark-shared-')}"
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def inventory(spark: SparkSession, root: str, source: str, previous: DataFrame | None = None, now: Column | None = None) -> DataFrame:
     """source, path, size, sha256, collected_at. A known checksum keeps its time, a new or changed file gets now, entries
     gone from disk stay."""
@@ -34,9 +43,10 @@ def ingest(files: DataFrame, ledger: DataFrame | None, parser_version: str) -> D
 
 def load_plan(days: DataFrame, files: DataFrame, ledger: DataFrame) -> DataFrame:
     """days x kinds K, B (K first) against files (day, kind, sha256, ok) and the ledger (kind, sha256): what happens to each."""
-    kinds = days.sparkSession.createDataFrame([("K", 0), ("B", 1)], "kind string, nth int")
+    kinds = F.array(*[F.struct(F.lit(kind).alias("kind"), F.lit(nth).alias("nth")) for nth, kind in enumerate("KB")])
+    planned = days.withColumn("__kind", F.explode(kinds)).select(*days.columns, "__kind.*")
     known = ledger.select("kind", "sha256").distinct().withColumn("seen", F.lit(True))
-    d = days.crossJoin(F.broadcast(kinds)).join(files, ["day", "kind"], "left").join(known, ["kind", "sha256"], "left")
+    d = planned.join(files, ["day", "kind"], "left").join(known, ["kind", "sha256"], "left")
     outcome = F.when(F.col("sha256").isNull(), "missing").when(F.col("seen"), "skipped").when(F.col("ok"), "loaded").otherwise("failed")
     return d.select("day", "kind", "nth", "sha256", outcome.alias("outcome"))
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lanecast.functions import pricing
+from lanecast.sources.ledgers import shared_folder
 
 QUOTES = "race_id long, bet_type string, combination string, odds double, observed_at timestamp"
 
@@ -27,8 +28,8 @@ def in_rounds(stream: DataFrame, schedule: DataFrame, rounds: DataFrame) -> Data
 
 
 def latest(stream: DataFrame) -> DataFrame:
-    """Latest quote per (race, candidate, round); for update mode."""
-    return stream.groupBy("race_id", "bet_type", "combination", "round").agg(F.max_by("odds", "observed_at").alias("odds"), F.max("observed_at").alias("observed_at"))
+    """Latest quote per (race, candidate, round), of several at that time the least; for update mode."""
+    return stream.groupBy("race_id", "bet_type", "combination", "round").agg(F.max_by("odds", F.struct("observed_at", -F.col("odds"))).alias("odds"), F.max("observed_at").alias("observed_at"))
 
 
 def freshness(stream: DataFrame, width: str = "10 minutes", slide: str | None = None) -> DataFrame:
@@ -62,3 +63,24 @@ def reconcile(archive_path: str, out_path: str):
         batch.join(archived, "race_id", "left_anti").write.mode("append").parquet(out_path)
 
     return write
+
+
+def append_batches(path: str):
+    """foreachBatch of update mode: changed rows are appended with their batch; a batch that is run again changes nothing."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.withColumn("batch_id", F.lit(batch_id)).write.mode("append").parquet(path)
+
+    return write
+
+
+def last_updates(rows: DataFrame, key: list[str]) -> DataFrame:
+    """Of rows appended by append_batches, each key's last."""
+    rest = [c for c in rows.columns if c not in (*key, "batch_id")]
+    return rows.groupBy(*key).agg(F.max_by(F.struct(*rest), "batch_id").alias("__last")).select(*key, "__last.*")
+
+
+def drained(stream: DataFrame, sink, mode: str = "append") -> None:
+    """Runs a stream to the end of what is there; its checkpoint, state included, is in the shared folder."""
+    folder = shared_folder(stream.sparkSession, "stream")
+    stream.writeStream.foreachBatch(sink).outputMode(mode).option("checkpointLocation", folder).trigger(availableNow=True).start().awaitTermination()

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lanecast.functions import keys, pricing, text
 from lanecast.operators import features, folds, joint, metrics, quality, rules, temporal, windows
 from lanecast.sources import ledgers, lines, pages
+from lanecast.streaming import streams
 
 D = dt.date
 
@@ -103,6 +104,22 @@ def test_validation_duplicates_quarantine(spark):
     fix = store.select("quarantine_id", F.lit("6").alias("lane_number"), F.lit("4001").alias("registration_number"))
     done = quality.replay(store, fix, quality.LANE_FIELDS).first()
     assert done["state"] == "replayed" and done["lane_number"] == "7"
+    once = quality.replay(store, fix.union(fix), quality.LANE_FIELDS)
+    other = fix.withColumn("lane_number", F.lit("2"))
+    again = quality.replay(once, other, quality.LANE_FIELDS)
+    assert once.count() == 1 and again.collect() == once.collect()
+
+
+def test_a_race_is_emitted_once_and_a_batch_may_run_again(spark, tmp_path):
+    lanes = spark.createDataFrame([(r, str(k)) for r in (1, 2) for k in range(1, 7 if r == 1 else 6)], "race_id long, combination string")
+    write = streams.emit_once(str(tmp_path / "emitted"), "v1")
+    write(lanes, 0)
+    write(lanes, 0)
+    assert [r["race_id"] for r in spark.read.parquet(str(tmp_path / "emitted")).collect()] == [1]
+    put = streams.append_batches(str(tmp_path / "updates"))
+    for k, n in ((0, 1), (1, 2), (1, 2)):
+        put(spark.createDataFrame([("a", n)], "k string, n int"), k)
+    assert streams.last_updates(spark.read.parquet(str(tmp_path / "updates")), ["k"]).collect() == [("a", 2)]
 
 
 def test_folds_refuse_overlap():
