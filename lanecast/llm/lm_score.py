@@ -1,25 +1,26 @@
 """Operator 6: scores of a probabilistic suffix tree, beside add-one unigram scores.
 
-Symbols of the tree are the bytes of a text's token stream: its words (A-Z lowered) with one space between, then
-one end. All training texts are counted to depth `DEPTH`, in one pass per task and one shuffle. A context is a
-candidate if it precedes at least `P_MIN` of all training symbols, so each depth has at most 1 / P_MIN of them however
-large the corpus is: that bounds the model which is broadcast. A candidate is retained if its next-symbol
-distribution diverges from that of its suffix by `DIVERGENCE` bits or more (Kullback-Leibler). Distributions are
-smoothed towards the suffix's by `PRIOR` symbols, the root's by one of each byte. The tree becomes an automaton whose
-state is the longest suffix; texts are run through it in pieces side by side, each begun DEPTH symbols early, which is
-exact since no context is longer.
-
-Unigram counts: words of at least `FREQUENT` of all tokens (at most 1 / FREQUENT words) are broadcast; of the others
-each text sends (text, word, occurrences) to a join with the counts, so a hot word is never shuffled.
-
-Null or empty text: the end alone. Repeated rows: each has its row. Nothing to train on: N = V = 0, uniform bytes.
-Very long texts: whole, in pieces. Other columns are ignored. Empty table: no rows.
+Symbols of the tree are words (A-Z lowered) and one end a text; before a text stand two starts. Contexts are one or two
+words long. A context is a candidate if it precedes at least `LEAST` training symbols, whatever the corpus' size, so the
+model grows with the corpus. It is retained if its next-symbol distribution diverges from that of its suffix by
+`DIVERGENCE` bits a symbol or more; the divergence is taken leaving one out, so that a context which is merely rare
+doesn't pass. Distributions are smoothed towards the suffix's by `PRIOR` symbols; the root is the add-one unigram. A word
+is scored in its longest retained context.
+
+All of it is joins of n-grams in Spark: each context with its suffix, then each text's n-grams with their scores. Only
+what makes up `FREQUENT` of all tokens or more (at most 1 / FREQUENT rows) is broadcast, so a hot word, context or n-gram
+is never shuffled by rows. Words stand as 64-bit hashes: among 10^8 different words two meet with a chance of 3 in 10^4.
+
+Null or empty text: the end alone. Repeated rows: each has its row. Nothing to train on: N = V = 0, all scores 0.
+Very long texts: whole. Other columns are ignored. Empty table: no rows.
+
+`grams` and `SuffixTree` are the same tree over bytes with its automaton, for corpora whose model fits in memory.
 """
 
 from __future__ import annotations
 
-import math
 from collections import Counter
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -30,38 +31,20 @@ from pyspark.sql import functions as F
 from lanecast.llm.common import documents, stored, texts_of
 
 DEPTH = 5
-P_MIN = 3e-5
+LEAST = 16  # symbols that a context must precede
 DIVERGENCE = 0.01
 PRIOR = 16.0
 FREQUENT = 5e-6
 PIECE = 256
 END = 10  # never inside a stream: white space there is a space
-CHUNK_BYTES = 1 << 22
-HELD = 200_000  # distinct words a task holds before it passes their counts on
-GRAMS = 2_000_000
+HELD = 200_000  # words whose hashes a task holds
+GRAMS_OF = pa.list_(pa.struct([(x, pa.int64()) for x in ("a", "b", "c", "times")]))
 
 
 def held_out(doc_id: Column) -> Column:
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(7)) == 2
 
 
-def stream_of(words: list[bytes]) -> bytes:
-    return b" ".join(words) + b"\n"
-
-
-def chunks(items, size=len, most: int = CHUNK_BYTES):
-    """Lists of items of about `most` bytes."""
-    part, total = [], 0
-    for x in items:
-        part.append(x)
-        total += size(x)
-        if total >= most:
-            yield part
-            part, total = [], 0
-    if part:
-        yield part
-
-
 def grams(streams: list[bytes], depth: int = DEPTH) -> tuple[np.ndarray, np.ndarray]:
     """Codes of `depth` bytes and the next, with their counts; before a text stand ends."""
     pad = bytes([END]) * depth
@@ -85,58 +68,6 @@ def merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.n
     return code[first], np.add.reduceat(n, first)
 
 
-def count(docs: DataFrame) -> DataFrame:
-    """Training counts: (word, null, n) and (null, gram, n); the end counts as the word null with gram null."""
-
-    def read(batches):
-        words_seen, parts, ends = Counter(), [], 0
-
-        def rows(words, codes, n):
-            return pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(codes, pa.int64()), pa.array(n, pa.int64())], ["word", "gram", "n"])
-
-        def pass_words():
-            out = rows(list(words_seen), [None] * len(words_seen), list(words_seen.values()))
-            words_seen.clear()
-            return out
-
-        for _, texts in texts_of(batches):
-            for part in chunks(texts):
-                streams = []
-                for text in part:
-                    words = text.encode("utf-8").lower().split()
-                    words_seen.update(words)
-                    streams.append(stream_of(words))
-                ends += len(part)
-                parts.append(grams(streams))
-                if len(words_seen) > HELD:
-                    yield pass_words()
-                if sum(len(c) for c, _ in parts) > GRAMS:
-                    parts = [merged(parts)]
-                    if len(parts[0][0]) > GRAMS // 2:
-                        code, n = parts.pop()
-                        yield rows([None] * len(code), code, n)
-        yield pass_words()
-        if parts:
-            code, n = merged(parts)
-            yield rows([None] * len(code), code, n)
-        yield rows([None], [None], [ends])
-
-    return docs.mapInArrow(read, "word binary, gram long, n long").groupBy("word", "gram").agg(F.sum("n").alias("n"))
-
-
-def candidate_contexts(gram_counts: DataFrame, total: int, depth: int = DEPTH, p_min: float = P_MIN) -> DataFrame:
-    """depth, context, symbol, n of contexts before at least p_min of all symbols, depth 0 included."""
-    level = gram_counts.select(F.shiftrightunsigned("gram", 8).alias("context"), F.col("gram").bitwiseAND(255).cast("int").alias("symbol"), "n")
-    out = None
-    for d in range(depth, -1, -1):
-        if d < depth:
-            level = stored(level.groupBy(F.col("context").bitwiseAND((1 << 8 * d) - 1).alias("context"), "symbol").agg(F.sum("n").alias("n")), "contexts")
-        often = level.groupBy("context").agg(F.sum("n").alias("all")).where(F.col("all") >= p_min * total).select("context")
-        kept = level.join(often, "context", "left_semi").select(F.lit(d).alias("depth"), "context", "symbol", "n")
-        out = kept if out is None else out.union(kept)
-    return out
-
-
 class SuffixTree:
     """Automaton over bytes; state 0 is the empty context. `next` and `logp` have a row of 256 a state."""
 
@@ -201,68 +132,113 @@ class SuffixTree:
         return np.bincount(doc, total, len(streams))
 
 
-def train(docs: DataFrame):
-    """Stored word counts (word, n), N, V, the tree and the frequent words' counts (None: the end)."""
-    counts = stored(count(docs), "lm-counts")
-    gram_counts, words = counts.where("gram IS NOT NULL"), counts.where("gram IS NULL")
-    symbols = gram_counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    total, distinct = words.where("n > 0").agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    rows = candidate_contexts(gram_counts.select("gram", "n"), symbols)
-    tree = SuffixTree(rows.toLocalIterator())
-    often = words.where((F.col("n") >= FREQUENT * total) & F.col("word").isNotNull()).select("word", "n")
-    frequent = {bytes(r["word"]): r["n"] for r in often.toLocalIterator()}
-    ends = words.where("word IS NULL").agg(F.sum("n")).first()[0] or 0
-    rare = words.where((F.col("n") < FREQUENT * total) & F.col("word").isNotNull()).select("word", F.col("n").alias("c"))
-    return rare, total, distinct, ends, tree, frequent
+def key_of(word: bytes) -> int:
+    return int.from_bytes(blake2b(word, digest_size=8).digest(), "little", signed=True)
+
+
+START_KEY, END_KEY = key_of(b" "), key_of(b"\n")  # no word has white space
+
+
+def word_keys(text: str, seen: dict[bytes, int]) -> list[int]:
+    """Hashes of a text's words; seen: those already known, dropped beyond `HELD`."""
+    if len(seen) > HELD:
+        seen.clear()
+    out = []
+    for w in text.encode("utf-8").lower().split():
+        k = seen.get(w)
+        if k is None:
+            k = seen[w] = key_of(w)
+        out.append(k)
+    return out
+
+
+def count(docs: DataFrame) -> DataFrame:
+    """a, b, c, n of text, weight: how often c comes after a, b in the texts, by weight (0: only listed)."""
+
+    def read(batches):
+        seen: dict[bytes, int] = {}
+        for batch, texts in texts_of(batches):
+            keys, lengths = [], []
+            for t in texts:
+                k = word_keys(t, seen)
+                keys += [START_KEY, START_KEY, *k, END_KEY]
+                lengths.append(len(k) + 1)
+            k = np.array(keys, np.int64)
+            lengths = np.array(lengths, np.int64)
+            at = np.arange(lengths.sum()) + 2 * np.repeat(np.arange(len(lengths)), lengths)
+            n = np.repeat(batch.column("weight").to_numpy(zero_copy_only=False).astype(np.int64), lengths)
+            yield pa.RecordBatch.from_arrays([pa.array(k[at]), pa.array(k[at + 1]), pa.array(k[at + 2]), pa.array(n)], ["a", "b", "c", "n"])
+
+    return docs.mapInArrow(read, "a long, b long, c long, n long").groupBy("a", "b", "c").agg(F.sum("n").alias("n"))
+
+
+def looked_up(df: DataFrame, table: DataFrame, keys: list[str], hot: Column, how: str = "left") -> DataFrame:
+    """df with table's columns; table: a row a key. Its hot rows are broadcast, so that df's rows of these stay in place."""
+    head = F.broadcast(table.where(hot))
+    return df.join(head, keys).unionByName(df.join(head.select(*keys), keys, "left_anti").join(table.where(~hot), keys, how))
+
+
+def contexts(df: DataFrame, by: list[str], suffix: str, least: int, prior: float, divergence: float) -> DataFrame:
+    """by, all, retained of candidate contexts. df: by, n, and the smoothed probability after the suffix."""
+    gain = F.when(F.col("n") > 0, F.col("n") * F.log2((F.col("n") - 1 + prior * F.col(suffix)) / F.col(suffix)))
+    g = df.groupBy(*by).agg(F.sum("n").alias("all"), F.sum(gain).alias("gain")).where(F.col("all") >= least)
+    return g.select(*by, "all", (F.col("gain") / F.col("all") - F.log2(F.col("all") - 1 + prior) >= divergence).alias("retained"))
+
+
+def train(docs: DataFrame, least: int = LEAST, prior: float = PRIOR, divergence: float = DIVERGENCE):
+    """Of text, weight: stored a, b, c, n, known, base, score (log10 of the add-one unigram and of the tree) of every
+    n-gram, those of weight 0 included; and N."""
+    after = stored(count(docs), "lm-grams")
+    pairs = stored(after.groupBy("b", "c").agg(F.sum("n").alias("n")), "lm-pairs")
+    words = stored(pairs.groupBy("c").agg(F.sum("n").alias("times")), "lm-words")
+    total, distinct = words.agg(F.coalesce(F.sum("times"), F.lit(0)), F.count_if(F.col("times") > 0)).first()
+    often = max(1.0, FREQUENT * total)
+
+    def smoothed(suffix):
+        return F.when(F.col("all").isNotNull(), (F.col("n") + prior * F.col(suffix)) / (F.col("all") + prior)).otherwise(F.col(suffix))
+
+    d = looked_up(pairs, words, ["c"], F.col("times") >= often)
+    d = stored(d.select("b", "c", "n", (F.col("times") > 0).alias("known"), ((F.col("times") + 1) / (total + distinct + 1)).alias("p0")), "lm-roots")
+    d = looked_up(d, stored(contexts(d, ["b"], "p0", least, prior, divergence), "lm-contexts"), ["b"], F.col("all") >= often)
+    one = stored(d.select("b", "c", F.col("n").alias("pair_n"), "known", "p0", smoothed("p0").alias("p1"), F.when(F.col("retained"), smoothed("p0")).otherwise(F.col("p0")).alias("s1")), "lm-ones")
+    d = stored(looked_up(after, one, ["b", "c"], F.col("pair_n") >= often).drop("pair_n"), "lm-twos")
+    two = stored(contexts(d, ["a", "b"], "p1", least, prior, divergence).where("retained"), "lm-contexts")
+    d = looked_up(d, two, ["a", "b"], F.col("all") >= often)
+    p = F.when(F.col("retained"), smoothed("p1")).otherwise(F.col("s1"))
+    return stored(d.select("a", "b", "c", "n", "known", F.log10("p0").alias("base"), F.log10(p).alias("score")), "lm-scores"), total
 
 
 def score(df: DataFrame, training: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score, score of each row of df."""
-    rare, total, distinct, ends, tree, frequent = train(training.select(F.col(text_col).alias("text")))
-    log_all = math.log10(total + distinct + 1)
-    shared = df.sparkSession.sparkContext.broadcast((tree, {w: (math.log10(n + 1) - log_all) for w, n in frequent.items()}))
-    end_score, end_known = math.log10(ends + 1) - log_all, int(ends > 0)
+    texts = df.select(F.col(text_col).alias("text"), F.lit(0).alias("weight")).unionByName(training.select(F.col(text_col).alias("text"), F.lit(1).alias("weight")))
+    return scored(df, texts, id_col, text_col)
+
+
+def scored(df: DataFrame, texts: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """As score; texts: text, weight (1: training), among them every text of df."""
+    model, total = train(texts)
 
     def read(batches):
-        model, known = shared.value
-        row = TaskContext.get().partitionId() << 40
+        row, seen = TaskContext.get().partitionId() << 40, {}
         for batch, texts in texts_of(batches):
-            done = 0
-            for part in chunks(texts):
-                streams, n, base, seen, words_out, times_out = [], [], [], [], [], []
-                for text in part:
-                    words = text.encode("utf-8").lower().split()
-                    streams.append(stream_of(words))
-                    b, k, other = end_score, end_known, Counter()
-                    for w, times in Counter(words).items():
-                        s = known.get(w)
-                        if s is None:
-                            other[w] = times
-                        else:
-                            b += times * s
-                            k += times
-                    n.append(len(words) + 1)
-                    base.append(b)
-                    seen.append(k)
-                    words_out.append(list(other))
-                    times_out.append(list(other.values()))
-                ids = batch.column("doc_id").slice(done, len(part))
-                done += len(part)
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(row, row + len(part))), ids, pa.array(n, pa.int64()), pa.array(seen, pa.int64()), pa.array(base, pa.float64()), pa.array(model.score(streams)), pa.array(words_out, pa.list_(pa.binary())), pa.array(times_out, pa.list_(pa.int32()))], ["row", "doc_id", "n_tokens", "known", "base", "score", "words", "times"])
-                row += len(part)
+            n, out = [], []
+            for text in texts:
+                k = [START_KEY, START_KEY, *word_keys(text, seen), END_KEY]
+                n.append(len(k) - 2)
+                out.append([{"a": a, "b": b, "c": c, "times": m} for (a, b, c), m in Counter(zip(k, k[1:], k[2:])).items()])
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(row, row + len(texts))), batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(out, GRAMS_OF)], ["row", "doc_id", "n_tokens", "grams"])
+            row += len(texts)
 
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    rows = stored(docs.mapInArrow(read, "row long, doc_id long, n_tokens long, known long, base double, score double, words array<binary>, times array<int>"), "lm-rows")
-    each = rows.select("row", F.explode(F.arrays_zip("words", "times")).alias("w")).select("row", F.col("w.words").alias("word"), F.col("w.times").alias("times"))
-    c = F.coalesce("c", F.lit(0))
-    found = each.join(rare, "word", "left").groupBy("row").agg(F.sum(F.col("times") * (F.log10(c + 1) - log_all)).alias("more"), F.sum(F.when(c > 0, F.col("times")).otherwise(0)).alias("also"))
-    d = rows.select("row", "doc_id", "n_tokens", "known", "base", "score").join(found, "row", "left")
-    return d.select("doc_id", "n_tokens", (F.col("known") + F.coalesce("also", F.lit(0))).cast("long").alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), (F.col("base") + F.coalesce("more", F.lit(0.0))).alias("base_score"), "score")
+    rows = stored(docs.mapInArrow(read, "row long, doc_id long, n_tokens long, grams array<struct<a:long,b:long,c:long,times:long>>"), "lm-rows")
+    each = looked_up(rows.select("row", F.inline("grams")), model, ["a", "b", "c"], F.col("n") >= max(1.0, FREQUENT * total), "inner")
+    found = each.groupBy("row").agg(F.sum(F.when(F.col("known"), F.col("times")).otherwise(0)).alias("n_known"), F.sum(F.col("times") * F.col("base")).alias("base_score"), F.sum(F.col("times") * F.col("score")).alias("score"))
+    return rows.drop("grams").join(found, "row").select("doc_id", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
 
 
 def op6_suffix_tree_scores(spark, sf_dir):
     docs = documents(spark, sf_dir)
-    found = score(docs, docs.where(~held_out(F.col("doc_id"))))
+    found = scored(docs, docs.select("text", F.when(held_out(F.col("doc_id")), 0).otherwise(1).alias("weight")))
     return found.withColumn("held_out", held_out(F.col("doc_id"))).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
