@@ -113,6 +113,14 @@ def bootstrap(bets: DataFrame, by: list[str], key: list[str], n: int = 2000, see
     return d.groupBy(*by).agg(F.percentile("roi", F.lit(0.025)).alias("low"), F.percentile("roi", F.lit(0.975)).alias("high"), F.avg((F.col("roi") > 1).cast("double")).alias("p_above_one"))
 
 
+def race_deviations(predicted: DataFrame, actual: DataFrame) -> DataFrame:
+    """race_id, lane and predicted or actual, a row a lane. Per race: lanes that either side has, the greatest and mean absolute
+    log ratio of those that both price (null without any), and the lanes that one lacks."""
+    d = predicted.join(actual, ["race_id", "lane"], "full_outer").withColumn("ratio", F.abs(pricing.log_deviation(F.col("actual"), F.col("predicted"))))
+    missing = F.array_sort(F.collect_list(F.when(F.col("ratio").isNull(), F.col("lane"))))  # six at most
+    return d.groupBy("race_id").agg(F.count(F.lit(1)).alias("lanes"), F.max("ratio").alias("max_log"), F.avg("ratio").alias("mean_log"), F.array_join(missing.cast("array<string>"), ",").alias("missing_lanes"))
+
+
 def entropy_bits(df: DataFrame, by: list[str], p: str) -> DataFrame:
     return df.where(F.col(p) > 0).groupBy(*by).agg((-F.sum(F.col(p) * F.log2(p))).alias("entropy"))
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from multiprocessing.pool import ThreadPool
+
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -14,6 +17,7 @@ from lanecast.streaming import streams
 
 R = Registry()
 QUERIES, SQL = R.QUERIES, R.SQL
+FITS = 4  # at a time
 
 
 @R.query("""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS line_no FROM documents),
@@ -84,21 +88,32 @@ def streamed_freshness(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @R.query()
 def logistic_walk_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Standardised multinomial logistic regression fitted before the last two months, scored on each; beside uniform."""
+    """Standardised multinomial logistic regression fitted before every month after the first 12 and scored on it: losses by
+    test month. Features are stored once; fits run `FITS` at a time, each fold's result is written as it is ready."""
     d = full_fields(spark, sf_dir).withColumn("score", pricing.finish_score(F.col("finish"), F.lit(True)))
     d = features.lane_features(d)
     names = ["quantity", "form", "odds"]
+    inputs = [f"lane{n}_{x}" for n in range(1, 7) for x in names]
     wide = features.wide(d, names).join(d.where("won").select("race_id", "race_date", (F.col("lane") - 1).cast("double").alias("label")), "race_id")
-    f = folds.monthly_folds(d, "race_date", 12).orderBy(F.col("fold").desc()).limit(2)
-    out = None
-    for r in f.collect():  # two fits
+    stored, out = ledgers.shared_folder(spark, "wide"), ledgers.shared_folder(spark, "folds")
+    wide.write.parquet(stored)
+    wide = spark.read.parquet(stored)
+
+    def fold(r) -> None:
         train = wide.where((F.col("race_date") >= F.lit(r["train_start"])) & (F.col("race_date") < F.lit(r["test_start"])))
         test = wide.where((F.col("race_date") >= F.lit(r["test_start"])) & (F.col("race_date") < F.lit(r["test_end"])))
-        model = folds.fit_logistic(train, [f"lane{n}_{x}" for n in range(1, 7) for x in names], "label")
+        model = folds.fit_logistic(train, inputs, "label")
         p = folds.aligned(model.transform(test), ["race_id", "label"]).withColumn("won", F.col("lane") - 1 == F.col("label"))
-        part = metrics.summary(metrics.race_losses(p, ["race_id"], "p", "won").withColumn("test_start", F.lit(r["test_start"])), ["test_start"])
-        out = part if out is None else out.unionByName(part)
-    return out
+        losses = metrics.race_losses(p, ["race_id"], "p", "won").withColumn("test_start", F.lit(r["test_start"]))
+        metrics.summary(losses, ["test_start"]).coalesce(1).write.mode("append").parquet(f"{out}/fold={r['fold']}")
+
+    months = folds.monthly_folds(full_fields(spark, sf_dir), "race_date", 12).collect()  # a row a month
+    schema = "test_start date, n long, log_loss double, brier double, accuracy double"
+    if not months:
+        return spark.createDataFrame([], schema)
+    with ThreadPool(FITS) as pool:
+        pool.map(inheritable_thread_target(spark)(fold), months, 1)
+    return spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(out)
 
 
 @R.query(", s AS (SELECT venue, race_id, race_date, odds, lag(odds) OVER (PARTITION BY venue, lane ORDER BY race_date, race_id) AS before FROM runners WHERE lane = 1) SELECT venue, count(before) AS n, round(avg(ln(odds / before)), 6) AS mean_log FROM s GROUP BY venue")
@@ -107,6 +122,21 @@ def log_deviations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.groupBy("venue").agg(F.count("before").alias("n"), F.round(F.avg(pricing.log_deviation(F.col("odds"), F.col("before"))), 6).alias("mean_log"))
 
 
+@R.query(""", o AS (SELECT race_id, lane, odds FROM runners WHERE lane BETWEEN 1 AND 6), r AS (SELECT race_id, venue, lag(race_id) OVER (PARTITION BY venue ORDER BY race_date, race_id) AS previous FROM (SELECT DISTINCT race_id, venue, race_date FROM runners WHERE lane BETWEEN 1 AND 6)),
+q AS (SELECT r.race_id, o.lane, o.odds AS predicted FROM r JOIN o ON o.race_id = r.previous),
+a AS (SELECT r.race_id, o.lane, o.odds AS actual FROM r JOIN o ON o.race_id = r.race_id WHERE r.previous IS NOT NULL),
+x AS (SELECT race_id, lane, CASE WHEN predicted IS NOT NULL AND actual IS NOT NULL THEN abs(ln(actual / predicted)) END AS ratio FROM q FULL JOIN a USING (race_id, lane))
+SELECT race_id, count(*) AS lanes, round(max(ratio), 6) AS max_log, round(avg(ratio), 6) AS mean_log, coalesce(string_agg(lane::VARCHAR, ',' ORDER BY lane) FILTER (ratio IS NULL), '') AS missing_lanes FROM x GROUP BY race_id""")
+def race_deviations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every lane's price against that of the race before at its venue: lanes that only one of them has are missing."""
+    d = runners(spark, sf_dir).where("lane BETWEEN 1 AND 6")
+    r = d.select("race_id", "venue", "race_date").distinct().withColumn("previous", F.lag("race_id").over(Window.partitionBy("venue").orderBy("race_date", "race_id"))).where("previous IS NOT NULL")
+    predicted = r.select(F.col("race_id").alias("of"), F.col("previous").alias("race_id")).join(d.select("race_id", "lane", "odds"), "race_id").select(F.col("of").alias("race_id"), "lane", F.col("odds").alias("predicted"))
+    actual = d.join(r.select("race_id"), "race_id").select("race_id", "lane", F.col("odds").alias("actual"))
+    x = metrics.race_deviations(predicted, actual)
+    return x.withColumns({c: F.round(c, 6) for c in ("max_log", "mean_log")})
+
+
 @R.query(", x AS (SELECT race_id, race_date, venue, row_number() OVER (PARTITION BY venue ORDER BY race_date DESC, race_id DESC) AS rank FROM races) SELECT venue, rank, race_id FROM x WHERE rank <= 3")
 def latest_races(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = windows.top_n(races(spark, sf_dir), ["venue"], [F.col("race_date").desc(), F.col("race_id").desc()], 3)
