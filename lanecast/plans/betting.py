@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from lanecast.functions import pricing
 from lanecast.operators import folds, joint, metrics, rules, windows
-from lanecast.plans.contest import BAND, candidates, draw_sql, full_fields, races, table
+from lanecast.plans.contest import BAND, BASE, candidates, draw_sql, full_fields, races, table
 from lanecast.plans.registry import Registry
 
 R = Registry()
@@ -166,6 +166,43 @@ def bootstrap_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.withColumns({c: r9(c) for c in ("low", "high", "p_above_one")})
 
 
+# The reference's numbers of draws over all rows; the queries above are the same operators with fewer draws, held against SQL.
+RESAMPLES, PERMUTATIONS, NOISES, SIGMA = 2000, 40, 20, 0.6
+REAL = f"(SELECT round(avg(ret), 9) FROM (WITH {BASE}, {BETS} SELECT ret FROM bets WHERE rule = 'ev_best' AND threshold = 1.0))"
+
+
+def against(null: DataFrame, c: DataFrame, names: dict[str, str]) -> DataFrame:
+    """The null's summary beside what ev_best really returns at threshold 1; names: those of the columns wanted."""
+    real = rules.select_bets(c, {"ev_best": (1.0,)}, ["race_id"], "lane").agg(r9(F.avg("ret"))).first()[0]
+    d = rules.against_null(null.withColumn("roi", r9("roi")), F.lit(real).cast("double")).withColumn("real", F.lit(real).cast("double"))
+    return d.select(*[F.round(old, 6).alias(new) for old, new in names.items()])
+
+
+@R.query(f"SELECT round(avg(roi), 6) AS null_mean, round(max(roi), 6) AS null_max, round(stddev_pop(roi), 6) AS null_sd, round({REAL}, 6) AS real, round(({REAL} - avg(roi)) / nullif(stddev_pop(roi), 0), 6) AS z FROM ({SQL['permutation_null'].replace('range(10)', f'range({PERMUTATIONS})')})", base=False)
+def permutation_against_null(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean, greatest and population sd of 40 permutations, the real return and its z."""
+    c = candidates(spark, sf_dir)
+    d = c.where("complete").withColumn("lane", F.col("lane").cast("int"))
+    vectors = d.groupBy("race_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("lane", "p"))), lambda s: s["p"]).alias("probs"))
+    null = rules.permutation_null(vectors, d.select("race_id", "lane", "odds", "ret"), 1.0, PERMUTATIONS)
+    return against(null, c, {x: x for x in ("null_mean", "null_max", "null_sd", "real", "z")})
+
+
+@R.query(f"SELECT round(avg(roi), 6) AS noise_mean, round(stddev_pop(roi), 6) AS noise_sd, round({REAL}, 6) AS real FROM ({SQL['price_noise'].replace('range(10)', f'range({NOISES})').replace('0.1 * sqrt', f'{SIGMA} * sqrt')})", base=False)
+def price_noise_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean and population sd of the return under 20 draws of noise of sigma 0.6, beside the return without."""
+    c = candidates(spark, sf_dir)
+    null = rules.noise_sensitivity(c.where("complete").select("race_id", "lane", "p", "odds", "ret"), 1.0, SIGMA, NOISES)
+    return against(null, c, {"null_mean": "noise_mean", "null_sd": "noise_sd", "real": "real"})
+
+
+@R.query()
+def bootstrap_returns_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As bootstrap_returns, over 2000 resamples. No SQL: every bet once a resample is too slow there."""
+    d = metrics.bootstrap(bets(spark, sf_dir).where("rule = 'ev_best'"), ["rule", "threshold"], ["race_id", "lane"], RESAMPLES)
+    return d.withColumns({c: r9(c) for c in ("low", "high", "p_above_one")})
+
+
 @R.query(f""", {BETS}, x AS (SELECT venue, race_date, race_id, ret - 1 AS net, hit, sum(ret - 1) OVER (PARTITION BY venue ORDER BY race_date, race_id ROWS UNBOUNDED PRECEDING) AS cum FROM bets WHERE rule = 'ev_best' AND threshold = 0.5),
 y AS (SELECT *, greatest(0, max(cum) OVER (PARTITION BY venue ORDER BY race_date, race_id ROWS UNBOUNDED PRECEDING)) - cum AS dd, row_number() OVER (PARTITION BY venue ORDER BY race_date, race_id) - row_number() OVER (PARTITION BY venue, hit ORDER BY race_date, race_id) AS isl FROM x),
 z AS (SELECT venue, hit, isl, count(*) AS run FROM y GROUP BY ALL), s AS (SELECT venue, coalesce(max(run) FILTER (hit), 0) AS longest_win, coalesce(max(run) FILTER (NOT hit), 0) AS longest_loss FROM z GROUP BY venue)
