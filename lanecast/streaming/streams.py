@@ -38,11 +38,15 @@ def freshness(stream: DataFrame, width: str = "10 minutes", slide: str | None =
 
 
 def emit_once(predictions_path: str, version: str):
-    """foreachBatch: races whose six lanes are all in the batch's rows and that this version hasn't predicted."""
+    """foreachBatch: races whose six lanes have all been seen, in this batch or before, and that this version hasn't
+    predicted. Lanes seen are kept beside the predictions; a batch that is run again adds no lane."""
+    lanes = f"{predictions_path.rstrip('/')}-lanes-{version}"
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        whole = batch.groupBy("race_id").agg(F.count_distinct("combination").alias("n")).where("n = 6").select("race_id")
+        batch.select("race_id", "combination").distinct().write.mode("append").parquet(lanes)
+        seen = spark.read.parquet(lanes).join(batch.select("race_id").distinct(), "race_id", "left_semi")
+        whole = seen.groupBy("race_id").agg(F.count_distinct("combination").alias("n")).where("n = 6").select("race_id")
         new = whole.withColumn("model_version", F.lit(version))
         try:
             done = spark.read.parquet(predictions_path).select("race_id", "model_version")
