@@ -23,11 +23,17 @@ def lower_ascii(text: Column) -> Column:
     return F.translate(text, UPPER, UPPER.lower())
 
 
+# Shuffle files of an execution go when it ends: what it made has been written by then.
+SHUFFLES_GO = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh folder in the cluster's shared checkpoint folder; a local one only where none is set (tests)."""
+    """A fresh folder in the cluster's shared checkpoint folder; a local one only where none is set and Spark is local (tests)."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base is None:
         set_by_context = spark.sparkContext.getCheckpointDir()
+        if set_by_context is None and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = set_by_context or f"file://{tempfile.mkdtemp(prefix='spark-checkpoint-')}"
         if set_by_context is None:
             spark.sparkContext.setCheckpointDir(base)
@@ -37,9 +43,34 @@ def scratch(spark: SparkSession, name: str) -> str:
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write once to shared storage and read back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
-    path = scratch(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    path, before = scratch(spark, name), spark.conf.get(SHUFFLES_GO, "false")
+    spark.conf.set(SHUFFLES_GO, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(SHUFFLES_GO, before)
+    back = spark.read.schema(df.schema).parquet(path)
+    back.stored_at = path
+    return back
+
+
+def discard(*dfs: DataFrame) -> None:
+    """Delete what `stored` wrote for these, once nothing will read it again."""
+    for df in dfs:
+        context = df.sparkSession.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(df.stored_at)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, lengthened until df has no column of that name."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
 def texts_of(batches: Iterator, text_col: str = "text", rows: int = 256) -> Iterator[tuple]:

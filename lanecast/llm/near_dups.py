@@ -1,6 +1,6 @@
 """Operator 8: n-gram Jaccard join by rare-first prefix filtering; connected components of its links.
 
-A document's set is its distinct `n`-word shingles (with fewer words, the whole sequence as one), as 64-bit hashes.
+A document's set is its distinct `n`-word shingles (with fewer words, the whole sequence as one), as hashes.
 Two sets with Jaccard similarity of at least `percent`/100 share a shingle among the first |set| - need + 1 of each,
 whatever the common order; the order is rarest first, by a count sketch of fixed size (order only saves work, it
 never decides). Steps, none of which gathers a group or emits all its pairs:
@@ -16,9 +16,12 @@ never decides). Steps, none of which gathers a group or emits all its pairs:
 4. every other pair that could still join two components shares a stored shingle: such pairs are formed between
    different components only, with all three filters in the join, and verified. Links are merged again.
 
-Null or empty text, or text without words: empty set, linked with nothing. Equal rows and ids that repeat: one
-class of their words each; a row's component is that of its id and words. Ties in size: by id. Other columns are
-ignored. Empty table: no rows.
+Hashes have 64 bits (of a word: a polynomial over its bytes, mixed; of a shingle: its words' hashes, mixed in turn):
+two given unlike shingles meet with a chance of about 2^-60, so sizes and links are exact but for that.
+
+Null or empty text, or text without words: empty set, linked with nothing. Rows that share an id are one node: what
+either links to is linked. Rows without an id have their size, no links and no component. Ties in size: by id.
+Other columns are ignored. Empty table: no rows.
 """
 
 from __future__ import annotations
@@ -34,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lanecast.llm.common import documents, stored, texts_of
+from lanecast.llm.common import discard, documents, fresh, stored, texts_of
 
 WORDS, PERCENT = 5, 80
 SKETCH_BITS = 20  # counters of the sketch; 4 bytes each are broadcast
@@ -42,54 +45,119 @@ CHUNK = 1 << 14
 CLASSES = 64  # one byte each, in eight longs; a set with more than 255 in a class has none and passes the filter
 SIGNATURE = [f"s{k}" for k in range(CLASSES // 8)]
 BUCKETS = 1 << 20  # hashed ids that a pre-filter of texts names at most
-HASHES = 500_000  # word hashes remembered by a worker; then forgotten and begun anew
 
 
-def words_of(text: str) -> list[bytes]:
-    """A-Z lowered; words are separated by ASCII white space, which is what bytes.split() takes."""
-    return text.encode("utf-8").lower().split()
+_M = np.uint64(0x9E3779B97F4A7C15)
+_SPACE = np.isin(np.arange(256), list(b" \t\n\x0b\x0c\r"))
+_STEP = 0x2545F4914F6CDD1D  # odd, so it has an inverse modulo 2^64
+CHUNK_BYTES = 1 << 22  # of text hashed at a time
 
 
-def hash64(data: bytes) -> int:
-    return int.from_bytes(hashlib.blake2b(data, digest_size=8).digest(), "little")
+def mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
 
 
-class Hashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        h = self[word] = hash64(word)
-        return h
+_BYTE = mixed(np.arange(1, 257, dtype=np.uint64) * _M)
+_BYTE[65:91] = _BYTE[97:123]  # A-Z as a-z
 
 
-class Shingler:
-    """Distinct shingle hashes of a word list; word hashes are remembered within a bound."""
+class Powers:
+    """Powers of _STEP and of its inverse modulo 2^64, as many as the longest chunk so far needs."""
 
-    def __init__(self, n: int = WORDS):
-        self.n, self.memo = n, Hashes()
-
-    def __call__(self, words: list[bytes]) -> np.ndarray:
-        if not words:
-            return np.empty(0, np.uint64)
-        if len(words) < self.n:
-            return np.array([hash64(b"short\n" + b" ".join(words))], np.uint64)
-        if len(self.memo) > HASHES:
-            self.memo = Hashes()
-        h = np.fromiter(map(self.memo.__getitem__, words), np.uint64, len(words))
-        with np.errstate(over="ignore"):
-            s = h[: len(h) - self.n + 1].copy()
-            for k in range(1, self.n):
-                s = mixed(s) * np.uint64(0x9E3779B97F4A7C15) + h[k : len(h) - self.n + 1 + k]
-            return np.unique(mixed(s))
+    def __init__(self):
+        self.up = self.down = np.ones(0, np.uint64)
 
+    def __call__(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.up) < n:
+            self.up, self.down = (np.full(n, x % (1 << 64), np.uint64) for x in (_STEP, pow(_STEP, -1, 1 << 64)))
+            for x in (self.up, self.down):
+                x[0] = 1
+                np.multiply.accumulate(x, out=x)
+        return self.up[:n], self.down[:n]
 
-def mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
 
+def word_hashes(data: bytes, powers: Powers) -> tuple[np.ndarray, np.ndarray]:
+    """(start, 64-bit hash) of each word of data, which white space begins and ends: a polynomial over the word's bytes, mixed."""
+    buf = np.frombuffer(data, np.uint8)
+    gap = _SPACE[buf]
+    edges = np.flatnonzero(gap[1:] != gap[:-1]) + 1
+    starts, ends = edges[::2], edges[1::2]
+    up, down = powers(len(buf))
+    sums = np.cumsum(_BYTE[buf] * up, dtype=np.uint64)
+    return starts, mixed((sums[ends - 1] - sums[starts - 1]) * down[starts] ^ (ends - starts).astype(np.uint64) * _M)
+
+
+class Shingler:
+    """Word hashes and distinct shingle hashes of many texts at a time."""
 
-def prefix_length(size: int, percent: int = PERCENT) -> int:
+    def __init__(self, n: int = WORDS):
+        self.n, self.powers = n, Powers()
+
+    def words(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of all words, and where each text's begin (one more than texts)."""
+        data = [t.encode("utf-8") for t in texts]
+        begins = np.cumsum([1, *[len(d) + 1 for d in data]])
+        whole, at, starts, hashes = b"\n" + b"\n".join(data) + b"\n", 0, [], []
+        while at < len(whole) - 1:
+            end = min(at + CHUNK_BYTES, len(whole) - 1)
+            while not _SPACE[whole[end]]:  # on to the next white space
+                end += 1
+            s, h = word_hashes(whole[at : end + 1], self.powers)
+            starts.append(s + at)
+            hashes.append(h)
+            at = end
+        none = [np.empty(0, np.int64)], [np.empty(0, np.uint64)]
+        return np.concatenate(hashes or none[1]), np.searchsorted(np.concatenate(starts or none[0]), begins)
+
+    def sets(self, h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct shingle hashes, ascending in each text, and where each text's begin (one more than texts)."""
+        counts, n = np.diff(first), self.n
+        with np.errstate(over="ignore"):
+            s = h.copy()
+            for k in range(1, n):
+                s = mixed(s[: len(s) - 1]) * _M + h[k:]
+            s = mixed(s)
+            short = np.flatnonzero((counts > 0) & (counts < n))
+            lengths = np.maximum(counts - n + 1, 0)
+            lengths[short] = 1
+            out = np.empty(lengths.sum(), np.uint64)
+            begin = np.concatenate([[0], np.cumsum(lengths)])
+            whole = np.repeat(first[:-1] - begin[:-1], lengths) + np.arange(len(out))
+            alone = np.zeros(len(out), bool)
+            alone[begin[short]] = True
+            out[~alone] = s[whole[~alone]]
+            for t in short:  # fewer words than a shingle has: the sequence as one, begun by its length
+                x = mixed(np.full(1, counts[t], np.uint64) * _M)
+                for w in h[first[t] : first[t + 1]]:
+                    x = mixed(x * _M + w)
+                out[begin[t]] = x[0]
+        return distinct(out, begin)
+
+    def __call__(self, texts: list[str]) -> list[np.ndarray]:
+        s, begin = self.sets(*self.words(texts))
+        return [s[a:b] for a, b in zip(begin, begin[1:])]
+
+
+def distinct(values: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorts and makes distinct each group of values, in place."""
+    for a, b in zip(begin, begin[1:]):
+        values[a:b].sort()
+    new = np.ones(len(values), bool)
+    new[1:] = values[1:] != values[:-1]
+    new[begin[:-1][np.diff(begin) > 0]] = True
+    return values[new], np.concatenate([[0], np.cumsum(new)])[begin]
+
+
+def digests(h: np.ndarray, first: np.ndarray) -> list[bytes]:
+    """Of each text's words."""
+    return [hashlib.blake2b(h[a:b].tobytes(), digest_size=16).digest() for a, b in zip(first, first[1:])]
+
+
+def prefix_lengths(sizes: np.ndarray, percent: int = PERCENT) -> np.ndarray:
     """A partner shares at least ceil(t * size) shingles, so one of the first size - that + 1."""
-    return size - -(-percent * size // 100) + 1 if size else 0
+    return np.where(sizes > 0, sizes + (-percent * sizes) // 100 + 1, 0)
 
 
 def linked(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
@@ -110,19 +178,14 @@ def summarise(docs: DataFrame, n: int) -> tuple[DataFrame, np.ndarray]:
     def read(batches):
         shingle, counts = Shingler(n), np.zeros(size, np.int64)
         for batch, texts in texts_of(batches):
-            keys, sizes, classes, small = [], [], [], []
-            for text in texts:
-                words = words_of(text)
-                s = shingle(words)
-                np.add.at(counts, (s & np.uint64(size - 1)).astype(np.int64), 1)
-                keys.append(hashlib.blake2b(b" ".join(words), digest_size=16).digest())
-                sizes.append(len(s))
-                c = np.bincount((s >> np.uint64(58)).astype(np.int64), minlength=CLASSES)
-                small.append(c.max() <= 255)
-                classes.append(np.minimum(c, 255).astype(np.uint8))
-            packed = np.array(classes, np.uint8).reshape(-1, CLASSES).view("<i8")
-            none = ~np.array(small, bool)
-            yield rows(batch.column("doc_id"), pa.array(keys, pa.binary()), pa.array(sizes, pa.int32()), *[pa.array(packed[:, k], pa.int64(), mask=none) for k in range(len(SIGNATURE))], pa.nulls(len(texts), pa.int32()), pa.nulls(len(texts), pa.binary()))
+            h, first = shingle.words(texts)
+            s, begin = shingle.sets(h, first)
+            np.add.at(counts, (s & np.uint64(size - 1)).astype(np.int64), 1)
+            sizes = np.diff(begin)
+            of = np.repeat(np.arange(len(texts)), sizes) * CLASSES + (s >> np.uint64(58)).astype(np.int64)
+            classes = np.bincount(of, minlength=len(texts) * CLASSES).reshape(-1, CLASSES)
+            packed, none = np.minimum(classes, 255).astype(np.uint8).view("<i8"), classes.max(axis=1, initial=0) > 255
+            yield rows(batch.column("doc_id"), pa.array(digests(h, first), pa.binary()), pa.array(sizes, pa.int32()), *[pa.array(packed[:, k], pa.int64(), mask=none) for k in range(len(SIGNATURE))], pa.nulls(len(texts), pa.int32()), pa.nulls(len(texts), pa.binary()))
         parts = [(k, counts[k * CHUNK : (k + 1) * CHUNK]) for k in range(chunks)]
         parts = [(k, c.astype("<i8").tobytes()) for k, c in parts if c.any()]
         m = len(parts)
@@ -145,28 +208,34 @@ def summarise(docs: DataFrame, n: int) -> tuple[DataFrame, np.ndarray]:
 
 
 def prefix_postings(docs: DataFrame, sketch: np.ndarray, n: int, percent: int) -> DataFrame:
-    """token, size, doc, place: the prefix of each set in the sketch's order, once a task for equal words."""
+    """token, size, doc, place: the prefix of each set in the sketch's order, once a task for equal words.
+
+    A token is the shingle's rarity (twice the logarithm of its count, 6 bits) before the first 58 bits of its hash, so
+    ascending tokens are the order; two shingles with one token only make a pair that is verified in vain.
+    """
     shared, mask = docs.sparkSession.sparkContext.broadcast(sketch), np.uint64(len(sketch) - 1)
 
     def read(batches):
-        shingle, counts, seen = Shingler(n), shared.value, set()
+        shingle, seen = Shingler(n), set()
+        rarity = np.minimum(2 * np.log2(np.maximum(shared.value, 1)), 63).astype(np.uint64) << np.uint64(58)
         for batch, texts in texts_of(batches):
-            tokens, sizes, ids, places = [], [], [], []
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), texts, strict=True):
-                words = words_of(text)
-                key = hashlib.blake2b(b" ".join(words), digest_size=16).digest()
-                if key in seen or not words:
-                    continue
-                seen.add(key)
-                s = shingle(words)
-                k = prefix_length(len(s), percent)
-                order = np.lexsort((s, counts[(s & mask).astype(np.int64)]))[:k]
-                tokens.append(s[order].view(np.int64))
-                sizes.append(np.full(k, len(s), np.int32))
-                ids.append(np.full(k, doc_id, np.int64))
-                places.append(np.arange(k, dtype=np.int32))
-            if tokens:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (tokens, sizes, ids, places)], ["token", "size", "doc", "place"])
+            h, first = shingle.words(texts)
+            new = []
+            for key, a, b in zip(digests(h, first), first, first[1:]):
+                new.append(b > a and key not in seen)
+                if new[-1]:
+                    seen.add(key)
+            s, begin = shingle.sets(h, first)
+            sizes = np.diff(begin)
+            tokens = rarity[(s & mask).astype(np.int64)] | (s >> np.uint64(6))
+            for a, b in zip(begin, begin[1:]):
+                tokens[a:b].sort()
+            k = np.where(new, prefix_lengths(sizes, percent), 0)
+            place = np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k)
+            if len(place):
+                ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
+                columns = tokens[np.repeat(begin[:-1], k) + place].view(np.int64), np.repeat(sizes, k).astype(np.int32), np.repeat(ids, k), place.astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["token", "size", "doc", "place"])
 
     return docs.mapInArrow(read, "token long, size int, doc long, place int")
 
@@ -204,10 +273,11 @@ def verified(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFra
     def check(batches):
         shingle = Shingler(n)
         for batch in batches:
-            keep = []
-            for ta, tb in zip(batch.column("ta").to_pylist(), batch.column("tb").to_pylist(), strict=True):
-                keep.append(linked(shingle(words_of(ta or "")), shingle(words_of(tb or "")), percent))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            for k in range(0, batch.num_rows, 256):
+                part = batch.slice(k, 256)
+                a, b = (shingle([t or "" for t in part.column(c).to_pylist()]) for c in ("ta", "tb"))
+                keep = [linked(x, y, percent) for x, y in zip(a, b, strict=True)]
+                yield part.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return full.select("a", "b", "ta", "tb").mapInArrow(check, "a long, b long")
 
@@ -262,8 +332,9 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         tried = best if tried is None else tried.union(best)
         links = stored(links.union(verified(best, docs, n, percent)), "links")
         comp = stored(components(links), "components")
-        near = stored(open_shingles(with_components(post, comp)), "open-postings")
-        post = near.drop("component")
+        near = stored(open_shingles(with_components(post if nearest is leading else near.drop("component"), comp)), "open-postings")
+        if nearest is leading:
+            discard(post)
 
     rest = stored(near.join(sets.select(F.col("doc_id").alias("doc"), *SIGNATURE).dropDuplicates(["doc"]), "doc"), "open-postings")
     a, b = (rest.select("token", *[F.col(c).alias(f"{x}_{c}") for c in ("doc", "size", "place", "component", *SIGNATURE)]) for x in "ab")
@@ -273,6 +344,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     if not more.isEmpty():
         links = stored(links.union(verified(more, docs, n, percent)), "links")
         comp = stored(components(links), "components")
+    discard(near, rest, more)
     found = sets.join(comp.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     return found.select("doc_id", F.col("size").cast("long").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
@@ -307,9 +379,12 @@ def _apart(postings: DataFrame, pick, percent: int) -> DataFrame:
 
 
 def keep_one(df: DataFrame) -> DataFrame:
-    """The rows of df that are their component's smallest id, with all their columns."""
-    keep = near_duplicates(df).where("doc_id IS NULL OR doc_id = component_id").select(F.col("doc_id").alias("__id")).distinct()
-    return df.join(keep, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
+    """The rows of df that are their component's smallest id, with all their columns; and all rows whose id is null or
+    stands more than once, so that no text is lost with an id that others share."""
+    (node,) = fresh(df, "node")
+    found = near_duplicates(df).groupBy("doc_id").agg(F.min("component_id").alias("component_id"), F.count(F.lit(1)).alias("n"))
+    keep = found.where("doc_id IS NULL OR doc_id = component_id OR n > 1").select(F.col("doc_id").alias(node))
+    return df.join(keep, F.col("doc_id").eqNullSafe(F.col(node)), "left_semi")
 
 
 def op8_ngram_jaccard_join(spark, sf_dir):
@@ -324,7 +399,7 @@ def brute_force(docs: list[tuple[int, str | None]], n: int = WORDS, percent: int
     """doc_id -> (set size, component), by comparing all pairs; for tests."""
     sets = {}
     for i, t in docs:
-        w = words_of(t or "")
+        w = (t or "").encode("utf-8").lower().split()
         sets[i] = {tuple(w[k : k + n]) for k in range(len(w) - n + 1)} if len(w) >= n else ({tuple(w)} if w else set())
     parent = {i: i for i, _ in docs}
 
