@@ -39,13 +39,12 @@ def brute(training, text, least=lm_score.LEAST, prior=lm_score.PRIOR, divergence
     return out
 
 
-def test_scores_equal_brute_force(spark, monkeypatch):
+def test_scores_equal_brute_force(spark):
     train = spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string")
     asked = ["red stone bird", "red stone fish", "filler w3 w3 end", "stone W1 unheard", "", None]
     docs = spark.createDataFrame(list(enumerate(asked)), "doc_id long, text string")
-    for frequent in (lm_score.FREQUENT, 0.02, 2.0):  # all broadcast, some, nothing
-        monkeypatch.setattr(lm_score, "FREQUENT", frequent)
-        got = {r["doc_id"]: r["score"] for r in lm_score.score(docs, train).collect()}
+    for block, shard in ((lm_score.BLOCK, lm_score.SHARD), (300, 100), (50, 40)):  # one of each; many; contexts dealt over shards
+        got = {r["doc_id"]: r["score"] for r in lm_score.score(docs, train, block=block, shard=shard).collect()}
         assert len(got) == len(asked) and all(abs(got[k] - brute(TEXTS, t)) < 1e-9 for k, t in enumerate(asked))
 
 

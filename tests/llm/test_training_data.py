@@ -249,27 +249,6 @@ def test_suffix_tree_scores(docs, empty):
     assert lm_score.score(empty, training).count() == 0 and lm_score.score(docs, empty).first()["train_tokens"] == 0
 
 
-def test_tree_scores_by_longest_suffix():
-    streams = [b"abab cd\n", b"abac\n", b"\n", b"x" * 700 + b"\n"]
-    code, n = lm_score.grams(streams, 3)
-    assert n.sum() == sum(map(len, streams))
-    rows = []
-    for d in range(4):
-        k, m = lm_score.merged([(((code >> 8 & (1 << 8 * d) - 1) << 8) | code & 255, n)])
-        rows += [(d, int(x) >> 8, int(x) & 255, int(y)) for x, y in zip(k, m, strict=True)]
-    tree = lm_score.SuffixTree(rows, 3, 0.01, 1.0)
-    for s, total in zip(streams, tree.score(streams), strict=True):
-        history, want = b"\n\n\n", 0.0
-        for b in s:
-            state = 0
-            for a in history[-3:]:
-                state = int(tree.next[state, a])
-            want += float(tree.logp[state, b])
-            history += bytes([b])
-        assert abs(total - want) < 1e-3
-    assert all(abs((10.0 ** tree.logp[k]).sum() - 1) < 1e-4 for k in range(len(tree.logp)))
-
-
 @pytest.mark.parametrize("name", sorted(queries.SQL))
 def test_queries_match_sql(spark, name):
     con = duckdb.connect()
