@@ -27,6 +27,7 @@ Other columns are ignored. Empty table: no rows.
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections import defaultdict
 from fractions import Fraction
 from functools import reduce
@@ -37,79 +38,25 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lanecast.llm.common import discard, documents, fresh, stored, texts_of
+from lanecast.llm.common import discard, documents, fresh, looked_up, stored, texts_of
+from lanecast.llm.words import ODD, Words, mixed
 
 WORDS, PERCENT = 5, 80
 SKETCH_BITS = 20  # counters of the sketch; 4 bytes each are broadcast
 CHUNK = 1 << 14
+RARITY_BITS = 11
+HOT_SHARE = 1000  # a class with more than this share of all rows is looked up by broadcast: fewer than so many are
 CLASSES = 64  # one byte each, in eight longs; a set with more than 255 in a class has none and passes the filter
 SIGNATURE = [f"s{k}" for k in range(CLASSES // 8)]
 BUCKETS = 1 << 20  # hashed ids that a pre-filter of texts names at most
 
 
-_M = np.uint64(0x9E3779B97F4A7C15)
-_SPACE = np.isin(np.arange(256), list(b" \t\n\x0b\x0c\r"))
-_STEP = 0x2545F4914F6CDD1D  # odd, so it has an inverse modulo 2^64
-CHUNK_BYTES = 1 << 22  # of text hashed at a time
-
-
-def mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-_BYTE = mixed(np.arange(1, 257, dtype=np.uint64) * _M)
-_BYTE[65:91] = _BYTE[97:123]  # A-Z as a-z
-
-
-class Powers:
-    """Powers of _STEP and of its inverse modulo 2^64, as many as the longest chunk so far needs."""
-
-    def __init__(self):
-        self.up = self.down = np.ones(0, np.uint64)
-
-    def __call__(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
-            self.up, self.down = (np.full(n, x % (1 << 64), np.uint64) for x in (_STEP, pow(_STEP, -1, 1 << 64)))
-            for x in (self.up, self.down):
-                x[0] = 1
-                np.multiply.accumulate(x, out=x)
-        return self.up[:n], self.down[:n]
-
-
-def word_hashes(data: bytes, powers: Powers) -> tuple[np.ndarray, np.ndarray]:
-    """(start, 64-bit hash) of each word of data, which white space begins and ends: a polynomial over the word's bytes, mixed."""
-    buf = np.frombuffer(data, np.uint8)
-    gap = _SPACE[buf]
-    edges = np.flatnonzero(gap[1:] != gap[:-1]) + 1
-    starts, ends = edges[::2], edges[1::2]
-    up, down = powers(len(buf))
-    sums = np.cumsum(_BYTE[buf] * up, dtype=np.uint64)
-    return starts, mixed((sums[ends - 1] - sums[starts - 1]) * down[starts] ^ (ends - starts).astype(np.uint64) * _M)
-
-
-class Shingler:
+class Shingler(Words):
     """Word hashes and distinct shingle hashes of many texts at a time."""
 
     def __init__(self, n: int = WORDS):
-        self.n, self.powers = n, Powers()
-
-    def words(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Hashes of all words, and where each text's begin (one more than texts)."""
-        data = [t.encode("utf-8") for t in texts]
-        begins = np.cumsum([1, *[len(d) + 1 for d in data]])
-        whole, at, starts, hashes = b"\n" + b"\n".join(data) + b"\n", 0, [], []
-        while at < len(whole) - 1:
-            end = min(at + CHUNK_BYTES, len(whole) - 1)
-            while not _SPACE[whole[end]]:  # on to the next white space
-                end += 1
-            s, h = word_hashes(whole[at : end + 1], self.powers)
-            starts.append(s + at)
-            hashes.append(h)
-            at = end
-        none = [np.empty(0, np.int64)], [np.empty(0, np.uint64)]
-        return np.concatenate(hashes or none[1]), np.searchsorted(np.concatenate(starts or none[0]), begins)
+        super().__init__()
+        self.n = n
 
     def sets(self, h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Distinct shingle hashes, ascending in each text, and where each text's begin (one more than texts)."""
@@ -117,7 +64,7 @@ class Shingler:
         with np.errstate(over="ignore"):
             s = h.copy()
             for k in range(1, n):
-                s = mixed(s[: len(s) - 1]) * _M + h[k:]
+                s = mixed(s[: len(s) - 1]) * ODD + h[k:]
             s = mixed(s)
             short = np.flatnonzero((counts > 0) & (counts < n))
             lengths = np.maximum(counts - n + 1, 0)
@@ -129,14 +76,14 @@ class Shingler:
             alone[begin[short]] = True
             out[~alone] = s[whole[~alone]]
             for t in short:  # fewer words than a shingle has: the sequence as one, begun by its length
-                x = mixed(np.full(1, counts[t], np.uint64) * _M)
+                x = mixed(np.full(1, counts[t], np.uint64) * ODD)
                 for w in h[first[t] : first[t + 1]]:
-                    x = mixed(x * _M + w)
+                    x = mixed(x * ODD + w)
                 out[begin[t]] = x[0]
         return distinct(out, begin)
 
-    def __call__(self, texts: list[str]) -> list[np.ndarray]:
-        s, begin = self.sets(*self.words(texts))
+    def of(self, texts: list[str]) -> list[np.ndarray]:
+        s, begin = self.sets(*self(texts))
         return [s[a:b] for a, b in zip(begin, begin[1:])]
 
 
@@ -178,7 +125,7 @@ def summarise(docs: DataFrame, n: int) -> tuple[DataFrame, np.ndarray]:
     def read(batches):
         shingle, counts = Shingler(n), np.zeros(size, np.int64)
         for batch, texts in texts_of(batches):
-            h, first = shingle.words(texts)
+            h, first = shingle(texts)
             s, begin = shingle.sets(h, first)
             np.add.at(counts, (s & np.uint64(size - 1)).astype(np.int64), 1)
             sizes = np.diff(begin)
@@ -187,7 +134,7 @@ def summarise(docs: DataFrame, n: int) -> tuple[DataFrame, np.ndarray]:
             packed, none = np.minimum(classes, 255).astype(np.uint8).view("<i8"), classes.max(axis=1, initial=0) > 255
             yield rows(batch.column("doc_id"), pa.array(digests(h, first), pa.binary()), pa.array(sizes, pa.int32()), *[pa.array(packed[:, k], pa.int64(), mask=none) for k in range(len(SIGNATURE))], pa.nulls(len(texts), pa.int32()), pa.nulls(len(texts), pa.binary()))
         parts = [(k, counts[k * CHUNK : (k + 1) * CHUNK]) for k in range(chunks)]
-        parts = [(k, c.astype("<i8").tobytes()) for k, c in parts if c.any()]
+        parts = [(k, zlib.compress(c.astype("<i8").tobytes(), 1)) for k, c in parts if c.any()]
         m = len(parts)
         yield rows(pa.nulls(m, pa.int64()), pa.nulls(m, pa.binary()), pa.nulls(m, pa.int32()), *[pa.nulls(m, pa.int64())] * len(SIGNATURE), pa.array([k for k, _ in parts], pa.int32()), pa.array([c for _, c in parts], pa.binary()))
 
@@ -195,7 +142,7 @@ def summarise(docs: DataFrame, n: int) -> tuple[DataFrame, np.ndarray]:
         return pa.RecordBatch.from_arrays(list(columns), ["doc_id", "key", "size", *SIGNATURE, "chunk", "counts"])
 
     def total(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        counts = sum(np.frombuffer(c, "<i8") for c in group["counts"])
+        counts = sum(np.frombuffer(zlib.decompress(c), "<i8") for c in group["counts"])
         group = group.iloc[:1].assign(counts=[np.minimum(counts, 2**31 - 1).astype("<i4").tobytes()])
         return group[["chunk", "counts"]]
 
@@ -210,16 +157,16 @@ def summarise(docs: DataFrame, n: int) -> tuple[DataFrame, np.ndarray]:
 def prefix_postings(docs: DataFrame, sketch: np.ndarray, n: int, percent: int) -> DataFrame:
     """token, size, doc, place: the prefix of each set in the sketch's order, once a task for equal words.
 
-    A token is the shingle's rarity (twice the logarithm of its count, 6 bits) before the first 58 bits of its hash, so
-    ascending tokens are the order; two shingles with one token only make a pair that is verified in vain.
+    A token is the shingle's rarity (64 times the logarithm of its count, 11 bits) before the first 53 bits of its hash,
+    so ascending tokens are the order; two shingles with one token only make a pair that is verified in vain.
     """
     shared, mask = docs.sparkSession.sparkContext.broadcast(sketch), np.uint64(len(sketch) - 1)
 
     def read(batches):
         shingle, seen = Shingler(n), set()
-        rarity = np.minimum(2 * np.log2(np.maximum(shared.value, 1)), 63).astype(np.uint64) << np.uint64(58)
+        rarity = (64 * np.log2(np.maximum(shared.value, 1))).astype(np.uint64) << np.uint64(64 - RARITY_BITS)
         for batch, texts in texts_of(batches):
-            h, first = shingle.words(texts)
+            h, first = shingle(texts)
             new = []
             for key, a, b in zip(digests(h, first), first, first[1:]):
                 new.append(b > a and key not in seen)
@@ -227,7 +174,7 @@ def prefix_postings(docs: DataFrame, sketch: np.ndarray, n: int, percent: int) -
                     seen.add(key)
             s, begin = shingle.sets(h, first)
             sizes = np.diff(begin)
-            tokens = rarity[(s & mask).astype(np.int64)] | (s >> np.uint64(6))
+            tokens = rarity[(s & mask).astype(np.int64)] | (s >> np.uint64(RARITY_BITS))
             for a, b in zip(begin, begin[1:]):
                 tokens[a:b].sort()
             k = np.where(new, prefix_lengths(sizes, percent), 0)
@@ -275,7 +222,7 @@ def verified(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFra
         for batch in batches:
             for k in range(0, batch.num_rows, 256):
                 part = batch.slice(k, 256)
-                a, b = (shingle([t or "" for t in part.column(c).to_pylist()]) for c in ("ta", "tb"))
+                a, b = (shingle.of([t or "" for t in part.column(c).to_pylist()]) for c in ("ta", "tb"))
                 keep = [linked(x, y, percent) for x, y in zip(a, b, strict=True)]
                 yield part.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
@@ -314,8 +261,9 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """doc_id, n_shingles, component_id; one row per row of df."""
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     sets, sketch = summarise(docs, n)
-    by_words = sets.where("size > 0").groupBy("key").agg(F.min("doc_id").alias("first"))
-    copies = sets.where("size > 0").join(by_words, "key").select(F.col("doc_id").alias("a"), F.col("first").alias("b")).where("a <> b")
+    filled = sets.where("size > 0").select("key", "doc_id")
+    by_words = stored(filled.groupBy("key").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1"), "classes")
+    copies = looked_up(filled, by_words, ["key"], F.col("n") * HOT_SHARE > sets.count(), "inner").select(F.col("doc_id").alias("a"), F.col("first").alias("b")).where("a <> b")
 
     w = Window.partitionBy("token").orderBy("size", "doc")
     post = prefix_postings(docs.where("doc_id IS NOT NULL"), sketch, n, percent)
