@@ -40,8 +40,8 @@ DEPTH = 2
 LEAST = 16  # symbols that a context must precede
 DIVERGENCE = 0.01
 PRIOR = 16.0
-BLOCK = 1 << 21  # words, or one text
-SHARD = 1 << 21  # words a shard answers for, and symbols of a context that isn't dealt over shards
+BLOCK = 1 << 20  # words, or one text
+SHARD = 1 << 20  # words a shard answers for, and symbols of a context that isn't dealt over shards
 STEPS = 512  # parts of a bit in which shards read probabilities
 END_KEY = mixed(np.full(1, 10, np.uint64) * ODD)[0]
 START = 1 << 62  # number of the start as a context
@@ -188,8 +188,11 @@ def blocks_of(texts: DataFrame, words: int) -> DataFrame:
 
         def flushed():
             ids, has, counts, asked, weight, keys = (np.concatenate(x) for x in zip(*waiting))
-            key, local = np.unique(keys, return_inverse=True)
-            block = Block([ids, has, counts, asked, weight], [key, local.astype(np.int32)], [])
+            key, local, times = np.unique(keys, return_inverse=True, return_counts=True)
+            rank = np.empty(len(key), np.int32)  # frequent words have small numbers, which pack well
+            order = np.argsort(-times, kind="stable")
+            rank[order] = np.arange(len(key))
+            block = Block([ids, has, counts, asked, weight], [key[order], rank[local]], [])
             return rows_of("block long, symbols long, texts long, data binary", [number], [len(keys)], [int(weight.sum())], [block.data()])
 
         for batch, part in texts_of(batches):
@@ -289,9 +292,9 @@ def absorbed(state: DataFrame, answers: DataFrame, shards: int, what, schema: st
         if block.levels:
             told = sorted((r["context"], r["n"]) for r in rows if r["data"] is None)
             level += [np.array([c for c, _ in told], np.int64), np.array([n for _, n in told], bool)]
-        else:  # answers come by shard; words stand by key
+        else:  # answers come by shard and key; words stand by frequency, and their keys aren't needed any more
             order = by_shard(block.words[0], shards)
-            level = [put(x, order) for x in level]
+            level, block.words[0] = [put(x, order) for x in level], block.words[0][:0]
         block.levels.append(level)
         return pa.Table.from_batches([what(key[0].as_py(), block)])
 
@@ -299,7 +302,7 @@ def absorbed(state: DataFrame, answers: DataFrame, shards: int, what, schema: st
 
 
 def by_shard(keys: np.ndarray, shards: int) -> np.ndarray:
-    return np.argsort((keys % np.uint64(shards)).astype(np.int64), kind="stable")
+    return np.lexsort((keys, keys % np.uint64(shards)))
 
 
 def put(values: np.ndarray, order: np.ndarray) -> np.ndarray:
