@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lanecast.llm.common import WORD, documents
+from lanecast.llm.common import WORD, documents, fresh
 
 WEIGHTS = (3, 1, 2)
 SHARE, MOST = 1.5, 2
@@ -103,12 +103,13 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
 def take(df: DataFrame) -> DataFrame:
     """The rows of df as often as the mix takes them, with all their columns: taken / size times, whole documents;
     what is beyond whole times is decided by a seeded draw on the id. Documents without words aren't taken."""
-    taken = mix(df).groupBy("doc_id").agg((F.sum("taken") / F.nullif(F.sum("size"), F.lit(0))).alias("__times"))
+    doc, copies, nth = fresh(df, "doc", "copies", "nth")
+    taken = mix(df).groupBy("doc_id").agg((F.sum("taken") / F.nullif(F.sum("size"), F.lit(0))).alias("times"))
     draw = seeded(F.lit("draw"), F.col("doc_id")) / F.lit(float(1 << 32))
-    whole = F.floor("__times")
-    taken = taken.select(F.col("doc_id").alias("__id"), (whole + (draw < F.col("__times") - whole).cast("int")).cast("int").alias("__copies")).where("__copies > 0")
-    rows = df.join(taken, F.col("doc_id").eqNullSafe(F.col("__id"))).withColumn("__nth", F.explode(F.sequence(F.lit(1), F.col("__copies"))))
-    return rows.select(*df.columns)
+    whole = F.floor("times")
+    taken = taken.select(F.col("doc_id").alias(doc), (whole + (draw < F.col("times") - whole).cast("int")).cast("int").alias(copies)).where(F.col(copies) > 0)
+    rows = df.join(taken, F.col("doc_id").eqNullSafe(F.col(doc))).withColumn(nth, F.explode(F.sequence(F.lit(1), F.col(copies))))
+    return rows.select(*[f"`{c}`" for c in df.columns])
 
 
 def op9_mix_sources(spark, sf_dir):

@@ -6,8 +6,8 @@ in descending length; each goes to the sequence of lowest estimated attention co
 over its pieces) that still has room for it whole, and is cut only where none has. The padding of
 a shard is less than one sequence in all.
 
-Shards hold about `shard_docs` documents, by a hash of the id, so that memory per task is bounded and the result
-is the same on each run. Null or empty text: the end id alone. Repeated rows: each is packed. Other columns are
+Shards hold about `shard_docs` documents, by a hash of id and text, so that memory per task is bounded, rows without
+an id or with one that repeats are spread as long as their texts differ, and the result is the same on each run. Null or empty text: the end id alone. Repeated rows: each is packed. Other columns are
 ignored. Empty table: no rows.
 """
 
@@ -101,7 +101,7 @@ def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenize
         return made.astype({"doc_id": "Int64"})
 
     text, doc_id = F.col(text_col).cast("string"), F.col(id_col).cast("long")
-    shard = F.pmod(F.xxhash64(doc_id), F.lit(shards)).cast("int")
+    shard = F.pmod(F.xxhash64(doc_id, text), F.lit(shards)).cast("int")
     rows = df.select(shard.alias("shard"), doc_id.alias("doc_id"), text.alias("text"))
     rows = rows.mapInArrow(tokenise, "shard int, doc_id long, doc_tokens long, full_crc32 array<long>, tail binary")
     return rows.groupBy("shard").applyInPandas(pack_shard, PIECES)

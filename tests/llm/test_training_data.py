@@ -98,7 +98,7 @@ def test_packing_pads_less_than_one_sequence():
 
 def test_exact_dedup(spark, docs, empty):
     index = exact_dedup.DigestIndex(spark, "test_digests")
-    got = exact_dedup.dedup(docs, index).collect()
+    got = exact_dedup.dedup(docs, index, "one").collect()
     low = lambda t: re.sub("[A-Z]", lambda m: m[0].lower(), t or "")
     groups = {}
     for k, t, *_ in ROWS:
@@ -108,10 +108,32 @@ def test_exact_dedup(spark, docs, empty):
     for r in got:
         g = digest[r["text_sha256"]]
         assert r["group_size"] == len(g) and r["keep_id"] == max((x for x in g if x is not None), default=None)
-    again = exact_dedup.dedup(docs.where("doc_id < 3"), index)
+    again = exact_dedup.dedup(docs.where("doc_id < 3"), index, "two")
     assert again.where("kept").count() == 0 and index.rows().count() == len(groups)
     assert exact_dedup.keep_one(docs, exact_dedup.DigestIndex(spark, "test_digests_2")).count() == len(groups)
-    assert exact_dedup.dedup(empty, exact_dedup.DigestIndex(spark, "test_digests_3")).count() == 0
+    assert exact_dedup.dedup(empty, exact_dedup.DigestIndex(spark, "test_digests_3"), "one").count() == 0
+
+
+def test_exact_dedup_batch_runs_again_and_in_another_session(spark, docs):
+    index = exact_dedup.DigestIndex(spark, "test_digests_4", buckets=3)
+    first = docs.where("doc_id < 6")
+    rows = lambda d: sorted(map(str, d.collect()))
+    want = rows(exact_dedup.dedup(first, index, "monday"))
+    assert rows(exact_dedup.dedup(first, index, "monday")) == want  # whatever was read of the first run is lost
+    other = exact_dedup.DigestIndex(spark.newSession(), "test_digests_4")
+    exact_dedup.dedup(other.spark.createDataFrame([(77, "Brand new"), (78, "brand new"), (79, "A")], "doc_id long, text string"), other, "tuesday").collect()
+    assert other.buckets == 3 and other.rows().groupBy("batch").count().where("batch = 'tuesday' AND count = 1").count() == 1
+    assert rows(exact_dedup.dedup(first, index, "monday")) == want
+    index.drop()
+
+
+def test_stages_keep_clashing_columns(spark):
+    names = ["doc_id", "text", "source", "doc", "digest", "copies", "nth", "node", "bucket", "__id", "__copies"]
+    d = spark.createDataFrame([(k, f"some words of a text {k % 3} {'x ' * k}", "s", *map(str, range(8))) for k in range(6)] + [(1, "some words of a text 1 x ", "s", *map(str, range(8)))], ", ".join(f"{n} {'long' if n == 'doc_id' else 'string'}" for n in names))
+    index = exact_dedup.DigestIndex(spark, "test_digests_5")
+    for out in (exact_dedup.keep_one(d, index), near_dups.keep_one(d), mixing.take(d)):
+        assert out.columns == names and all(r["digest"] == "1" and r["__id"] == "6" for r in out.collect())
+    index.drop()
 
 
 def test_near_duplicates(spark, docs, empty):
