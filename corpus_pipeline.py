@@ -22,7 +22,10 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return exact_dedup.keep_one(docs, exact_dedup.DigestIndex(spark, f"digest_index_{uuid.uuid4().hex}"))
+    index = exact_dedup.DigestIndex(spark, f"digest_index_{uuid.uuid4().hex}")
+    kept = exact_dedup.keep_one(docs, index)
+    index.drop()  # what stays has been stored
+    return kept
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
