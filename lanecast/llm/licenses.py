@@ -1,12 +1,14 @@
 """Operator 3: licence scan by a positional rare-token index.
 
-Template texts are indexed by word and position. A first pass counts in how many documents each template word
-occurs, so that in the second each file looks up only the rarest words of each template (highest IDF): an
-occurrence at p of a word that stands at t in a template proposes the alignment p - t; the template's other rare
-words vote for it by their own postings, and the template's mandatory key phrase is verified at that place. A base
-phrase is a template that is its own key phrase, so every place where its words stand consecutively is found.
-
-Words are runs of digits, letters and characters from U+0080, after lower-casing A-Z. Null or empty text: no words,
+Template texts are indexed by word and position, and a first pass counts in how many documents each template word occurs.
+In the second, each file looks up its `RAREST` licence words of highest IDF (then fewest places) among those that a
+template's mandatory key phrase has; a file without one of the phrase's words has none of its template. Each of these
+words' places, less where it stands in the template, are its postings of that template in the file; their intersection
+are the places where all agree, and there the key phrase is verified word for word. A base phrase is a template that is
+its own key phrase, so every place where its words stand consecutively is found.
+
+A label beyond the base's needs `COVER` of its template's IDF in place. score: the largest such share of any verified
+place. Words are runs of digits, letters and characters from U+0080, after lower-casing A-Z. Null or empty text: no words,
 empty labels, score 0. Repeated rows: each has its row. Other columns are ignored. Empty table: no rows; all words
 then count as equally rare.
 """
@@ -23,7 +25,7 @@ from pyspark.sql import functions as F
 
 from lanecast.llm.common import UPPER, documents, texts_of
 
-RAREST = 3  # words of a template that propose alignments
+RAREST = 3  # words a file looks up of a template
 COVER = 0.8  # IDF share of a template that must stand in place besides its key phrase
 
 
@@ -45,6 +47,21 @@ TEMPLATES = (
     Template("bsd-text", "redistribution and use in source and binary forms with or without modification are permitted", "redistribution and use in source and binary forms"),
     Template("mpl-2.0", "subject to the terms of the mozilla public license v 2 0", "mozilla public license v 2 0"),
     Template("cc-by", "licensed under a creative commons attribution 4 0 international license", "creative commons attribution"),
+    Template("cc-by-sa", "licensed under the creative commons attribution sharealike 4 0 international license", "creative commons attribution sharealike"),
+    Template("cc0", "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work", "waived all copyright and related or neighboring rights"),
+    Template("mit-warranty", "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement", "the software is provided as is without warranty of any kind"),
+    Template("apache-text", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied", "software distributed under the license is distributed on an as is basis"),
+    Template("gpl-warranty", "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose", "distributed in the hope that it will be useful"),
+    Template("lgpl", "under the terms of the gnu lesser general public license as published by the free software foundation", "gnu lesser general public license"),
+    Template("agpl", "under the terms of the gnu affero general public license as published by the free software foundation", "gnu affero general public license"),
+    Template("bsd-clause-3", "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission", "may be used to endorse or promote products derived from this software"),
+    Template("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", "permission to use copy modify and or distribute this software"),
+    Template("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software", "in no event will the authors be held liable for any damages"),
+    Template("unlicense", "this is free and unencumbered software released into the public domain", "free and unencumbered software"),
+    Template("bsl-1.0", "boost software license version 1 0 august 17th 2003", "boost software license version 1 0"),
+    Template("epl-2.0", "made available under the terms of the eclipse public license 2 0", "eclipse public license 2 0"),
+    Template("artistic-2.0", "this library is free software distributed under the terms of the artistic license 2 0", "artistic license 2 0"),
+    Template("spdx", "spdx license identifier", "spdx license identifier"),
 )
 
 _WORD_BYTES = bytes(b if b >= 128 or chr(b).isalnum() and chr(b) not in UPPER else ord(chr(b).lower()) if chr(b) in UPPER else 32 for b in range(256))
@@ -55,35 +72,51 @@ def words_of(text: str) -> list[bytes]:
 
 
 class Index:
-    """Postings word -> (template, position) of each template's rarest words."""
+    """Postings word -> (template, position) of the templates' key phrases, with the IDF of every template word."""
 
     def __init__(self, templates: tuple[Template, ...], idf: dict[str, float]):
         self.templates = templates
         self.words = [t.text.encode().split() for t in templates]
         self.keys = [t.key.encode().split() for t in templates]
         self.key_at = [next(i for i in range(len(w)) if w[i : i + len(k)] == k) for w, k in zip(self.words, self.keys, strict=True)]
-        self.idf = [[idf.get(x.decode(), 1.0) for x in w] for w in self.words]
+        self.needed = [frozenset(k) for k in self.keys]
+        self.idf = {w: idf.get(w.decode(), 1.0) for words in self.words for w in words}
         self.postings: dict[bytes, list[tuple[int, int]]] = defaultdict(list)
-        for n, (w, t) in enumerate(zip(self.words, templates, strict=True)):
-            # a proposing word must be in the key phrase, which any match has whole
-            places = range(self.key_at[n], self.key_at[n] + len(self.keys[n]))
-            rare = sorted(places, key=lambda p, n=n: (-self.idf[n][p], p))[: 1 if t.base else RAREST]
-            for p in rare:
-                self.postings[w[p]].append((n, p))
+        for n, key in enumerate(self.keys):
+            for at, w in enumerate(key, self.key_at[n]):
+                self.postings[w].append((n, at))
+        self.vocabulary = frozenset(self.postings)
+
+    def places(self, words: list[bytes]) -> list[tuple[int, int]]:
+        """(template, start) where the file's rarest words of the template agree."""
+        have = self.vocabulary.intersection(words)
+        due = [n for n, need in enumerate(self.needed) if need <= have]
+        if not due:
+            return []
+        wanted: dict[bytes, list[int]] = {w: [] for n in due for w in self.needed[n]}
+        for p, w in enumerate(words):
+            if w in wanted:
+                wanted[w].append(p)
+        out = []
+        for n in due:
+            rarest = sorted(self.needed[n], key=lambda w: (-self.idf[w], len(wanted[w]), w))[:RAREST]
+            starts = None
+            for w in rarest:  # the file's postings of the template by this word
+                here = {p - at for m, at in self.postings[w] if m == n for p in wanted[w]}
+                starts = here if starts is None else starts & here
+                if not starts:
+                    break
+            out += [(n, start) for start in sorted(starts)]
+        return out
 
     def scan(self, words: list[bytes]) -> tuple[list[int], set[str], set[str], float]:
-        """Starts of base phrases, their labels, all labels, score: the best share of a verified template's IDF in place."""
-        votes: dict[tuple[int, int], float] = defaultdict(float)
-        for p, w in enumerate(words):
-            if w in self.postings:
-                for n, at in self.postings[w]:
-                    votes[n, p - at] += self.idf[n][at]
+        """Starts of base phrases, their labels, all labels, score."""
         starts, base, labels, score = [], set(), set(), 0.0
-        for n, start in votes:
+        for n, start in self.places(words):
             t, at, key = self.templates[n], start + self.key_at[n], self.keys[n]
             if at < 0 or words[at : at + len(key)] != key:
                 continue
-            idf = self.idf[n]
+            idf = [self.idf[w] for w in self.words[n]]
             share = sum(x for k, x in enumerate(idf) if 0 <= start + k < len(words) and words[start + k] == self.words[n][k]) / (sum(idf) or 1.0)
             score = max(score, min(share, 1.0))
             if t.base:
