@@ -2,9 +2,8 @@
 
 From each rule's regex a Boolean query over trigrams is derived: an OR of ANDs that any match must satisfy. The
 index has a posting (trigram, document) for the trigrams that queries name; a document whose postings satisfy a
-rule's query is a candidate of it. Candidates are kept as one bit a rule and hashed document bucket, at most
-2^20 rows whatever the corpus, so they are broadcast to the texts instead of the texts being shuffled; a bucket
-shared by chance only means that a text is verified in vain. Rules without a mandatory trigram scan every text.
+rule's query is a candidate of it, one bit a rule. Candidates meet their texts by a hash of id and text: by broadcast as
+long as there are at most `SMALL` of them, by a shuffled join beyond. Rules without a mandatory trigram scan every text.
 
 Spans are in code points, end exclusive. Matches are leftmost and don't overlap within a rule; those that fail the
 rule's least length are dropped. Null or empty text: no spans. Repeated rows: each has its row. Other columns are
@@ -21,9 +20,10 @@ from itertools import product
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lanecast.llm.common import documents
+from lanecast.llm.common import documents, stored
 
-BUCKET_BITS = 20
+SMALL = 1 << 20  # candidates, of two numbers each, that are broadcast
+CHUNK = 64  # matches whose places are added up in one array
 
 
 @dataclass(frozen=True)
@@ -105,8 +105,8 @@ def postings(docs: DataFrame, trigrams: list[str]) -> DataFrame:
     return low.select("doc", F.explode(has).alias("trigram"))
 
 
-def candidates(index: DataFrame, rules: tuple[Rule, ...], bits: int = BUCKET_BITS) -> DataFrame:
-    """bucket, rules: the indexed rules (bits, by number) whose query some document of the bucket satisfies."""
+def candidates(index: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
+    """doc, rules: the indexed rules (bits, by number) whose query the document satisfies."""
     clauses = [(n, sorted(c)) for n, r in enumerate(rules) for c in trigram_query(r.regex)]
     seen = {t: f"t{k}" for k, t in enumerate(sorted({t for _, c in clauses for t in c}))}
     hits = index.groupBy("doc").agg(*[F.bool_or(F.col("trigram") == t).alias(name) for t, name in seen.items()])
@@ -114,12 +114,7 @@ def candidates(index: DataFrame, rules: tuple[Rule, ...], bits: int = BUCKET_BIT
     for n, clause in clauses:
         whole = reduce(lambda a, b: a & b, [F.col(seen[t]) for t in clause])
         mask = mask.bitwiseOR(F.when(whole, F.lit(1 << n)).otherwise(F.lit(0)))
-    found = hits.select(bucket_of(F.col("doc"), bits).alias("bucket"), mask.alias("rules")).where("rules != 0")
-    return found.groupBy("bucket").agg(F.bit_or("rules").alias("rules"))
-
-
-def bucket_of(doc: Column, bits: int) -> Column:
-    return F.pmod(doc, F.lit(1 << bits)).cast("int")
+    return hits.select("doc", mask.alias("rules")).where("rules != 0")
 
 
 def spans_of(text: Column, rule: Rule) -> Column:
@@ -128,26 +123,32 @@ def spans_of(text: Column, rule: Rule) -> Column:
     matches = F.regexp_extract_all(text, rx, F.lit(0))
     measured = F.regexp_extract_all(text, rx, F.lit(rule.group)) if rule.group else matches
     rows = F.arrays_zip(F.split(text, rule.pattern(), -1).alias("gap"), matches.alias("hit"), measured.alias("part"))
+    rows = F.transform(rows, lambda r: F.struct(F.length(r["gap"]).alias("gap"), F.length(F.coalesce(r["hit"], F.lit(""))).alias("hit"), (r["hit"].isNotNull() & (F.length(r["part"]) >= rule.least)).alias("due")))
+    # chunk by chunk, so that a text of many matches doesn't copy one long array for each
+    chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size(rows) - 1) / CHUNK).cast("int")), lambda c: F.slice(rows, c * CHUNK + 1, CHUNK))
     empty = F.array().cast("array<struct<start:int,end:int>>")
-    first = F.struct(F.lit(0).alias("at"), empty.alias("spans"))
 
     def step(acc, row):
-        start = acc["at"] + F.length(row["gap"])
-        end = start + F.length(F.coalesce(row["hit"], F.lit("")))
-        ok = row["hit"].isNotNull() & (F.length(row["part"]) >= rule.least)
-        return F.struct(end.alias("at"), F.when(ok, F.concat(acc["spans"], F.array(F.struct(start.alias("start"), end.alias("end"))))).otherwise(acc["spans"]).alias("spans"))
+        start = acc["at"] + row["gap"]
+        end = start + row["hit"]
+        return F.struct(end.alias("at"), F.when(row["due"], F.concat(acc["spans"], F.array(F.struct(start.alias("start"), end.alias("end"))))).otherwise(acc["spans"]).alias("spans"))
+
+    def chunk(acc, c):
+        done = F.aggregate(c, F.struct(acc["at"].alias("at"), empty.alias("spans")), step)
+        return F.struct(done["at"].alias("at"), F.concat(acc["parts"], F.array(done["spans"])).alias("parts"))
 
-    return F.aggregate(rows, first, step, lambda acc: acc["spans"])
+    first = F.struct(F.lit(0).alias("at"), F.array().cast("array<array<struct<start:int,end:int>>>").alias("parts"))
+    return F.aggregate(chunks, first, chunk, lambda acc: F.flatten(acc["parts"]))
 
 
-def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES, bits: int = BUCKET_BITS) -> DataFrame:
+def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES, small: int = SMALL) -> DataFrame:
     """doc_id and, per rule, an array of (start, end) by the rule's kind."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(F.col(id_col), text).alias("doc"))
     queries = {r.kind: trigram_query(r.regex) for r in rules}
     trigrams = sorted({t for q in queries.values() for c in q for t in c})
-    found = F.broadcast(candidates(postings(docs, trigrams), rules, bits))  # at most 2^bits rows
-    docs = docs.withColumn("bucket", bucket_of(F.col("doc"), bits)).join(found, "bucket", "left")
+    found = stored(candidates(postings(docs, trigrams), rules), "secret-candidates")
+    docs = docs.join(F.broadcast(found) if found.count() <= small else found.hint("merge"), "doc", "left")
     empty = F.array().cast("array<struct<start:int,end:int>>")
     columns = []
     for n, rule in enumerate(rules):
