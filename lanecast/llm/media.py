@@ -81,13 +81,19 @@ class _Page(HTMLParser):
         self.items: list[list] = []
         self.buffer: list[str] = []
         self.caption: list[str] | None = None
-        self.in_figure, self.figure, self.hidden = False, [], 0
+        self.in_figure, self.figure, self.figcaption, self.hidden = False, [], None, 0
 
     def flush(self):
         if text := "".join(self.buffer):
             self.items.append(["text", text, None, None])
         self.buffer = []
 
+    def end_figure(self):
+        """The caption is that of all the figure's media, wherever it stands."""
+        for item in self.figure if self.figcaption is not None else []:
+            item[3] = self.figcaption
+        self.in_figure, self.figure, self.figcaption = False, [], None
+
     def handle_starttag(self, tag, attrs):
         at = dict(attrs)
         if tag in ("script", "style"):
@@ -95,10 +101,11 @@ class _Page(HTMLParser):
         elif tag in ("img", "audio", "video", "source") and (at.get("src") or at.get("data-src")):
             self.flush()
             self.items.append(["media", None, at.get("src") or at["data-src"], at.get("alt")])
-            self.figure.append(self.items[-1])
+            if self.in_figure:
+                self.figure.append(self.items[-1])
         elif tag == "figure":
             self.flush()
-            self.in_figure, self.figure = True, []
+            self.in_figure, self.figure, self.figcaption = True, [], None
         elif tag == "figcaption":
             self.flush()
             self.caption = []
@@ -109,11 +116,9 @@ class _Page(HTMLParser):
         if tag in ("script", "style"):
             self.hidden = max(0, self.hidden - 1)
         elif tag == "figcaption" and self.caption is not None:
-            text, self.caption = "".join(self.caption).strip(), None
-            for item in self.figure if self.in_figure else []:
-                item[3] = text
+            self.figcaption, self.caption = "".join(self.caption).strip(), None
         elif tag == "figure":
-            self.in_figure = False
+            self.end_figure()
         elif tag in ("p", "div", "li", "h1", "h2", "h3", "tr", "article", "section"):
             self.flush()
 
@@ -128,6 +133,7 @@ def parse_page(page: str) -> list[dict]:
     p = _Page()
     p.feed(page)
     p.close()
+    p.end_figure()
     if p.caption is not None:
         p.buffer = p.caption
     p.flush()
@@ -200,9 +206,9 @@ def media_of(docs: DataFrame) -> DataFrame:
 
 def op2_media_columns(spark, sf_dir):
     docs = documents(spark, sf_dir).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    made = media_of(docs)
-    sequences = interleave(made.select("doc_id", "n_bytes", "html"))
-    found = resolve(sequences, read_back(made.select("media_digest", "media")))
+    made = interleave(media_of(docs))
+    made = stored(made.select("doc_id", "n_bytes", "media_digest", "media", F.filter("sequence", lambda s: s["kind"] == "media").alias("sequence")), "media")
+    found = resolve(made.select("doc_id", "n_bytes", "sequence"), read_back(made.select("media_digest", "media")))
     return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "position", "caption")
 
 
