@@ -27,9 +27,13 @@ TOKENIZER = "byte_bpe_50k.json"
 RANKS = "byte_bpe_50k.tiktoken"
 MEMO = 400_000  # merged pre-tokens remembered by a worker; then forgotten and begun anew
 
-# Up to U+024F the classes of letters, numbers and white space are written out, so that the pre-tokens are the
-# library's whatever Unicode version either side knows. Texts with other characters go to the library whole.
-_L, _N, _S = "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼-¾", r"\t-\r \x85\xa0"
+# For the characters listed here the classes of letters, numbers and white space are written out, so that the pre-tokens
+# are the library's whatever Unicode version either side knows: all up to U+024F; Greek, Cyrillic, kana, Han and Hangul
+# letters; general and CJK punctuation, currency signs. Texts with other characters go to the library whole.
+_L = "A-Za-zªµºÀ-ÖØ-öø-ɏΆΈ-ΊΌΎ-ΡΣ-ώЀ-ҁҊ-ԓぁ-ゖァ-ヺ一-龥가-힣"
+_N, _S = "0-9²³¹¼-¾", r"\t-\r \x85\xa0\u2000-\u200a\u2028\u2029\u202f\u3000"
+_OTHER = r"\u2010-\u2027\u2030-\u2046\u20a0-\u20ac\u3001-\u3003\u3008-\u3011\uff01-\uff0f\uff1a-\uff1f"
+_KNOWN = rf"\x00-ɏ{_L}{_S}{_OTHER}"
 PRE_TOKEN = rf"'(?:[stmd]|re|ve|ll)| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+"
 
 
@@ -55,7 +59,7 @@ def needs_library(path: str) -> re.Pattern:
     """Texts where a match is found go to the library whole: wider characters, strings of added tokens."""
     with open(path, encoding="utf-8") as f:
         added = [re.escape(t["content"]) for t in json.load(f)["added_tokens"]]
-    return re.compile("|".join(["[^\x00-ɏ]", *added]))
+    return re.compile("|".join([f"[^{_KNOWN}]", *added]))
 
 
 def _byte_letters() -> dict[str, int]:
