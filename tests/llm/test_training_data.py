@@ -65,6 +65,19 @@ def test_faster_encoder_gives_the_librarys_ids():
         assert list(tokens.encode(t, path, ranks)) == tokens.library(path).encode(t, add_special_tokens=False).ids
 
 
+def test_written_out_classes_are_the_librarys():
+    """Every character that takes the shortcut, between letters, digits, spaces and signs."""
+    import public_tokenizers
+
+    path, ranks = public_tokenizers.path(tokens.TOKENIZER), public_tokenizers.path(tokens.RANKS)
+    tok, wide = tokens.library(path), tokens.needs_library(path)
+    texts = [f"a{c}b 1{c}2 {c} !{c}? {c}{c}  {c}\n" for c in map(chr, [*range(0xD800), *range(0xE000, 0x10000)]) if not wide.search(c)]
+    assert len(texts) > 30_000
+    for text, e in zip(texts, tok.encode_batch(texts, add_special_tokens=False), strict=True):
+        assert sum(len(tok.encode(p, add_special_tokens=False).ids) for p in tokens.pre_tokens(text)) == len(e.ids), ascii(text)
+        assert list(tokens.encode(text, path, ranks)) == e.ids
+
+
 def test_packing(docs, empty):
     import public_tokenizers
 
@@ -212,6 +225,36 @@ def test_licenses(docs, empty):
         assert set(filter(None, r["base_labels"].split(","))) <= set(r["labels"].split(",")) and 0 <= r["score"] <= 1
 
 
+def test_licences_equal_brute_force(spark):
+    """Labels and score by trying every template at every word."""
+    t = licenses.TEMPLATES
+    texts = [f"// x {a.text} y {a.key}" for a in t] + [" ".join(a.text.split()[1:]) for a in t] + [t[4].text.replace("person", "body") + " mit mit license", "license mit apache general public", None, " ".join(a.text for a in t) * 2]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    words = {k: (x or "").lower().replace("//", " ").split() for k, x in enumerate(texts)}
+    seen = Counter(w for ws in words.values() for w in set(ws) if any(w in a.text.split() for a in t))
+    idf = lambda w: 1.0 + math.log((1 + max(seen.values())) / (1 + seen[w]))
+    for r in licenses.scan_licenses(d).collect():
+        ws, labels, score = words[r["doc_id"]], set(), 0.0
+        for a in t:
+            text, key = a.text.split(), a.key.split()
+            at = next(k for k in range(len(text)) if text[k : k + len(key)] == key)
+            for start in range(-at, len(ws)):
+                if ws[max(0, start + at) : start + at + len(key)] != key:
+                    continue
+                share = sum(idf(w) for k, w in enumerate(text) if 0 <= start + k < len(ws) and ws[start + k] == w) / sum(map(idf, text))
+                score = max(score, share)
+                labels |= {a.label} if a.base or share >= licenses.COVER else set()
+        assert r["labels"] == ",".join(sorted(labels)) and abs(r["score"] - score) < 1e-9, (r, labels, score)
+
+
+def test_secrets_by_shuffled_join_and_many_matches(spark, docs):
+    rows = lambda d: sorted(map(str, d.collect()))
+    assert rows(secrets.scan(docs, small=0)) == rows(secrets.scan(docs))
+    text = " ".join(f"{k:024x}" for k in range(300)) + " token=abcdefgh"
+    got = secrets.scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert all([tuple(s) for s in got[r.kind]] == brute_spans(r, text) for r in secrets.RULES) and len(got["hex"]) == 300
+
+
 def test_media_hot_digest_missing_payload_and_clashing_columns(spark):
     sequence = lambda *digests: [(k, "media", None, d, f"c{k}") for k, d in enumerate(digests)]
     pages = spark.createDataFrame([(1, "x", sequence("a", "a", "b")), (2, "y", sequence("a", "lost", None)), (3, "z", [])], f"page_id long, feature string, sequence {media.SEQUENCE}")
@@ -242,6 +285,11 @@ def test_interleaving_keeps_order_and_captions():
     assert got == [("text", "one", None, None), ("media", None, "aa", "cap & tion"), ("text", "two", None, None), ("media", None, "bb", "alt"), ("text", "three", None, None)]
 
 
+def test_a_caption_may_stand_before_its_media():
+    page = '<figure><figcaption>c</figcaption><img src="media:a"><img src="media:b" alt="x"></figure><img src="media:d" alt="y"><figure><img src="media:e">'
+    assert [(i["digest"], i["caption"]) for i in media.parse_page(page)] == [("a", "c"), ("b", "c"), ("d", "y"), ("e", None)]
+
+
 def test_language_id(spark, docs, empty):
     d = spark.read.parquet(f"{SF}/documents.parquet")
     model = langid.fit(d.where("doc_id % 2 = 0").select("lang", "text"))
