@@ -35,7 +35,7 @@ from functools import reduce
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from lanecast.llm.common import discard, documents, fresh, looked_up, stored, texts_of
@@ -248,12 +248,18 @@ def components(edges: DataFrame) -> DataFrame:
             moved = moved.select(F.explode(F.array(F.struct(F.col("v").alias("a"), F.col("m").alias("b")), F.struct(F.col("u").alias("a"), F.col("m").alias("b"))))).select("col.*")
         return moved.where("a <> b").distinct()
 
-    edges = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    mark = lambda e: e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+    def marked(e):
+        """Stored, with a mark of its rows that is taken while they are written."""
+        seen = Observation()
+        e = stored(e.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("sum")), "edges")
+        return e, (seen.get["n"], seen.get["sum"])
+
+    edges, now = marked(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     before = None
-    while (now := mark(edges)) != before:
-        before = now
-        edges = stored(star(star(edges, True), False), "edges")
+    while now != before:
+        before, last = now, edges
+        edges, now = marked(star(star(edges, True), False))
+        discard(last)
     return edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("component"))
 
 
@@ -270,7 +276,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     post = post.withColumn("before", F.lag("doc").over(w)).withColumn("after", F.lead("doc").over(w))
     post = stored(post.where("before IS NOT NULL OR after IS NOT NULL").drop("before", "after"), "postings")
     copies = stored(copies.distinct(), "copies")
-    comp, links, tried = copies.select(F.col("a").alias("node"), F.col("b").alias("component")), copies, None
+    comp, tried = copies.select(F.col("a").alias("node"), F.col("b").alias("component")), None
     near = with_components(post, comp)
     for nearest in (leading, preceding):
         pairs = nearest(near, percent).groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
@@ -278,8 +284,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         best = best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         best = filtered(best if tried is None else best.join(tried, ["a", "b"], "left_anti"), sets, percent)
         tried = best if tried is None else tried.union(best)
-        links = stored(links.union(verified(best, docs, n, percent)), "links")
-        comp = stored(components(links), "components")
+        # what is known is a star a component, so that only new links need steps
+        comp = stored(components(stars(comp).union(verified(best, docs, n, percent))), "components")
         near = stored(open_shingles(with_components(post if nearest is leading else near.drop("component"), comp)), "open-postings")
         if nearest is leading:
             discard(post)
@@ -290,13 +296,16 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     more = a.join(b, (a["token"] == b["token"]) & later & passes(percent) & may_overlap(percent)).select(F.least("a_doc", "b_doc").alias("a"), F.greatest("a_doc", "b_doc").alias("b")).distinct()
     more = stored(more.join(tried, ["a", "b"], "left_anti"), "more")
     if not more.isEmpty():
-        links = stored(links.union(verified(more, docs, n, percent)), "links")
-        comp = stored(components(links), "components")
+        comp = stored(components(stars(comp).union(verified(more, docs, n, percent))), "components")
     discard(near, rest, more)
     found = sets.join(comp.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     return found.select("doc_id", F.col("size").cast("long").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
 
+def stars(comp: DataFrame) -> DataFrame:
+    return comp.select(F.col("node").alias("a"), F.col("component").alias("b"))
+
+
 def with_components(postings: DataFrame, comp: DataFrame) -> DataFrame:
     return postings.join(comp.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
 
