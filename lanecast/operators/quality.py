@@ -117,7 +117,9 @@ def usable_for(verdict_: Column, purpose: str) -> Column:
         return verdict_ == "train_or_predict"
     if purpose == "predict":
         return verdict_.isin("train_or_predict", "predict_with_warning")
-    return verdict_ != "blocked"
+    if purpose == "research":
+        return verdict_ != "blocked"
+    raise ValueError(f"unknown purpose: {purpose}")
 
 
 def distribution_violations(df: DataFrame, group: list[str], p: str, size: int, tolerance: float = 1e-9) -> DataFrame:

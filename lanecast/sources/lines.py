@@ -35,7 +35,7 @@ def card_rows(lines: DataFrame, marker: str = "BGN") -> DataFrame:
     """
     n = narrow(F.col("line"))
     d = lines.withColumn("text", n)
-    head = r"^\s*(\d{1,2})R\s+(\S+)\s+.*?H?(\d{4})m\s+.*?(\d{1,2}:\d{2})"
+    head = r"^\s*(\d{1,2})R\s*(\S.*?)\s*H?(\d{4})m\s+.*?(\d{1,2}:\d{2})"  # the class is all up to the distance
     d = fill_down(d, "path", {"section": matched(n, rf"^(\d\d)B{marker}"), "race_line": F.when(n.rlike(head), F.col("line_no"))})
     d = fill_down(d, "path", {"race_number": matched(n, head).cast("int"), "race_class": matched(n, head, 2), "distance": matched(n, head, 3).cast("int"), "clock": matched(n, head, 4)}, "section")
     numbers = F.regexp_extract_all(F.substring("text", 19, 200), F.lit(r"\d+\.\d+"), F.lit(0))
