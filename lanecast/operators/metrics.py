@@ -11,6 +11,8 @@ from lanecast.functions import pricing
 Z = {0.80: 1.2816, 0.90: 1.6449, 0.95: 1.96, 0.99: 2.5758}
 EPS = 1e-12
 
+BOOK_PARTS = 64
+
 
 def race_losses(df: DataFrame, group: list[str], p: str, won: str) -> DataFrame:
     """Per race: log-loss and Brier of its distribution, and whether the favourite (lowest lane on ties) won."""
@@ -65,19 +67,37 @@ def stability(df: DataFrame, group: str, value: str, confidence: float = 0.95, c
     return g.select(group, "n", "mean", (F.col("mean") - half).alias("ci_low"), (F.col("mean") + half).alias("ci_high"), share.alias("share"), (share > concentration).alias("concentrated"))
 
 
-def rule_book(bets: DataFrame, by: list[str], drop: int = 10) -> DataFrame:
-    """bets: race_id, ret (return per unit staked), hit. Counts, returns, and the return without the `drop` best hits
-    and their stakes; that is null where there are no more bets than that."""
-    w = Window.partitionBy(*by).orderBy(F.col("hit").desc(), F.col("ret").desc(), "race_id")
-    d = bets.withColumn("__best", F.when(F.col("hit"), F.row_number().over(w)))
-    out = F.col("__best") <= drop
-    g = d.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("bets"), F.count_distinct("race_id").alias("races"), F.sum(F.col("hit").cast("long")).alias("hits"), F.sum("ret").alias("returned"),
-        F.sum(F.when(~F.col("hit") & (F.col("ret") > 0), 1).otherwise(0)).alias("refunds"),
-        F.sum(F.when(F.coalesce(out, F.lit(False)), 0.0).otherwise(F.col("ret"))).alias("__rest"), F.count_if(out).alias("__dropped"),
+def partial_book(bets: DataFrame, by: list[str], drop: int = 10) -> DataFrame:
+    """bets: race_id, ret (return per unit staked), hit. Per group counts, sums and the returns of its `drop` best hits.
+
+    Groups are few and may be large, so races are dealt to BOOK_PARTS parts of each first; a part passes on `drop` returns."""
+    d = bets.withColumn("__part", F.pmod(F.xxhash64("race_id"), F.lit(BOOK_PARTS)))
+    w = Window.partitionBy(*by, "__part").orderBy(F.col("hit").desc(), F.col("ret").desc())
+    d = d.withColumn("__nth", F.row_number().over(w))
+    g = d.groupBy(*by, "__part").agg(
+        F.count(F.lit(1)).alias("bets"), F.count_distinct("race_id").alias("races"), F.count_if("hit").alias("hits"), F.sum("ret").alias("returned"),
+        F.count_if(~F.col("hit") & (F.col("ret") > 0)).alias("refunds"), F.collect_list(F.when(F.col("hit") & (F.col("__nth") <= drop), F.col("ret"))).alias("best"),
     )
-    trimmed = F.when(F.col("bets") > drop, F.col("__rest") / (F.col("bets") - F.col("__dropped")))
-    return g.select(*by, "bets", "races", "hits", "refunds", "returned", (F.col("returned") / F.col("bets")).alias("roi"), (F.col("hits") / F.col("bets")).alias("hit_rate"), trimmed.alias("trimmed_roi"))
+    return combined_book(g, by, drop)
+
+
+def combined_book(parts: DataFrame, by: list[str], drop: int = 10) -> DataFrame:
+    """Sums of partial books by a coarser key."""
+    sums = [F.sum(c).alias(c) for c in ("bets", "races", "hits", "returned", "refunds")]
+    best = F.slice(F.sort_array(F.flatten(F.collect_list("best")), False), 1, drop)
+    return parts.groupBy(*by).agg(*sums, best.alias("best"))
+
+
+def trimmed(drop: int = 10) -> Column:
+    """Of a partial book: the return without the best hits and their stakes; null where there are no more bets than `drop`."""
+    rest = F.col("returned") - F.aggregate("best", F.lit(0.0), lambda x, y: x + y)
+    return F.when(F.col("bets") > drop, rest / (F.col("bets") - F.size("best")))
+
+
+def rule_book(bets: DataFrame, by: list[str], drop: int = 10) -> DataFrame:
+    """Counts, returns, and the return without the `drop` best hits and their stakes, of bets as partial_book takes them."""
+    g = partial_book(bets, by, drop)
+    return g.select(*by, "bets", "races", "hits", "refunds", "returned", (F.col("returned") / F.col("bets")).alias("roi"), (F.col("hits") / F.col("bets")).alias("hit_rate"), trimmed(drop).alias("trimmed_roi"))
 
 
 def tail_concentration(bets: DataFrame, by: list[str]) -> DataFrame:

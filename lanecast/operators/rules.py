@@ -8,8 +8,14 @@ from pyspark.sql import functions as F
 from lanecast.functions import pricing
 from lanecast.operators import metrics
 
-# Reason codes in the order in which they are given.
-REASONS = ("DQ_SCORE_MISSING", "DQ_SCORE_LOW", "OD_ODDS_MISSING", "MD_DISAGREEMENT_MISSING", "MD_DISAGREEMENT_HIGH", "EV_MISSING", "EV_CONSERVATIVE_BELOW_THRESHOLD")
+# fixed values: the published reason codes
+REASON_CODES = (
+    "DQ_LOW_DATA_QUALITY", "DQ_MISSING_REQUIRED_DATA", "DQ_POINT_IN_TIME_VIOLATION", "MD_MODEL_DISAGREEMENT", "MD_LOW_CALIBRATION_CONFIDENCE", "MD_OUT_OF_DISTRIBUTION",
+    "OD_ODDS_MISSING", "OD_ODDS_STALE", "OD_ODDS_SHARP_CHANGE", "RC_ENTRY_CHANGE", "RC_EXHIBITION_UNSTABLE", "RC_WEATHER_EXTREME",
+    "RM_DAILY_LIMIT_REACHED", "RM_MONTHLY_LIMIT_REACHED", "EV_CONSERVATIVE_BELOW_THRESHOLD", "OD_ODDS_UNEXPECTED_VS_MODEL",
+)
+MISSING = "DQ_MISSING_REQUIRED_DATA"
+RANK_PARTS = 1 << 12
 
 
 def complete_grids(df: DataFrame, group: list[str], priced: Column, size: int) -> DataFrame:
@@ -40,11 +46,12 @@ def settle(bets: DataFrame, payouts: DataFrame, keys: list[str], combination: st
     return d.withColumn("ret", F.coalesce(F.col("paid"), F.col("refunded"), F.lit(0)) / 100.0).withColumn("hit", F.col("paid").isNotNull()).drop("paid", "refunded")
 
 
-def market_by_round(quotes: DataFrame, schedule: DataFrame, keys: list[str], rounds: DataFrame) -> DataFrame:
-    """Latest quote of each candidate in each round before the deadline; ties: the lower quote."""
+def market_by_round(quotes: DataFrame, schedule: DataFrame, keys: list[str], rounds: DataFrame, seen: str | None = None) -> DataFrame:
+    """Latest quote of each candidate in each round before the deadline; ties: the first seen where `seen` names its order,
+    else the lower quote."""
     q = quotes.join(schedule, "race_id").withColumn("lead", (F.unix_timestamp("deadline") - F.unix_timestamp("available_at")) / 60.0)
     q = q.join(F.broadcast(rounds), pricing.in_round(F.col("lead")))
-    return q.groupBy(*keys, "round").agg(F.max_by("odds", F.struct("available_at", -F.col("odds"))).alias("odds"))
+    return q.groupBy(*keys, "round").agg(F.max_by("odds", F.struct("available_at", -F.col(seen or "odds"))).alias("odds"))
 
 
 def band_reference(c: DataFrame, cell: list[str]) -> DataFrame:
@@ -60,23 +67,31 @@ def counterfactual(bets: DataFrame, cells: DataFrame, cell: list[str], by: list[
     return g.withColumn("lift", F.col("rule_return") / F.nullif(F.col("blind"), F.lit(0.0)))
 
 
-def permutation_null(races: DataFrame, candidates: DataFrame, threshold: float, n: int, seed: int = 0, bucket_races: int = 10_000) -> DataFrame:
-    """Per draw every race takes another's probability vector (ranks by hash paired with ranks by id), prices and
-    payouts stay; the return of ev_best at the threshold per draw.
+def ranked(df: DataFrame, by: list[str], u: str, tie: str, name: str) -> DataFrame:
+    """Adds name: the row number in each group in order of u, a uniform of [0, 1), and tie. Rows are counted in RANK_PARTS
+    ranges of u and numbered within them, so that no window holds a group."""
+    d = df.withColumn("__part", F.floor(F.col(u) * RANK_PARTS))
+    n = d.groupBy(*by, "__part").agg(F.count(F.lit(1)).alias("__n"))
+    before = F.sum("__n").over(Window.partitionBy(*by).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))
+    n = n.select(*by, "__part", F.coalesce(before, F.lit(0)).alias("__before"))
+    nth = F.row_number().over(Window.partitionBy(*by, "__part").orderBy(u, tie))
+    return d.withColumn("__nth", nth).join(n, [*by, "__part"]).withColumn(name, F.col("__before") + F.col("__nth")).drop("__part", "__nth", "__before")
 
-    races: race_id, probs array; candidates: race_id, lane, odds, ret. Races are paired within hashed buckets of about
-    `bucket_races`, dealt anew in each draw, so that no window holds all races.
+
+def permutation_null(races: DataFrame, candidates: DataFrame, threshold: float, n: int, seed: int = 0) -> DataFrame:
+    """Per draw every race takes another's probability vector (ranks by the draw's hash paired with ranks by a fixed one),
+    prices and payouts stay; the return of ev_best at the threshold per draw.
+
+    races: race_id, probs array; candidates: race_id, lane, odds, ret. Only ids are permuted; vectors are joined after.
     """
-    buckets = max(1, -(-races.count() // bucket_races))
-    at = [F.lit(seed), F.col("draw"), F.col("race_id")]
-    shuffled = metrics.draws(races, n).withColumn("__u", pricing.uniform(*at)).withColumn("__b", F.floor(pricing.uniform(*at, F.lit("b")) * buckets))
-    to, source = Window.partitionBy("draw", "__b").orderBy("race_id"), Window.partitionBy("draw", "__b").orderBy("__u", "race_id")
-    d = shuffled.withColumn("__to", F.row_number().over(to)).withColumn("__from", F.row_number().over(source))
-    taken = d.select("draw", "__b", F.col("__from").alias("__to"), F.col("probs").alias("other"))
-    d = d.select("draw", "__b", "race_id", "__to").join(taken, ["draw", "__b", "__to"])
-    c = d.join(candidates, "race_id").withColumn("ev", F.element_at("other", F.col("lane")) * F.col("odds"))
-    best = c.groupBy("draw", "race_id").agg(F.max_by(F.struct("ev", "ret"), F.struct("ev", -F.col("lane"))).alias("b"))
-    return best.where(F.col("b.ev") >= threshold).groupBy("draw").agg(F.count(F.lit(1)).alias("bets"), F.avg("b.ret").alias("roi"))
+    ids = races.select("race_id")
+    to = ranked(ids.withColumn("__u", pricing.uniform(F.lit(seed), F.lit("to"), F.col("race_id"))), [], "__u", "race_id", "__rank").select("__rank", "race_id")
+    source = metrics.draws(ids, n).withColumn("__u", pricing.uniform(F.lit(seed), F.col("draw"), F.col("race_id")))
+    source = ranked(source, ["draw"], "__u", "race_id", "__rank").select("draw", "__rank", F.col("race_id").alias("__from"))
+    field = candidates.groupBy("race_id").agg(F.collect_list(F.struct("lane", "odds", "ret")).alias("__field"))  # a row a lane
+    d = to.join(source, "__rank").join(races.select(F.col("race_id").alias("__from"), "probs"), "__from").join(field, "race_id")
+    best = F.array_max(F.transform("__field", lambda c: F.struct((F.element_at("probs", c["lane"]) * c["odds"]).alias("ev"), (-c["lane"]).alias("order"), c["ret"].alias("ret"))))
+    return d.select("draw", best.alias("b")).where(F.col("b.ev") >= threshold).groupBy("draw").agg(F.count(F.lit(1)).alias("bets"), F.avg("b.ret").alias("roi"))
 
 
 def noise_sensitivity(c: DataFrame, threshold: float, sigma: float, n: int, seed: int = 0) -> DataFrame:
@@ -93,12 +108,22 @@ def against_null(null: DataFrame, real: Column) -> DataFrame:
     return g.withColumn("z", (real - F.col("null_mean")) / F.nullif(F.col("null_sd"), F.lit(0.0)))
 
 
-def abstention(quality: Column, odds: Column, disagreement: Column, value: Column, least_quality: float, most_disagreement: float, least_value: float) -> Column:
-    """array<string> of reasons in their order, without repeats; a missing input is a reason of its own."""
-    return F.array_distinct(F.array_compact(F.array(
-        F.when(quality.isNull(), REASONS[0]).when(quality < least_quality, REASONS[1]), F.when(odds.isNull(), REASONS[2]),
-        F.when(disagreement.isNull(), REASONS[3]).when(disagreement > most_disagreement, REASONS[4]), F.when(value.isNull(), REASONS[5]).when(value < least_value, REASONS[6]),
-    )))
+def abstention(quality: Column, odds: Column, disagreement: Column, value: Column, least_quality: float, most_disagreement: float, least_value: float, extras: Column | None = None) -> Column:
+    """array<string> of published codes in order, without repeats; a missing input is a reason of its own. extras: an array
+    of further codes; one that isn't published is an error."""
+    own = F.array_compact(F.array(
+        F.when(quality.isNull(), MISSING).when(quality < least_quality, "DQ_LOW_DATA_QUALITY"), F.when(odds.isNull(), "OD_ODDS_MISSING"),
+        F.when(disagreement.isNull(), MISSING).when(disagreement > most_disagreement, "MD_MODEL_DISAGREEMENT"), F.when(value.isNull(), MISSING).when(value < least_value, "EV_CONSERVATIVE_BELOW_THRESHOLD"),
+    ))
+    if extras is None:
+        return F.array_distinct(own)
+    known = F.when(F.forall(extras, lambda c: c.isin(*REASON_CODES)), extras).otherwise(F.raise_error("unknown reason code").cast("array<string>"))
+    return F.array_distinct(F.concat(own, known))
+
+
+def deviation_reason(ratio: Column, most: float) -> Column:
+    """Reason of an absolute log ratio of prices, of one lane or the greatest of a field; null where none."""
+    return F.when(ratio.isNull(), MISSING).when(ratio > most, "OD_ODDS_UNEXPECTED_VS_MODEL")
 
 
 def skip_reason(reasons: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from itertools import accumulate
+from itertools import accumulate, product
 from math import factorial
 
 from pyspark.sql import DataFrame, SparkSession
@@ -107,6 +107,37 @@ def rule_choosing_walk_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chosen.join(test, ["month", "threshold"], "left").withColumn("bets", F.coalesce("bets", F.lit(0)))
 
 
+# fixed values: the published grid of rules, in its order
+EV_GRID, CAP_GRID = (1.00, 1.05, 1.10, 1.20, 1.35, 1.50), (None, 30.0, 50.0)
+LANE_GRID = (("all", 1, 6), ("lane1", 1, 1), ("outside", 2, 6))
+RULES = [(n, t, cap, *lanes) for n, (t, cap, lanes) in enumerate(product(EV_GRID, CAP_GRID, LANE_GRID))]
+RULES_SQL = ", ".join(f"({n}, {t}::DOUBLE, {cap or 'NULL'}::DOUBLE, '{name}', {lo}, {hi})" for n, t, cap, name, lo, hi in RULES)
+
+
+@R.query(f""", g(grid, threshold, cap, lanes_kept, lo, hi) AS (VALUES {RULES_SQL}), m AS (SELECT DISTINCT date_trunc('month', race_date)::DATE AS month FROM candidates), f AS (SELECT month, row_number() OVER (ORDER BY month) AS nth FROM m),
+b AS (SELECT g.grid, race_date, ret, hit FROM candidates, g WHERE complete AND p * odds >= threshold AND (cap IS NULL OR odds <= cap) AND lane BETWEEN lo AND hi),
+x AS (SELECT f.month, b.* FROM b JOIN f ON b.race_date < f.month WHERE f.nth > 12), y AS (SELECT *, row_number() OVER (PARTITION BY month, grid ORDER BY hit DESC, ret DESC) AS best FROM x),
+z AS (SELECT month, grid, count(*) AS n, sum(CASE WHEN hit AND best <= 10 THEN 0 ELSE ret END) / (count(*) - count(*) FILTER (hit AND best <= 10)) AS t FROM y GROUP BY ALL HAVING count(*) >= 300),
+c AS (SELECT * FROM z QUALIFY row_number() OVER (PARTITION BY month ORDER BY round(t, 9) DESC, grid) = 1)
+SELECT c.month, g.threshold, g.cap, g.lanes_kept, c.n AS train_bets, round(c.t, 9) AS train_roi, count(b.ret) AS bets, round(avg(b.ret), 9) AS roi
+FROM c JOIN g USING (grid) LEFT JOIN b ON b.grid = c.grid AND date_trunc('month', b.race_date)::DATE = c.month GROUP BY ALL""")
+def grid_walk_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As rule_choosing_walk_forward over the published grid. Bets are summed once a month and rule, with the month's ten
+    best hits; folds add up months, so no bet is copied into the folds after it."""
+    c = candidates(spark, sf_dir)
+    grid = spark.createDataFrame(RULES, "grid int, threshold double, cap double, lanes_kept string, lo int, hi int")
+    on = (F.col("p") * F.col("odds") >= F.col("threshold")) & (F.col("cap").isNull() | (F.col("odds") <= F.col("cap"))) & F.col("lane").between(F.col("lo"), F.col("hi"))
+    b = c.where("complete").join(F.broadcast(grid), on)
+    monthly = metrics.partial_book(b.withColumn("bet_month", F.trunc("race_date", "month")), ["grid", "bet_month"])
+    f = F.broadcast(folds.monthly_folds(c, "race_date", 12).select(F.col("test_start").alias("month")))  # a row a month
+    train = metrics.combined_book(monthly.join(f, F.col("bet_month") < F.col("month")), ["month", "grid"])
+    train = train.select("month", "grid", F.col("bets").alias("bets"), r9(metrics.trimmed()).alias("trimmed_roi"))
+    chosen = rules.best_rule(train, ["month"], 300).select("month", "grid", F.col("bets").alias("train_bets"), F.col("trimmed_roi").alias("train_roi"))
+    test = monthly.select(F.col("bet_month").alias("month"), "grid", "bets", r9(F.col("returned") / F.col("bets")).alias("roi"))
+    d = chosen.join(test, ["month", "grid"], "left").join(F.broadcast(grid), "grid")
+    return d.select("month", "threshold", "cap", "lanes_kept", "train_bets", "train_roi", F.coalesce("bets", F.lit(0)).alias("bets"), "roi")
+
+
 @R.query(f""", e AS (SELECT a.race_id, a.lane AS i, b.lane AS j, a.p * b.p / nullif(sum(b.p) OVER (PARTITION BY a.race_id, a.lane), 0) AS p FROM fields a JOIN fields b ON a.race_id = b.race_id AND a.lane <> b.lane)
 SELECT race_id, i, j, round(p, 9) AS p FROM e""")
 def exacta_joint(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -134,11 +165,11 @@ def market_overround(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.groupBy("race_id").agg(r9(F.sum("q")).alias("overround"), r9(F.max("m")).alias("top_market_p"), r9(-F.sum(F.col("p") * F.log2("p"))).alias("entropy"))
 
 
-@R.query(f""", d AS (SELECT range AS draw FROM range(10)), n AS (SELECT count(DISTINCT race_id) AS races FROM candidates WHERE complete),
+@R.query(f""", d AS (SELECT range AS draw FROM range(10)),
 r AS (SELECT race_id, list(p ORDER BY lane) AS probs FROM candidates WHERE complete GROUP BY race_id),
-s AS (SELECT *, {draw_sql("0", "draw", "race_id")} AS u, floor({draw_sql("0", "draw", "race_id", "'b'")} * greatest(1, ceil((SELECT races FROM n) / 10000))) AS b FROM r CROSS JOIN d),
-w AS (SELECT *, row_number() OVER (PARTITION BY draw, b ORDER BY race_id) AS t, row_number() OVER (PARTITION BY draw, b ORDER BY u, race_id) AS f FROM s),
-x AS (SELECT a.draw, a.race_id, o.probs AS other FROM w a JOIN w o ON a.draw = o.draw AND a.b = o.b AND a.t = o.f),
+w AS (SELECT draw, race_id, row_number() OVER (PARTITION BY draw ORDER BY {draw_sql("0", "draw", "race_id")}, race_id) AS n FROM r CROSS JOIN d),
+t AS (SELECT race_id, row_number() OVER (ORDER BY {draw_sql("0", "'to'", "race_id")}, race_id) AS n FROM r),
+x AS (SELECT w.draw, t.race_id, o.probs AS other FROM t JOIN w USING (n) JOIN r o ON o.race_id = w.race_id),
 y AS (SELECT x.draw, x.race_id, c.ret, other[c.lane] * c.odds AS ev, c.lane FROM x JOIN candidates c USING (race_id) QUALIFY row_number() OVER (PARTITION BY x.draw, x.race_id ORDER BY other[c.lane] * c.odds DESC, c.lane) = 1)
 SELECT draw::INT AS draw, count(*) AS bets, round(avg(ret), 9) AS roi FROM y WHERE ev >= 1.0 GROUP BY draw""")
 def permutation_null(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -223,8 +254,8 @@ def ledger_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @R.query(""", x AS (SELECT race_id, lane, CASE WHEN rate > 2 THEN rate * 10 END AS q, odds, abs(p - 1 / odds) AS dis, greatest(0, p - (0.01 + 0.5 / sqrt(lanes))) * odds AS ev FROM fields)
-SELECT race_id, lane, round(ev, 9) AS ev, nullif(concat_ws(',', CASE WHEN q IS NULL THEN 'DQ_SCORE_MISSING' WHEN q < 50 THEN 'DQ_SCORE_LOW' END, CASE WHEN odds IS NULL THEN 'OD_ODDS_MISSING' END,
-  CASE WHEN dis IS NULL THEN 'MD_DISAGREEMENT_MISSING' WHEN dis > 0.3 THEN 'MD_DISAGREEMENT_HIGH' END, CASE WHEN ev IS NULL THEN 'EV_MISSING' WHEN ev < 0.05 THEN 'EV_CONSERVATIVE_BELOW_THRESHOLD' END), '') AS skip_reason FROM x""")
+SELECT race_id, lane, round(ev, 9) AS ev, nullif(concat_ws(',', CASE WHEN q IS NULL THEN 'DQ_MISSING_REQUIRED_DATA' WHEN q < 50 THEN 'DQ_LOW_DATA_QUALITY' END, CASE WHEN odds IS NULL THEN 'OD_ODDS_MISSING' END,
+  CASE WHEN dis IS NULL AND q IS NOT NULL THEN 'DQ_MISSING_REQUIRED_DATA' WHEN dis > 0.3 THEN 'MD_MODEL_DISAGREEMENT' END, CASE WHEN ev IS NULL AND q IS NOT NULL AND dis IS NOT NULL THEN 'DQ_MISSING_REQUIRED_DATA' WHEN ev < 0.05 THEN 'EV_CONSERVATIVE_BELOW_THRESHOLD' END), '') AS skip_reason FROM x""")
 def abstentions(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = full_fields(spark, sf_dir)
     ev = pricing.conservative_value(F.col("p"), pricing.margin(F.lit(0.01), F.col("lanes"), F.lit(0.0), 0.5, 0.0), F.col("odds"))

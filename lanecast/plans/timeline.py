@@ -17,10 +17,10 @@ r9 = lambda c: F.round(c, 9)
 
 @R.query(", v AS (SELECT racer, available_at, avg(rate) AS rate FROM entries GROUP BY ALL), w AS (SELECT *, lead(available_at) OVER (PARTITION BY racer ORDER BY available_at) AS until FROM v) SELECT r.race_id, r.lane, round(w.rate, 9) AS known_rate FROM runners r LEFT JOIN w ON w.racer = r.racer AND w.available_at <= r.deadline AND (w.until IS NULL OR r.deadline < w.until)")
 def point_in_time_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Version of the racer's rate that was in force at the deadline, by range join."""
+    """Version of the racer's rate that was in force at the deadline, by one sort of versions and deadlines together."""
     v = entries(spark, sf_dir).groupBy("racer", "available_at").agg(F.avg("rate").alias("known"))
-    v = temporal.versions(v, ["racer"]).drop("available_at")
-    return temporal.range_join(runners(spark, sf_dir).select("race_id", "lane", "racer", "deadline"), v, ["racer"], "deadline").select("race_id", "lane", r9("known").alias("known_rate"))
+    d = temporal.asof_join(runners(spark, sf_dir).select("race_id", "lane", "racer", "deadline"), v, ["racer"], "deadline", "available_at", ["known"])
+    return d.select("race_id", "lane", r9("known").alias("known_rate"))
 
 
 @R.query(""", q AS (SELECT user_id, ts, max(event_id) AS event_id FROM events GROUP BY ALL), e AS (SELECT user_id, ts, min(event_id) AS first_id, arg_min(value, event_id) AS value FROM events GROUP BY ALL)
