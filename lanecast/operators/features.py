@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lanecast.functions import pricing
-from lanecast.operators import windows
+from lanecast.operators import temporal, windows
 
 LOOKBACK_DAYS = 10
 
@@ -34,10 +34,28 @@ def lane_features(entries: DataFrame, day: str = "race_date") -> DataFrame:
     return windows.group_z(d, ["race_id"], "rate", "rate_z")
 
 
-def wide(df: DataFrame, features: list[str], lanes: int = 6) -> DataFrame:
-    """race_id and lane{n}_{feature} for every lane, by one aggregate (no distinct pass for the pivot's values)."""
+def series_form(entries: DataFrame, keys: list[str], series: str, day: str = "race_date") -> DataFrame:
+    """Adds prior_n and form over strictly earlier days of the keys, which include the series; without a series, none."""
+    d = windows.form_before(entries, keys, day, "score").withColumn("prior_n", F.when(F.col(series).isNull(), 0).otherwise(F.col("prior_n")))
+    return d.withColumn("form", pricing.shrunk_form(F.col("prior_avg"), F.col("prior_n"), F.col("rate")))
+
+
+def course_block(entries: DataFrame, stats: DataFrame, constants: DataFrame, at: str) -> DataFrame:
+    """entries: lane, racer; stats: racer, period, known, course, n, wins. Adds starts and course_rate, the shrunk win rate on
+    the lane's course in the racer's latest period known at `at`; no starts where that period lacks the course."""
+    periods = stats.select("racer", "period", "known").distinct()
+    d = temporal.asof_join(entries, periods, ["racer"], at, "known", ["period"]).drop("found")
+    d = d.join(stats.select("racer", "period", F.col("course").alias("lane"), "n", "wins"), ["racer", "period", "lane"], "left")
+    d = d.join(F.broadcast(constants.withColumnRenamed("course", "lane")), "lane", "left")  # a row a course
+    starts, wins = F.coalesce("n", F.lit(0)), F.coalesce("wins", F.lit(0))
+    d = d.withColumn("starts", starts).withColumn("course_rate", pricing.shrunk_rate(wins, starts, F.col("base"), F.col("k")))
+    return d.drop("period", "n", "wins", "base", "k")
+
+
+def wide(df: DataFrame, features: list[str], lanes: int = 6, *more: Column) -> DataFrame:
+    """race_id and lane{n}_{feature} for every lane, by one aggregate (no distinct pass for the pivot's values); more: further aggregates."""
     cells = [F.max(F.when(F.col("lane") == n, F.col(f))).alias(f"lane{n}_{f}") for n in range(1, lanes + 1) for f in features]
-    return df.groupBy("race_id").agg(*cells)
+    return df.groupBy("race_id").agg(*cells, *more)
 
 
 def long(df: DataFrame, features: list[str], lanes: int = 6) -> DataFrame:
