@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from lanecast.plans import betting, intake, series, timeline, upkeep
+from lanecast.plans import betting, boards, intake, series, timeline, upkeep
 from lanecast.plans.registry import Query
 
 FLAGSHIP = "price_band_report"
-MODULES = (betting, timeline, series, intake, upkeep)
+MODULES = (betting, timeline, series, boards, intake, upkeep)
 
 
 def queries() -> dict[str, Query]:
