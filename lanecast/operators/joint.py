@@ -5,13 +5,11 @@ p: race key, lane, p. A lane that leaves no probability to the others (1 - p bel
 
 from __future__ import annotations
 
-from functools import reduce
+from itertools import combinations, permutations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lanecast.functions import keys
-
 GUARD = 1e-9
 
 
@@ -57,16 +55,48 @@ def wide(tri: DataFrame, key: str = "race_id") -> DataFrame:
     return d.groupBy(key, "pair.i", "pair.j").agg(F.sum("p").alias("p"))
 
 
-def pools(df: DataFrame, key: str = "race_id") -> DataFrame:
-    """key, pool, combination, p: the candidates of all seven pools."""
-    ex, tri = exacta(df, key), trifecta(df, key)
-    row = lambda d, pool, combo: d.select(key, F.lit(pool).alias("pool"), combo.alias("combination"), "p")
-    pair: Column = keys.combination(F.col("i"), F.col("j"))
-    parts = [
-        row(df, "win", F.col("lane").cast("string")), row(top_two(ex, key), "place", F.col("lane").cast("string")), row(ex, "exacta", pair), row(quinella(ex, key), "quinella", pair),
-        row(tri, "trifecta", keys.combination(F.col("i"), F.col("j"), F.col("k"))), row(trio(tri, key), "trio", F.array_join(F.col("lanes").cast("array<string>"), "-")), row(wide(tri, key), "wide", pair),
-    ]
-    return reduce(DataFrame.unionByName, parts)
+def candidates_of(pool: str, lanes: int = 6) -> list[tuple[str, list[int], list[list[int]]]]:
+    """(combination, its lanes, the orders of the first places that make it) of each candidate of a pool."""
+    every = range(1, lanes + 1)
+    others = lambda *taken: [n for n in every if n not in taken]
+    orders = {
+        "win": [([i], [[i]]) for i in every],
+        "place": [([i], [[i, j] for j in others(i)] + [[j, i] for j in others(i)]) for i in every],
+        "exacta": [([*o], [[*o]]) for o in permutations(every, 2)],
+        "quinella": [([*c], [[*o] for o in permutations(c)]) for c in combinations(every, 2)],
+        "trifecta": [([*o], [[*o]]) for o in permutations(every, 3)],
+        "trio": [([*c], [[*o] for o in permutations(c)]) for c in combinations(every, 3)],
+        "wide": [([*c], [[*o] for k in others(*c) for o in permutations((*c, k))]) for c in combinations(every, 2)],
+    }
+    return [("-".join(map(str, c)), c, o) for c, o in orders[pool]]
+
+
+POOLS = ("win", "place", "exacta", "quinella", "trifecta", "trio", "wide")
+
+
+def pools(df: DataFrame, key: str = "race_id", lanes: int = 6) -> DataFrame:
+    """key, pool, combination, lanes, p: the candidates of all seven pools, those of absent lanes left out.
+
+    A race's probabilities stand in one array; each candidate adds up its orders within the row, so that nothing is
+    shuffled beyond the one grouping by race. The candidates are a parameter table (212 rows for six lanes)."""
+    rows = [(pool, *c) for pool in POOLS for c in candidates_of(pool, lanes)]
+    table = F.broadcast(df.sparkSession.createDataFrame(rows, "pool string, combination string, lanes array<int>, orders array<array<int>>"))
+    d = df.groupBy(key).agg(F.array(*[F.max(F.when(F.col("lane") == n, F.col("p"))) for n in range(1, lanes + 1)]).alias("__p"), F.sum("p").alias("__s"), F.count("p").alias("__n"))
+    p = lambda n: F.element_at("__p", n)
+
+    def given(n: Column, taken: Column, rank: int) -> Column:
+        uniform = 1.0 / F.nullif(F.col("__n") - rank, F.lit(0))
+        return F.when(1 - taken <= GUARD, uniform).otherwise(p(n) / F.nullif(F.col("__s") - taken, F.lit(0.0)))
+
+    def chance(o: Column) -> Column:
+        i, j, k = (F.get(o, x) for x in range(3))
+        two = F.when(j.isNull(), 1.0).otherwise(given(j, p(i), 1))
+        three = F.when(k.isNull(), 1.0).otherwise(given(k, p(i) + p(j), 2))
+        there = F.forall(o, lambda n: p(n).isNotNull())
+        return F.when(there, F.coalesce(p(i) * two * three, F.lit(0.0))).otherwise(0.0)
+
+    d = d.crossJoin(table).where(F.forall("lanes", lambda n: p(n).isNotNull()))
+    return d.select(key, "pool", "combination", "lanes", F.aggregate("orders", F.lit(0.0), lambda x, o: x + chance(o)).alias("p"))
 
 
 def incoherent(df: DataFrame, ex: DataFrame, key: str = "race_id", tolerance: float = 1e-9) -> DataFrame:

@@ -18,7 +18,7 @@ MISSING = "DQ_MISSING_REQUIRED_DATA"
 RANK_PARTS = 1 << 12
 
 
-def complete_grids(df: DataFrame, group: list[str], priced: Column, size: int) -> DataFrame:
+def complete_grids(df: DataFrame, group: list[str], priced: Column, size: int | Column) -> DataFrame:
     """Adds complete: at least `size` candidates of the group have a price."""
     return df.withColumn("complete", F.count_if(priced).over(Window.partitionBy(*group)) >= size)
 
