@@ -77,26 +77,24 @@ POOLS = ("win", "place", "exacta", "quinella", "trifecta", "trio", "wide")
 def pools(df: DataFrame, key: str = "race_id", lanes: int = 6) -> DataFrame:
     """key, pool, combination, lanes, p: the candidates of all seven pools, those of absent lanes left out.
 
-    A race's probabilities stand in one array; each candidate adds up its orders within the row, so that nothing is
-    shuffled beyond the one grouping by race. The candidates are a parameter table (212 rows for six lanes)."""
-    rows = [(pool, *c) for pool in POOLS for c in candidates_of(pool, lanes)]
-    table = F.broadcast(df.sparkSession.createDataFrame(rows, "pool string, combination string, lanes array<int>, orders array<array<int>>"))
+    A race's probabilities stand in one row; it meets a parameter table of the orders that make each candidate (726 rows for
+    six lanes), whose chances are summed by candidate. Both groupings are by race first, so the rows are shuffled once."""
+    spark, cells = df.sparkSession, [c for pool in POOLS for c in ((pool, *x) for x in candidates_of(pool, lanes))]
+    names = F.broadcast(spark.createDataFrame([(n, pool, combination, own) for n, (pool, combination, own, _) in enumerate(cells)], "code int, pool string, combination string, lanes array<int>"))
+    fill = lambda x: (*x, *[0] * (3 - len(x)))
+    orders = spark.createDataFrame([(n, *fill(o), *fill(own)) for n, (_, _, own, many) in enumerate(cells) for o in many], "code int, i int, j int, k int, a int, b int, c int")
     d = df.groupBy(key).agg(F.array(*[F.max(F.when(F.col("lane") == n, F.col("p"))) for n in range(1, lanes + 1)]).alias("__p"), F.sum("p").alias("__s"), F.count("p").alias("__n"))
-    p = lambda n: F.element_at("__p", n)
+    at = lambda c: F.get("__p", F.col(c) - 1)  # noqa: E731; null for 0 and for an absent lane
 
-    def given(n: Column, taken: Column, rank: int) -> Column:
-        uniform = 1.0 / F.nullif(F.col("__n") - rank, F.lit(0))
-        return F.when(1 - taken <= GUARD, uniform).otherwise(p(n) / F.nullif(F.col("__s") - taken, F.lit(0.0)))
+    def given(c: str, taken: Column, rank: int) -> Column:
+        rest = F.when(1 - taken <= GUARD, 1.0 / F.nullif(F.col("__n") - rank, F.lit(0))).otherwise(at(c) / F.nullif(F.col("__s") - taken, F.lit(0.0)))
+        return F.when(F.col(c) == 0, 1.0).when(at(c).isNotNull(), F.coalesce(rest, F.lit(0.0))).otherwise(0.0)
 
-    def chance(o: Column) -> Column:
-        i, j, k = (F.get(o, x) for x in range(3))
-        two = F.when(j.isNull(), 1.0).otherwise(given(j, p(i), 1))
-        three = F.when(k.isNull(), 1.0).otherwise(given(k, p(i) + p(j), 2))
-        there = F.forall(o, lambda n: p(n).isNotNull())
-        return F.when(there, F.coalesce(p(i) * two * three, F.lit(0.0))).otherwise(0.0)
-
-    d = d.crossJoin(table).where(F.forall("lanes", lambda n: p(n).isNotNull()))
-    return d.select(key, "pool", "combination", "lanes", F.aggregate("orders", F.lit(0.0), lambda x, o: x + chance(o)).alias("p"))
+    d = d.crossJoin(F.broadcast(orders))
+    for c in "abc":
+        d = d.where((F.col(c) == 0) | at(c).isNotNull())
+    p = F.coalesce(at("i"), F.lit(0.0)) * given("j", at("i"), 1) * given("k", at("i") + at("j"), 2)
+    return d.groupBy(key, "code").agg(F.sum(p).alias("p")).join(names, "code").select(key, "pool", "combination", "lanes", "p")
 
 
 def incoherent(df: DataFrame, ex: DataFrame, key: str = "race_id", tolerance: float = 1e-9) -> DataFrame:
