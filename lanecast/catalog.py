@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from lanecast.plans import betting, boards, intake, pooled, series, timeline, upkeep
+from lanecast.plans import betting, boards, intake, pooled, series, studies, timeline, upkeep
 from lanecast.plans.registry import Query
 
 FLAGSHIP = "price_band_report"
-MODULES = (betting, timeline, series, boards, pooled, intake, upkeep)
+MODULES = (betting, timeline, series, boards, pooled, studies, intake, upkeep)
 
 
 def queries() -> dict[str, Query]:

@@ -56,11 +56,12 @@ def reason_tally(df: DataFrame) -> DataFrame:
 
 
 def split_duplicates(df: DataFrame, key: list[str], order: list[str], compare: list[str] | None = None) -> DataFrame:
-    """Adds duplicate: null for the kept row (first of its key), 'exact' if it repeats the kept row, else 'key'."""
+    """Adds duplicate: null for the kept row (first of its key), 'exact' if it repeats the kept row in the columns of `compare`
+    (by default all but the ordering ones), else 'key'."""
     w = Window.partitionBy(*key).orderBy(*order)
-    content = F.xxhash64(*(compare or [c for c in df.columns if c not in order]))
+    content = F.struct(*(compare or [c for c in df.columns if c not in order]))
     d = df.withColumn("__h", content).withColumn("__nth", F.row_number().over(w)).withColumn("__first", F.first("__h").over(w))
-    return d.withColumn("duplicate", F.when(F.col("__nth") > 1, F.when(F.col("__h") == F.col("__first"), "exact").otherwise("key"))).drop("__h", "__nth", "__first")
+    return d.withColumn("duplicate", F.when(F.col("__nth") > 1, F.when(F.col("__h").eqNullSafe(F.col("__first")), "exact").otherwise("key"))).drop("__h", "__nth", "__first")
 
 
 def split_references(df: DataFrame, other: DataFrame, on: list[str]) -> tuple[DataFrame, DataFrame]:
