@@ -145,21 +145,25 @@ def entropy_bits(df: DataFrame, by: list[str], p: str) -> DataFrame:
     return df.where(F.col(p) > 0).groupBy(*by).agg((-F.sum(F.col(p) * F.log2(p))).alias("entropy"))
 
 
-def calibrator(df: DataFrame, p: str, hit: str, bins: int) -> DataFrame:
-    """Bin -> accuracy; an empty bin has its midpoint."""
-    spark = df.sparkSession
-    every = spark.range(bins).select(F.col("id").cast("int").alias("bin"))
-    g = df.groupBy(pricing.confidence_bin(F.col(p), bins).alias("bin")).agg(F.avg(F.col(hit).cast("double")).alias("a"), F.count(F.lit(1)).alias("n"))
-    return every.join(g, "bin", "left").select("bin", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("a", (F.col("bin") + 0.5) / bins).alias("value"))
-
-
-def recalibrate(df: DataFrame, group: list[str], p: str, table: DataFrame, bins: int) -> DataFrame:
-    """The favourite gets its bin's value, the rest share what remains in proportion; without any rest, evenly."""
+def calibrator(df: DataFrame, p: str, hit: str, bins: int, by: list[str] | None = None) -> DataFrame:
+    """Bin -> accuracy, in each group of by; an empty bin has its midpoint."""
+    spark, by = df.sparkSession, by or []
+    every = F.broadcast(spark.range(bins).select(F.col("id").cast("int").alias("bin")))
+    every = df.select(*by).distinct().crossJoin(every) if by else every
+    g = df.groupBy(*by, pricing.confidence_bin(F.col(p), bins).alias("bin")).agg(F.avg(F.col(hit).cast("double")).alias("a"), F.count(F.lit(1)).alias("n"))
+    return every.join(g, [*by, "bin"], "left").select(*by, "bin", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("a", (F.col("bin") + 0.5) / bins).alias("value"))
+
+
+def recalibrate(df: DataFrame, group: list[str], p: str, table: DataFrame, bins: int, by: list[str] | None = None) -> DataFrame:
+    """The favourite gets its bin's value, the rest share what remains in proportion; without any rest, evenly. A race whose
+    group of by the table lacks has its bin's midpoint."""
     w = Window.partitionBy(*group)
     order = w.orderBy(F.col(p).desc(), "lane")
     d = df.withColumn("__nth", F.row_number().over(order)).withColumn("__top", F.max(p).over(w)).withColumn("__n", F.count(F.lit(1)).over(w))
     d = d.withColumn("__rest", F.sum(F.when(F.col("__nth") > 1, F.col(p)).otherwise(0.0)).over(w)).withColumn("bin", pricing.confidence_bin(F.col("__top"), bins))
-    d = d.join(F.broadcast(table.select("bin", F.col("value"))), "bin")  # as many rows as bins
+    by = by or []
+    d = d.join(table.select(*by, "bin", "value") if by else F.broadcast(table.select("bin", "value")), [*by, "bin"], "left")  # broadcast: as many rows as bins
+    d = d.withColumn("value", F.coalesce("value", (F.col("bin") + 0.5) / bins))
     left = 1 - F.col("value")
     new = F.when(F.col("__nth") == 1, F.col("value")).when(F.col("__rest") > 0, F.col(p) / F.nullif(F.col("__rest"), F.lit(0.0)) * left).otherwise(left / F.nullif(F.col("__n") - 1, F.lit(0)))
     return d.withColumn("p_calibrated", new).drop("__nth", "__top", "__n", "__rest", "bin", "value")

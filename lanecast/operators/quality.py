@@ -128,3 +128,10 @@ def distribution_violations(df: DataFrame, group: list[str], p: str, size: int,
     g = df.groupBy(*group).agg(F.count(F.lit(1)).alias("n"), F.min(p).alias("lo"), F.max(p).alias("hi"), F.sum(p).alias("total"))
     reason = F.when(F.col("n") != size, "keys").when((F.col("lo") < 0) | (F.col("hi") > 1), "range").when(F.abs(F.col("total") - 1) > tolerance, "sum")
     return g.withColumn("violation", reason).where("violation IS NOT NULL")
+
+
+def board_defects(board: DataFrame, required: list[str], key: str) -> DataFrame:
+    """defect, field, n of a board: rows that lack a required key, and rows beyond the first of their id."""
+    out = [F.struct(F.lit("missing").alias("defect"), F.lit(c).alias("field"), F.count_if(F.col(c).isNull()).alias("n")) for c in required]
+    repeated = F.count(key) - F.count_distinct(key)
+    return board.agg(F.array(*out, F.struct(F.lit("duplicate").alias("defect"), F.lit(key).alias("field"), repeated.alias("n"))).alias("c")).select(F.inline("c"))

@@ -117,3 +117,35 @@ def materialised(spark: SparkSession, folder: str, key: str, build) -> DataFrame
 
 def write_report(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
+
+
+def live_results(lanes: DataFrame, races: DataFrame) -> DataFrame:
+    """Lanes (race_id, lane, finish) with the race's win payout and technique on the row of the first place only; races: race_id,
+    payout, technique."""
+    first = F.col("finish") == 1
+    d = lanes.join(races, "race_id", "left")
+    return d.select(*lanes.columns, F.when(first, F.col("payout")).alias("payout"), F.when(first, F.col("technique")).alias("technique"))
+
+
+def relinked(cards: DataFrame, results: DataFrame, key: tuple[str, ...] = ("race_id", "lane")) -> DataFrame:
+    """Result rows with their card's columns, linked when they are read, so that the order of loading doesn't matter."""
+    return results.join(cards.withColumn("has_card", F.lit(True)), list(key), "left").withColumn("has_card", F.coalesce("has_card", F.lit(False)))
+
+
+def mirror_fill(feed: DataFrame, schedule: DataFrame, existing: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Pre-race rows of a mirror (venue, day, number, lane, exhibition_time) for the races of the schedule (race_id, venue, day,
+    number, deadline), as observed and available at the deadline, parts unknown; and counts of races by outcome: unmatched,
+    no_deadline, existing, untimed, added."""
+    s = schedule.select("race_id", "venue", "day", "number", "deadline")
+    d = feed.join(s, ["venue", "day", "number"], "left").join(existing.select("race_id").distinct().withColumn("__seen", F.lit(True)), "race_id", "left")
+    timed = F.max(F.col("exhibition_time").isNotNull()).over(Window.partitionBy("venue", "day", "number"))
+    outcome = F.when(F.col("race_id").isNull(), "unmatched").when(F.col("deadline").isNull(), "no_deadline").when(F.col("__seen"), "existing").when(~F.col("__timed"), "untimed").otherwise("added")
+    d = d.withColumn("__timed", timed).withColumn("outcome", outcome)
+    counts = d.select("venue", "day", "number", "outcome").distinct().groupBy("outcome").agg(F.count(F.lit(1)).alias("races"))
+    added = d.where("outcome = 'added'").select("race_id", "lane", "exhibition_time", F.col("deadline").alias("observed_at"), F.col("deadline").alias("available_at"), F.lit(None).cast("boolean").alias("parts_changed"))
+    return added, counts
+
+
+def merged_counters(files: DataFrame, counters: str = "counters") -> DataFrame:
+    """name, n: the counters (a map of name to count) of all files added up."""
+    return files.select(F.explode(counters).alias("name", "n")).groupBy("name").agg(F.sum("n").alias("n"))

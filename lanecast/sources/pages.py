@@ -80,3 +80,86 @@ def previews(feed: DataFrame, column: str = "value") -> DataFrame:
     d = listed.unionByName(keyed).where("stadium_number BETWEEN 1 AND 24")
     lane, start = F.col("b.racer_boat_number"), F.col("b.racer_start_timing")
     return d.select("date", F.col("stadium_number").alias("venue"), "number", lane.alias("lane"), F.coalesce("b.racer_course_number", lane).alias("course"), F.abs(start).alias("start_timing"), (start < 0).alias("flying"), F.col("b.racer_exhibition_time").alias("exhibition_time"), F.col("b.racer_tilt_adjustment").alias("tilt"), F.lit("openapi:unlabelled").alias("label"))
+
+
+def _inner(html, tag: str):
+    """Bodies of a tag's elements, in order."""
+    return F.regexp_extract_all(html, F.lit(rf"(?is)<{tag}\b[^>]*>(.*?)</{tag}>"), F.lit(1))
+
+
+def _plain(html):
+    return F.trim(F.regexp_replace(F.regexp_replace(html, r"(?s)<[^>]*>", " "), r"[\s ]+", " "))
+
+
+def _number(value):
+    return F.regexp_replace(_plain(value), r"(kg|℃|cm|m)$", "").try_cast("double")
+
+
+def start_timing(value):
+    """".05" is 0.05, "F.05" a flying start of -0.05; else null."""
+    t = F.trim(value)
+    seconds = F.ltrim(F.regexp_replace(t, "^F+", "")).try_cast("double")
+    return F.when(t.startswith("F"), -seconds).otherwise(seconds)
+
+
+def headed_rows(cells: DataFrame, heading: str) -> DataFrame:
+    """page, row_no, v (a row's cells) of the tables that have a cell equal to the heading. cells: as table_cells gives them."""
+    d = cells.groupBy("page", "table_no", "row_no").agg(F.transform(F.array_sort(F.collect_list(F.struct("col_no", "cell"))), lambda s: s["cell"]).alias("v"))
+    named = F.max(F.array_contains("v", heading)).over(Window.partitionBy("page", "table_no"))
+    return d.withColumn("named", named).where("named").select("page", "row_no", "v")
+
+
+def result_lanes(cells: DataFrame) -> DataFrame:
+    """A result page's lanes: page, lane, position, status (of boats without one), registration, race_time, start_timing, and
+    has_result: whether any lane of the page has a position. A page without a result has no such row or has_result false."""
+    at = lambda n: F.get("v", F.lit(n))
+    parts = F.split(F.concat_ws(" ", "v"), r"\s+")  # the winner's technique may follow its timing
+    starts = headed_rows(cells, "スタート情報").select("page", F.get(parts, F.lit(0)).try_cast("int").alias("lane"), start_timing(F.get(parts, F.lit(1))).alias("start_timing")).where("lane IS NOT NULL")
+    position = F.translate(F.trim(at(0)), "１２３４５６", "123456").try_cast("int")
+    d = headed_rows(cells, "着").select("page", at(1).try_cast("int").alias("lane"), position.alias("position"), F.when(position.isNull(), F.nullif(F.trim(at(0)), F.lit(""))).alias("status"), F.get(F.split(F.trim(at(2)), r"\s+"), F.lit(0)).try_cast("int").alias("registration"), F.trim(at(3)).alias("race_time"))
+    d = d.where("lane BETWEEN 1 AND 6").join(starts, ["page", "lane"], "left")
+    return d.withColumn("has_result", F.max(F.col("position").isNotNull()).over(Window.partitionBy("page")))
+
+
+def result_payouts(cells: DataFrame) -> DataFrame:
+    """page, bet_type (a label holds until the next), combination, amount, popularity; rows without an amount are left out."""
+    at = lambda n: F.get("v", F.lit(n))
+    d = headed_rows(cells, "勝式").where(F.size("v") >= 3).where(at(0) != "勝式")
+    label = F.last(F.nullif(F.trim(at(0)), F.lit("")), ignorenulls=True).over(Window.partitionBy("page").orderBy("row_no"))
+    d = d.select("page", label.alias("bet_type"), F.regexp_replace(at(1), " ", "").alias("combination"), F.regexp_replace(at(2), r"[¥￥,\s]", "").try_cast("int").alias("amount"), at(3).try_cast("int").alias("popularity"))
+    return d.where("bet_type IS NOT NULL AND combination <> '' AND amount IS NOT NULL")
+
+
+def result_technique(cells: DataFrame) -> DataFrame:
+    """page, technique: the first other cell of the table under its heading."""
+    heading = "決まり手"
+    d = headed_rows(cells, heading).select("page", "row_no", F.posexplode("v").alias("col_no", "cell")).where((F.col("cell") != "") & (F.col("cell") != heading))
+    return d.groupBy("page").agg(F.min_by("cell", F.struct("row_no", "col_no")).alias("technique"))
+
+
+def pre_race_boats(pages: DataFrame, key: str, html: str) -> DataFrame:
+    """A pre-race page's boats, one a table body of at least three rows and eight cells in the first; the first cell of
+    the third row is the ballast. Bodies without a lane number are left out."""
+    bodies = pages.select(key, F.explode(_inner(F.col(html), "tbody")).alias("b")).select(key, _inner(F.col("b"), "tr").alias("r"))
+    d = bodies.where("size(r) >= 3").select(key, _inner(F.get("r", F.lit(0)), "td").alias("h"), _inner(F.get("r", F.lit(2)), "td").alias("third")).where("size(h) >= 8")
+    at = lambda n: F.get("h", F.lit(n))
+    items = F.filter(F.transform(_inner(at(7), "li"), _plain), lambda x: x != "")
+    whole = _plain(at(7))
+    parts = F.when(F.size(items) > 0, items).when(whole != "", F.array(whole)).otherwise(F.array().cast("array<string>"))
+    return d.select(key, _plain(at(0)).try_cast("int").alias("lane"), F.regexp_extract(F.concat(at(1), at(2)), r"toban=(\d+)", 1).try_cast("int").alias("registration"), _plain(at(2)).alias("name"), _number(at(3)).alias("weight"), _number(F.get("third", F.lit(0))).alias("ballast"), _number(at(4)).alias("exhibition_time"), _number(at(5)).alias("tilt"), (_plain(at(6)) != "").alias("propeller_changed"), parts.alias("parts")).where("lane IS NOT NULL")
+
+
+def start_exhibition(pages: DataFrame, key: str, html: str) -> DataFrame:
+    """key, course, lane, start_timing: the n-th row that names a boat is course n; header rows don't count."""
+    number, time = (rf'(?is)<span\b[^>]*table1_boatImage1{x}\b[^>]*>\s*([^<]*?)\s*</span>' for x in ("Number", "Time"))
+    rows = F.filter(_inner(F.col(html), "tr"), lambda r: F.regexp_extract(r, number, 1).rlike("^[0-9]+$"))
+    d = pages.select(key, F.posexplode(rows).alias("nth", "r"))
+    timing = start_timing(F.regexp_extract("r", time, 1))
+    return d.select(key, (F.col("nth") + 1).alias("course"), F.regexp_extract("r", number, 1).cast("int").alias("lane"), timing.alias("start_timing"), F.regexp_extract("r", time, 1).startswith("F").alias("flying"))
+
+
+def surface(pages: DataFrame, key: str, html: str) -> DataFrame:
+    """key and the readings of the weather units; units that a page lacks are null."""
+    of = lambda unit: F.regexp_extract(html, rf'(?is)<div\b[^>]*\b{unit}\b(?![-\w])[^>]*>.*?LabelData\b[^>]*>\s*([^<]*?)\s*<', 1)
+    units = {"air_temperature": "is-direction", "water_temperature": "is-waterTemperature", "wind_speed": "is-wind", "wave_height": "is-wave"}
+    return pages.select(key, *[_number(of(unit)).alias(name) for name, unit in units.items()])
