@@ -66,13 +66,13 @@ def collection_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("source")).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("user_id").alias("races"), F.min("ts").alias("since"), F.max("ts").alias("through"))
 
 
-@R.query(", f AS (SELECT venue, race_id, race_class, max(round(p * odds * 100, 6)) AS best, arg_max(lane, (p * odds, -lane)) AS pick FROM fields GROUP BY ALL) SELECT venue, count(*) AS races, count(*) FILTER (best >= 100) AS candidates, sum(pick)::BIGINT AS picks, to_json(list(struct_pack(race_id := race_id, pick := pick) ORDER BY race_id)) AS board FROM f GROUP BY venue")
+@R.query(", f AS (SELECT venue, race_date, race_id, max(round(p * odds * 100, 6)) AS best, arg_max(lane, (p * odds, -lane)) AS pick FROM fields GROUP BY ALL) SELECT venue, race_date, count(*) AS races, count(*) FILTER (best >= 100) AS candidates, sum(pick)::BIGINT AS picks, to_json(list(struct_pack(race_id := race_id, pick := pick) ORDER BY race_id)) AS board FROM f GROUP BY venue, race_date")
 def venue_board(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per venue the nested board of its races with their best candidate and decision."""
+    """Per venue and day the nested board of its races with their best candidate and decision."""
     d = full_fields(spark, sf_dir).withColumn("ev", F.col("p") * F.col("odds"))
-    f = d.groupBy("venue", "race_id").agg(F.max(F.round(F.col("ev") * 100, 6)).alias("best"), F.max_by("lane", F.struct("ev", -F.col("lane"))).alias("pick"))
+    f = d.groupBy("venue", "race_date", "race_id").agg(F.max(F.round(F.col("ev") * 100, 6)).alias("best"), F.max_by("lane", F.struct("ev", -F.col("lane"))).alias("pick"))
     f = f.withColumn("decision", pricing.decision(F.lit(False), F.col("best")))
-    return f.groupBy("venue").agg(F.count(F.lit(1)).alias("races"), F.count_if(F.col("decision") == "candidate").alias("candidates"), F.sum("pick").alias("picks"), F.to_json(F.array_sort(F.collect_list(F.struct("race_id", "pick")))).alias("board"))
+    return f.groupBy("venue", "race_date").agg(F.count(F.lit(1)).alias("races"), F.count_if(F.col("decision") == "candidate").alias("candidates"), F.sum("pick").alias("picks"), F.to_json(F.array_sort(F.collect_list(F.struct("race_id", "pick")))).alias("board"))
 
 
 @R.query("SELECT time_bucket(INTERVAL 1 DAY, ts) AS start, event_type AS bet_type, count(*) AS n, max(ts) AS last FROM (SELECT DISTINCT user_id, event_type, ts FROM events WHERE value IS NOT NULL) GROUP BY ALL", base=False)

@@ -165,3 +165,20 @@ def calibration_walk_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
     y = metrics.recalibrate(x.where("test"), ["fold", "race_id"], "p", metrics.calibrator(best, "c", "hit", 10, ["fold"]), 10, ["fold"])
     loss = lambda c: F.round(F.avg(-F.log(F.greatest(F.col(c), F.lit(1e-12)))), 6)
     return y.where("won").groupBy(F.col("fold").alias("month")).agg(F.count(F.lit(1)).alias("races"), loss("p").alias("raw"), loss("p_calibrated").alias("calibrated"))
+
+
+_RATES = ", r AS (SELECT venue AS page, lane::INT AS number, finish, floor(1000 * count(*) / sum(count(*)) OVER (PARTITION BY venue, lane)) / 10 AS rate FROM fields GROUP BY venue, lane, finish), x AS (SELECT page, number, unnest([1, 2, 3, 4, 5, 6]) AS k FROM (SELECT DISTINCT page, number FROM r)), z AS (SELECT x.page, x.number, k, coalesce(rate, 0) AS rate FROM x LEFT JOIN r ON r.page = x.page AND r.number = x.number AND finish = k)"
+
+
+@R.query(_RATES + " SELECT page, 'course' AS section, number, k::VARCHAR AS measure, rate, false AS rejected FROM z UNION ALL SELECT page, 'course', number, (['" + "', '".join(pages.TECHNIQUES) + "'])[k], k * 10.5, false FROM z UNION ALL SELECT page, 'lane', number, k::VARCHAR, rate, false FROM z UNION ALL SELECT page, 'spring', number, k::VARCHAR, rate, false FROM z WHERE page % 2 = 0 UNION ALL SELECT DISTINCT page, 'autumn', 1, NULL, NULL::DOUBLE, true FROM z")
+def venue_page_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One page a venue with its rates by lane; spring for some, an autumn table with a row of too few cells."""
+    n = full_fields(spark, sf_dir).groupBy("venue", "lane").agg(F.count(F.lit(1)).alias("t"), *[F.count_if(F.col("finish") == k).alias(f"n{k}") for k in range(1, 7)])
+    td = lambda v: F.concat(F.lit("<td>"), v.cast("string"), F.lit("</td>"))
+    rates = [td(F.floor(1000 * F.col(f"n{k}") / F.col("t")) / 10) for k in range(1, 7)]
+    row = lambda *more: F.concat(F.lit('<tr class="x is-p10-0">'), td(F.col("lane")), *rates, *more, F.lit("</tr>"))
+    g = n.groupBy(F.col("venue").alias("page")).agg(_in_order(row(*[td(F.lit(k * 10.5)) for k in range(1, 7)]), "lane").alias("course"), _in_order(row(), "lane").alias("rates"))
+    part = lambda heading, body: F.concat(F.lit(f"<span>{heading}</span><p>x</p><table><tr><th>1</th></tr>"), body, F.lit("</table>"))
+    heading = {section: h for section, h, _ in pages.VENUE_TABLES}
+    html = F.concat(part(heading["course"], F.col("course")), part(heading["lane"], F.col("rates")), F.when(F.col("page") % 2 == 0, part(heading["spring"], F.col("rates"))).otherwise(""), part(heading["autumn"], F.lit('<tr class="is-p10-0"><td>1</td><td>2</td></tr>')))
+    return pages.venue_rates(g.select("page", html.alias("html")), "page", "html")

@@ -163,3 +163,24 @@ def surface(pages: DataFrame, key: str, html: str) -> DataFrame:
     of = lambda unit: F.regexp_extract(html, rf'(?is)<div\b[^>]*\b{unit}\b(?![-\w])[^>]*>.*?LabelData\b[^>]*>\s*([^<]*?)\s*<', 1)
     units = {"air_temperature": "is-direction", "water_temperature": "is-waterTemperature", "wind_speed": "is-wind", "wave_height": "is-wave"}
     return pages.select(key, *[_number(of(unit)).alias(name) for name, unit in units.items()])
+
+
+# fixed values: techniques in the order of their columns, headings of a venue page's tables
+TECHNIQUES = ("nige", "makuri", "sashi", "makuri_sashi", "nuki", "megumare")
+VENUE_TABLES = (("course", "コース別入着率＆決まり手", 13), ("lane", "枠番別コース取得率", 7), ("spring", "春季", 7), ("summer", "夏季", 7), ("autumn", "秋季", 7), ("winter", "冬季", 7))
+
+
+def venue_rates(pages: DataFrame, key: str, html: str) -> DataFrame:
+    """A venue page's rates in long form: key, section, number (course, or lane in section lane), measure, rate, rejected.
+    Measures are places or courses 1 to 6, and techniques. A row of another number of cells has rejected true and no measure; a
+    table that the page lacks gives no row."""
+    tables = []
+    for section, heading, cells in VENUE_TABLES:
+        after = F.regexp_extract(html, rf"(?is)<span\b[^>]*>\s*{heading}\s*</span>.*?(<table\b.*?</table>)", 1)
+        rows = F.regexp_extract_all(after, F.lit(r'(?is)<tr\b[^>]*\bis-p10-0\b[^>]*>(.*?)</tr>'), F.lit(1))
+        tables.append(F.struct(F.lit(section).alias("section"), F.lit(cells).alias("cells"), rows.alias("rows")))
+    d = pages.select(key, F.inline(F.array(*tables))).select(key, "section", "cells", F.explode("rows").alias("r"))
+    d = d.withColumn("v", F.transform(_inner(F.col("r"), "td"), lambda c: _number(c))).withColumn("rejected", F.size("v") != F.col("cells"))
+    names = F.array(*[F.lit(str(n)) for n in range(1, 7)], *[F.lit(t) for t in TECHNIQUES])
+    pairs = F.when(~F.col("rejected"), F.arrays_zip(F.slice(names, F.lit(1), F.col("cells") - 1).alias("measure"), F.slice("v", F.lit(2), F.col("cells") - 1).alias("rate")))
+    return d.select(key, "section", F.get("v", F.lit(0)).cast("int").alias("number"), "rejected", F.inline_outer(pairs))
