@@ -6,7 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -86,3 +86,22 @@ def texts_of(batches: Iterator, text_col: str = "text", rows: int = 256) -> Iter
         for k in range(0, batch.num_rows, rows):
             part = batch.slice(k, rows)
             yield part, [t or "" for t in part.column(text_col).to_pylist()]
+
+
+def numbered(df: DataFrame, group: str, order: list[Column]) -> DataFrame:
+    """df with `rank` (long, from 0, by the order within each value of group, which isn't null) and `size` (the group's rows).
+
+    Rows are dealt to ranges of (group, order, place in df), so that neither a large group nor equal rows make a large
+    task; what a range has of a group is added up, and a row's rank is its place in the range behind those before it.
+    df is read twice (its ranges are sampled): give one that is stored. Its names may not be salt, at, part, first, n, rank, size.
+    """
+    whole = [F.col(group), *order, F.col("salt")]
+    dealt = df.withColumn("salt", F.monotonically_increasing_id()).repartitionByRange(*whole).sortWithinPartitions(*whole)
+    dealt = stored(dealt.drop("salt").withColumn("at", F.monotonically_increasing_id()), "ranges")  # at: task, then place
+    part = F.shiftright("at", 33)
+    sums = dealt.groupBy(group, part.alias("part")).agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n"))
+    of_group = Window.partitionBy(group)
+    before = F.sum("n").over(of_group.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    sums = sums.select(group, "part", "first", F.coalesce(before, F.lit(0)).alias("before"), F.sum("n").over(of_group).alias("size"))
+    found = dealt.withColumn("part", part).join(sums, [group, "part"])
+    return found.select(*df.columns, (F.col("before") + F.col("at") - F.col("first")).alias("rank"), "size")
