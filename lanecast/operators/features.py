@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
 from lanecast.functions import pricing
 from lanecast.operators import temporal, windows
@@ -11,17 +14,24 @@ from lanecast.operators import temporal, windows
 LOOKBACK_DAYS = 10
 
 
-def exclusion(df: DataFrame, features: list[str], training: bool) -> DataFrame:
-    """df: race_id, lane, late, winners. One reason per race, the first in this order that applies: six_lanes,
-    late_feature, one_winner (training), missing_feature; null where none does."""
-    w = Window.partitionBy("race_id")
-    missing = F.lit(False)
-    for f in features:
-        missing = missing | F.col(f).isNull()
-    reason = F.when((F.count(F.lit(1)).over(w) != 6) | (F.count_if(F.col("lane").between(1, 6)).over(w) != 6), "six_lanes").when(F.bool_or("late").over(w), "late_feature")
+def exclusion_reason(features: list[str], training: bool, block: list[str] | None = None, over: WindowSpec | None = None) -> Column:
+    """The first reason that excludes a race, in this order: six_lanes, late_feature, one_winner (training), missing_feature,
+    pre_race_block (a lane without one of `block`); null where none does.
+
+    Of columns race_id, lane, late, won and those named: an aggregate of the race's rows, or over a window of them."""
+    agg = (lambda c: c.over(over)) if over is not None else (lambda c: c)
+    lacks = lambda names: reduce(lambda a, b: a | b, [F.col(c).isNull() for c in names], F.lit(False))
+    lanes = agg(F.bit_or(F.when(F.col("lane").between(1, 6), F.pow(F.lit(2), F.col("lane")).cast("int")).otherwise(F.lit(1))))
+    reason = F.when((agg(F.count(F.lit(1))) != 6) | (lanes != 126), "six_lanes").when(agg(F.bool_or("late")), "late_feature")
     if training:
-        reason = reason.when(F.count_if("won").over(w) != 1, "one_winner")
-    return df.withColumn("reason", reason.when(F.bool_or(missing).over(w), "missing_feature"))
+        reason = reason.when(agg(F.count_if("won")) != 1, "one_winner")
+    reason = reason.when(agg(F.bool_or(lacks(features))), "missing_feature")
+    return reason.when(agg(F.bool_or(lacks(block))), "pre_race_block") if block else reason
+
+
+def exclusion(df: DataFrame, features: list[str], training: bool, block: list[str] | None = None) -> DataFrame:
+    """df with the reason of its race."""
+    return df.withColumn("reason", exclusion_reason(features, training, block, Window.partitionBy("race_id")))
 
 
 def lane_features(entries: DataFrame, day: str = "race_date") -> DataFrame:
@@ -40,13 +50,20 @@ def series_form(entries: DataFrame, keys: list[str], series: str, day: str = "ra
     return d.withColumn("form", pricing.shrunk_form(F.col("prior_avg"), F.col("prior_n"), F.col("rate")))
 
 
+def course_taken(entries: DataFrame, observations: DataFrame, at: str) -> DataFrame:
+    """Adds course: the earliest one observed of those known at `at`, else the lane."""
+    known = observations.join(entries.select("race_id", "lane", at), ["race_id", "lane"]).where(F.col("observed_at") <= F.col(at))
+    seen = temporal.earliest(known, ["race_id", "lane"], "observed_at", "course")
+    return entries.join(seen, ["race_id", "lane"], "left").withColumn("course", F.coalesce("course", "lane"))
+
+
 def course_block(entries: DataFrame, stats: DataFrame, constants: DataFrame, at: str) -> DataFrame:
-    """entries: lane, racer; stats: racer, period, known, course, n, wins. Adds starts and course_rate, the shrunk win rate on
-    the lane's course in the racer's latest period known at `at`; no starts where that period lacks the course."""
+    """entries: course, racer; stats: racer, period, known, course, n, wins. Adds starts and course_rate, the shrunk win rate on
+    the course in the racer's latest period known at `at`; no starts where that period lacks the course."""
     periods = stats.select("racer", "period", "known").distinct()
     d = temporal.asof_join(entries, periods, ["racer"], at, "known", ["period"]).drop("found")
-    d = d.join(stats.select("racer", "period", F.col("course").alias("lane"), "n", "wins"), ["racer", "period", "lane"], "left")
-    d = d.join(F.broadcast(constants.withColumnRenamed("course", "lane")), "lane", "left")  # a row a course
+    d = d.join(stats.select("racer", "period", "course", "n", "wins"), ["racer", "period", "course"], "left")
+    d = d.join(F.broadcast(constants), "course", "left")  # a row a course
     starts, wins = F.coalesce("n", F.lit(0)), F.coalesce("wins", F.lit(0))
     d = d.withColumn("starts", starts).withColumn("course_rate", pricing.shrunk_rate(wins, starts, F.col("base"), F.col("k")))
     return d.drop("period", "n", "wins", "base", "k")
@@ -63,14 +80,21 @@ def long(df: DataFrame, features: list[str], lanes: int = 6) -> DataFrame:
     return df.select("race_id", F.inline(rows))
 
 
+def field_globals(rate: str, label: str) -> list[Column]:
+    """Aggregates of a race: how many are of class A1, and the sample deviation of the rates (0 below two)."""
+    return [F.count_if(F.trim(label) == "A1").alias("field_a1_count"), F.coalesce(F.when(F.count(rate) >= 2, F.stddev_samp(rate)), F.lit(0.0)).alias("field_win_rate_sd")]
+
+
+BLOCK = ["exhibition_time", "tilt", "course"]  # a lane without one of these has no pre-race block; a missing start is allowed
+
+
 def pre_race_block(entries: DataFrame, observations: DataFrame) -> DataFrame:
-    """Earliest observation per (race, lane): z-scores of time and start in the race, tilt as it is, whether the course
-    changed; complete only if all six lanes have time, tilt and course (a missing start is allowed)."""
-    w = Window.partitionBy("race_id", "lane").orderBy("observed_at")
-    o = observations.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
-    d = entries.join(o, ["race_id", "lane"], "left")
+    """Earliest observation per (race, lane), with its observed_at: z-scores of time and start in the race, tilt as it is, whether
+    the course changed; complete only if all six lanes have BLOCK."""
+    first = observations.groupBy("race_id", "lane").agg(F.min_by(F.struct(*[c for c in observations.columns if c not in ("race_id", "lane")]), "observed_at").alias("o"))
+    d = entries.join(first.select("race_id", "lane", "o.*"), ["race_id", "lane"], "left")
     d = windows.group_z(windows.group_z(d, ["race_id"], "exhibition_time", "time_z"), ["race_id"], "start_timing", "start_z")
-    has = F.col("exhibition_time").isNotNull() & F.col("tilt").isNotNull() & F.col("course").isNotNull()
+    has = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in BLOCK])
     return d.withColumn("course_changed", (F.col("course") != F.col("lane")).cast("int")).withColumn("block_complete", F.count_if(has).over(Window.partitionBy("race_id")) == 6)
 
 

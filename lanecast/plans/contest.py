@@ -24,7 +24,7 @@ def races(spark: SparkSession, sf_dir: str) -> DataFrame:
 def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice", "l_quantity", "l_discount", "l_tax")
     d = table(spark, sf_dir, "lineitem").withColumn("lane", F.row_number().over(w).cast("long")).where("lane <= 6")
-    return d.select(F.col("l_orderkey").alias("race_id"), "lane", F.col("l_suppkey").alias("racer"), F.col("l_quantity").alias("quantity"), (F.col("l_quantity") / 5).alias("rate"), (1 + F.col("l_extendedprice") / 10000).alias("odds"), F.col("l_discount").alias("disc"), F.col("l_extendedprice").alias("price"), F.col("l_shipdate").alias("available_at"))
+    return d.select(F.col("l_orderkey").alias("race_id"), "lane", F.col("l_suppkey").alias("racer"), F.col("l_quantity").alias("quantity"), (F.col("l_quantity") / 5).alias("rate"), (1 + F.col("l_extendedprice") / 10000).alias("odds"), F.col("l_discount").alias("disc"), F.col("l_extendedprice").alias("price"), F.col("l_shipdate").alias("available_at"), F.col("l_partkey").alias("part"), F.col("l_tax").alias("tax"))
 
 
 def runners(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,7 +57,7 @@ def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 BASE = """races AS (SELECT o_orderkey AS race_id, CAST(o_orderdate AS DATE) AS race_date, o_orderdate + INTERVAL 30 DAY AS deadline, c_nationkey::BIGINT AS venue,
   o_orderpriority AS race_class, o_orderstatus = 'F' AS finished FROM orders JOIN customer ON o_custkey = c_custkey),
-entries AS (SELECT l_orderkey AS race_id, lane, l_suppkey AS racer, l_quantity AS quantity, l_quantity / 5 AS rate, 1 + l_extendedprice / 10000 AS odds, l_discount AS disc, l_extendedprice AS price, l_shipdate AS available_at
+entries AS (SELECT l_orderkey AS race_id, lane, l_suppkey AS racer, l_quantity AS quantity, l_quantity / 5 AS rate, 1 + l_extendedprice / 10000 AS odds, l_discount AS disc, l_extendedprice AS price, l_shipdate AS available_at, l_partkey AS part, l_tax AS tax
   FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedprice, l_quantity, l_discount, l_tax) AS lane FROM lineitem) WHERE lane <= 6),
 runners AS (SELECT *, quantity / sum(quantity) OVER (PARTITION BY race_id) AS p, finish = 1 AS won FROM (
   SELECT *, row_number() OVER (PARTITION BY race_id ORDER BY disc, price, lane) AS finish, count(*) OVER (PARTITION BY race_id) AS lanes FROM entries JOIN races USING (race_id))),

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lanecast.functions import pricing, text
 from lanecast.operators import features, temporal, windows
-from lanecast.plans.contest import races, runners, table
+from lanecast.plans.contest import BASE, races, runners, table
 from lanecast.plans.registry import Registry
 from lanecast.plans.timeline import _DAYS, _days
 
@@ -34,72 +34,142 @@ def form_in_series(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _CONSTANTS = ", ".join(f"({c}, {pricing.COURSE_BASE[c]}, {pricing.COURSE_SHRINKAGE[c]})" for c in pricing.COURSE_BASE)
+_OBSERVED = """, ob AS (SELECT race_id, lane, available_at + to_days((quantity % 4)::INT) AS observed_at, CASE WHEN quantity > 2 THEN 6.5 + disc END AS t, CASE WHEN quantity > 5 THEN price / 100000 END AS st, quantity % 3 - 0.5 AS tilt, CASE WHEN quantity % 25 <> 7 THEN (lane + quantity::BIGINT % 4) % 6 + 1 END AS course FROM runners
+UNION ALL SELECT race_id, lane, available_at + INTERVAL 7 DAY, 6.7, NULL, 0.0, 7 - lane FROM runners WHERE quantity % 2 = 1)"""
 _COURSE = f""", st AS (SELECT racer, date_trunc('quarter', race_date)::DATE AS period, lane, count(*) AS n, count(*) FILTER (won) AS wins FROM runners WHERE finished GROUP BY ALL),
 pe AS (SELECT DISTINCT racer, period, (period + INTERVAL 3 MONTH)::TIMESTAMP AS known FROM st), kc(lane, base, k) AS (VALUES {_CONSTANTS}),
-course AS (SELECT r.race_id, r.lane, coalesce(st.n, 0) AS starts, (coalesce(st.wins, 0) + k * base) / (coalesce(st.n, 0) + k) AS course_rate
-FROM (SELECT u.race_id, u.lane, u.racer, pe.period FROM runners u ASOF LEFT JOIN pe ON pe.racer = u.racer AND u.deadline >= pe.known) r JOIN kc USING (lane) LEFT JOIN st ON st.racer = r.racer AND st.period = r.period AND st.lane = r.lane)"""
+ct AS (SELECT u.race_id, u.lane, u.racer, u.deadline, coalesce(k.course, u.lane) AS course FROM runners u LEFT JOIN (SELECT race_id, lane, arg_min(course, observed_at) AS course FROM ob JOIN races USING (race_id) WHERE observed_at <= deadline AND course IS NOT NULL GROUP BY ALL) k USING (race_id, lane)),
+course AS (SELECT r.race_id, r.lane, r.course, coalesce(st.n, 0) AS starts, (coalesce(st.wins, 0) + k * base) / (coalesce(st.n, 0) + k) AS course_rate
+FROM (SELECT u.race_id, u.lane, u.course, u.racer, pe.period FROM ct u ASOF LEFT JOIN pe ON pe.racer = u.racer AND u.deadline >= pe.known) r JOIN kc ON kc.lane = r.course LEFT JOIN st ON st.racer = r.racer AND st.period = r.period AND st.lane = r.course)"""
 
 
 def course_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = runners(spark, sf_dir)
     stats = d.where("finished").groupBy("racer", F.trunc("race_date", "quarter").alias("period"), F.col("lane").alias("course")).agg(F.count(F.lit(1)).alias("n"), F.count_if("won").alias("wins"))
     stats = stats.withColumn("known", F.add_months("period", 3).cast("timestamp_ntz"))
-    return features.course_block(d.select("race_id", "lane", "racer", "deadline"), stats, pricing.course_constants(spark), "deadline")
+    taken = features.course_taken(d.select("race_id", "lane", "racer", "deadline"), observations(spark, sf_dir), "deadline")
+    return features.course_block(taken, stats, pricing.course_constants(spark), "deadline")
 
 
-@R.query(_COURSE + " SELECT race_id, lane, starts, round(course_rate, 9) AS course_rate FROM course")
+@R.query(_OBSERVED + _COURSE + " SELECT race_id, lane, course, starts, round(course_rate, 9) AS course_rate FROM course")
 def course_rates_at_deadline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Shrunk win rate on the lane's course from the racer's latest period that was published by the deadline."""
-    return course_rates(spark, sf_dir).select("race_id", "lane", "starts", r9("course_rate").alias("course_rate"))
+    """Shrunk win rate on the course taken, as far as it was seen by the deadline, from the racer's latest period published by then."""
+    return course_rates(spark, sf_dir).select("race_id", "lane", "course", "starts", r9("course_rate").alias("course_rate"))
 
 
-_BLOCK = """, o AS (SELECT race_id, lane, CASE WHEN quantity > 2 THEN 6.5 + disc END AS t, CASE WHEN quantity > 5 THEN price / 100000 END AS st, quantity % 3 - 0.5 AS tilt, (lane + quantity::BIGINT % 4) % 6 + 1 AS course FROM runners),
-z AS (SELECT race_id, lane, tilt, (course <> lane)::INT AS changed,
-  CASE WHEN t IS NOT NULL AND count(t) OVER w >= 2 AND stddev_pop(t) OVER w > 1e-9 THEN (t - avg(t) OVER w) / stddev_pop(t) OVER w ELSE 0 END AS time_z, CASE WHEN st IS NOT NULL AND count(st) OVER w >= 2 AND stddev_pop(st) OVER w > 0 THEN (st - avg(st) OVER w) / stddev_pop(st) OVER w ELSE 0 END AS start_z,
-  count(t) OVER w = 6 AS block_complete FROM o WINDOW w AS (PARTITION BY race_id))"""
+_BLOCK = """, o AS (SELECT * FROM ob QUALIFY row_number() OVER (PARTITION BY race_id, lane ORDER BY observed_at) = 1),
+z AS (SELECT race_id, lane, observed_at, t, tilt, course, (course <> lane)::INT AS changed, CASE WHEN t IS NOT NULL AND count(t) OVER w >= 2 AND stddev_pop(t) OVER w > 0 THEN (t - avg(t) OVER w) / stddev_pop(t) OVER w ELSE 0 END AS time_z,
+  CASE WHEN st IS NOT NULL AND count(st) OVER w >= 2 AND stddev_pop(st) OVER w > 0 THEN (st - avg(st) OVER w) / stddev_pop(st) OVER w ELSE 0 END AS start_z, count(*) FILTER (t IS NOT NULL AND tilt IS NOT NULL AND course IS NOT NULL) OVER w = 6 AS block_complete FROM o WINDOW w AS (PARTITION BY race_id))"""
+
+
+def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two captures of the boats before a race: one up to three days after the card, one a week after it for some lanes."""
+    d, q = runners(spark, sf_dir), F.col("quantity")
+    first = d.select("race_id", "lane", (F.col("available_at") + F.make_dt_interval(days=(q % 4).cast("int"))).alias("observed_at"), F.when(q > 2, 6.5 + F.col("disc")).alias("exhibition_time"), F.when(q > 5, F.col("price") / 100000).alias("start_timing"), (q % 3 - 0.5).alias("tilt"), F.when(q % 25 != 7, (F.col("lane") + q.cast("long") % 4) % 6 + 1).alias("course"))
+    none = F.lit(None).cast("double")
+    again = d.where(q % 2 == 1).select("race_id", "lane", F.expr("available_at + INTERVAL 7 DAYS").alias("observed_at"), F.lit(6.7).alias("exhibition_time"), none.alias("start_timing"), F.lit(0.0).alias("tilt"), (7 - F.col("lane")).alias("course"))
+    return first.unionByName(again)
 
 
 def pre_race(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = runners(spark, sf_dir)
-    o = d.select("race_id", "lane", F.col("available_at").alias("observed_at"), F.when(F.col("quantity") > 2, 6.5 + F.col("disc")).alias("exhibition_time"), F.when(F.col("quantity") > 5, F.col("price") / 100000).alias("start_timing"), (F.col("quantity") % 3 - 0.5).alias("tilt"), ((F.col("lane") + F.col("quantity").cast("long") % 4) % 6 + 1).alias("course"))
-    return features.pre_race_block(d.select("race_id", "lane"), o)
+    return features.pre_race_block(runners(spark, sf_dir).select("race_id", "lane"), observations(spark, sf_dir))
 
 
-@R.query(_BLOCK + " SELECT race_id, lane, round(start_z, 6) AS start_z, tilt, changed, block_complete FROM z")
+@R.query(_OBSERVED + _BLOCK + " SELECT race_id, lane, round(time_z, 6) AS time_z, round(start_z, 6) AS start_z, tilt, changed, block_complete FROM z")
 def pre_race_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = pre_race(spark, sf_dir)
-    return d.select("race_id", "lane", F.round("start_z", 6).alias("start_z"), "tilt", F.col("course_changed").alias("changed"), "block_complete")
+    return d.select("race_id", "lane", F.round("time_z", 6).alias("time_z"), F.round("start_z", 6).alias("start_z"), "tilt", F.col("course_changed").alias("changed"), "block_complete")
 
 
-FEATURES = ["rate", "disc", "odds", "prior_n", "form", "starts", "course_rate", "start_z", "tilt", "changed"]
-_LONG = _SERIES + _COURSE + _BLOCK + """, lf AS (SELECT u.race_id, u.lane, u.race_date, u.finished, u.won, u.race_class, u.rate, u.disc, u.odds, prior_n, form, starts, course_rate, start_z, tilt, changed, block_complete, count(*) OVER (PARTITION BY u.race_id) AS k
-FROM runners u JOIN form USING (race_id, lane) JOIN course USING (race_id, lane) JOIN z USING (race_id, lane))"""
-_CELLS = ", ".join(f"round(max({f}) FILTER (lane = {n}), 6)::DOUBLE AS lane{n}_{f}" for n in range(1, 7) for f in FEATURES)
-_SEEDED = "race_class LIKE '1%' OR race_class LIKE '4%'"
+CARD = ["national_win", "national_second", "local_win", "local_second", "motor_second", "boat_second", "age", "weight"]
+FEATURES = [*CARD, "class_rank", "prior_n", "form", "time_z", "start_z", "tilt", "changed", "course_rate", "starts"]
+LABELS = ("A1", "A2", "B1", "B2")
+_CARD = """, card AS (SELECT u.*, u.rate AS national_win, u.disc * 500 AS national_second, u.tax * 100 AS local_win, u.price / 2000 AS local_second, p_size AS motor_second, p_retailprice / 50 AS boat_second, 18 + u.racer % 40 AS age, CASE WHEN u.quantity < 50 THEN 45 + u.part % 15 END AS weight,
+  CASE WHEN u.racer % 50 > 0 THEN 4.0 - u.racer % 4 END AS class_rank, rank() OVER (PARTITION BY u.race_id ORDER BY u.disc) AS placed FROM runners u LEFT JOIN part ON p_partkey = u.part)"""
+
+
+def cards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runners with the printed fields, and the place of a timed finish (ties share one)."""
+    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("part"), F.col("p_size").alias("motor_second"), (F.col("p_retailprice") / 50).alias("boat_second"))
+    label = F.element_at(F.array(*map(F.lit, LABELS)), (F.col("racer") % 4 + 1).cast("int"))
+    d = in_series(spark, sf_dir).join(p, "part", "left").withColumn("label", F.when(F.col("racer") % 50 > 0, label).otherwise("")).withColumn("class_rank", text.class_rank(F.col("label")))
+    d = d.withColumns({"national_win": F.col("rate"), "national_second": F.col("disc") * 500, "local_win": F.col("tax") * 100, "local_second": F.col("price") / 2000, "age": 18 + F.col("racer") % 40, "weight": F.when(F.col("quantity") < 50, 45 + F.col("part") % 15)})
+    return d.withColumn("placed", F.rank().over(Window.partitionBy("race_id").orderBy("disc")))
 
 
-def feature_rows(spark: SparkSession, sf_dir: str, training: bool) -> DataFrame:
-    """One definition for training and prediction: the races' complete fields, lane{n}_{feature}, whether standings seed the
-    lanes; in training finished races and the winner, else the races still to come."""
+def feature_rows(spark: SparkSession, sf_dir: str, training: bool, start: str | None = None, end: str | None = None) -> DataFrame:
+    """race_id, reason, lane{n}_{feature}, seeded, field_a1_count, field_win_rate_sd, and in training winner and second (null unless
+    exactly one boat has that place); a row a race of the window, excluded ones too.
+
+    One definition for training (finished races) and prediction (those to come). Form reads LOOKBACK_DAYS before the
+    window; what wasn't known by the deadline, card or observation, excludes the race."""
+    d = cards(spark, sf_dir)
+    if start:
+        d = d.where(F.col("race_date").between(F.date_sub(F.lit(start).cast("date"), features.LOOKBACK_DAYS), F.lit(end).cast("date")))
+    d = features.series_form(d, ["venue", "session", "racer"], "session").where("finished" if training else "NOT finished")
+    if start:
+        d = d.where(F.col("race_date") >= F.lit(start).cast("date"))
     key = ["race_id", "lane"]
-    d = features.series_form(in_series(spark, sf_dir), ["venue", "session", "racer"], "session").where("lanes = 6").where("finished" if training else "NOT finished")
-    d = d.join(course_rates(spark, sf_dir).drop("racer", "deadline"), key).join(pre_race(spark, sf_dir).withColumnRenamed("course_changed", "changed"), key).where("block_complete")
-    d = d.select(*key, "won", "race_class", *[F.round(F.col(c).cast("double"), 6).alias(c) for c in FEATURES])
-    w = features.wide(d, FEATURES, 6, F.max(F.when(F.col("won"), F.col("lane"))).alias("winner"), F.first("race_class").alias("race_class"))
+    d = d.join(course_rates(spark, sf_dir).drop("racer", "deadline", "course"), key).join(pre_race(spark, sf_dir).withColumnRenamed("course_changed", "changed"), key)
+    d = d.withColumn("late", (F.col("available_at") > F.col("deadline")) | F.coalesce(F.col("observed_at") > F.col("deadline"), F.lit(False))).withColumn("won", F.col("placed") == 1)
+    single = lambda place: F.when(F.count_if(F.col("placed") == place) == 1, F.max(F.when(F.col("placed") == place, F.col("lane"))))
+    more = [features.exclusion_reason([*CARD, "class_rank"], training, features.BLOCK).alias("reason"), F.first("race_class").alias("race_class"), *[c.alias(n) for c, n in zip((single(1), single(2)), ("winner", "second"))]]
+    d = d.withColumns({c: F.round(F.col(c).cast("double"), 6) for c in FEATURES})
+    w = features.wide(d, FEATURES, 6, *more, *features.field_globals("national_win", "label")).withColumn("field_win_rate_sd", F.round("field_win_rate_sd", 6))
     title = F.when(F.col("race_class").startswith("1"), "優　勝戦").when(F.col("race_class").startswith("4"), "準優勝戦").otherwise("一般")
     w = w.withColumn("seeded", text.standing_seeded(text.race_phase(title))).drop("race_class")
-    return w if training else w.drop("winner")
+    return w if training else w.drop("winner", "second")
+
+
+def _rows_sql(training: bool, start: str | None = None, end: str | None = None) -> str:
+    """fr: the races' feature rows in long form, of the window; reasons: a race's reason in the order of the exclusions."""
+    series = _SERIES if not start else _SERIES.replace("AND s.day = r.race_date)", f"AND s.day = r.race_date WHERE r.race_date BETWEEN DATE '{start}' - 10 AND DATE '{end}')")
+    inside = f"AND race_date >= DATE '{start}'" if start else ""
+    missing = " OR ".join(f"{c} IS NULL" for c in [*CARD, "class_rank"])
+    winner = "WHEN count(*) FILTER (placed = 1) <> 1 THEN 'one_winner'" if training else ""
+    return series + _OBSERVED + _COURSE + _BLOCK + _CARD + f""", fr AS (SELECT card.*, prior_n, form, starts, course_rate, t, observed_at, z.course, time_z, start_z, tilt, changed FROM card JOIN form USING (race_id, lane) JOIN course USING (race_id, lane) JOIN z USING (race_id, lane) WHERE {'' if training else 'NOT '}finished {inside}),
+reasons AS (SELECT race_id, CASE WHEN count(*) <> 6 OR count(DISTINCT lane) <> 6 THEN 'six_lanes' WHEN bool_or(available_at > deadline OR coalesce(observed_at > deadline, false)) THEN 'late_feature' {winner} WHEN bool_or({missing}) THEN 'missing_feature' WHEN bool_or(t IS NULL OR tilt IS NULL OR course IS NULL) THEN 'pre_race_block' END AS reason FROM fr GROUP BY race_id)"""
+
+
+_CELLS = ", ".join(f"round(max({f}) FILTER (lane = {n}), 6)::DOUBLE AS lane{n}_{f}" for n in range(1, 7) for f in FEATURES)
+_FIELD = "bool_or(race_class LIKE '1%' OR race_class LIKE '4%') AS seeded, count(*) FILTER (racer % 50 > 0 AND racer % 4 = 0) AS field_a1_count, round(stddev_samp(national_win), 6) AS field_win_rate_sd"
+_TARGETS = ", ".join(f"CASE WHEN count(*) FILTER (placed = {k}) = 1 THEN max(lane) FILTER (placed = {k}) END AS {n}" for k, n in ((1, "winner"), (2, "second")))
+_KEPT = f" SELECT race_id, {_CELLS}, {_FIELD}, {_TARGETS} FROM fr JOIN reasons USING (race_id) WHERE reason IS NULL GROUP BY race_id"
 
 
-@R.query(_LONG + f" SELECT race_id, {_CELLS}, max(lane) FILTER (won) AS winner, bool_or({_SEEDED}) AS seeded FROM lf WHERE k = 6 AND finished AND block_complete GROUP BY race_id")
+@R.query(_rows_sql(True) + _KEPT)
 def training_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return feature_rows(spark, sf_dir, True)
+    """Finished races that nothing excludes."""
+    return feature_rows(spark, sf_dir, True).where("reason IS NULL").drop("reason")
+
+
+WINDOW = ("1996-07-01", "1999-06-30")
+
+
+@R.query(_rows_sql(True, *WINDOW) + _KEPT)
+def training_features_in_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The window alone is read, and ten days before it for the form of series that began there."""
+    return feature_rows(spark, sf_dir, True, *WINDOW).where("reason IS NULL").drop("reason")
+
 
+_PREDICTED = ", ".join(f"round({f}, 6)::DOUBLE AS {f}" for f in FEATURES)
 
-@R.query(_LONG + f" SELECT race_id, lane, {', '.join(f'round({f}, 6)::DOUBLE AS {f}' for f in FEATURES)} FROM lf WHERE k = 6 AND NOT finished AND block_complete")
+
+@R.query(_rows_sql(False) + f" SELECT race_id, lane, {_PREDICTED} FROM fr JOIN reasons USING (race_id) WHERE reason IS NULL")
 def prediction_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same rows for races without a result, back in long form."""
-    return features.long(feature_rows(spark, sf_dir, False), FEATURES).withColumn("lane", F.col("lane").cast("long"))
+    return features.long(feature_rows(spark, sf_dir, False).where("reason IS NULL"), FEATURES).withColumn("lane", F.col("lane").cast("long"))
+
+
+def _tally_sql(part: str, training: bool) -> str:
+    return f"SELECT '{part}' AS part, coalesce(reason, 'used') AS reason, count(*) AS races FROM (WITH {BASE}{_rows_sql(training)} SELECT * FROM reasons) GROUP BY ALL"
+
+
+@R.query(_tally_sql("training", True) + " UNION ALL " + _tally_sql("prediction", False), base=False)
+def feature_exclusions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Races considered, by the reason that excludes them."""
+    each = [feature_rows(spark, sf_dir, t).groupBy(F.lit(part).alias("part"), F.coalesce("reason", F.lit("used")).alias("reason")).agg(F.count(F.lit(1)).alias("races")) for part, t in (("training", True), ("prediction", False))]
+    return each[0].unionByName(each[1])
 
 
 _REGIMES = "g AS (SELECT n_nationkey::BIGINT AS venue, (DATE '1996-01-01' + (n_nationkey * 60 + k * 400)::INT)::TIMESTAMP AS since, 'fuel' || k AS regime FROM nation, (VALUES (0), (1), (2)) v(k) WHERE n_regionkey <> 2)"
