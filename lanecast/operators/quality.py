@@ -98,6 +98,59 @@ def symmetric_difference(a: DataFrame, b: DataFrame, on: list[str]) -> DataFrame
     return missing.unionByName(b.select(*on).distinct().join(a, on, "left_anti").withColumn("side", F.lit("extra")))
 
 
+def _checks(d: DataFrame, *rows: tuple[str, str, Column, Column]) -> DataFrame:
+    """axis, name, examined, defects, from one aggregate of d."""
+    flat = [F.struct(F.lit(axis).alias("axis"), F.lit(name).alias("name"), F.coalesce(n, F.lit(0)).cast("long").alias("examined"), F.coalesce(bad, F.lit(0)).cast("long").alias("defects")) for axis, name, n, bad in rows]
+    return d.agg(F.array(*flat).alias("c")).select(F.inline("c"))
+
+
+def audit(races: DataFrame, entries: DataFrame, results: DataFrame, placings: DataFrame, meetings: DataFrame, odds: DataFrame, weather: DataFrame) -> DataFrame:
+    """The 19 checks: axis, name, examined, defects.
+
+    races: race_id, race_date, venue, status, deadline, meeting_id. entries: race_id, lane, win_rate, available_at. results: result_id,
+    race_id, available_at. placings: result_id, lane, finish, state. meetings: meeting_id, venue. odds: odds, observed_at, available_at.
+    weather: weather_date, available_at.
+
+    Entries meet their race once and are summed up per race; results and placings likewise, and a race's lanes (its card, so
+    a handful) go with it to its placings. Every further check is an aggregate of one table.
+    """
+    n, all_, count = F.count(F.lit(1)), F.sum, F.count_if
+    repeats = lambda c: n - F.count_distinct(c) - F.max(F.col(c).isNull().cast("int"))
+    e = entries.join(races.select("race_id", "deadline", F.lit(True).alias("known")), "race_id", "left")
+    per_card = e.groupBy("race_id").agg(
+        n.alias("boats"), F.collect_set("lane").alias("lanes"), repeats("lane").alias("repeated"), count(F.col("win_rate").isNull()).alias("no_rate"), count(~F.col("win_rate").between(0, 10)).alias("rate_off"),
+        count(~F.col("lane").between(1, 6)).alias("lane_off"), count(F.col("deadline").isNotNull()).alias("timed"), count(F.col("available_at") > F.col("deadline")).alias("late"),
+    )
+    r = results.join(races.select("race_id", "deadline", "status", F.lit(True).alias("known")), "race_id", "left")
+    p = placings.groupBy("result_id").agg(n.alias("places"), repeats("lane").alias("twice"), F.collect_list("lane").alias("placed_lanes"), F.count("finish").alias("numbered"), count(F.col("finish") == 1).alias("firsts"), count((~F.col("finish").between(1, 6)) | (F.col("finish").isNull() & F.col("state").isNull())).alias("finish_off"))
+    per_result = r.join(p, "result_id", "full_outer").join(per_card.select("race_id", "lanes"), "race_id", "left")
+    carded = F.col("lanes").isNotNull() & F.col("result_id").isNotNull() & F.col("race_id").isNotNull()
+    ran = (F.col("status") == "finished") & (F.col("numbered") > 0)
+    strange = F.size(F.filter("placed_lanes", lambda x: ~F.array_contains(F.col("lanes"), x)))
+    known = races.join(per_card.select("race_id", "boats"), "race_id", "left").join(results.groupBy("race_id").agg(n.alias("outcomes")), "race_id", "left")
+    due = F.col("status") != "cancelled"
+    held = races.join(meetings.select("meeting_id", F.col("venue").alias("host")), "meeting_id").groupBy("meeting_id").agg(F.count_distinct("race_date").alias("days"))
+    hosts = races.where("meeting_id IS NOT NULL").join(meetings.select("meeting_id", F.col("venue").alias("host")), "meeting_id", "left")
+    parts = [
+        _checks(known, ("completeness", "races_have_six_entries", count(due), count(due & (F.coalesce("boats", F.lit(0)) != 6))), ("completeness", "finished_races_have_a_result", count(F.col("status") == "finished"), count((F.col("status") == "finished") & F.col("outcomes").isNull())), ("completeness", "races_have_a_deadline", count(due), count(due & F.col("deadline").isNull()))),
+        _checks(
+            per_card, ("completeness", "entries_have_a_national_win_rate", all_("boats"), all_("no_rate")), ("uniqueness", "one_entry_per_lane", all_("boats"), all_("repeated")), ("validity", "lane_numbers_in_range", all_("boats"), all_("lane_off")),
+            ("validity", "win_rates_in_range", all_(F.col("boats") - F.col("no_rate")), all_("rate_off")), ("point_in_time", "card_features_precede_the_deadline", all_("timed"), all_("late")),
+        ),
+        _checks(results.groupBy("race_id").agg(n.alias("n")), ("uniqueness", "one_result_per_race", all_("n"), all_(F.col("n") - 1))),
+        _checks(
+            per_result, ("uniqueness", "one_result_entry_per_lane", all_("places"), all_("twice")), ("validity", "finish_positions_in_range", all_("places"), all_("finish_off")),
+            ("consistency", "a_race_that_produced_placings_has_a_first", count(ran), count(ran & (F.col("firsts") == 0))), ("consistency", "result_lanes_match_the_card", all_(F.when(carded, F.col("places"))), all_(F.when(carded, strange))),
+            ("point_in_time", "results_do_not_precede_their_race", count("known"), count(F.col("available_at") <= F.col("deadline"))),
+        ),
+        _checks(hosts, ("consistency", "races_belong_to_their_venue_meeting", n, count(F.col("host") != F.col("venue")))),
+        _checks(meetings.select("meeting_id").join(held, "meeting_id", "left"), ("consistency", "meetings_span_a_plausible_series", n, count(F.col("days") > 9))),
+        _checks(odds, ("validity", "odds_are_quotable", n, count(F.col("odds") < 1.0)), ("point_in_time", "odds_available_at_matches_observed_at", n, count(F.col("available_at") != F.col("observed_at")))),
+        _checks(weather, ("point_in_time", "weather_is_not_available_before_its_day", n, count(F.col("available_at") < F.col("weather_date")))),
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def axis_scores(checks: DataFrame) -> DataFrame:
     """checks: axis, name, examined, defects. Weight times the plain mean of pass rates; nothing examined isn't counted; none: full marks."""
     spark = checks.sparkSession

@@ -233,53 +233,6 @@ def reference_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.symmetric_difference(a, b, ["key"])
 
 
-_AUDIT = """, c AS (SELECT 'completeness' AS axis, 'races_have_six_entries' AS name, count(*) AS examined, count(*) FILTER (n <> 6) AS defects FROM (SELECT race_id, count(lane) AS n FROM races LEFT JOIN entries USING (race_id) GROUP BY race_id)
-UNION ALL SELECT 'completeness', 'finished_races_have_a_result', count(*), count(*) FILTER (race_id NOT IN (SELECT race_id FROM entries)) FROM races WHERE finished
-UNION ALL SELECT 'completeness', 'entries_have_a_rate', count(*), count(*) FILTER (rate IS NULL) FROM entries
-UNION ALL SELECT 'uniqueness', 'one_line_per_number', count(*), count(*) - count(DISTINCT (l_orderkey, l_linenumber)) FROM lineitem
-UNION ALL SELECT 'validity', 'lane_numbers_in_range', count(*), count(*) FILTER (l_linenumber NOT BETWEEN 1 AND 6) FROM lineitem
-UNION ALL SELECT 'validity', 'rates_in_range', count(*), count(*) FILTER (rate NOT BETWEEN 0 AND 10) FROM entries
-UNION ALL SELECT 'validity', 'odds_are_quotable', count(*), count(*) FILTER (odds < 1.2) FROM entries
-UNION ALL SELECT 'consistency', 'placings_have_a_first', count(DISTINCT race_id), count(DISTINCT race_id) - count(DISTINCT race_id) FILTER (finish = 1) FROM runners
-UNION ALL SELECT 'point_in_time', 'features_precede_the_deadline', count(*), count(*) FILTER (available_at > deadline) FROM runners)"""
-
-
-def _audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One conditional aggregate per table, unpivoted to checks."""
-    lines, e, ra, ru = table(spark, sf_dir, "lineitem"), entries(spark, sf_dir), races(spark, sf_dir), runners(spark, sf_dir)
-
-    def checks(d: DataFrame, *rows: tuple) -> DataFrame:
-        flat = []
-        for axis, name, examined, defects in rows:
-            flat.append(F.struct(F.lit(axis).alias("axis"), F.lit(name).alias("name"), examined.cast("long").alias("examined"), defects.cast("long").alias("defects")))
-        return d.agg(F.array(*flat).alias("c")).select(F.inline("c"))
-
-    n = F.count(F.lit(1))
-    per_race = ra.join(e.groupBy("race_id").agg(n.alias("n")), "race_id", "left")
-    parts = [
-        checks(per_race, ("completeness", "races_have_six_entries", n, F.count_if(F.coalesce("n", F.lit(0)) != 6)), ("completeness", "finished_races_have_a_result", F.count_if("finished"), F.count_if(F.col("finished") & F.col("n").isNull()))),
-        checks(e, ("completeness", "entries_have_a_rate", n, F.count_if(F.col("rate").isNull())), ("validity", "rates_in_range", n, F.count_if(~F.col("rate").between(0, 10))), ("validity", "odds_are_quotable", n, F.count_if(F.col("odds") < 1.2))),
-        checks(lines, ("uniqueness", "one_line_per_number", n, n - F.count_distinct("l_orderkey", "l_linenumber")), ("validity", "lane_numbers_in_range", n, F.count_if(~F.col("l_linenumber").between(1, 6)))),
-        checks(ru, ("consistency", "placings_have_a_first", F.count_distinct("race_id"), F.count_distinct("race_id") - F.count_distinct(F.when(F.col("finish") == 1, F.col("race_id")))), ("point_in_time", "features_precede_the_deadline", n, F.count_if(F.col("available_at") > F.col("deadline")))),
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
-
-
-@R.query(_AUDIT + " SELECT * FROM c")
-def quality_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _audit(spark, sf_dir)
-
-
-@R.query(_AUDIT + """, w(axis, weight) AS (VALUES ('completeness', 25), ('uniqueness', 15), ('validity', 20), ('consistency', 15), ('point_in_time', 25)), s AS (SELECT axis, weight * coalesce(avg(1 - defects / examined), 1) AS score FROM w LEFT JOIN c USING (axis) WHERE examined IS NULL OR examined > 0 GROUP BY axis, weight)
-SELECT round(sum(score), 9) AS score, CASE WHEN sum(score) >= 95 THEN 'train_or_predict' WHEN sum(score) >= 90 THEN 'predict_with_warning' WHEN sum(score) >= 80 THEN 'research_only' ELSE 'blocked' END AS verdict FROM s""")
-def quality_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = quality.axis_scores(_audit(spark, sf_dir)).agg(F.sum("score").alias("score"))
-    return d.select(r9("score").alias("score"), quality.verdict(F.col("score")).alias("verdict"))
-
-
 @R.query("SELECT strftime(race_date, '%Y-%m-%d') || '-' || lpad(venue::VARCHAR, 2, '0') || '-' || lpad((race_id % 14)::VARCHAR, 2, '0') AS race_key, coalesce(venue BETWEEN 1 AND 24 AND race_id % 14 BETWEEN 1 AND 12, false) AS valid FROM races")
 def race_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.col("race_id") % 14
