@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lanecast.functions import pricing
+from lanecast.operators import ranks
 
 # fixed values
 Z = {0.80: 1.2816, 0.90: 1.6449, 0.95: 1.96, 0.99: 2.5758}
@@ -39,9 +40,13 @@ def expected_calibration_error(df: DataFrame, p: str, hit: str, bins: int, by: l
 
 def lane_prior(df: DataFrame, by: list[str], lane: str, won: str, smoothing: float, lanes: int = 6) -> DataFrame:
     """(wins + s) / (N + lanes s) for each of the lanes, present or not."""
-    spark = df.sparkSession
-    every = spark.range(1, lanes + 1).select(F.col("id").cast("int").alias("lane"))
     wins = df.where(won).groupBy(*by, F.col(lane).cast("int").alias("lane")).agg(F.count(F.lit(1)).alias("wins"))
+    return lane_prior_of(wins, by, smoothing, lanes)
+
+
+def lane_prior_of(wins: DataFrame, by: list[str], smoothing: float, lanes: int = 6) -> DataFrame:
+    """As lane_prior, of counts: by, lane, wins."""
+    every = wins.sparkSession.range(1, lanes + 1).select(F.col("id").cast("int").alias("lane"))
     total = wins.groupBy(*by).agg(F.sum("wins").alias("n"))
     d = total.crossJoin(F.broadcast(every)).join(wins, [*by, "lane"], "left")
     return d.select(*by, "lane", ((F.coalesce("wins", F.lit(0)) + smoothing) / (F.col("n") + lanes * smoothing)).alias("p"))
@@ -101,13 +106,41 @@ def rule_book(bets: DataFrame, by: list[str], drop: int = 10) -> DataFrame:
 
 
 def tail_concentration(bets: DataFrame, by: list[str]) -> DataFrame:
-    """Share of all return in the best 1 % of bets (one at least) and in the best ten; zeros below two bets or without return."""
-    w = Window.partitionBy(*by)
-    d = bets.withColumn("__n", F.count(F.lit(1)).over(w)).withColumn("__r", F.row_number().over(w.orderBy(F.col("ret").desc(), "race_id")))
-    d = d.groupBy(*by).agg(F.max("__n").alias("n"), F.sum("ret").alias("total"), F.sum(F.when(F.col("__r") <= F.greatest(F.lit(1), F.floor(F.col("__n") / 100)), F.col("ret"))).alias("top1"), F.sum(F.when(F.col("__r") <= 10, F.col("ret"))).alias("top10"))
-    ok = (F.col("n") >= 2) & (F.col("total") > 0)
-    share = lambda c: F.when(ok, F.col(c) / F.nullif(F.col("total"), F.lit(0.0))).otherwise(0.0)
-    return d.select(*by, "n", share("top1").alias("top_percent_share"), share("top10").alias("top_ten_share"))
+    """Share of all return in the best 1 % of bets (one at least) and in the best ten; zeros below two bets or without return.
+
+    The sums need no order but the two values where the best end: above such a value all counts, at it as many as are left."""
+    n = F.col("n")
+    best = {"percent": F.greatest(F.lit(1), F.floor(n / 100)), "ten": F.least(F.lit(10), n)}
+    cut = ranks.values_at(bets, by, "ret", {k: n - most + 1 for k, most in best.items()})
+    sums = [F.sum("ret").alias("total")] + [c for k in best for c in (F.sum(F.when(F.col("ret") > F.col(k), F.col("ret")).otherwise(0.0)).alias(f"{k}_sum"), F.count_if(F.col("ret") > F.col(k)).alias(f"{k}_n"))]
+    d = bets.select(*by, "ret").join(cut, by).groupBy(*by, "n", *best).agg(*sums)
+    ok = (n >= 2) & (F.col("total") > 0)
+    share = lambda k: F.when(ok, (F.col(f"{k}_sum") + (best[k] - F.col(f"{k}_n")) * F.col(k)) / F.nullif(F.col("total"), F.lit(0.0))).otherwise(0.0)
+    return d.select(*by, "n", share("percent").alias("top_percent_share"), share("ten").alias("top_ten_share"))
+
+
+def quote_realisation(hits: DataFrame, by: list[str]) -> DataFrame:
+    """hits: odds, ret. Mean and median of return over quote, and the median quote."""
+    d = hits.withColumn("x", F.col("ret") / F.col("odds"))
+    middle = lambda c: ranks.values_at(d, by, c, ranks.quantile("m", 0.5)).select(*by, ranks.interpolated("m", 0.5).alias(f"median_{c}"))
+    return d.groupBy(*by).agg(F.count(F.lit(1)).alias("hits"), F.avg("x").alias("mean_x")).join(middle("x"), by).join(middle("odds"), by)
+
+
+def floor_effect(candidates: DataFrame, floor: float, wide: float) -> DataFrame:
+    """candidates: race_id, odds, ret, hit. Races by whether their overround is below `wide` and whether a boat stands at the floor: how many,
+    implied takeout, shortest and longest quote; what backing the boats at the floor, and all others of these races, returns."""
+    at = F.col("odds") <= floor
+    r = candidates.groupBy("race_id").agg(
+        F.sum(pricing.implied(F.col("odds"))).alias("overround"), F.min("odds").alias("shortest"), F.max("odds").alias("longest"), F.count_if(at).alias("n_floor"), F.count(F.lit(1)).alias("n"),
+        F.sum(F.when(at, F.col("ret")).otherwise(0.0)).alias("floor_sum"), F.sum("ret").alias("all_sum"), F.count_if(at & F.col("hit")).alias("floor_hits"), F.count_if(F.col("hit")).alias("all_hits"),
+    )
+    g = r.groupBy((F.col("overround") < wide).alias("low"), (F.col("n_floor") > 0).alias("at_floor"))
+    over = lambda a, b: a / F.nullif(b, F.lit(0))
+    rest = F.sum("n") - F.sum("n_floor")
+    return g.agg(
+        F.count(F.lit(1)).alias("races"), F.avg(1 - 1 / F.col("overround")).alias("takeout"), F.avg("shortest").alias("shortest"), F.avg("longest").alias("longest"), F.sum("n_floor").alias("floor_bets"), over(F.sum("floor_hits"), F.sum("n_floor")).alias("floor_hit_rate"),
+        over(F.sum("floor_sum"), F.sum("n_floor")).alias("floor_return"), rest.alias("other_bets"), over(F.sum("all_hits") - F.sum("floor_hits"), rest).alias("other_hit_rate"), over(F.sum("all_sum") - F.sum("floor_sum"), rest).alias("other_return"),
+    )
 
 
 def draws(df: DataFrame, n: int) -> DataFrame:

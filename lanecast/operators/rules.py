@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,7 +33,10 @@ def select_bets(c: DataFrame, thresholds: dict[str, tuple[float, ...]], group: l
     w = Window.partitionBy(*group)
     d = c.withColumn("ev", F.col("p") * F.col("odds"))
     d = d.withColumn("by_p", F.row_number().over(w.orderBy(F.col("p").desc(), order))).withColumn("by_ev", F.row_number().over(w.orderBy(F.col("ev").desc_nulls_last(), order)))
-    d = d.crossJoin(grid)
+    least = {r: min(ts) for r, ts in thresholds.items()}
+    no = F.lit(False)
+    possible = {"confidence": (F.col("by_p") == 1) & (F.col("p") >= least.get("confidence", 0)), "ev_best": F.col("complete") & (F.col("by_ev") == 1) & (F.col("ev") >= least.get("ev_best", 0)), "ev_all": F.col("complete") & (F.col("ev") >= least.get("ev_all", 0))}
+    d = d.where(reduce(lambda a, b: a | b, [possible[r] for r in thresholds], no)).crossJoin(grid)  # what no threshold takes goes first
     on = ((F.col("rule") == "confidence") & (F.col("by_p") == 1) & (F.col("p") >= F.col("threshold"))) | (F.col("complete") & (F.col("ev") >= F.col("threshold")) & ((F.col("rule") == "ev_all") | ((F.col("rule") == "ev_best") & (F.col("by_ev") == 1))))
     return d.where(on)
 
@@ -39,11 +44,11 @@ def select_bets(c: DataFrame, thresholds: dict[str, tuple[float, ...]], group: l
 def settle(bets: DataFrame, payouts: DataFrame, keys: list[str], combination: str = "combination", refund: str = "特払い") -> DataFrame:
     """payouts: keys, combination, payout (per 100). A paid combination hits; else the refund row of its keys returns part of the
     stake without a hit; else nothing. Races without any payout row are left out."""
-    settled = payouts.select(*keys).distinct()
-    paid = payouts.where(F.col(combination) != refund).groupBy(*keys, combination).agg(F.max("payout").alias("paid"))
-    back = payouts.where(F.col(combination) == refund).groupBy(*keys).agg(F.max("payout").alias("refunded"))
-    d = bets.join(settled, keys, "left_semi").join(paid, [*keys, combination], "left").join(back, keys, "left")
-    return d.withColumn("ret", F.coalesce(F.col("paid"), F.col("refunded"), F.lit(0)) / 100.0).withColumn("hit", F.col("paid").isNotNull()).drop("paid", "refunded")
+    rows = F.collect_list(F.struct(F.col(combination).alias("c"), F.col("payout").alias("amount")))  # a race's few paid combinations
+    p = payouts.groupBy(*keys).agg(rows.alias("__paid"))
+    of = lambda c: F.array_max(F.transform(F.filter("__paid", lambda x: x["c"] == c), lambda x: x["amount"]))
+    d = bets.join(p, keys).withColumn("__hit", F.when(F.col(combination) != refund, of(F.col(combination))))
+    return d.withColumn("ret", F.coalesce("__hit", of(F.lit(refund)), F.lit(0)) / 100.0).withColumn("hit", F.col("__hit").isNotNull()).drop("__paid", "__hit")
 
 
 def market_by_round(quotes: DataFrame, schedule: DataFrame, keys: list[str], rounds: DataFrame, seen: str | None = None) -> DataFrame:
@@ -59,11 +64,20 @@ def band_reference(c: DataFrame, cell: list[str]) -> DataFrame:
     return c.groupBy(*cell).agg(F.count(F.lit(1)).alias("n"), F.avg(F.col("hit").cast("double")).alias("hit_rate"), F.avg("ret").alias("blind_roi"))
 
 
+def priced_cells(c: DataFrame, cell: list[str], threshold: float) -> DataFrame:
+    """band_reference with the implied rate, and beside it what ev_all at the threshold takes of the cell; one aggregate. c: complete candidates."""
+    taken = F.col("p") * F.col("odds") >= threshold
+    sums = [F.count(F.lit(1)).alias("n"), F.avg(F.col("hit").cast("double")).alias("hit_rate"), F.avg("ret").alias("blind_roi"), F.avg(pricing.implied(F.col("odds"))).alias("implied")]
+    return c.groupBy(*cell).agg(*sums, F.count_if(taken).alias("ev_bets"), F.avg(F.when(taken, F.col("ret"))).alias("ev_roi"))
+
+
 def counterfactual(bets: DataFrame, cells: DataFrame, cell: list[str], by: list[str]) -> DataFrame:
-    """What the same cells return blindly: mean of the bets' cell returns, coverage, and the rule's lift over it."""
-    d = bets.join(cells.select(*cell, "blind_roi"), cell, "left")
+    """What the same cells return blindly: mean of the bets' cell returns, coverage, and the rule's lift over it. Bets are summed up by cell
+    before they meet it."""
+    d = bets.groupBy(*by, *cell).agg(F.count(F.lit(1)).alias("bets"), F.sum("ret").alias("returned")).join(cells.select(*cell, "blind_roi"), cell, "left")
     inside = F.col("blind_roi").isNotNull()
-    g = d.groupBy(*by).agg(F.avg("blind_roi").alias("blind"), F.avg(inside.cast("double")).alias("covered"), F.avg(F.when(inside, F.col("ret"))).alias("rule_return"))
+    covered = F.sum(F.when(inside, F.col("bets")))
+    g = d.groupBy(*by).agg((F.sum(F.col("bets") * F.col("blind_roi")) / covered).alias("blind"), (F.coalesce(covered, F.lit(0)) / F.sum("bets")).alias("covered"), (F.sum(F.when(inside, F.col("returned"))) / covered).alias("rule_return"))
     return g.withColumn("lift", F.col("rule_return") / F.nullif(F.col("blind"), F.lit(0.0)))
 
 

@@ -9,18 +9,19 @@ from pyspark.sql import functions as F
 
 from lanecast.plans import betting, pooled
 from lanecast.plans.registry import Registry
+from lanecast.sources import ledgers
 
 R = Registry()
 QUERIES, SQL = R.QUERIES, R.SQL
-# section, module, query, what names an item, metrics; the draws against chance are reported by permutation_against_null and price_noise_summary
+# section, its SQL, what names an item, metrics
 SECTIONS = (
-    ("rules", betting, "rule_book", ("rule", "threshold"), ("bets", "roi", "hit_rate", "trimmed_roi")),
-    ("pools", pooled, "pool_rule_book", ("pool", "rule", "threshold"), ("bets", "roi", "trimmed_roi")),
-    ("bands", betting, "price_band_report", ("band",), ("n", "blind_roi", "ev_roi")),
-    ("counterfactual", betting, "blind_counterfactual", ("rule", "threshold"), ("blind", "covered", "lift")),
-    ("tail", betting, "tail_concentration", ("rule", "threshold"), ("top_percent_share", "top_ten_share")),
-    ("months", betting, "monthly_returns", ("rule", "threshold", "month"), ("bets", "roi")),
-    ("realisation", betting, "quote_realisation", ("rule", "threshold"), ("mean_realisation", "median_realisation")),
+    ("rules", betting.SQL["rule_book"], ("rule", "threshold"), ("bets", "roi", "hit_rate", "trimmed_roi")),
+    ("pools", pooled.SQL["pool_rule_book"], ("pool", "rule", "threshold"), ("bets", "roi", "trimmed_roi")),
+    ("bands", betting.SQL["price_band_report"], ("band",), ("n", "blind_roi", "ev_roi")),
+    ("counterfactual", betting.SQL["blind_counterfactual"], ("rule", "threshold", "controls"), ("blind", "covered", "lift")),
+    ("tail", betting.SQL["tail_concentration"], ("rule", "threshold"), ("top_percent_share", "top_ten_share")),
+    ("months", betting.SQL["monthly_returns"], ("rule", "threshold", "month"), ("bets", "roi")),
+    ("realisation", betting.SQL["quote_realisation"], ("rule", "threshold"), ("mean_realisation", "median_realisation")),
 )
 
 
@@ -30,11 +31,15 @@ def _long(section: str, sql: str, item: tuple, metrics: tuple) -> str:
     return f"SELECT section, item, m.metric AS metric, m.value AS value FROM (SELECT '{section}' AS section, concat_ws('|', {name}) AS item, unnest([{values}]) AS m FROM ({sql}))"
 
 
-@R.query(" UNION ALL ".join(_long(s, module.SQL[q], item, metrics) for s, module, q, item, metrics in SECTIONS), base=False)
+@R.query(" UNION ALL ".join(_long(*x) for x in SECTIONS), base=False)
 def attribution_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """section, item, metric, value of rules, pools, price bands, blind counterfactuals, tails, months and realised quotes."""
+    """section, item, metric, value of rules, pools, price bands, blind counterfactuals, tails, months and realised quotes. Candidates
+    and bets are stored once for all sections; the draws against chance are permutation_against_null and price_noise_summary."""
+    c = betting.kept_candidates(spark, sf_dir)
+    b = ledgers.stored(betting.selected(c), "bets")
+    found = {"rules": betting.book(b, ["rule", "threshold"]), "pools": pooled.QUERIES["pool_rule_book"](spark, sf_dir), "bands": betting.bands(c), "counterfactual": betting.counterfactuals(c, b), "tail": betting.tails(b), "months": betting.months(b), "realisation": betting.realisation(b)}
     parts = []
-    for section, module, query, item, metrics in SECTIONS:
+    for section, _, item, metrics in SECTIONS:
         values = [F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value")) for m in metrics]
-        parts.append(module.QUERIES[query](spark, sf_dir).select(F.lit(section).alias("section"), F.concat_ws("|", *[F.col(c).cast("string") for c in item]).alias("item"), F.inline(F.array(*values))))
+        parts.append(found[section].select(F.lit(section).alias("section"), F.concat_ws("|", *[F.col(c).cast("string") for c in item]).alias("item"), F.inline(F.array(*values))))
     return reduce(DataFrame.unionByName, parts)

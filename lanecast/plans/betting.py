@@ -5,13 +5,14 @@ from __future__ import annotations
 from itertools import accumulate, product
 from math import factorial
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lanecast.functions import pricing
 from lanecast.operators import folds, joint, metrics, rules, windows
 from lanecast.plans.contest import BAND, BASE, candidates, draw_sql, full_fields, races, table
 from lanecast.plans.registry import Registry
+from lanecast.sources import ledgers
 
 R = Registry()
 QUERIES, SQL = R.QUERIES, R.SQL
@@ -26,23 +27,61 @@ BOOK = """count(*) AS bets, count(DISTINCT race_id) AS races, sum(hit::BIGINT)::
 BEST = "row_number() OVER (PARTITION BY {by} ORDER BY hit DESC, ret DESC, race_id) AS best"
 
 
+def selected(c: DataFrame) -> DataFrame:
+    return rules.select_bets(c, THRESHOLDS, ["race_id"], "lane")
+
+
 def bets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rules.select_bets(candidates(spark, sf_dir), THRESHOLDS, ["race_id"], "lane")
+    return selected(candidates(spark, sf_dir))
+
+
+CANDIDATE = ("race_id", "race_date", "lane", "p", "odds", "complete", "ret", "hit")
+
+
+def kept_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored, for queries that read them more than once."""
+    return ledgers.stored(candidates(spark, sf_dir).select(*CANDIDATE), "candidates")
 
 
 def book(d: DataFrame, by: list[str]) -> DataFrame:
     return metrics.rule_book(d, by).withColumns({c: r9(c) for c in ("returned", "roi", "hit_rate", "trimmed_roi")})
 
 
+def bands(c: DataFrame) -> DataFrame:
+    d = rules.priced_cells(c.where("complete").withColumn("band", pricing.price_band(F.col("odds"))), ["band"], 0.5)
+    return d.withColumns({x: r9(x) for x in ("hit_rate", "implied", "blind_roi", "ev_roi")})
+
+
+def counterfactuals(c: DataFrame, b: DataFrame) -> DataFrame:
+    """Per rule, threshold and controls: the price band, or the band with the combination (the lane)."""
+    band, parts = pricing.price_band(F.col("odds")).alias("band"), []
+    for controls, cell in (("band", ["band"]), ("band+combination", ["band", "lane"])):
+        cells = rules.band_reference(c.where("complete").select("*", band), cell)
+        d = rules.counterfactual(b.select("rule", "threshold", "ret", "lane", band), cells, cell, ["rule", "threshold"])
+        parts.append(d.select("rule", "threshold", F.lit(controls).alias("controls"), r9("blind").alias("blind"), r9("covered").alias("covered"), r9("rule_return").alias("rule_roi"), r9("lift").alias("lift")))
+    return parts[0].unionByName(parts[1])
+
+
+def tails(b: DataFrame) -> DataFrame:
+    return metrics.tail_concentration(b, ["rule", "threshold"]).withColumns({c: r9(c) for c in ("top_percent_share", "top_ten_share")})
+
+
+def months(b: DataFrame) -> DataFrame:
+    d = b.groupBy("rule", "threshold", F.date_format("race_date", "yyyy-MM").alias("month"))
+    return d.agg(F.count(F.lit(1)).alias("bets"), r9(F.avg(F.col("hit").cast("int"))).alias("hit_rate"), r9(F.avg("ret")).alias("roi"))
+
+
+def realisation(b: DataFrame) -> DataFrame:
+    d = metrics.quote_realisation(b.where("hit AND odds IS NOT NULL"), ["rule", "threshold"])
+    return d.select("rule", "threshold", "hits", *[r9(old).alias(new) for old, new in (("mean_x", "mean_realisation"), ("median_x", "median_realisation"), ("median_odds", "median_odds"))])
+
+
 @R.query(f""", cells AS (SELECT {BAND} AS band, count(*) AS n, avg(hit::INT) AS hit_rate, avg(ret) AS blind_roi, avg(1 / odds) AS implied FROM candidates WHERE complete GROUP BY ALL),
 {BETS}, e AS (SELECT {BAND} AS band, count(*) AS ev_bets, avg(ret) AS ev_roi FROM bets WHERE rule = 'ev_all' AND threshold = 0.5 GROUP BY ALL)
 SELECT band, n, round(hit_rate, 9) AS hit_rate, round(implied, 9) AS implied, round(blind_roi, 9) AS blind_roi, coalesce(ev_bets, 0) AS ev_bets, round(ev_roi, 9) AS ev_roi FROM cells LEFT JOIN e USING (band)""")
 def price_band_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per price band: hit rate, implied rate and blind return of all candidates, and what an EV rule gets there."""
-    c = candidates(spark, sf_dir).where("complete").withColumn("band", pricing.price_band(F.col("odds")))
-    cells = rules.band_reference(c, ["band"]).join(c.groupBy("band").agg(F.avg(pricing.implied(F.col("odds"))).alias("implied")), "band")
-    ev = rules.select_bets(c, {"ev_all": (0.5,)}, ["race_id"], "lane").groupBy("band").agg(F.count(F.lit(1)).alias("ev_bets"), F.avg("ret").alias("ev_roi"))
-    return cells.join(ev, "band", "left").select("band", "n", r9("hit_rate").alias("hit_rate"), r9("implied").alias("implied"), r9("blind_roi").alias("blind_roi"), F.coalesce("ev_bets", F.lit(0)).alias("ev_bets"), r9("ev_roi").alias("ev_roi"))
+    return bands(candidates(spark, sf_dir))
 
 
 @R.query(f", {BETS}, b AS (SELECT *, {BEST.format(by='rule, threshold')} FROM bets) SELECT rule, threshold, {BOOK} FROM b GROUP BY rule, threshold")
@@ -55,27 +94,24 @@ def selected_bets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bets(spark, sf_dir).select("rule", "threshold", "race_id", "lane", r9("ev").alias("ev"), r9("ret").alias("ret"), "hit")
 
 
-@R.query(f""", {BETS}, cells AS (SELECT {BAND} AS band, avg(ret) AS blind_roi FROM candidates WHERE complete GROUP BY ALL),
-x AS (SELECT b.rule, b.threshold, b.ret, c.blind_roi FROM (SELECT *, {BAND} AS band FROM bets) b LEFT JOIN cells c USING (band))
-SELECT rule, threshold, round(avg(blind_roi), 9) AS blind, round(avg((blind_roi IS NOT NULL)::INT), 9) AS covered, round(avg(ret) FILTER (blind_roi IS NOT NULL), 9) AS rule_roi, round(avg(ret) FILTER (blind_roi IS NOT NULL) / nullif(avg(blind_roi), 0), 9) AS lift FROM x GROUP BY rule, threshold""")
+@R.query(f""", {BETS}, cells AS (SELECT {BAND} AS band, lane, grouping(lane) AS g, avg(ret) AS blind_roi FROM candidates WHERE complete GROUP BY GROUPING SETS ((band), (band, lane))),
+x AS (SELECT b.rule, b.threshold, k.controls, b.ret, c.blind_roi FROM (SELECT *, {BAND} AS band FROM bets) b CROSS JOIN (VALUES ('band', 1), ('band+combination', 0)) k(controls, g) LEFT JOIN cells c ON c.g = k.g AND c.band = b.band AND (k.g = 1 OR c.lane = b.lane))
+SELECT rule, threshold, controls, round(avg(blind_roi), 9) AS blind, round(avg((blind_roi IS NOT NULL)::INT), 9) AS covered, round(avg(ret) FILTER (blind_roi IS NOT NULL), 9) AS rule_roi, round(avg(ret) FILTER (blind_roi IS NOT NULL) / nullif(avg(blind_roi), 0), 9) AS lift FROM x GROUP BY rule, threshold, controls""")
 def blind_counterfactual(spark: SparkSession, sf_dir: str) -> DataFrame:
-    band = pricing.price_band(F.col("odds")).alias("band")
-    cells = rules.band_reference(candidates(spark, sf_dir).where("complete").select("*", band), ["band"])
-    d = rules.counterfactual(bets(spark, sf_dir).select("rule", "threshold", "ret", band), cells, ["band"], ["rule", "threshold"])
-    return d.select("rule", "threshold", r9("blind").alias("blind"), r9("covered").alias("covered"), r9("rule_return").alias("rule_roi"), r9("lift").alias("lift"))
+    c = kept_candidates(spark, sf_dir)
+    return counterfactuals(c, selected(c))
 
 
 @R.query(f""", {BETS}, x AS (SELECT *, count(*) OVER w AS n, row_number() OVER (PARTITION BY rule, threshold ORDER BY ret DESC, race_id) AS r FROM bets WINDOW w AS (PARTITION BY rule, threshold))
 SELECT rule, threshold, max(n) AS n, round(CASE WHEN max(n) >= 2 AND sum(ret) > 0 THEN coalesce(sum(ret) FILTER (r <= greatest(1, n // 100)), 0) / sum(ret) ELSE 0 END, 9) AS top_percent_share,
   round(CASE WHEN max(n) >= 2 AND sum(ret) > 0 THEN sum(ret) FILTER (r <= 10) / sum(ret) ELSE 0 END, 9) AS top_ten_share FROM x GROUP BY rule, threshold""")
 def tail_concentration(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return metrics.tail_concentration(bets(spark, sf_dir), ["rule", "threshold"]).withColumns({c: r9(c) for c in ("top_percent_share", "top_ten_share")})
+    return tails(ledgers.stored(bets(spark, sf_dir).select("rule", "threshold", "ret"), "bets"))
 
 
 @R.query(f", {BETS} SELECT rule, threshold, strftime(race_date, '%Y-%m') AS month, count(*) AS bets, round(avg(hit::INT), 9) AS hit_rate, round(avg(ret), 9) AS roi FROM bets GROUP BY ALL")
 def monthly_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = bets(spark, sf_dir).groupBy("rule", "threshold", F.date_format("race_date", "yyyy-MM").alias("month"))
-    return d.agg(F.count(F.lit(1)).alias("bets"), r9(F.avg(F.col("hit").cast("int"))).alias("hit_rate"), r9(F.avg("ret")).alias("roi"))
+    return months(bets(spark, sf_dir))
 
 
 @R.query(f""", {BETS}, b AS (SELECT *, {BEST.format(by="threshold, cap, lanes_kept, strftime(race_date, '%Y-%m')")} FROM bets, (VALUES (3.0), (6.0), (20.0)) c(cap), (VALUES ('all', 1, 6), ('inner', 1, 3), ('outer', 4, 6)) l(lanes_kept, lo, hi) WHERE rule = 'ev_all' AND odds <= cap AND lane BETWEEN lo AND hi)
@@ -97,14 +133,21 @@ c AS (SELECT * FROM z WHERE n >= 300 QUALIFY row_number() OVER (PARTITION BY mon
 SELECT c.month, c.threshold, c.n AS train_bets, round(c.t, 9) AS train_roi, count(x.ret) AS bets, round(avg(x.ret), 9) AS roi FROM c LEFT JOIN x ON x.month = c.month AND x.threshold = c.threshold AND NOT x.train GROUP BY ALL""")
 def rule_choosing_walk_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each month's rule is the best on all months before, by trimmed return with 300 bets or more, and is applied once."""
-    d = bets(spark, sf_dir).where("rule = 'ev_all'")
-    f = folds.monthly_folds(candidates(spark, sf_dir), "race_date", 12).withColumn("month", F.col("test_start"))
-    x = folds.members(d.drop("month"), "race_date", f)
-    train = x.where("part = 'train'").withColumn("race_id", F.struct("race_id", "lane"))
-    g = metrics.rule_book(train, ["month", "threshold"]).withColumn("grid", F.col("threshold"))
-    chosen = rules.best_rule(g, ["month"], 300).select("month", "threshold", F.col("bets").alias("train_bets"), r9("trimmed_roi").alias("train_roi"))
-    test = x.where("part = 'test'").groupBy("month", "threshold").agg(F.count(F.lit(1)).alias("bets"), r9(F.avg("ret")).alias("roi"))
-    return chosen.join(test, ["month", "threshold"], "left").withColumn("bets", F.coalesce("bets", F.lit(0)))
+    c = kept_candidates(spark, sf_dir)
+    monthly = metrics.partial_book(rules.select_bets(c, {"ev_all": THRESHOLDS["ev_all"]}, ["race_id"], "lane").withColumn("bet_month", F.trunc("race_date", "month")), ["threshold", "bet_month"])
+    d = chosen_by_month(c, monthly, ["threshold"], F.col("threshold"))
+    return d.select("month", "threshold", "train_bets", "train_roi", "bets", "roi")
+
+
+def chosen_by_month(c: DataFrame, monthly: DataFrame, rule: list[str], order: Column, least: int = 300) -> DataFrame:
+    """monthly: partial books by rule and bet_month. Per month after the first 12 the rule that was best before it, and what it returns in it:
+    folds add up months, so no bet is copied into the folds after it."""
+    f = F.broadcast(folds.monthly_folds(c, "race_date", 12).select(F.col("test_start").alias("month")))  # a row a month
+    train = metrics.combined_book(monthly.join(f, F.col("bet_month") < F.col("month")), ["month", *rule])
+    train = train.select("month", *rule, "bets", r9(metrics.trimmed()).alias("trimmed_roi")).withColumn("grid", order)
+    chosen = rules.best_rule(train, ["month"], least).select("month", *rule, F.col("bets").alias("train_bets"), F.col("trimmed_roi").alias("train_roi"))
+    test = monthly.select(F.col("bet_month").alias("month"), *rule, "bets", r9(F.col("returned") / F.col("bets")).alias("roi"))
+    return chosen.join(test, ["month", *rule], "left").withColumn("bets", F.coalesce("bets", F.lit(0)))
 
 
 # fixed values: the published grid of rules, in its order
@@ -124,18 +167,17 @@ FROM c JOIN g USING (grid) LEFT JOIN b ON b.grid = c.grid AND date_trunc('month'
 def grid_walk_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
     """As rule_choosing_walk_forward over the published grid. Bets are summed once a month and rule, with the month's ten
     best hits; folds add up months, so no bet is copied into the folds after it."""
-    c = candidates(spark, sf_dir)
-    grid = spark.createDataFrame(RULES, "grid int, threshold double, cap double, lanes_kept string, lo int, hi int")
+    return grid_choices(kept_candidates(spark, sf_dir))
+
+
+def grid_choices(c: DataFrame) -> DataFrame:
+    """Of candidates with their p: the published grid's choices by month."""
+    grid = c.sparkSession.createDataFrame(RULES, "grid int, threshold double, cap double, lanes_kept string, lo int, hi int")
     on = (F.col("p") * F.col("odds") >= F.col("threshold")) & (F.col("cap").isNull() | (F.col("odds") <= F.col("cap"))) & F.col("lane").between(F.col("lo"), F.col("hi"))
-    b = c.where("complete").join(F.broadcast(grid), on)
+    b = c.where(F.col("complete") & (F.col("p") * F.col("odds") >= min(EV_GRID))).join(F.broadcast(grid), on)
     monthly = metrics.partial_book(b.withColumn("bet_month", F.trunc("race_date", "month")), ["grid", "bet_month"])
-    f = F.broadcast(folds.monthly_folds(c, "race_date", 12).select(F.col("test_start").alias("month")))  # a row a month
-    train = metrics.combined_book(monthly.join(f, F.col("bet_month") < F.col("month")), ["month", "grid"])
-    train = train.select("month", "grid", F.col("bets").alias("bets"), r9(metrics.trimmed()).alias("trimmed_roi"))
-    chosen = rules.best_rule(train, ["month"], 300).select("month", "grid", F.col("bets").alias("train_bets"), F.col("trimmed_roi").alias("train_roi"))
-    test = monthly.select(F.col("bet_month").alias("month"), "grid", "bets", r9(F.col("returned") / F.col("bets")).alias("roi"))
-    d = chosen.join(test, ["month", "grid"], "left").join(F.broadcast(grid), "grid")
-    return d.select("month", "threshold", "cap", "lanes_kept", "train_bets", "train_roi", F.coalesce("bets", F.lit(0)).alias("bets"), "roi")
+    d = chosen_by_month(c, monthly, ["grid"], F.col("grid")).join(F.broadcast(grid), "grid")
+    return d.select("month", "threshold", "cap", "lanes_kept", "train_bets", "train_roi", "bets", "roi")
 
 
 @R.query(f""", e AS (SELECT a.race_id, a.lane AS i, b.lane AS j, a.p * b.p / nullif(sum(b.p) OVER (PARTITION BY a.race_id, a.lane), 0) AS p FROM fields a JOIN fields b ON a.race_id = b.race_id AND a.lane <> b.lane)
@@ -288,8 +330,7 @@ def subgroup_stability(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @R.query(f""", {BETS} SELECT rule, threshold, count(*) AS hits, round(avg(ret / odds), 9) AS mean_realisation, round(quantile_cont(ret / odds, 0.5), 9) AS median_realisation, round(quantile_cont(odds, 0.5), 9) AS median_odds FROM bets WHERE hit AND odds IS NOT NULL GROUP BY ALL""")
 def quote_realisation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = bets(spark, sf_dir).where("hit AND odds IS NOT NULL").withColumn("x", F.col("ret") / F.col("odds"))
-    return d.groupBy("rule", "threshold").agg(F.count(F.lit(1)).alias("hits"), r9(F.avg("x")).alias("mean_realisation"), r9(F.percentile("x", F.lit(0.5))).alias("median_realisation"), r9(F.percentile("odds", F.lit(0.5))).alias("median_odds"))
+    return realisation(ledgers.stored(bets(spark, sf_dir).where("hit AND odds IS NOT NULL").select("rule", "threshold", "hit", "odds", "ret"), "bets"))
 
 
 ROUND_SQL = "(VALUES ('t-2', 0.0, 5.0), ('t-10', 5.0, 20.0), ('t-60', 20.0, 90.0)) w(round, lo, hi)"

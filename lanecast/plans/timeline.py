@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lanecast.functions import keys, pricing, text
-from lanecast.operators import features, folds, metrics, quality, temporal, windows
+from lanecast.operators import features, folds, metrics, quality, ranks, temporal, windows
 from lanecast.plans.contest import entries, full_fields, races, runners, table
 from lanecast.plans.registry import Registry
+from lanecast.sources import ledgers
 
 R = Registry()
 QUERIES, SQL = R.QUERIES, R.SQL
@@ -173,9 +174,12 @@ SELECT fold, count(*) AS races, round(ln(6), 9) AS uniform, round(avg(a), 9) AS
 def fold_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Uniform, lane prior fitted before each month, and the given probabilities, on the same folds."""
     d = full_fields(spark, sf_dir)
-    x = folds.members(d, "race_date", folds.monthly_folds(d, "race_date", 12))
-    prior = metrics.lane_prior(x.where("part = 'train'"), ["fold"], "lane", "won", 1.0).withColumnRenamed("p", "prior")
-    t = x.where("part = 'test' AND won").withColumn("lane", F.col("lane").cast("int")).join(F.broadcast(prior), ["fold", "lane"])  # six rows a fold
+    f = F.broadcast(folds.monthly_folds(d, "race_date", 12).select("fold", "test_start"))  # a row a month
+    won = d.where("won").withColumn("month", F.trunc("race_date", "month")).withColumn("lane", F.col("lane").cast("int"))
+    wins = won.groupBy("month", "lane").agg(F.count(F.lit(1)).alias("wins"))  # folds add up months; no race is copied
+    wins = wins.join(f, F.col("month") < F.col("test_start")).groupBy("fold", "lane").agg(F.sum("wins").alias("wins"))
+    prior = metrics.lane_prior_of(wins, ["fold"], 1.0).withColumnRenamed("p", "prior")
+    t = won.join(f, F.col("month") == F.col("test_start")).join(F.broadcast(prior), ["fold", "lane"])  # six rows a fold
     loss = lambda c: F.avg(-F.log(F.greatest(F.col(c), F.lit(1e-12))))
     g = t.groupBy(F.col("fold").cast("long").alias("fold")).agg(F.count(F.lit(1)).alias("races"), loss("prior").alias("a"), loss("p").alias("b"))
     return g.select("fold", "races", r9(F.log(F.lit(6.0))).alias("uniform"), r9("a").alias("lane_prior"), r9("b").alias("model"), (F.col("b") < F.col("a")).alias("won_fold"))
@@ -263,10 +267,13 @@ def split_half_persistence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return h.agg(F.count(F.lit(1)).alias("racers"), F.round(F.corr("a", "b"), 6).alias("persistence"))
 
 
-@R.query(", t AS (SELECT lane, won, ntile(3) OVER (PARTITION BY lane ORDER BY quantity, race_id) AS third FROM fields) SELECT lane, third::BIGINT AS third, count(*) AS n, round(avg(won::INT), 9) AS win_rate FROM t GROUP BY ALL")
+@R.query(""", x AS (SELECT lane, quantity, row_number() OVER (PARTITION BY lane ORDER BY quantity) AS r, count(*) OVER (PARTITION BY lane) AS n FROM fields),
+k AS (SELECT lane, max(quantity) FILTER (r = (n + 2) // 3) AS a, max(quantity) FILTER (r = (2 * n + 2) // 3) AS b FROM x GROUP BY lane)
+SELECT lane, CASE WHEN quantity <= a THEN 1 WHEN quantity <= b THEN 2 ELSE 3 END::BIGINT AS third, count(*) AS n, round(avg(won::INT), 9) AS win_rate FROM fields JOIN k USING (lane) GROUP BY ALL""")
 def factor_thirds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Win rate by third of the rate within each lane."""
-    d = full_fields(spark, sf_dir).withColumn("third", F.ntile(3).over(Window.partitionBy("lane").orderBy("quantity", "race_id")).cast("long"))
+    """Win rate by third of the rate within each lane; equal rates share a third."""
+    f = ledgers.stored(full_fields(spark, sf_dir).select("lane", "quantity", "won"), "factor")
+    d = f.join(ranks.thirds(f, ["lane"], "quantity"), "lane").withColumn("third", ranks.third(F.col("quantity")))
     return d.groupBy("lane", "third").agg(F.count(F.lit(1)).alias("n"), r9(F.avg(F.col("won").cast("int"))).alias("win_rate"))
 
 

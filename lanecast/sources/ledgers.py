@@ -12,11 +12,23 @@ SUFFIXES = (".lzh", ".txt", ".csv", ".zip", ".json")
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A fresh folder that driver and executors share: below spark.checkpoint.dir; a local one where that is unset (tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='spark-shared-')}"
+    """A fresh folder that driver and executors share: below spark.checkpoint.dir; a local one where that is unset and Spark is
+    local (tests)."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if base is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = f"file://{tempfile.mkdtemp(prefix='spark-shared-')}"
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Written to the shared folder and read back, for what several passes read; nothing depends on an executor's disk."""
+    path = shared_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def inventory(spark: SparkSession, root: str, source: str, previous: DataFrame | None = None, now: Column | None = None) -> DataFrame:
     """source, path, size, sha256, collected_at. A known checksum keeps its time, a new or changed file gets now, entries
     gone from disk stay."""
