@@ -1,8 +1,8 @@
 """Operator 7: exact dedup against a persistent digest index.
 
-The index is a table bucketed and sorted by digest. A batch is reduced to digests (partial sums before the shuffle, so a
-group of copies of any size costs a row a task), new digests are found by a sort-merge anti-join against the index and
-appended, and every row then looks its digest up; the digests of large groups are looked up by broadcast, so that their
+The index is a table bucketed and sorted by digest. A batch is reduced to groups by digest and stored (partial sums before the
+shuffle, so a group of copies of any size costs a row a task); only groups meet the index in the sort-merge anti-join,
+new ones are appended, and every row then looks its digest up; the digests of large groups are looked up by broadcast, so that their
 rows stay where they are. A batch has a name: run again under it, after a failure at any point, it finds its own digests
 in the index and decides as before.
 
@@ -56,15 +56,17 @@ class DigestIndex:
 
     def append_new(self, digests: DataFrame, batch: str) -> None:
         """digests: stored doc_id, digest. Appends those that the index lacks, under the batch's name."""
-        groups = digests.groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"), F.lit(batch).alias("batch"))
+        sums = digests.groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+        groups = found = stored(sums, "digest-groups")  # an anti-join on the sums themselves would be moved below them, to the raw rows
         if self.exists():
             known = self.rows().select("digest").hint("merge")
             groups = groups.join(known, "digest", "left_anti")
             described = {r["col_name"]: r["data_type"] for r in self.spark.sql(f"DESCRIBE EXTENDED {self.table}").collect()}
             self.buckets = int(described["Num Buckets"])
         self.buckets = self.buckets or self._for(digests.count())
-        rows = groups.repartition(self.buckets, "digest")
+        rows = groups.withColumn("batch", F.lit(batch)).repartition(self.buckets, "digest")
         rows.write.mode("append").bucketBy(self.buckets, "digest").sortBy("digest").format("parquet").saveAsTable(self.table)
+        discard(found)
 
 
 def decided(digests: DataFrame, index: DataFrame, stays) -> DataFrame:
