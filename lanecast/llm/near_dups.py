@@ -16,6 +16,11 @@ never decides). Steps, none of which gathers a group or emits all its pairs:
 4. every other pair that could still join two components shares a stored shingle: such pairs are formed between
    different components only, with all three filters in the join, and verified. Links are merged again.
 
+Postings of a hot shingle (its rarity stands in its token, so it is known without a count) are never one window's: its
+leader and the components it has are sums before the shuffle, and its postings are dealt to parts, of which only the first
+posting of each meets those of the other parts. Its joins, like those of a leader with many partners, are merge joins without a
+shuffle behind them, whose large partitions the adaptive skew join splits.
+
 Hashes have 64 bits (of a word: a polynomial over its bytes, mixed; of a shingle: its words' hashes, mixed in turn):
 two given unlike shingles meet with a chance of about 2^-60, so sizes and links are exact but for that.
 
@@ -35,7 +40,7 @@ from functools import reduce
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Observation, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from lanecast.llm.common import discard, documents, fresh, looked_up, stored, texts_of
@@ -48,6 +53,8 @@ RARITY_BITS = 11
 HOT_SHARE = 1000  # a class with more than this share of all rows is looked up by broadcast: fewer than so many are
 CLASSES = 64  # one byte each, in eight longs; a set with more than 255 in a class has none and passes the filter
 SIGNATURE = [f"s{k}" for k in range(CLASSES // 8)]
+HOT_HOLDERS = 1024  # a shingle with at least so many documents by the sketch, and 16 times its mean, is hot
+PARTS = 64  # that a hot shingle's postings are dealt to
 BUCKETS = 1 << 20  # hashed ids that a pre-filter of texts names at most
 
 
@@ -215,7 +222,8 @@ def verified(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFra
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
     near = docs.withColumn("bucket", bucket).join(F.broadcast(wanted.select(bucket.alias("bucket")).distinct()), "bucket", "left_semi")  # at most BUCKETS rows
     texts = near.select("doc_id", "text").join(wanted, "doc_id", "left_semi")
-    full = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
+    # the leader (a) may have many partners: its join comes last, so that a large partition of it can be split
+    full = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b").join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a")
 
     def check(batches):
         shingle = Shingler(n)
@@ -271,24 +279,25 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     by_words = stored(filled.groupBy("key").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1"), "classes")
     copies = looked_up(filled, by_words, ["key"], F.col("n") * HOT_SHARE > sets.count(), "inner").select(F.col("doc_id").alias("a"), F.col("first").alias("b")).where("a <> b")
 
-    w = Window.partitionBy("token").orderBy("size", "doc")
-    post = prefix_postings(docs.where("doc_id IS NOT NULL"), sketch, n, percent)
-    post = post.withColumn("before", F.lag("doc").over(w)).withColumn("after", F.lead("doc").over(w))
-    post = stored(post.where("before IS NOT NULL OR after IS NOT NULL").drop("before", "after"), "postings")
+    hot = is_hot(sketch)
+    post = shared(prefix_postings(docs.where("doc_id IS NOT NULL"), sketch, n, percent), hot)
     copies = stored(copies.distinct(), "copies")
-    comp, tried = copies.select(F.col("a").alias("node"), F.col("b").alias("component")), None
+    discard(by_words)
+    comp, tried, spent = copies.select(F.col("a").alias("node"), F.col("b").alias("component")), None, []
     near = with_components(post, comp)
     for nearest in (leading, preceding):
-        pairs = nearest(near, percent).groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
+        pairs = nearest(near, percent, hot).groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
         best = pairs.groupBy("b").agg(F.max_by("a", F.struct("n", -F.col("a"))).alias("a"))
         best = best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         best = filtered(best if tried is None else best.join(tried, ["a", "b"], "left_anti"), sets, percent)
+        spent.append(best)
         tried = best if tried is None else tried.union(best)
         # what is known is a star a component, so that only new links need steps
         comp = stored(components(stars(comp).union(verified(best, docs, n, percent))), "components")
-        near = stored(open_shingles(with_components(post if nearest is leading else near.drop("component"), comp)), "open-postings")
-        if nearest is leading:
-            discard(post)
+        spent.append(comp)
+        last = near
+        near = stored(open_shingles(with_components(post if nearest is leading else near.drop("component"), comp), hot), "open-postings")
+        discard(*([post, copies] if nearest is leading else [last]))
 
     rest = stored(near.join(sets.select(F.col("doc_id").alias("doc"), *SIGNATURE).dropDuplicates(["doc"]), "doc"), "open-postings")
     a, b = (rest.select("token", *[F.col(c).alias(f"{x}_{c}") for c in ("doc", "size", "place", "component", *SIGNATURE)]) for x in "ab")
@@ -297,7 +306,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     more = stored(more.join(tried, ["a", "b"], "left_anti"), "more")
     if not more.isEmpty():
         comp = stored(components(stars(comp).union(verified(more, docs, n, percent))), "components")
-    discard(near, rest, more)
+    discard(near, rest, more, *[x for x in spent if x is not comp])
     found = sets.join(comp.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     return found.select("doc_id", F.col("size").cast("long").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
@@ -310,27 +319,50 @@ def with_components(postings: DataFrame, comp: DataFrame) -> DataFrame:
     return postings.join(comp.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
 
 
-def open_shingles(postings: DataFrame) -> DataFrame:
+def is_hot(sketch: np.ndarray) -> Column:
+    """Of a token: whether its shingle may have many documents."""
+    least = int(64 * np.log2(max(HOT_HOLDERS, 16 * float(sketch.mean()))))
+    return F.shiftrightunsigned("token", 64 - RARITY_BITS) >= least
+
+
+def shared(postings: DataFrame, hot: Column) -> DataFrame:
+    """Postings of shingles that more than one document has, stored; of hot ones all, in parts."""
+    w = Window.partitionBy("token", "part").orderBy("size", "doc")
+    d = postings.withColumn("part", F.when(hot, F.pmod(F.xxhash64("doc"), F.lit(PARTS))).otherwise(F.lit(0)).cast("int"))
+    d = d.withColumn("alone", F.lag("doc").over(w).isNull() & F.lead("doc").over(w).isNull())
+    return stored(d.where(~F.col("alone") | hot).drop("alone", "part"), "postings")
+
+
+def open_shingles(postings: DataFrame, hot: Column) -> DataFrame:
     """Postings of shingles that more than one component has."""
     whole = Window.partitionBy("token")
-    d = postings.withColumn("lo", F.min("component").over(whole)).withColumn("hi", F.max("component").over(whole))
-    return d.where("lo <> hi").drop("lo", "hi")
+    cold = postings.where(~hot).withColumn("lo", F.min("component").over(whole)).withColumn("hi", F.max("component").over(whole))
+    several = postings.where(hot).groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("token")
+    return cold.where("lo <> hi").drop("lo", "hi").unionByName(postings.where(hot).join(several, "token", "left_semi").select(*postings.columns))
+
+
+ORDER = ["place", "size", "doc"]  # the earlier a shingle stands in its set, the fewer rarer ones the set has
 
 
-def leading(postings: DataFrame, percent: int) -> DataFrame:
+def leading(postings: DataFrame, percent: int, hot: Column) -> DataFrame:
     """(a, b): a leads the postings of a shingle that b has, and they aren't yet together."""
-    return _apart(postings, F.first, percent)
+    one = F.struct(*ORDER, "component")
+    cold = postings.where(~hot).withColumn("other", F.first(one).over(Window.partitionBy("token").orderBy(*ORDER)))
+    least = postings.where(hot).groupBy("token").agg(F.min(one).alias("other"))
+    return _apart(cold.unionByName(postings.where(hot).join(least, "token").select(*cold.columns)), percent)
 
 
-def preceding(postings: DataFrame, percent: int) -> DataFrame:
-    """(a, b): a comes before b in the postings of a shingle, and they aren't yet together."""
-    return _apart(postings, F.lag, percent)
+def preceding(postings: DataFrame, percent: int, hot: Column) -> DataFrame:
+    """(a, b): a comes before b in the postings of a shingle, and they aren't yet together; the first of a part has the first of the part before."""
+    one = F.struct(*ORDER, "component")
+    before = lambda *keys: F.lag(one).over(Window.partitionBy(*keys).orderBy(*ORDER))
+    d = postings.withColumn("part", F.when(hot, F.pmod(F.xxhash64("doc"), F.lit(PARTS))).otherwise(F.lit(0)).cast("int")).withColumn("other", before("token", "part"))
+    firsts = d.where(hot & F.col("other").isNull()).withColumn("other", before("token"))  # at most PARTS a shingle
+    return _apart(d.where("other IS NOT NULL").unionByName(firsts), percent)
 
 
-def _apart(postings: DataFrame, pick, percent: int) -> DataFrame:
-    """Postings are ordered by the shingle's place in the set: the earlier, the fewer rarer shingles the set has."""
-    w = Window.partitionBy("token").orderBy("place", "size", "doc")
-    d = postings.withColumn("other", pick(F.struct("doc", "size", "place", "component")).over(w)).where("other.component <> component")
+def _apart(postings: DataFrame, percent: int) -> DataFrame:
+    d = postings.where("other.component <> component")
     d = d.select(*[F.col(c).alias(f"b_{c}") for c in ("doc", "size", "place")], *[F.col(f"other.{c}").alias(f"a_{c}") for c in ("doc", "size", "place")])
     return d.where(passes(percent)).select(F.col("a_doc").alias("a"), F.col("b_doc").alias("b"))
 
