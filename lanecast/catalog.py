@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from lanecast.plans import attribution, audit, betting, boards, intake, loads, pooled, series, studies, timeline, upkeep
+from lanecast.plans import attribution, audit, betting, boards, effects, intake, loads, pooled, series, studies, timeline, upkeep
 from lanecast.plans.registry import Query
 
 FLAGSHIP = "price_band_report"
-MODULES = (betting, timeline, series, boards, pooled, studies, intake, loads, attribution, upkeep, audit)
+MODULES = (betting, timeline, series, boards, pooled, studies, intake, loads, attribution, upkeep, audit, effects)
 
 
 def queries() -> dict[str, Query]:
