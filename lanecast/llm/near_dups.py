@@ -18,8 +18,9 @@ never decides). Steps, none of which gathers a group or emits all its pairs:
 
 Postings of a hot shingle (its rarity stands in its token, so it is known without a count) are never one window's: its
 leader and the components it has are sums before the shuffle, and its postings are dealt to parts, of which only the first
-posting of each meets those of the other parts. Its joins, like those of a leader with many partners, are merge joins without a
-shuffle behind them, whose large partitions the adaptive skew join splits.
+posting of each meets those of the other parts. They look their shingle up where they are, by broadcast, if the hot shingles
+are few by count. A join by a leader with many partners comes last, without a shuffle behind it, so that the adaptive skew
+join splits its large partitions.
 
 Hashes have 64 bits (of a word: a polynomial over its bytes, mixed; of a shingle: its words' hashes, mixed in turn):
 two given unlike shingles meet with a chance of about 2^-60, so sizes and links are exact but for that.
@@ -53,7 +54,8 @@ RARITY_BITS = 11
 HOT_SHARE = 1000  # a class with more than this share of all rows is looked up by broadcast: fewer than so many are
 CLASSES = 64  # one byte each, in eight longs; a set with more than 255 in a class has none and passes the filter
 SIGNATURE = [f"s{k}" for k in range(CLASSES // 8)]
-HOT_HOLDERS = 1024  # a shingle with at least so many documents by the sketch, and 16 times its mean, is hot
+HOT_HOLDERS = 256  # a shingle with at least so many documents by the sketch, and 16 times its mean, is hot
+HOT_TOKENS = 1 << 17  # hot shingles that a join broadcasts at most; beyond, it is a merge join
 PARTS = 64  # that a hot shingle's postings are dealt to
 BUCKETS = 1 << 20  # hashed ids that a pre-filter of texts names at most
 
@@ -333,12 +335,17 @@ def shared(postings: DataFrame, hot: Column) -> DataFrame:
     return stored(d.where(~F.col("alone") | hot).drop("alone", "part"), "postings")
 
 
+def with_token(postings: DataFrame, tokens: DataFrame, how: str = "inner") -> DataFrame:
+    """Joined by token to what was stored of hot shingles."""
+    return postings.join(F.broadcast(tokens) if tokens.count() <= HOT_TOKENS else tokens.hint("merge"), "token", how)
+
+
 def open_shingles(postings: DataFrame, hot: Column) -> DataFrame:
     """Postings of shingles that more than one component has."""
     whole = Window.partitionBy("token")
     cold = postings.where(~hot).withColumn("lo", F.min("component").over(whole)).withColumn("hi", F.max("component").over(whole))
     several = postings.where(hot).groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("token")
-    return cold.where("lo <> hi").drop("lo", "hi").unionByName(postings.where(hot).join(several, "token", "left_semi").select(*postings.columns))
+    return cold.where("lo <> hi").drop("lo", "hi").unionByName(with_token(postings.where(hot), stored(several, "hot-shingles"), "left_semi").select(*postings.columns))
 
 
 ORDER = ["place", "size", "doc"]  # the earlier a shingle stands in its set, the fewer rarer ones the set has
@@ -348,8 +355,8 @@ def leading(postings: DataFrame, percent: int, hot: Column) -> DataFrame:
     """(a, b): a leads the postings of a shingle that b has, and they aren't yet together."""
     one = F.struct(*ORDER, "component")
     cold = postings.where(~hot).withColumn("other", F.first(one).over(Window.partitionBy("token").orderBy(*ORDER)))
-    least = postings.where(hot).groupBy("token").agg(F.min(one).alias("other"))
-    return _apart(cold.unionByName(postings.where(hot).join(least, "token").select(*cold.columns)), percent)
+    least = stored(postings.where(hot).groupBy("token").agg(F.min(one).alias("other")), "hot-leaders")
+    return _apart(cold.unionByName(with_token(postings.where(hot), least).select(*cold.columns)), percent)
 
 
 def preceding(postings: DataFrame, percent: int, hot: Column) -> DataFrame:
