@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lanecast.functions import pricing
+
 
 def due_for_preview(schedule: DataFrame, captured: DataFrame, now: Column, least: int = 5, most: int = 30) -> DataFrame:
     """Races `least` to `most` minutes ahead, neither cancelled nor captured. schedule: race_id, deadline, cancelled."""
@@ -60,3 +62,66 @@ def stake_violations(stakes: DataFrame, unit: int, race_most: int, day_most: int
     race = F.sum("stake").over(Window.partitionBy("race_id"))
     bad = F.when((F.col("stake") <= 0) | (F.col("stake") % unit != 0), "unit").when(race > race_most, "race_limit").when(day > day_most, "day_limit").when(~F.col("offered"), "not_offered")
     return stakes.withColumn("violation", bad)
+
+
+# fixed values: the board's sources and whether a decision needs them
+CATALOGUE = {
+    "race_card": True, "scheduled_deadline": True, "racer_period_stats": True, "course_stats": False, "motor_boat_stats": True, "prediction_card": True, "before_info": True, "exhibition_time": True, "exhibition_course": True,
+    "surface_conditions": False, "parts_change": False, "current_odds": True, "prediction_preview": False,
+}
+READINGS = 5  # of the odds history
+
+
+def recent_readings(quotes: DataFrame, n: int = READINGS) -> DataFrame:
+    """Quotes (race_id, lane, odds, observed_at) of each race's last n readings, with nth: 1 is the latest."""
+    w = Window.partitionBy("race_id").orderBy(F.col("observed_at").desc())
+    return quotes.withColumn("nth", F.dense_rank().over(w)).where(F.col("nth") <= n)
+
+
+def race_board(schedule: DataFrame, lanes: DataFrame, quotes: DataFrame, horizon_minutes: int) -> DataFrame:
+    """A row a race that is not cancelled and whose deadline is ahead of its `now` by horizon_minutes at most.
+
+    schedule: race_id, venue, race_number, deadline, now, cancelled, surface (whether its conditions are known). lanes: race_id, lane, has_period,
+    has_course, motor_rate, boat_rate, exhibition_time, tilt, course, parts_seen (null: not captured), p_card, p_preview.
+    Gives decision, best_lane, probability, source, odds, expected_return, availability (map of CATALOGUE), missing (critical), reasons,
+    odds_history (lane 1, oldest first) and lanes: lane, probability, the last readings. A race is grouped by itself only.
+    """
+    ahead = F.unix_timestamp("deadline") - F.unix_timestamp("now")
+    open_ = schedule.where(~F.col("cancelled") & (ahead > 0) & (ahead <= horizon_minutes * 60))
+    r = recent_readings(quotes.join(open_.select("race_id"), "race_id", "left_semi"))
+    r = r.groupBy("race_id", "lane").agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("nth")).alias("n"), "odds"))), lambda s: s["odds"]).alias("history"), F.max(F.when(F.col("nth") == 1, F.col("odds"))).alias("quote"))  # READINGS a lane
+    d = lanes.join(r, ["race_id", "lane"], "left")
+    whole = lambda c: F.count_if(c) == 6
+    per_race = d.groupBy("race_id").agg(
+        ((F.count(F.lit(1)) == 6) & (F.count_distinct(F.when(F.col("lane").between(1, 6), F.col("lane"))) == 6)).alias("six"), F.bool_and("has_period").alias("period"), F.bool_or("has_course").alias("courses"), F.bool_and(F.col("motor_rate").isNotNull() & F.col("boat_rate").isNotNull()).alias("rates"),
+        whole(F.col("exhibition_time").isNotNull()).alias("times"), whole(F.col("tilt").isNotNull()).alias("tilts"), whole(F.col("course").isNotNull()).alias("all_courses"), F.coalesce(F.bool_or(F.col("parts_seen").isNotNull()), F.lit(False)).alias("parts"),
+        (F.count("p_card") > 0).alias("card"), (F.count("p_preview") > 0).alias("preview"), (F.count("quote") > 0).alias("priced"), F.array_sort(F.collect_list(F.when(F.col("course") != F.col("lane"), F.col("lane")))).alias("changed"),
+        F.max(F.when(F.col("lane") == 1, F.col("history"))).alias("odds_history"), F.max_by(F.struct("lane", F.col("p_card").alias("p"), "quote"), F.struct("p_card", -F.col("lane"))).alias("by_card"), F.max_by(F.struct("lane", F.col("p_preview").alias("p"), "quote"), F.struct("p_preview", -F.col("lane"))).alias("by_preview"),
+        F.array_sort(F.collect_list(F.struct("lane", F.coalesce("p_preview", "p_card").alias("probability"), "history"))).alias("lanes"),
+    )
+    b = open_.join(per_race, "race_id", "left")
+    yes = lambda c: F.coalesce(F.col(c), F.lit(False))
+    has = {
+        "race_card": yes("six"), "scheduled_deadline": F.col("deadline").isNotNull(), "racer_period_stats": yes("period"), "course_stats": yes("courses"), "motor_boat_stats": yes("six") & yes("rates"), "prediction_card": yes("card"), "before_info": yes("times") & yes("tilts"), "exhibition_time": yes("times"),
+        "exhibition_course": yes("all_courses"), "surface_conditions": yes("surface") & (F.col("race_number") > 1), "parts_change": yes("parts"), "current_odds": yes("priced"), "prediction_preview": yes("preview"),
+    }
+    best = F.when(yes("preview"), F.col("by_preview")).when(yes("card"), F.col("by_card"))
+    b = b.withColumn("availability", F.create_map(*[x for name in CATALOGUE for x in (F.lit(name), has[name])])).withColumn("best", F.when(yes("priced"), best))
+    b = b.withColumn("expected_return", pricing.expected_return(F.col("best.p"), F.col("best.quote")))
+    missing = F.array_compact(F.array(*[F.when(~has[name], F.lit(name)) for name, needed in CATALOGUE.items() if needed]))
+    history = F.coalesce("odds_history", F.array().cast("array<double>"))
+    first, last = F.get(history, F.lit(0)), F.get(history, F.size(history) - 1)
+    reasons = F.array_compact(F.array(
+        F.when(F.size("changed") > 0, F.when(F.array_contains("changed", F.col("best.lane")), "course_change_of_pick").otherwise("course_change")), F.when((F.size(history) >= 2) & (last > first), "lane1_price_up"),
+        F.when(F.size(missing) > 0, "critical_data_missing").when(F.col("expected_return") < 100, "return_below_stake"),
+    ))
+    return b.select(
+        "race_id", "venue", "race_number", "deadline", pricing.decision(F.size(missing) > 0, F.coalesce("expected_return", F.lit(0.0))).alias("decision"), F.col("best.lane").alias("best_lane"), F.col("best.p").alias("probability"), F.when(yes("preview"), "preview").otherwise("card").alias("source"),
+        F.col("best.quote").alias("odds"), "expected_return", "availability", missing.alias("missing"), reasons.alias("reasons"), history.alias("odds_history"), "lanes",
+    )
+
+
+def venue_summary(board: DataFrame) -> DataFrame:
+    """Per venue: races that remain, candidates, races that wait, the next race."""
+    g = board.groupBy("venue").agg(F.count(F.lit(1)).alias("remaining"), F.count_if(F.col("decision") == "candidate").alias("candidates"), F.count_if(F.col("decision") == "waiting").alias("waiting"), F.min_by("race_id", F.struct("deadline", "race_id")).alias("next_race"))
+    return g

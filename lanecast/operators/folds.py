@@ -50,8 +50,8 @@ def aligned(scored: DataFrame, keys: list[str], classes: int = 6) -> DataFrame:
 
 def active_versions(log: DataFrame, role: str = "role") -> DataFrame:
     """Per role the latest activation and the version that a rollback goes to: the one recorded on that entry."""
-    w = Window.partitionBy(role).orderBy(F.col("activated_at").desc(), F.col("entry_id").desc())
-    return log.withColumn("__n", F.row_number().over(w)).where("__n = 1").select(role, F.col("version").alias("active"), F.col("previous").alias("rollback_to"))
+    last = log.groupBy(role).agg(F.max_by(F.struct("version", "previous"), F.struct("activated_at", "entry_id")).alias("l"))
+    return last.select(role, F.col("l.version").alias("active"), F.col("l.previous").alias("rollback_to"))
 
 
 def normalised(df: DataFrame, group: list[str], p: str) -> Column:

@@ -139,10 +139,10 @@ def rule_choosing_walk_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("month", "threshold", "train_bets", "train_roi", "bets", "roi")
 
 
-def chosen_by_month(c: DataFrame, monthly: DataFrame, rule: list[str], order: Column, least: int = 300) -> DataFrame:
-    """monthly: partial books by rule and bet_month. Per month after the first 12 the rule that was best before it, and what it returns in it:
+def chosen_by_month(c: DataFrame, monthly: DataFrame, rule: list[str], order: Column, least: int = 300, months: int = 12) -> DataFrame:
+    """monthly: partial books by rule and bet_month. Per month after the first `months` the rule that was best before it, and what it returns in it:
     folds add up months, so no bet is copied into the folds after it."""
-    f = F.broadcast(folds.monthly_folds(c, "race_date", 12).select(F.col("test_start").alias("month")))  # a row a month
+    f = F.broadcast(folds.monthly_folds(c, "race_date", months).select(F.col("test_start").alias("month")))  # a row a month
     train = metrics.combined_book(monthly.join(f, F.col("bet_month") < F.col("month")), ["month", *rule])
     train = train.select("month", *rule, "bets", r9(metrics.trimmed()).alias("trimmed_roi")).withColumn("grid", order)
     chosen = rules.best_rule(train, ["month"], least).select("month", *rule, F.col("bets").alias("train_bets"), F.col("trimmed_roi").alias("train_roi"))
@@ -170,13 +170,13 @@ def grid_walk_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grid_choices(kept_candidates(spark, sf_dir))
 
 
-def grid_choices(c: DataFrame) -> DataFrame:
+def grid_choices(c: DataFrame, months: int = 12, least: int = 300) -> DataFrame:
     """Of candidates with their p: the published grid's choices by month."""
     grid = c.sparkSession.createDataFrame(RULES, "grid int, threshold double, cap double, lanes_kept string, lo int, hi int")
     on = (F.col("p") * F.col("odds") >= F.col("threshold")) & (F.col("cap").isNull() | (F.col("odds") <= F.col("cap"))) & F.col("lane").between(F.col("lo"), F.col("hi"))
     b = c.where(F.col("complete") & (F.col("p") * F.col("odds") >= min(EV_GRID))).join(F.broadcast(grid), on)
     monthly = metrics.partial_book(b.withColumn("bet_month", F.trunc("race_date", "month")), ["grid", "bet_month"])
-    d = chosen_by_month(c, monthly, ["grid"], F.col("grid")).join(F.broadcast(grid), "grid")
+    d = chosen_by_month(c, monthly, ["grid"], F.col("grid"), least, months).join(F.broadcast(grid), "grid")
     return d.select("month", "threshold", "cap", "lanes_kept", "train_bets", "train_roi", "bets", "roi")
 
 

@@ -1,15 +1,12 @@
-"""Sources, boards, streams and the logistic model over the supplied tables."""
+"""Sources, boards and streams over the supplied tables."""
 
 from __future__ import annotations
 
-from multiprocessing.pool import ThreadPool
-
-from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lanecast.functions import pricing
-from lanecast.operators import features, folds, metrics, windows
+from lanecast.operators import metrics, windows
 from lanecast.plans.contest import full_fields, races, runners, table
 from lanecast.plans.registry import Registry
 from lanecast.sources import ledgers, lines, pages
@@ -17,7 +14,6 @@ from lanecast.streaming import streams
 
 R = Registry()
 QUERIES, SQL = R.QUERIES, R.SQL
-FITS = 4  # at a time
 
 
 @R.query("""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS line_no FROM documents),
@@ -86,36 +82,6 @@ def streamed_freshness(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select(F.col("start").cast("timestamp_ntz").alias("start"), "bet_type", "n", F.col("last").cast("timestamp_ntz").alias("last"))
 
 
-@R.query()
-def logistic_walk_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Standardised multinomial logistic regression fitted before every month after the first 12 and scored on it: losses by
-    test month. Features are stored once; fits run `FITS` at a time, each fold's result is written as it is ready."""
-    d = full_fields(spark, sf_dir).withColumn("score", pricing.finish_score(F.col("finish"), F.lit(True)))
-    d = features.lane_features(d)
-    names = ["quantity", "form", "odds"]
-    inputs = [f"lane{n}_{x}" for n in range(1, 7) for x in names]
-    wide = features.wide(d, names).join(d.where("won").select("race_id", "race_date", (F.col("lane") - 1).cast("double").alias("label")), "race_id")
-    stored, out = ledgers.shared_folder(spark, "wide"), ledgers.shared_folder(spark, "folds")
-    wide.write.parquet(stored)
-    wide = spark.read.parquet(stored)
-
-    def fold(r) -> None:
-        train = wide.where((F.col("race_date") >= F.lit(r["train_start"])) & (F.col("race_date") < F.lit(r["test_start"])))
-        test = wide.where((F.col("race_date") >= F.lit(r["test_start"])) & (F.col("race_date") < F.lit(r["test_end"])))
-        model = folds.fit_logistic(train, inputs, "label")
-        p = folds.aligned(model.transform(test), ["race_id", "label"]).withColumn("won", F.col("lane") - 1 == F.col("label"))
-        losses = metrics.race_losses(p, ["race_id"], "p", "won").withColumn("test_start", F.lit(r["test_start"]))
-        metrics.summary(losses, ["test_start"]).coalesce(1).write.mode("append").parquet(f"{out}/fold={r['fold']}")
-
-    months = folds.monthly_folds(full_fields(spark, sf_dir), "race_date", 12).collect()  # a row a month
-    schema = "test_start date, n long, log_loss double, brier double, accuracy double"
-    if not months:
-        return spark.createDataFrame([], schema)
-    with ThreadPool(FITS) as pool:
-        pool.map(inheritable_thread_target(spark)(fold), months, 1)
-    return spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(out)
-
-
 @R.query(", s AS (SELECT venue, race_id, race_date, odds, lag(odds) OVER (PARTITION BY venue, lane ORDER BY race_date, race_id) AS before FROM runners WHERE lane = 1) SELECT venue, count(before) AS n, round(avg(ln(odds / before)), 6) AS mean_log FROM s GROUP BY venue")
 def log_deviations(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = runners(spark, sf_dir).where("lane = 1").withColumn("before", F.lag("odds").over(Window.partitionBy("venue", "lane").orderBy("race_date", "race_id")))

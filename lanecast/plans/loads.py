@@ -67,10 +67,10 @@ def pre_race_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.select("page", F.concat(F.lit("<table>"), "boats", F.lit("</table><table><tr><th>コース</th></tr>"), "starts", F.lit("</table>"), unit("is-direction", F.lit("20.5℃")), unit("is-windDirection is-wind3", F.lit("")), unit("is-wind", wind), unit("is-wave", F.lit("3cm"))).alias("html"))
 
 
-@R.query(" SELECT race_id AS page, lane::INT AS lane, racer::INT AS registration, quantity AS weight, 1.5::DOUBLE AS ballast, disc AS exhibition_time, won AS propeller_changed, CASE WHEN finish = 2 THEN 'a,b' ELSE '' END AS parts, finish::INT AS course, CASE WHEN won THEN -0.1 ELSE 0.1 END::DOUBLE AS start_timing, won AS flying, 20.5::DOUBLE AS air_temperature, venue::DOUBLE AS wind_speed, 3.0::DOUBLE AS wave_height, NULL::DOUBLE AS water_temperature FROM fields")
+@R.query(" SELECT race_id AS page, lane::INT AS lane, racer::INT AS registration, quantity AS weight, 1.5::DOUBLE AS ballast, disc AS exhibition_time, won AS propeller_changed, CASE WHEN finish = 2 THEN 'a,b' ELSE '' END AS parts, finish::INT AS course, 0.1::DOUBLE AS start_timing, won AS flying, '名' AS name, -0.5::DOUBLE AS tilt, 20.5::DOUBLE AS air_temperature, venue::DOUBLE AS wind_speed, 3.0::DOUBLE AS wave_height, NULL::DOUBLE AS water_temperature FROM fields")
 def pre_race_page_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = pre_race_pages(spark, sf_dir)
-    boats = pages.pre_race_boats(d, "page", "html").withColumn("parts", F.array_join("parts", ",")).drop("name", "tilt")
+    boats = pages.pre_race_boats(d, "page", "html").withColumn("parts", F.array_join("parts", ","))
     return boats.join(pages.start_exhibition(d, "page", "html"), ["page", "lane"]).join(pages.surface(d, "page", "html"), "page")
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lanecast.functions import pricing
@@ -10,6 +10,7 @@ from lanecast.operators import folds, quality
 from lanecast.plans.betting import ROUND_SQL
 from lanecast.plans.contest import table
 from lanecast.plans.registry import Registry
+from lanecast.plans.timeline import _DAYS, _days
 from lanecast.sources import ledgers
 from lanecast.streaming import streams
 
@@ -72,9 +73,21 @@ def quarantine_replayed(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT role, version AS active, previous AS rollback_to FROM l QUALIFY row_number() OVER (PARTITION BY role ORDER BY since DESC, version DESC) = 1""", base=False)
 def active_by_role(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last activation of each role and the version before it."""
-    w = Window.partitionBy("role").orderBy("activated_at", "entry_id")
-    log = table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("role"), F.col("o_orderkey").alias("version"), F.col("o_orderkey").alias("entry_id"), F.col("o_orderdate").alias("activated_at"))
-    return folds.active_versions(log.withColumn("previous", F.lag("version").over(w)))
+    log = table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("role"), F.struct(F.col("o_orderdate").alias("activated_at"), F.col("o_orderkey").alias("entry_id")).alias("entry"))
+    last = log.groupBy("role").agg(F.max("entry").alias("last"))
+    before = log.join(F.broadcast(last), "role").where("entry < last").groupBy("role").agg(F.max("entry").alias("before"))  # five roles
+    log = last.join(before, "role", "left").select("role", "last.activated_at", "last.entry_id", F.col("last.entry_id").alias("version"), F.col("before.entry_id").alias("previous"))
+    return folds.active_versions(log)
+
+
+@R.query(_DAYS + " SELECT venue, day, session FROM s")
+def streamed_series_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The racing days as a stream of files, split into series with a row of state a venue."""
+    days, out = ledgers.shared_folder(spark, "days"), ledgers.shared_folder(spark, "sessions")
+    _days(spark, sf_dir).select("venue", "day", "counter").write.parquet(days)
+    stream = spark.readStream.schema("venue long, day date, counter long").parquet(days)
+    streams.drained(streams.series_sessions(stream), streams.append_batches(out))
+    return spark.read.parquet(out).select("venue", "day", "session")
 
 
 @R.query("SELECT l_orderkey AS race_id, 'v1' AS model_version FROM lineitem WHERE l_linenumber <= 6 GROUP BY l_orderkey HAVING count(DISTINCT l_linenumber) = 6", base=False)
@@ -83,14 +96,14 @@ def emitted_once(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = ledgers.shared_folder(spark, "emitted")
     s = streamed(spark, sf_dir, "lineitem").where("l_linenumber <= 6").select(F.col("l_orderkey").alias("race_id"), F.col("l_linenumber").cast("string").alias("combination"))
     streams.drained(s, streams.emit_once(path, "v1"))
-    return spark.read.parquet(path)
+    return spark.read.parquet(path).select("race_id", "model_version")
 
 
 @R.query("SELECT l_returnflag AS state, count(*) AS n, count(DISTINCT l_orderkey) AS races FROM lineitem ANTI JOIN (SELECT * FROM orders WHERE o_orderstatus = 'F') ON l_orderkey = o_orderkey GROUP BY l_returnflag", base=False)
 def reconciled_live(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A stream of live results, kept for the races that the archive hasn't."""
     archive, out = ledgers.shared_folder(spark, "archive"), ledgers.shared_folder(spark, "live")
-    table(spark, sf_dir, "orders").where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("race_id")).write.parquet(archive)
+    streams.archive(table(spark, sf_dir, "orders").where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("race_id")), archive)
     live = streamed(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("race_id"), F.col("l_returnflag").alias("state"))
     streams.drained(live, streams.reconcile(archive, out))
     return spark.read.parquet(out).groupBy("state").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("race_id").alias("races"))
@@ -107,5 +120,5 @@ def streamed_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = streamed(spark, sf_dir, "events").select(race.alias("race_id"), F.col("event_type").alias("bet_type"), F.lit("1").alias("combination"), (F.col("value") + 1).alias("odds"), F.col("ts").cast("timestamp").alias("observed_at"))
     s = streams.latest(streams.in_rounds(s.withWatermark("observed_at", "1 day"), schedule, pricing.rounds(spark)))
     streams.drained(s, streams.append_batches(path), "update")
-    d = streams.last_updates(spark.read.parquet(path), ["race_id", "bet_type", "combination", "round"])
+    d = streams.latest_of(spark.read.parquet(path), ["race_id", "bet_type", "combination", "round"])
     return d.select(F.floor(F.col("race_id") / 1_000_000).alias("user_id"), F.date_from_unix_date((F.col("race_id") % 1_000_000).cast("int")).alias("day"), F.col("bet_type").alias("event_type"), "round", F.round("odds", 9).alias("odds"))

@@ -103,8 +103,7 @@ def back_fill(table: DataFrame, values: DataFrame, key: list[str], column: str)
 
 def get_or_create(dimension: DataFrame, rows: DataFrame, key: str, order: str) -> DataFrame:
     """The dimension with the keys it lacked; of several names for a key the first by `order`."""
-    w = Window.partitionBy(key).orderBy(order)
-    first = rows.withColumn("__n", F.row_number().over(w)).where("__n = 1").select(*dimension.columns)
+    first = rows.groupBy(key).agg(F.min_by(F.struct(*[c for c in dimension.columns if c != key]), order).alias("__first")).select(key, "__first.*").select(*dimension.columns)
     return dimension.unionByName(first.join(dimension.select(key), key, "left_anti"))
 
 

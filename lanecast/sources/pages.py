@@ -154,8 +154,8 @@ def start_exhibition(pages: DataFrame, key: str, html: str) -> DataFrame:
     number, time = (rf'(?is)<span\b[^>]*table1_boatImage1{x}\b[^>]*>\s*([^<]*?)\s*</span>' for x in ("Number", "Time"))
     rows = F.filter(_inner(F.col(html), "tr"), lambda r: F.regexp_extract(r, number, 1).rlike("^[0-9]+$"))
     d = pages.select(key, F.posexplode(rows).alias("nth", "r"))
-    timing = start_timing(F.regexp_extract("r", time, 1))
-    return d.select(key, (F.col("nth") + 1).alias("course"), F.regexp_extract("r", number, 1).cast("int").alias("lane"), timing.alias("start_timing"), F.regexp_extract("r", time, 1).startswith("F").alias("flying"))
+    timing = text.start_timing(F.regexp_extract("r", time, 1))  # a magnitude and a flag; only result pages have a sign
+    return d.select(key, (F.col("nth") + 1).alias("course"), F.regexp_extract("r", number, 1).cast("int").alias("lane"), timing["seconds"].alias("start_timing"), timing["flying"].alias("flying"))
 
 
 def surface(pages: DataFrame, key: str, html: str) -> DataFrame:

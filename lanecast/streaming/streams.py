@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from lanecast.functions import pricing
 from lanecast.sources.ledgers import shared_folder
@@ -27,9 +30,38 @@ def in_rounds(stream: DataFrame, schedule: DataFrame, rounds: DataFrame) -> Data
     return d.join(F.broadcast(rounds), pricing.in_round(F.col("lead")))
 
 
-def latest(stream: DataFrame) -> DataFrame:
-    """Latest quote per (race, candidate, round), of several at that time the least; for update mode."""
-    return stream.groupBy("race_id", "bet_type", "combination", "round").agg(F.max_by("odds", F.struct("observed_at", -F.col("odds"))).alias("odds"), F.max("observed_at").alias("observed_at"))
+def latest(stream: DataFrame, span: str = "1 hour") -> DataFrame:
+    """Latest quote per (race, candidate, round) and span of time, of several at that time the least; for update mode. The span is in the
+    key, so its state goes when the watermark has passed it: what is held are the candidates quoted within a span and the delay, whatever
+    the races so far. latest_of takes the last over the spans."""
+    g = stream.groupBy(F.window("observed_at", span), "race_id", "bet_type", "combination", "round")
+    return g.agg(F.max_by("odds", F.struct("observed_at", -F.col("odds"))).alias("odds"), F.max("observed_at").alias("observed_at")).drop("window")
+
+
+def latest_of(rows: DataFrame, key: list[str]) -> DataFrame:
+    """Of the updates that `latest` wrote (repeated or partial ones too) each key's quote."""
+    return rows.groupBy(*key).agg(F.max_by("odds", F.struct("observed_at", -F.col("odds"))).alias("odds"))
+
+
+def series_sessions(stream: DataFrame, gap: int = 3) -> DataFrame:
+    """stream: venue, day, counter. venue, day, session, as windows.series_sessions gives them, for days that come in order (a batch's are put
+    in order); a day that is not after its venue's last is dropped. State: a row a venue."""
+    fields = "venue long, day date, session long"
+
+    def add(key, frames, state: GroupState):
+        last, session = state.get if state.exists else (None, 0)
+        found = []
+        for day, counter in sorted({(d, c) for f in frames for d, c in zip(f["day"], f["counter"]) if c == c and c is not None}):
+            if last is not None and day <= last:
+                continue
+            session += int(last is None or counter == 1 or (day - last).days > gap)
+            last = day
+            found.append((key[0], day, session))
+        state.update((last, session))
+        yield pd.DataFrame(found, columns=["venue", "day", "session"])
+
+    counted = stream.where("counter IS NOT NULL").select(F.col("venue").cast("long").alias("venue"), "day", F.col("counter").cast("double").alias("counter"))
+    return counted.groupBy("venue").applyInPandasWithState(add, fields, "last date, session long", "append", GroupStateTimeout.NoTimeout)
 
 
 def freshness(stream: DataFrame, width: str = "10 minutes", slide: str | None = None) -> DataFrame:
@@ -37,34 +69,61 @@ def freshness(stream: DataFrame, width: str = "10 minutes", slide: str | None =
     return stream.groupBy(w, "bet_type").agg(F.count(F.lit(1)).alias("n"), F.max("observed_at").alias("last")).select(F.col("window.start").alias("start"), "bet_type", "n", "last")
 
 
+BUCKETS = 64  # of races, by hash: a batch reads those that it has
+
+
+def bucket(race: Column) -> Column:
+    return F.pmod(F.xxhash64(race), F.lit(BUCKETS)).cast("int")
+
+
+def _of_batch(path: str, batch: DataFrame, columns: list[str]) -> DataFrame:
+    """What stands at a path that is partitioned by bucket, of the batch's buckets (at most BUCKETS numbers are collected); nothing
+    where nothing was written yet."""
+    spark = batch.sparkSession
+    wanted = [r[0] for r in batch.select(bucket(F.col("race_id"))).distinct().collect()]
+    try:
+        return spark.read.parquet(path).where(F.col("bucket").isin(wanted)).select(*columns)
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
+            raise
+        return batch.where("false").select(*[F.lit(None).cast("long" if c == "race_id" else "string").alias(c) for c in columns])
+
+
 def emit_once(predictions_path: str, version: str):
     """foreachBatch: races whose six lanes have all been seen, in this batch or before, and that this version hasn't
-    predicted. Lanes seen are kept beside the predictions; a batch that is run again adds no lane."""
-    lanes = f"{predictions_path.rstrip('/')}-lanes-{version}"
+    predicted. The lanes of races that are still open go from batch to batch in a folder of their own, so a batch reads those and
+    its own races' predictions; one that is run again starts from what the batch before it left."""
+    left_open = f"{predictions_path.rstrip('/')}-open-{version}"
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        batch.select("race_id", "combination").distinct().write.mode("append").parquet(lanes)
-        seen = spark.read.parquet(lanes).join(batch.select("race_id").distinct(), "race_id", "left_semi")
-        whole = seen.groupBy("race_id").agg(F.count_distinct("combination").alias("n")).where("n = 6").select("race_id")
-        new = whole.withColumn("model_version", F.lit(version))
+        done = _of_batch(predictions_path, batch, ["race_id", "model_version"]).where(F.col("model_version") == version).select("race_id")
+        lanes = batch.select("race_id", "combination").join(done, "race_id", "left_anti")
         try:
-            done = spark.read.parquet(predictions_path).select("race_id", "model_version")
-            new = new.join(done, ["race_id", "model_version"], "left_anti")
-        except Exception as e:
+            lanes = lanes.unionByName(spark.read.parquet(f"{left_open}/{batch_id - 1}"))
+        except AnalysisException as e:
             if "PATH_NOT_FOUND" not in str(e):
                 raise
-        new.write.mode("append").parquet(predictions_path)
+        path = f"{left_open}/{batch_id}"
+        seen = lanes.distinct().withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("race_id")))
+        seen.where("n < 6").drop("n").write.mode("overwrite").parquet(path)
+        new = seen.where("n = 6").select("race_id").distinct().withColumn("model_version", F.lit(version)).withColumn("bucket", bucket(F.col("race_id")))
+        new.write.mode("append").partitionBy("bucket").parquet(predictions_path)
 
     return write
 
 
+def archive(results: DataFrame, path: str) -> None:
+    """Writes the archive's race_id as `reconcile` reads it."""
+    results.select("race_id", bucket(F.col("race_id")).alias("bucket")).distinct().write.mode("append").partitionBy("bucket").parquet(path)
+
+
 def reconcile(archive_path: str, out_path: str):
-    """foreachBatch: live results of races that the archive hasn't, per whole race."""
+    """foreachBatch: live results of races that the archive hasn't, per whole race; a batch that is run again replaces what it wrote."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        archived = batch.sparkSession.read.parquet(archive_path).select("race_id").distinct()
-        batch.join(archived, "race_id", "left_anti").write.mode("append").parquet(out_path)
+        archived = _of_batch(archive_path, batch, ["race_id"])
+        batch.join(archived, "race_id", "left_anti").write.mode("overwrite").parquet(f"{out_path.rstrip('/')}/batch_id={batch_id}")
 
     return write
 
