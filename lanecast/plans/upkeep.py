@@ -96,7 +96,7 @@ def emitted_once(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = ledgers.shared_folder(spark, "emitted")
     s = streamed(spark, sf_dir, "lineitem").where("l_linenumber <= 6").select(F.col("l_orderkey").alias("race_id"), F.col("l_linenumber").cast("string").alias("combination"))
     streams.drained(s, streams.emit_once(path, "v1"))
-    return spark.read.parquet(path).select("race_id", "model_version")
+    return streams.predicted(spark, path)
 
 
 @R.query("SELECT l_returnflag AS state, count(*) AS n, count(DISTINCT l_orderkey) AS races FROM lineitem ANTI JOIN (SELECT * FROM orders WHERE o_orderstatus = 'F') ON l_orderkey = o_orderkey GROUP BY l_returnflag", base=False)

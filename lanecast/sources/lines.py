@@ -46,11 +46,11 @@ def in_sections(lines: DataFrame, kind: str) -> DataFrame:
     mark = matched(F.trim("line"), rf"^(\d\d){kind}BGN\s*$")
     w = Window.partitionBy("path").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
     d = lines.withColumn("text", text).withColumn("mark", mark)
-    return d.withColumn("section_no", F.count("mark").over(w)).withColumn("section", F.last("mark", ignorenulls=True).over(w)).where("section_no > 0").withColumn("is_mark", F.col("mark").isNotNull()).drop("mark")
+    return d.withColumn("section_no", F.count("mark").over(w)).withColumn("section", F.last("mark", ignorenulls=True).over(w)).where("section_no > 0").drop("mark")
 
 
 def card_days(lines: DataFrame) -> DataFrame:
-    """A row a section of race-card files: path, section, series_day, race_date, title (the last line before the banner), races,
+    """A row a section of race-card files: path, section, series_day, race_date, title (the last line before the banner, or before the section's end where it has none), races,
     data_pending, is_cancelled, explained (it has races or says why not)."""
     here = Window.partitionBy("path", "section_no")
     said = F.contains(F.col("line"), F.lit(PENDING)) | F.contains(F.col("line"), F.lit(CALLED_OFF))
@@ -59,7 +59,7 @@ def card_days(lines: DataFrame) -> DataFrame:
     d = d.withColumn("programme", F.min(F.when(before & F.contains(F.col("text"), F.lit(PROGRAMME)), F.col("line_no"))).over(here))
     inside = before & (F.col("line_no") > F.col("programme"))
     d = d.withColumn("banner", F.min(F.when(inside & F.col("text").rlike(BANNER), F.col("line_no"))).over(here))
-    title = inside & (F.col("text") != "") & (F.col("banner").isNull() | (F.col("line_no") < F.col("banner"))) & ~F.col("is_mark")
+    title = inside & (F.col("text") != "") & (F.col("banner").isNull() | (F.col("line_no") < F.col("banner"))) & ~F.col("text").rlike(r"^\d\dBEND$")
     day = lambda k: F.max(F.when(F.col("line_no") == F.col("banner"), F.regexp_extract("text", BANNER, k)))
     g = d.groupBy("path", "section_no", "section").agg(
         day(1).cast("int").alias("series_day"), F.try_to_timestamp(F.concat_ws("-", day(2), day(3), day(4)), F.lit("y-M-d")).cast("date").alias("race_date"), F.max_by(F.when(title, F.col("text")), F.when(title, F.col("line_no"))).alias("title"),

@@ -89,6 +89,11 @@ def _of_batch(path: str, batch: DataFrame, columns: list[str]) -> DataFrame:
         return batch.where("false").select(*[F.lit(None).cast("long" if c == "race_id" else "string").alias(c) for c in columns])
 
 
+def predicted(spark: SparkSession, path: str) -> DataFrame:
+    """What emit_once wrote; no rows where it has found none yet."""
+    return spark.read.schema("race_id long, model_version string, bucket int").parquet(path).select("race_id", "model_version")
+
+
 def emit_once(predictions_path: str, version: str):
     """foreachBatch: races whose six lanes have all been seen, in this batch or before, and that this version hasn't
     predicted. The lanes of races that are still open go from batch to batch in a folder of their own, so a batch reads those and
@@ -98,14 +103,14 @@ def emit_once(predictions_path: str, version: str):
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         done = _of_batch(predictions_path, batch, ["race_id", "model_version"]).where(F.col("model_version") == version).select("race_id")
-        lanes = batch.select("race_id", "combination").join(done, "race_id", "left_anti")
+        lanes = batch.select("race_id", "combination")
         try:
             lanes = lanes.unionByName(spark.read.parquet(f"{left_open}/{batch_id - 1}"))
         except AnalysisException as e:
             if "PATH_NOT_FOUND" not in str(e):
                 raise
         path = f"{left_open}/{batch_id}"
-        seen = lanes.distinct().withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("race_id")))
+        seen = lanes.distinct().join(done, "race_id", "left_anti").withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("race_id")))
         seen.where("n < 6").drop("n").write.mode("overwrite").parquet(path)
         new = seen.where("n = 6").select("race_id").distinct().withColumn("model_version", F.lit(version)).withColumn("bucket", bucket(F.col("race_id")))
         new.write.mode("append").partitionBy("bucket").parquet(predictions_path)
