@@ -53,6 +53,26 @@ def ingest(files: DataFrame, ledger: DataFrame | None, parser_version: str) -> D
     return new.select("path", "sha256", "parser_version", F.when(F.col("size") == 0, "failed").otherwise("ok").alias("state"))
 
 
+def load_new_files(spark: SparkSession, root: str, folder: str, source: str, parse, parser_version: str) -> DataFrame:
+    """One load of the files below root into the tables below folder: files, rows; of files whose content the ledger lacks for this parser.
+
+    Below folder stand manifests by load, the ledger and the rows, each load's under the key of its recipe and data, so a load that is run again
+    after a failure replaces its own rows. parse: the files' (path, sha256, content) to rows."""
+    read = lambda name, schema: spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(f"{folder}/{name}")
+    ledger_schema = "path string, sha256 string, parser_version string, state string"
+    spark.createDataFrame([], ledger_schema).write.mode("append").parquet(f"{folder}/ledger")  # so that there is one
+    new = stored(ingest(inventory(spark, root, source), read("ledger", ledger_schema), parser_version), "new-files")
+    n, mark = new.agg(F.count(F.lit(1)), F.hex(F.bit_xor(F.xxhash64("sha256")))).first()
+    if not n:
+        return spark.createDataFrame([(0, 0)], "files long, rows long")
+    key = fingerprint(spark, {"parser": parser_version, "source": source, "files": n, "data": mark}, {}, "")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", F.sha2("content", 256).alias("sha256"), "content")
+    rows = parse(files.join(new.where("state = 'ok'").select("sha256"), "sha256", "left_semi").dropDuplicates(["sha256"]))
+    rows.write.mode("overwrite").parquet(f"{folder}/rows/load={key}")
+    new.write.mode("append").parquet(f"{folder}/ledger")
+    return spark.read.parquet(f"{folder}/rows/load={key}").agg(F.lit(n).alias("files"), F.count(F.lit(1)).alias("rows"))
+
+
 def load_plan(days: DataFrame, files: DataFrame, ledger: DataFrame) -> DataFrame:
     """days x kinds K, B (K first) against files (day, kind, sha256, ok) and the ledger (kind, sha256): what happens to each."""
     kinds = F.array(*[F.struct(F.lit(kind).alias("kind"), F.lit(nth).alias("nth")) for nth, kind in enumerate("KB")])
