@@ -7,7 +7,7 @@ language with the fewest bytes wins. score is 1 - 2^(-2 * bytes saved over the r
 where that saving is under `MARGIN` of the runner-up's size, ties always.
 
 Null text or text without a letter: und, score 0, rejected. Ties: the first language in code-point order, and rejected. Repeated rows: each has its row. No labelled row: every text is und. lang, source and
-id are not looked at in predictions. Other columns are ignored.
+id are not looked at in predictions. Other columns are ignored. Very long texts: compressed whole. Empty table: no rows.
 """
 
 from __future__ import annotations

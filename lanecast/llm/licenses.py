@@ -10,7 +10,7 @@ its own key phrase, so every place where its words stand consecutively is found.
 A label beyond the base's needs `COVER` of its template's IDF in place. score: the largest such share of any verified
 place. Words are runs of digits, letters and characters from U+0080, after lower-casing A-Z. Null or empty text: no words,
 empty labels, score 0. Repeated rows: each has its row. Other columns are ignored. Empty table: no rows; all words
-then count as equally rare.
+then count as equally rare. Very long texts: searched whole.
 """
 
 from __future__ import annotations

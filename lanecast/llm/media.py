@@ -10,7 +10,7 @@ Here a document's payload, its UTF-8 bytes with zeros up to a positive multiple
 greyscale PNG 64 samples wide, whose page is its text and a figure that refers to the image.
 
 Null or empty text: a payload of 64 zeros. Repeated rows: each has its row. Very long texts: whole. A page without
-media: text segments only; a reference that the store lacks: resolved columns null. Other columns are ignored.
+media: text segments only; a reference that the store lacks: resolved columns null. Other columns are ignored. Empty table: no rows.
 """
 
 from __future__ import annotations

@@ -9,7 +9,8 @@ than `most` times. A document's words taken follow from its place in the stream
 doesn't depend on the block.
 
 Null or empty text: size 0, nothing taken. Repeated rows: each has its own place in the stream. A source without
-words has target 0. Empty table: no rows. Other columns are ignored.
+words has target 0. Empty table: no rows. Other columns are ignored. Very long texts: their words are
+counted whole. Ties of place in the seeded order: by id (null last), then size.
 """
 
 from __future__ import annotations

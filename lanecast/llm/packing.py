@@ -8,7 +8,8 @@ a shard is less than one sequence in all.
 
 Shards hold about `shard_docs` documents, by a hash of id and text, so that memory per task is bounded, rows without
 an id or with one that repeats are spread as long as their texts differ, and the result is the same on each run. Null or empty text: the end id alone. Repeated rows: each is packed. Other columns are
-ignored. Empty table: no rows.
+ignored. Empty table: no rows. Very long texts: encoded whole, and cut
+where no sequence has room.
 """
 
 from __future__ import annotations

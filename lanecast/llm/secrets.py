@@ -7,7 +7,7 @@ long as there are at most `SMALL` of them, by a shuffled join beyond. Rules with
 
 Spans are in code points, end exclusive. Matches are leftmost and don't overlap within a rule; those that fail the
 rule's least length are dropped. Null or empty text: no spans. Repeated rows: each has its row. Other columns are
-ignored. Empty table: no rows.
+ignored. Empty table: no rows. Very long texts: searched whole, their spans added up in chunks.
 """
 
 from __future__ import annotations

@@ -6,7 +6,7 @@ vocabulary file, and is no larger than the vocabulary. Only the other pre-tokens
 per worker and distinct pre-token.
 
 Null or empty text: 0 tokens. Repeated rows: counted row by row. Other columns are ignored. Very long texts:
-whole. An added token's string inside a text is handled by the library itself.
+whole. An added token's string inside a text is handled by the library itself. Empty table: no rows.
 """
 
 from __future__ import annotations
