@@ -3,7 +3,11 @@
 Language ID (documents it rejects go), exact dedup (of equal texts the largest doc_id stays), n-gram Jaccard join
 (of each component the smallest doc_id stays), mixing sources to target weights (a document is taken as often as its
 words are, whole: the fraction beyond whole times is decided by a seeded draw on its id), packing. All stages but the
-last return the columns of documents.
+last return the columns of documents, extra ones too, whatever their names.
+
+Null and empty texts, and texts without a letter, are rejected by the first stage. Very long texts are read whole by every stage.
+Ties: the largest id of equal texts, the smallest of a component. Repeated rows are equal texts, of which one stays; rows that
+share an id with other texts all pass the near-duplicate stage. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -48,7 +52,7 @@ STAGES = [
     ("packing", pack_sequences),
 ]
 
-# Compression sizes, components and tokens have no SQL form; tests compare the stages with brute-force versions.
+# Compression sizes, components and tokens have no SQL form; a test compares what near-dedup keeps with brute force and counts the other stages.
 ORACLE_SQL = None
 
 
