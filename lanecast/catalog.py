@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from lanecast.plans import attribution, audit, betting, boards, captures, decisions, effects, intake, loads, models, pooled, series, studies, texts, timeline, upkeep
+from lanecast.plans import attribution, audit, betting, boards, captures, decisions, effects, history, intake, loads, models, pooled, series, studies, texts, timeline, upkeep
 from lanecast.plans.registry import Query
 
 FLAGSHIP = "price_band_report"
-MODULES = (betting, timeline, series, boards, pooled, studies, intake, loads, attribution, upkeep, audit, effects, models, texts, decisions, captures)
+MODULES = (betting, timeline, series, boards, pooled, studies, intake, loads, attribution, upkeep, audit, effects, models, texts, decisions, captures, history)
 
 
 def queries() -> dict[str, Query]:

@@ -43,6 +43,16 @@ def conservative_value(p: Column, margin_: Column, odds: Column) -> Column:
     return F.greatest(F.lit(0.0), p - margin_) * odds
 
 
+FORMULA_VERSION = "margin-1"
+
+
+def value_report(p: Column, odds: Column, calibration_error: Column, n: Column, spread: Column, w1: float = 1.0, w2: float = 1.0) -> Column:
+    """struct<raw, conservative, margin, version>: both expected values, the margin between their probabilities, and the formula's
+    version; null unless 0 <= p <= 1 and odds > 0."""
+    m = margin(calibration_error, n, spread, w1, w2)
+    return F.when(p.between(0, 1) & (odds > 0), F.struct((p * odds).alias("raw"), conservative_value(p, m, odds).alias("conservative"), m.alias("margin"), F.lit(FORMULA_VERSION).alias("version")))
+
+
 def log_deviation(actual: Column, predicted: Column) -> Column:
     return F.when(actual.isNotNull() & predicted.isNotNull(), F.log(actual / predicted))
 

@@ -34,27 +34,6 @@ def trifecta(df: DataFrame, key: str = "race_id") -> DataFrame:
     return d.select(key, "i", "j", "k", (F.col("p") * F.coalesce(given, F.lit(0.0))).alias("p"))
 
 
-def top_two(ex: DataFrame, key: str = "race_id") -> DataFrame:
-    """key, lane, p: in the first two; sums to 2."""
-    return ex.select(key, "p", F.explode(F.array("i", "j")).alias("lane")).groupBy(key, "lane").agg(F.sum("p").alias("p"))
-
-
-def quinella(ex: DataFrame, key: str = "race_id") -> DataFrame:
-    return ex.groupBy(key, F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j")).agg(F.sum("p").alias("p"))
-
-
-def trio(tri: DataFrame, key: str = "race_id") -> DataFrame:
-    lanes = F.array_sort(F.array("i", "j", "k"))
-    return tri.groupBy(key, lanes.alias("lanes")).agg(F.sum("p").alias("p"))
-
-
-def wide(tri: DataFrame, key: str = "race_id") -> DataFrame:
-    """key, i, j, p: both in the first three; sums to 3."""
-    two = lambda a, b: F.struct(F.least(a, b).alias("i"), F.greatest(a, b).alias("j"))
-    d = tri.select(key, "p", F.explode(F.array(two("i", "j"), two("i", "k"), two("j", "k"))).alias("pair"))
-    return d.groupBy(key, "pair.i", "pair.j").agg(F.sum("p").alias("p"))
-
-
 def candidates_of(pool: str, lanes: int = 6) -> list[tuple[str, list[int], list[list[int]]]]:
     """(combination, its lanes, the orders of the first places that make it) of each candidate of a pool."""
     every = range(1, lanes + 1)

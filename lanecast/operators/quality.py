@@ -176,10 +176,10 @@ def usable_for(verdict_: Column, purpose: str) -> Column:
     raise ValueError(f"unknown purpose: {purpose}")
 
 
-def distribution_violations(df: DataFrame, group: list[str], p: str, size: int, tolerance: float = 1e-9) -> DataFrame:
-    """Groups that aren't a distribution over `size` keys."""
-    g = df.groupBy(*group).agg(F.count(F.lit(1)).alias("n"), F.min(p).alias("lo"), F.max(p).alias("hi"), F.sum(p).alias("total"))
-    reason = F.when(F.col("n") != size, "keys").when((F.col("lo") < 0) | (F.col("hi") > 1), "range").when(F.abs(F.col("total") - 1) > tolerance, "sum")
+def distribution_violations(df: DataFrame, group: list[str], p: str, size: int, tolerance: float = 1e-9, zero_at: Column | None = None) -> DataFrame:
+    """Groups that aren't a distribution over `size` keys, or where a row that zero_at names isn't exactly 0; the first reason."""
+    g = df.groupBy(*group).agg(F.count(F.lit(1)).alias("n"), F.min(p).alias("lo"), F.max(p).alias("hi"), F.sum(p).alias("total"), F.coalesce(F.bool_or((zero_at if zero_at is not None else F.lit(False)) & (F.col(p) != 0)), F.lit(False)).alias("not_zero"))
+    reason = F.when(F.col("n") != size, "keys").when((F.col("lo") < 0) | (F.col("hi") > 1), "range").when(F.col("not_zero"), "zero").when(F.abs(F.col("total") - 1) > tolerance, "sum")
     return g.withColumn("violation", reason).where("violation IS NOT NULL")
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lanecast.functions import pricing
-from lanecast.operators import metrics
+from lanecast.operators import joint, metrics
 
 # fixed values: the published reason codes
 REASON_CODES = (
@@ -59,6 +59,17 @@ def market_by_round(quotes: DataFrame, schedule: DataFrame, keys: list[str], rou
     return q.groupBy(*keys, "round").agg(F.max_by("odds", F.struct("available_at", -F.col(seen or "odds"))).alias("odds"))
 
 
+def market(quotes: DataFrame, schedule: DataFrame, keys: list[str], rounds: DataFrame, name: str) -> DataFrame:
+    """keys, round, odds of one market. quotes: closing, odds, available_at, race_id. "closing" is the last of the quotes marked so, on ties the
+    lower; any other name a round of the live ones. An unknown name is an error."""
+    if name == "closing":
+        d = quotes.where("closing AND odds > 0").groupBy(*keys).agg(F.max_by("odds", F.struct("available_at", -F.col("odds"))).alias("odds"))
+        return d.withColumn("round", F.lit("closing"))
+    if name not in {r for r, *_ in pricing.ROUNDS}:
+        raise ValueError(f"unknown market: {name}")
+    return market_by_round(quotes.where("NOT closing AND odds > 0"), schedule, keys, rounds.where(F.col("round") == name))
+
+
 def band_reference(c: DataFrame, cell: list[str]) -> DataFrame:
     """Per cell of complete, priced candidates: n, hit rate, mean return of betting all of it."""
     return c.groupBy(*cell).agg(F.count(F.lit(1)).alias("n"), F.avg(F.col("hit").cast("double")).alias("hit_rate"), F.avg("ret").alias("blind_roi"))
@@ -92,28 +103,53 @@ def ranked(df: DataFrame, by: list[str], u: str, tie: str, name: str) -> DataFra
     return d.withColumn("__nth", nth).join(n, [*by, "__part"]).withColumn(name, F.col("__before") + F.col("__nth")).drop("__part", "__nth", "__before")
 
 
+def permuted(ids: DataFrame, n: int, seed: int = 0) -> DataFrame:
+    """race_id, draw, __from: per draw every race is given another's id: ranks by the draw's hash paired with ranks by a fixed one."""
+    to = ranked(ids.withColumn("__u", pricing.uniform(F.lit(seed), F.lit("to"), F.col("race_id"))), [], "__u", "race_id", "__rank").select("__rank", "race_id")
+    source = metrics.draws(ids, n).withColumn("__u", pricing.uniform(F.lit(seed), F.col("draw"), F.col("race_id")))
+    source = ranked(source, ["draw"], "__u", "race_id", "__rank").select("draw", "__rank", F.col("race_id").alias("__from"))
+    return to.join(source, "__rank").drop("__rank")
+
+
 def permutation_null(races: DataFrame, candidates: DataFrame, threshold: float, n: int, seed: int = 0) -> DataFrame:
-    """Per draw every race takes another's probability vector (ranks by the draw's hash paired with ranks by a fixed one),
-    prices and payouts stay; the return of ev_best at the threshold per draw.
+    """Per draw every race takes another's probability vector, prices and payouts stay; the return of ev_best at the threshold per draw.
 
     races: race_id, probs array; candidates: race_id, lane, odds, ret. Only ids are permuted; vectors are joined after.
     """
-    ids = races.select("race_id")
-    to = ranked(ids.withColumn("__u", pricing.uniform(F.lit(seed), F.lit("to"), F.col("race_id"))), [], "__u", "race_id", "__rank").select("__rank", "race_id")
-    source = metrics.draws(ids, n).withColumn("__u", pricing.uniform(F.lit(seed), F.col("draw"), F.col("race_id")))
-    source = ranked(source, ["draw"], "__u", "race_id", "__rank").select("draw", "__rank", F.col("race_id").alias("__from"))
     field = candidates.groupBy("race_id").agg(F.collect_list(F.struct("lane", "odds", "ret")).alias("__field"))  # a row a lane
-    d = to.join(source, "__rank").join(races.select(F.col("race_id").alias("__from"), "probs"), "__from").join(field, "race_id")
+    d = permuted(races.select("race_id"), n, seed).join(races.select(F.col("race_id").alias("__from"), "probs"), "__from").join(field, "race_id")
     best = F.array_max(F.transform("__field", lambda c: F.struct((F.element_at("probs", c["lane"]) * c["odds"]).alias("ev"), (-c["lane"]).alias("order"), c["ret"].alias("ret"))))
     return d.select("draw", best.alias("b")).where(F.col("b.ev") >= threshold).groupBy("draw").agg(F.count(F.lit(1)).alias("bets"), F.avg("b.ret").alias("roi"))
 
 
-def noise_sensitivity(c: DataFrame, threshold: float, sigma: float, n: int, seed: int = 0) -> DataFrame:
-    """Per draw ev_best selects on odds * exp(N(0, sigma)) and settles on the true return."""
-    noisy = F.col("p") * F.col("odds") * F.exp(sigma * pricing.normal(F.lit(seed), F.col("draw"), F.col("race_id"), F.col("lane")))
-    d = metrics.draws(c, n).withColumn("ev", noisy)
-    best = d.groupBy("draw", "race_id").agg(F.max_by(F.struct("ev", "ret"), F.struct("ev", -F.col("lane"))).alias("b"))
-    return best.where(F.col("b.ev") >= threshold).groupBy("draw").agg(F.count(F.lit(1)).alias("bets"), F.avg("b.ret").alias("roi"))
+def pool_null(fields: DataFrame, c: DataFrame, threshold: float, n: int, seed: int = 0) -> DataFrame:
+    """permutation_null of every pool: a race's chances of all candidates follow from the lanes of another. fields: race_id, lane, p;
+    c: race_id, pool, combination, odds, ret, complete. Gives draw, pool, bets, roi."""
+    of = permuted(fields.select("race_id").distinct(), n, seed)
+    p = of.join(fields.select(F.col("race_id").alias("__from"), "lane", "p"), "__from").select(F.struct("race_id", "draw").alias("__key"), "lane", "p")
+    d = joint.pools(p, "__key").select("__key.*", "pool", "combination", F.round("p", 9).alias("p"))
+    d = d.join(c.where("complete").select("race_id", "pool", "combination", "odds", "ret"), ["race_id", "pool", "combination"])
+    return _best_by_draw(d.withColumn("ev", F.col("p") * F.col("odds")), ["pool"], "combination", threshold)
+
+
+def noise_sensitivity(c: DataFrame, threshold: float, sigma: float, n: int, seed: int = 0, by: tuple[str, ...] = (), item: str = "lane") -> DataFrame:
+    """Per draw ev_best selects on odds * exp(N(0, sigma)) and settles on the true return; a row a draw, of each pool where `by` names it."""
+    draw = pricing.normal(F.lit(seed), F.col("draw"), F.col("race_id"), *map(F.col, by), F.col(item))
+    d = metrics.draws(c, n).withColumn("ev", F.col("p") * F.col("odds") * F.exp(sigma * draw))
+    return _best_by_draw(d, [*by], item, threshold)
+
+
+def _best_by_draw(d: DataFrame, by: list[str], item: str, threshold: float) -> DataFrame:
+    """Of each draw's races the candidate of greatest ev, the first item on ties; those that reach the threshold."""
+    best = d.groupBy("draw", *by, "race_id").agg(F.min_by(F.struct("ev", "ret"), F.struct(-F.col("ev"), F.col(item))).alias("b"))
+    return best.where(F.col("b.ev") >= threshold).groupBy("draw", *by).agg(F.count(F.lit(1)).alias("bets"), F.avg("b.ret").alias("roi"))
+
+
+def pools_against_null(null: DataFrame, real: DataFrame) -> DataFrame:
+    """Per pool the null's mean, greatest and population sd beside the real return and its z; null: pool, roi; real: pool, roi."""
+    g = null.groupBy("pool").agg(F.avg("roi").alias("null_mean"), F.max("roi").alias("null_max"), F.stddev_pop("roi").alias("null_sd"))
+    g = g.join(real.select("pool", F.col("roi").alias("real")), "pool", "left")
+    return g.withColumn("z", (F.col("real") - F.col("null_mean")) / F.nullif(F.col("null_sd"), F.lit(0.0)))
 
 
 def against_null(null: DataFrame, real: Column) -> DataFrame:

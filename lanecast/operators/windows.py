@@ -36,6 +36,22 @@ def series_plan(sessions: DataFrame, venue: str, day: str, old_id: str) -> DataF
     return span.join(has, [venue, "session"], "left").select(venue, "session", "start", "end", "days", F.col(f"s.{old_id}").alias("survivor"), F.coalesce("merged", F.lit(0)).alias("merged"))
 
 
+def series_rebuild(races: DataFrame, titles: DataFrame) -> DataFrame:
+    """What putting every race on the series of its session would change. races: venue, session, day, race_id, old_id (null: none);
+    titles: old_id, title. Per session: survivor (the smallest id of the earliest day that has one), title (its own, else that of the smallest
+    merged id that has one), merged (ids before), split_before (several), repointed (races of days with another id). Rows are summed up
+    by day and id first."""
+    of = ["venue", "session"]
+    days = races.groupBy(*of, "day", "old_id").agg(F.count(F.lit(1)).alias("n"))
+    has = days.where("old_id IS NOT NULL").join(titles, "old_id", "left")
+    plan = has.groupBy(*of).agg(F.min_by("old_id", F.struct("day", "old_id")).alias("survivor"), F.count_distinct("old_id").alias("merged"), F.min_by("title", F.when(F.col("title").isNotNull(), F.col("old_id"))).alias("__other"))
+    d = days.join(plan.select(*of, "survivor"), of).groupBy(*of, "day", "survivor").agg(F.sum("n").alias("n"), F.coalesce(F.bool_or(F.col("old_id") != F.col("survivor")), F.lit(False)).alias("moved"))
+    moved = d.groupBy(*of).agg(F.sum(F.when(F.col("moved"), F.col("n")).otherwise(0)).alias("repointed"))
+    own = titles.select(F.col("old_id").alias("survivor"), "title")
+    d = plan.join(moved, of).join(own, "survivor", "left")
+    return d.select(*of, "survivor", F.coalesce("title", "__other").alias("title"), "merged", (F.col("merged") > 1).alias("split_before"), "repointed")
+
+
 def free_starts(starts: DataFrame, venue: str, start: str, tie: str) -> DataFrame:
     """Moves each estimated start, in order, to the first day its venue hasn't given away.
 
@@ -81,8 +97,12 @@ def recent_average(df: DataFrame, keys: list[str], day: str, value: str, days: i
     return df.join(daily.withColumn("recent", F.avg("__mean").over(w)).drop("__mean"), [*keys, day])
 
 
-def lag_persistence(df: DataFrame, keys: list[str], day: str, value: str, lags: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
-    """Correlation of a day's mean with that of the key's 1st, 2nd, 3rd day before."""
+def lag_persistence(df: DataFrame, keys: list[str], day: str, value: str, lags: tuple[int, ...] = (1, 2, 3), adjust: str | None = None) -> DataFrame:
+    """Correlation of a day's mean with that of the key's 1st, 2nd, 3rd day before; values less the mean of their `adjust`, a column of few
+    values such as the lane."""
+    if adjust:
+        means = df.groupBy(adjust).agg(F.avg(value).alias("__mean"))
+        df = df.join(F.broadcast(means), adjust).withColumn(value, F.col(value) - F.col("__mean"))
     w = Window.partitionBy(*keys).orderBy(day)
     daily = df.groupBy(*keys, day).agg(F.avg(value).alias("x"))
     for k in lags:

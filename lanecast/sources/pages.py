@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lanecast.functions import text
@@ -56,14 +56,32 @@ def triple_grid(cells: DataFrame, ordered: bool) -> DataFrame:
     return g.where("k IS NOT NULL").select("page", F.array_join(lanes.cast("array<string>"), "-").alias("combination"), text.odds_cell(F.col("cell"))["low"].alias("odds")).where("odds IS NOT NULL").dropDuplicates(["page", "combination"])
 
 
+# fixed values: a reading's data column in rows of 17 and of 20 data columns
+DAILY_WEATHER = {
+    "precipitation_total_mm": (0, 2), "precipitation_max_1h_mm": (1, 3), "precipitation_max_10min_mm": (2, 4),
+    "temperature_avg_c": (3, 5), "temperature_max_c": (4, 6), "temperature_min_c": (5, 7),
+    "humidity_avg_pct": (6, 8), "humidity_min_pct": (7, 9),
+    "wind_avg_ms": (8, 10), "wind_max_ms": (9, 11), "wind_max_direction": (10, 12), "wind_max_instant_ms": (11, 13), "wind_max_instant_direction": (12, 14), "wind_prevailing_direction": (13, None),
+    "sunshine_hours": (14, 15),
+}
+
+
 def daily_weather(cells: DataFrame) -> DataFrame:
-    """page, row_no and readings by the row's column count (17 or 20); marks of missing values are null; other counts reject."""
-    clean = F.regexp_replace(F.trim("cell"), r"\)$", "")
-    value = F.when(~clean.isin("///", "--", ""), clean)
-    d = cells.groupBy("page", "row_no").agg(F.transform(F.array_sort(F.collect_list(F.struct("col_no", value.alias("v")))), lambda s: s["v"]).alias("v"))
-    n = F.size("v")
-    at = lambda a, b: F.when(n == 17, F.get("v", F.lit(a))).when(n == 20, F.get("v", F.lit(b))).try_cast("double")
-    return d.select("page", "row_no", F.get("v", F.lit(0)).try_cast("int").alias("day"), at(3, 3).alias("rain_mm"), at(6, 6).alias("temperature"), at(11, 11).alias("wind_mean"), (~n.isin(17, 20)).alias("rejected"))
+    """page, day, rejected and the readings of rows whose first cell is a day; their data cells number 17 or 20, other counts reject and
+    have none. Marks of missing values are null, a trailing ")" goes from numbers."""
+    of_row = F.array_sort(F.collect_list(F.struct("col_no", F.trim("cell").alias("v"))))  # a row's few cells
+    d = cells.groupBy("page", "row_no").agg(F.transform(of_row, lambda s: s["v"]).alias("v")).where(F.get("v", F.lit(0)).rlike("^[0-9]+$"))
+    n = F.size("v") - 1
+
+    def reading(name: str) -> Column:
+        short, long = DAILY_WEATHER[name]
+        at = lambda k: F.lit(None) if k is None else F.get("v", F.lit(k + 1))
+        cell = F.when(n == 17, at(short)).when(n == 20, at(long))
+        if name.endswith("_direction"):
+            return F.when(~cell.isin("///", "--", ""), cell)
+        return F.trim(F.regexp_replace(cell, r"\)+$", "")).try_cast("double")
+
+    return d.select("page", F.get("v", F.lit(0)).try_cast("int").alias("day"), (~n.isin(17, 20)).alias("rejected"), *[reading(name).alias(name) for name in DAILY_WEATHER])
 
 
 def previews(feed: DataFrame, column: str = "value") -> DataFrame:
