@@ -64,10 +64,16 @@ def pre_race_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = d.groupBy(F.col("race_id").alias("page"), "venue").agg(_in_order(body, "lane").alias("boats"), _in_order(start, "finish").alias("starts"))
     unit = lambda name, v: F.concat(F.lit(f'<div class="unit {name}"><span class="LabelData">'), v, F.lit("</span></div>"))
     wind = F.concat(F.col("venue").cast("string"), F.lit("m"))
-    return g.select("page", F.concat(F.lit("<table>"), "boats", F.lit("</table><table><tr><th>コース</th></tr>"), "starts", F.lit("</table>"), unit("is-direction", F.lit("20.5℃")), unit("is-windDirection is-wind3", F.lit("")), unit("is-wind", wind), unit("is-wave", F.lit("3cm"))).alias("html"))
+    picture = lambda name, code: F.concat(F.lit('<p class="weather1_bodyUnitImage '), F.lit(name), code.cast("string"), F.lit('"></p>'))
+    number = (F.col("page") % 12 + 1).cast("string")
+    title = F.concat(F.lit('<p class="weather1_title">水面気象情報　'), F.when(F.col("page") % 5 == 0, "締切時").otherwise(F.concat(number, F.lit("R時点"))), F.lit("</p>"))
+    weather = F.concat(F.lit('<div class="unit is-weather">'), picture("is-weather", F.col("page") % 4), F.lit('<span class="LabelTitle">'), F.when(F.col("page") % 4 == 0, "晴").otherwise("曇り"), F.lit("</span></div>"))
+    direction = F.concat(F.lit('<div class="unit is-windDirection">'), F.when(F.col("page") % 3 > 0, picture("is-wind", F.col("venue") % 17)).otherwise(""), F.lit("</div>"))
+    body = F.concat(title, F.lit('<div class="weather1_body">'), unit("is-direction", F.lit("20.5℃")), weather, unit("is-wind", wind), direction, unit("is-wave", F.lit("3cm")), F.lit("</div>"))
+    return g.select("page", F.concat(F.lit("<table>"), "boats", F.lit("</table><table><tr><th>コース</th></tr>"), "starts", F.lit("</table>"), body).alias("html"))
 
 
-@R.query(" SELECT race_id AS page, lane::INT AS lane, racer::INT AS registration, quantity AS weight, 1.5::DOUBLE AS ballast, disc AS exhibition_time, won AS propeller_changed, CASE WHEN finish = 2 THEN 'a,b' ELSE '' END AS parts, finish::INT AS course, 0.1::DOUBLE AS start_timing, won AS flying, '名' AS name, -0.5::DOUBLE AS tilt, 20.5::DOUBLE AS air_temperature, venue::DOUBLE AS wind_speed, 3.0::DOUBLE AS wave_height, NULL::DOUBLE AS water_temperature FROM fields")
+@R.query(" SELECT race_id AS page, lane::INT AS lane, racer::INT AS registration, quantity AS weight, 1.5::DOUBLE AS ballast, disc AS exhibition_time, won AS propeller_changed, CASE WHEN finish = 2 THEN 'a,b' ELSE '' END AS parts, finish::INT AS course, 0.1::DOUBLE AS start_timing, won AS flying, '名' AS name, -0.5::DOUBLE AS tilt, 20.5::DOUBLE AS air_temperature, venue::DOUBLE AS wind_speed, 3.0::DOUBLE AS wave_height, NULL::DOUBLE AS water_temperature, CASE WHEN race_id % 3 > 0 THEN (venue % 17)::INT END AS wind_direction, (race_id % 4)::INT AS weather_code, CASE WHEN race_id % 4 = 0 THEN '晴' ELSE '曇り' END AS weather, CASE WHEN race_id % 5 = 0 THEN '締切時' ELSE (race_id % 12 + 1) || 'R時点' END AS label, CASE WHEN race_id % 5 > 0 THEN (race_id % 12 + 1)::INT END AS reference_race FROM fields")
 def pre_race_page_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = pre_race_pages(spark, sf_dir)
     boats = pages.pre_race_boats(d, "page", "html").withColumn("parts", F.array_join("parts", ","))
@@ -182,3 +188,17 @@ def venue_page_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     heading = {section: h for section, h, _ in pages.VENUE_TABLES}
     html = F.concat(part(heading["course"], F.col("course")), part(heading["lane"], F.col("rates")), F.when(F.col("page") % 2 == 0, part(heading["spring"], F.col("rates"))).otherwise(""), part(heading["autumn"], F.lit('<tr class="is-p10-0"><td>1</td><td>2</td></tr>')))
     return pages.venue_rates(g.select("page", html.alias("html")), "page", "html")
+
+
+@R.query(" SELECT venue AS page, 'V' || venue AS name, CASE WHEN venue % 2 = 0 THEN n || ' 番' END AS address, 'M' || venue % 3 AS motor, CASE WHEN venue % 2 = 0 THEN '淡水' END AS water_quality, NULL::VARCHAR AS tidal_range, NULL::VARCHAR AS record, strftime(first, '%Y/%m/%d') || '～' AS course_period, CASE WHEN venue % 5 > 0 THEN '～' || strftime(last, '%Y/%m/%d') END AS lane_period FROM (SELECT venue, count(*) AS n, min(race_date) AS first, max(race_date) AS last FROM races GROUP BY venue)")
+def venue_page_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One page a venue with its name, a memo with an unknown entry, and the periods of its tables; parsed back."""
+    g = races(spark, sf_dir).groupBy(F.col("venue").alias("page")).agg(F.count(F.lit(1)).alias("n"), F.min("race_date").alias("first"), F.max("race_date").alias("last"))
+    pair = lambda k, v: F.concat(F.lit(f"<dt>{k}</dt><dd>"), v, F.lit("</dd>"))
+    even, text = F.col("page") % 2 == 0, lambda c: F.date_format(c, "yyyy/MM/dd")
+    memo = F.concat(F.lit('<dl class="list1 is-x">'), F.when(even, pair("所在地", F.concat(F.col("n").cast("string"), F.lit(" <b>番</b>")))).otherwise(""), pair("電話", F.lit("0")), pair("モーター", F.concat(F.lit("M"), (F.col("page") % 3).cast("string"))), F.when(even, pair("水質", F.lit("淡水"))).otherwise(""), F.lit("</dl>"))
+    heading = {section: h for section, h, _ in pages.VENUE_TABLES}
+    part = lambda section, note: F.concat(F.lit(f"<span>{heading[section]}</span><table><tr><td>1</td></tr></table>"), note)
+    note = lambda v: F.concat(F.lit('<p class="h-alignR">'), v, F.lit("</p>"))
+    html = F.concat(F.lit('<span class="heading1_mainLabel"> V'), F.col("page").cast("string"), F.lit("</span>"), memo, part("course", note(F.concat(text("first"), F.lit("～")))), part("lane", F.when(F.col("page") % 5 > 0, note(F.concat(F.lit("～"), text("last")))).otherwise("")))
+    return pages.venue_profiles(g.select("page", html.alias("html")), "page", "html")

@@ -176,11 +176,21 @@ def start_exhibition(pages: DataFrame, key: str, html: str) -> DataFrame:
     return d.select(key, (F.col("nth") + 1).alias("course"), F.regexp_extract("r", number, 1).cast("int").alias("lane"), timing["seconds"].alias("start_timing"), timing["flying"].alias("flying"))
 
 
+SURFACE_TITLE = "水面気象情報"  # fixed value: what stands before the label
+
+
 def surface(pages: DataFrame, key: str, html: str) -> DataFrame:
-    """key and the readings of the weather units; units that a page lacks are null."""
-    of = lambda unit: F.regexp_extract(html, rf'(?is)<div\b[^>]*\b{unit}\b(?![-\w])[^>]*>.*?LabelData\b[^>]*>\s*([^<]*?)\s*<', 1)
+    """key, the readings of the weather units, the codes of the wind's and the weather's pictures, the weather's name, the title's label and the
+    earlier race it names; what a page lacks is null. Pages without a weather block have no row."""
+    d = pages.where(F.coalesce(F.col(html), F.lit("")).rlike(r"(?i)<div\b[^>]*\bweather1_body\b"))
+    inside = lambda unit, rx: F.nullif(F.regexp_extract(html, rf'(?is)<div\b[^>]*\b{unit}\b(?![-\w])[^>]*>(?:(?!</div>).)*?{rx}', 1), F.lit(""))
+    of = lambda unit: inside(unit, r'LabelData\b[^>]*>\s*([^<]*?)\s*<')
+    picture = lambda unit, name: inside(unit, rf'<p\b[^>]*\bweather1_bodyUnitImage\b[^>]*\b{name}(\d+)\b').try_cast("int")
     units = {"air_temperature": "is-direction", "water_temperature": "is-waterTemperature", "wind_speed": "is-wind", "wave_height": "is-wave"}
-    return pages.select(key, *[_number(of(unit)).alias(name) for name, unit in units.items()])
+    title = F.regexp_replace(_plain(F.regexp_extract(html, r'(?is)<p\b[^>]*\bweather1_title\b[^>]*>(.*?)</p>', 1)), SURFACE_TITLE, "")
+    label = F.trim(F.translate(title, "　", " "))
+    race = F.regexp_extract(label, r"^(\d{1,2})R時点$", 1).try_cast("int")
+    return d.select(key, *[_number(of(unit)).alias(name) for name, unit in units.items()], picture("is-windDirection", "is-wind").alias("wind_direction"), picture("is-weather", "is-weather").alias("weather_code"), inside("is-weather", r'LabelTitle\b[^>]*>\s*([^<]*?)\s*<').alias("weather"), label.alias("label"), race.alias("reference_race"))
 
 
 # fixed values: techniques in the order of their columns, headings of a venue page's tables
@@ -202,3 +212,20 @@ def venue_rates(pages: DataFrame, key: str, html: str) -> DataFrame:
     names = F.array(*[F.lit(str(n)) for n in range(1, 7)], *[F.lit(t) for t in TECHNIQUES])
     pairs = F.when(~F.col("rejected"), F.arrays_zip(F.slice(names, F.lit(1), F.col("cells") - 1).alias("measure"), F.slice("v", F.lit(2), F.col("cells") - 1).alias("rate")))
     return d.select(key, "section", F.get("v", F.lit(0)).cast("int").alias("number"), "rejected", F.inline_outer(pairs))
+
+
+# fixed values: the memo's headings
+VENUE_MEMO = {"address": "所在地", "motor": "モーター", "water_quality": "水質", "tidal_range": "干満差", "record": "レコード"}
+
+
+def venue_profiles(pages: DataFrame, key: str, html: str) -> DataFrame:
+    """A venue page's name, the memo's entries, and the periods noted after the course and the lane table; what a page lacks is null, a page
+    without a name has no row."""
+    name = _plain(F.regexp_extract(html, r'(?is)<span\b[^>]*\bheading1_mainLabel\b[^>]*>(.*?)</span>', 1))
+    memo = F.regexp_extract(html, r'(?is)<dl\b[^>]*\blist1\b[^>]*>(.*?)</dl>', 1)
+    pairs = F.arrays_zip(F.transform(_inner(memo, "dt"), _plain).alias("k"), F.transform(_inner(memo, "dd"), _plain).alias("v"))
+    entry = lambda heading: F.get(F.filter(pairs, lambda x: x["k"] == heading), F.lit(0))["v"]
+    note = lambda heading: F.nullif(_plain(F.regexp_extract(html, rf'(?is)<span\b[^>]*>\s*{heading}\s*</span>.*?</table>.*?<p\b[^>]*\bh-alignR\b[^>]*>(.*?)</p>', 1)), F.lit(""))
+    headings = {section: h for section, h, _ in VENUE_TABLES}
+    d = pages.select(key, name.alias("name"), *[entry(h).alias(n) for n, h in VENUE_MEMO.items()], note(headings["course"]).alias("course_period"), note(headings["lane"]).alias("lane_period"))
+    return d.where("name <> ''")

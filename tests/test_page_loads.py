@@ -50,3 +50,15 @@ def test_venue_rows_of_another_width_are_rejected(spark):
     rows = [(r["section"], r["number"], r["rejected"], r["measure"], r["rate"]) for r in d.collect()]
     assert sorted(r[3:] for r in rows if not r[2]) == [("1", 10.0), ("2", 20.0), ("3", 30.0), ("4", 20.0), ("5", 10.0), ("6", 10.0)]
     assert [r for r in rows if r[2]] == [("spring", 2, True, None, None)]
+
+
+def test_surface_and_profiles(spark):
+    unit = '<div class="weather1_bodyUnit {}"><p class="weather1_bodyUnitImage {}"></p><div class="weather1_bodyUnitLabel"><span class="weather1_bodyUnitLabelTitle">{}</span><span class="weather1_bodyUnitLabelData">{}</span></div></div>'
+    page = '<p class="weather1_title">水面気象情報　 5R時点</p><div class="weather1_body">' + unit.format("is-direction", "is-direction3", "気温", "21.0℃") + unit.format("is-weather", "is-weather2", "曇り", "") + unit.format("is-wind", "", "風速", "4m") + unit.format("is-windDirection", "is-wind11", "", "") + unit.format("is-wave", "", "波高", "-") + "</div>"
+    d = spark.createDataFrame([(1, page), (2, '<div class="weather1_body"></div>'), (3, "<p>no race</p>"), (4, None)], "page int, html string")
+    got = {r["page"]: r for r in pages.surface(d, "page", "html").collect()}
+    assert sorted(got) == [1, 2] and got[2]["label"] == "" and got[2]["weather"] is None and got[2]["wind_direction"] is None
+    assert tuple(got[1]) == (1, 21.0, None, 4.0, None, 11, 2, "曇り", "5R時点", 5)
+    venue = '<span class="heading1_mainLabel">戸田</span><dl class="list1"><dt>所在地</dt><dd>埼玉</dd><dt>干満差</dt><dd>なし</dd></dl><span>コース別入着率＆決まり手</span><table></table><p class="h-alignR">集計期間</p>'
+    d = spark.createDataFrame([(1, venue), (2, ""), (3, None)], "page int, html string")
+    assert [tuple(r) for r in pages.venue_profiles(d, "page", "html").collect()] == [(1, "戸田", "埼玉", None, None, "なし", None, "集計期間", None)]
