@@ -37,6 +37,45 @@ class Template:
     base: bool = False
 
 
+_WORD_BYTES = bytes(b if b >= 128 or chr(b).isalnum() and chr(b) not in UPPER else ord(chr(b).lower()) if chr(b) in UPPER else 32 for b in range(256))
+
+
+def words_of(text: str) -> list[bytes]:
+    return text.encode("utf-8", "surrogatepass").translate(_WORD_BYTES).split()
+
+
+def spaced(text: str) -> str:
+    return b" ".join(words_of(text)).decode()
+
+
+# fixed values: public licence texts, after their title and copyright lines
+_GRANTED = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
+The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
+_ISC = """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."""
+_CLAUSES_2 = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+"""
+_CLAUSE_3 = """3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.
+"""
+_DISCLAIMED = """THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+_ZLIB = """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.
+Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:
+1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required.
+2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.
+3. This notice may not be removed or altered from any source distribution."""
+_UNLICENSE = """This is free and unencumbered software released into the public domain.
+Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.
+In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law."""
+_APACHE = """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at
+http://www.apache.org/licenses/LICENSE-2.0
+Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."""
+_GPL = """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.
+This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.
+You should have received a copy of the GNU General Public License along with this program. If not, see https://www.gnu.org/licenses/."""
+
 TEMPLATES = (
     Template("mit", "mit license", "mit license", True),
     Template("apache", "apache license", "apache license", True),
@@ -62,15 +101,16 @@ TEMPLATES = (
     Template("epl-2.0", "made available under the terms of the eclipse public license 2 0", "eclipse public license 2 0"),
     Template("artistic-2.0", "this library is free software distributed under the terms of the artistic license 2 0", "artistic license 2 0"),
     Template("spdx", "spdx license identifier", "spdx license identifier"),
+    Template("mit-whole", spaced(_GRANTED), "permission is hereby granted free of charge"),
+    Template("isc-whole", spaced(_ISC), "permission to use copy modify and or distribute this software"),
+    Template("bsd-2-clause-whole", spaced(_CLAUSES_2 + _DISCLAIMED), "redistribution and use in source and binary forms"),
+    Template("bsd-3-clause-whole", spaced(_CLAUSES_2 + _CLAUSE_3 + _DISCLAIMED), "may be used to endorse or promote products derived from this software"),
+    Template("zlib-whole", spaced(_ZLIB), "in no event will the authors be held liable for any damages"),
+    Template("unlicense-whole", spaced(_UNLICENSE), "free and unencumbered software"),
+    Template("apache-2.0-notice", spaced(_APACHE), "apache license version 2 0"),
+    Template("gpl-3.0-notice", spaced(_GPL), "terms of the gnu general public license"),
 )
 
-_WORD_BYTES = bytes(b if b >= 128 or chr(b).isalnum() and chr(b) not in UPPER else ord(chr(b).lower()) if chr(b) in UPPER else 32 for b in range(256))
-
-
-def words_of(text: str) -> list[bytes]:
-    return text.encode("utf-8", "surrogatepass").translate(_WORD_BYTES).split()
-
-
 class Index:
     """Postings word -> (template, position) of the templates' key phrases, with the IDF of every template word."""
 
@@ -146,9 +186,10 @@ def document_frequency(df: DataFrame, vocabulary: set[str]) -> dict[str, int]:
 def scan_licenses(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: tuple[Template, ...] = TEMPLATES) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score."""
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    seen = document_frequency(rows.select("text"), {w for t in templates for w in t.text.split()})
+    vocabulary = {w for t in templates for w in t.text.split()}
+    seen = document_frequency(rows.select("text"), vocabulary)
     most = max(seen.values(), default=0)
-    index = Index(templates, {w: 1.0 + math.log((1 + most) / (1 + seen.get(w, 0))) for t in templates for w in t.text.split()})
+    index = Index(templates, {w: 1.0 + math.log((1 + most) / (1 + seen.get(w, 0))) for w in vocabulary})
 
     def scan(batches):
         for batch, texts in texts_of(batches):

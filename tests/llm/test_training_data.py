@@ -225,6 +225,14 @@ def test_licenses(docs, empty):
         assert set(filter(None, r["base_labels"].split(","))) <= set(r["labels"].split(",")) and 0 <= r["score"] <= 1
 
 
+def test_whole_licence_texts(spark):
+    whole = {"mit-whole": licenses._GRANTED, "bsd-3-clause-whole": licenses._CLAUSES_2 + licenses._CLAUSE_3 + licenses._DISCLAIMED, "bsd-2-clause-whole": licenses._CLAUSES_2 + licenses._DISCLAIMED, "gpl-3.0-notice": licenses._GPL}
+    texts = [f"Copyright (c) 2020 x\n\n{t}\n\nint main() {{}}" for t in whole.values()] + [" ".join(licenses._GRANTED.split()[:40])]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: {x for x in r["labels"].split(",") if x in whole} for r in licenses.scan_licenses(d).collect()}
+    assert got == {**{k: {name} for k, name in enumerate(whole)}, len(whole): set()}  # a file with the first lines alone has no whole text
+
+
 def test_licences_equal_brute_force(spark):
     """Labels and score by trying every template at every word."""
     t = licenses.TEMPLATES
