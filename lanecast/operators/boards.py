@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -125,3 +127,16 @@ def venue_summary(board: DataFrame) -> DataFrame:
     """Per venue: races that remain, candidates, races that wait, the next race."""
     g = board.groupBy("venue").agg(F.count(F.lit(1)).alias("remaining"), F.count_if(F.col("decision") == "candidate").alias("candidates"), F.count_if(F.col("decision") == "waiting").alias("waiting"), F.min_by("race_id", F.struct("deadline", "race_id")).alias("next_race"))
     return g
+
+
+def collected(sources: dict[str, DataFrame], version: str = "model_version") -> DataFrame:
+    """label, n, races, since, through of each source (race_id, at), a row a version of those that have the column; an empty source without
+    versions has n 0."""
+    rows = []
+    for label, d in sources.items():
+        sums = [F.count(F.lit(1)).alias("n"), F.count_distinct("race_id").alias("races"), F.min("at").alias("since"), F.max("at").alias("through")]
+        if version in d.columns:
+            rows.append(d.groupBy(version).agg(*sums).select(F.concat(F.lit(f"{label} ("), F.col(version), F.lit(")")).alias("label"), "n", "races", "since", "through"))
+        else:
+            rows.append(d.agg(*sums).select(F.lit(label).alias("label"), "n", "races", "since", "through"))
+    return reduce(DataFrame.unionByName, rows)

@@ -7,11 +7,12 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lanecast.functions import pricing
-from lanecast.operators import quality, rules, temporal, windows
+from lanecast.functions import keys, pricing, text
+from lanecast.operators import boards, quality, rules, temporal, windows
 from lanecast.plans import pooled
 from lanecast.plans.contest import candidates, draw_sql, full_fields, races, runners, table
 from lanecast.plans.registry import Registry
+from lanecast.plans.series import observations
 from lanecast.plans.timeline import _DAYS, _days
 from lanecast.sources import dimensions, ledgers, pages
 
@@ -222,3 +223,27 @@ def weather_page_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     html = w.groupBy(page.alias("page")).agg(F.concat(F.lit("<table><tr><th>day</th></tr>"), F.array_join(F.collect_list(row), ""), F.lit("</table>")).alias("html"))  # a month's days
     d = pages.daily_weather(pages.table_cells(html, "page", "html"))
     return d.select("page.venue", F.date_add("page.month", F.col("day") - 1).alias("race_date"), "rejected", *pages.DAILY_WEATHER)
+
+
+@R.query(""" SELECT race_date, strftime(race_date::TIMESTAMP - INTERVAL 9 HOUR, '%Y-%m-%d %H:%M') AS card, strftime(race_date::TIMESTAMP + INTERVAL 15 HOUR, '%Y-%m-%d %H:%M') AS results, strftime(make_date(year(race_date), CASE WHEN month(race_date) < 7 THEN 1 ELSE 7 END, 1)::TIMESTAMP - INTERVAL 9 HOUR, '%Y-%m-%d %H:%M') AS period,
+  strftime(race_date, '%Y-%m-%d 00:00') AS shown, strftime(race_date, '%Y-%m') AS month, format('{:,}', sum(race_id)::BIGINT) || '円' AS amount, printf('%.1f', avg(finished::INT) * 100) || '%' AS finished, count(*) FILTER (race_id % 3 = 0) AS fixed FROM races GROUP BY race_date""")
+def race_day_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per day: when its card, results and period figures become available (in UTC), and its figures as they are shown."""
+    title = F.when(F.col("race_id") % 3 == 0, "予選　進入 固定").otherwise("一般")
+    d = races(spark, sf_dir).groupBy("race_date").agg(F.sum("race_id").alias("amount"), F.avg(F.col("finished").cast("int")).alias("share"), F.count_if(text.fixed_entry(title)).alias("fixed"))
+    shown, day = lambda ts: F.date_format(ts, "yyyy-MM-dd HH:mm"), F.col("race_date")
+    card = keys.card_available(day)
+    period = keys.period_available(F.year(day), F.when(F.month(day) < 7, 1).otherwise(2))
+    return d.select("race_date", shown(card).alias("card"), shown(keys.next_day_available(day)).alias("results"), shown(period).alias("period"), shown(keys.for_display(card)).alias("shown"), keys.month_label(day).alias("month"), text.yen(F.col("amount")).alias("amount"), text.percentage(F.col("share")).alias("finished"), "fixed")
+
+
+@R.query(""" SELECT 'quotes ' || event_type AS label, count(*) AS n, count(DISTINCT user_id) AS races, min(ts) AS since, max(ts) AS through FROM events WHERE event_type IN ('click', 'purchase') GROUP BY ALL
+UNION ALL SELECT 'prediction (v' || race_id % 3 || ')', count(*), count(DISTINCT race_id), min(deadline), max(deadline) FROM runners GROUP BY ALL
+UNION ALL SELECT 'observations', count(*), count(DISTINCT race_id), min(observed_at), max(observed_at) FROM (SELECT race_id, available_at + to_days((quantity % 4)::INT) AS observed_at FROM runners UNION ALL SELECT race_id, available_at + INTERVAL 7 DAY FROM runners WHERE quantity % 2 = 1)""")
+def collected_by_version(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What has been collected: quotes of two kinds, observations, and predictions by model version."""
+    e = table(spark, sf_dir, "events").select("event_type", F.col("user_id").alias("race_id"), F.col("ts").alias("at"))
+    sources = {f"quotes {kind}": e.where(F.col("event_type") == kind).drop("event_type") for kind in ("click", "purchase")}
+    sources["prediction"] = runners(spark, sf_dir).select("race_id", F.col("deadline").alias("at"), F.concat(F.lit("v"), F.col("race_id") % 3).alias("model_version"))
+    sources["observations"] = observations(spark, sf_dir).select("race_id", F.col("observed_at").alias("at"))
+    return boards.collected(sources)
