@@ -26,7 +26,7 @@ def idempotent(stream: DataFrame, key: tuple[str, ...] = ("race_id", "bet_type",
 def in_rounds(stream: DataFrame, schedule: DataFrame, rounds: DataFrame) -> DataFrame:
     """Stream-static join with the schedule; quotes after the deadline never get a round."""
     d = stream.join(schedule, "race_id").where("observed_at <= deadline")
-    d = d.withColumn("lead", (F.unix_timestamp("deadline") - F.unix_timestamp("observed_at")) / 60.0)
+    d = d.withColumn("lead", pricing.minutes_before(F.col("deadline"), F.col("observed_at")))
     return d.join(F.broadcast(rounds), pricing.in_round(F.col("lead")))
 
 
