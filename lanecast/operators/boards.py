@@ -12,19 +12,19 @@ from lanecast.functions import pricing
 
 def due_for_preview(schedule: DataFrame, captured: DataFrame, now: Column, least: int = 5, most: int = 30) -> DataFrame:
     """Races `least` to `most` minutes ahead, neither cancelled nor captured. schedule: race_id, deadline, cancelled."""
-    lead = (F.unix_timestamp("deadline") - F.unix_timestamp(now)) / 60.0
+    lead = pricing.minutes_before(F.col("deadline"), now)
     return schedule.where(~F.col("cancelled") & lead.between(least, most)).join(captured.select("race_id").distinct(), "race_id", "left_anti")
 
 
 def due_for_result(schedule: DataFrame, results: DataFrame, now: Column, after: int = 8) -> DataFrame:
     """Races whose deadline passed `after` minutes ago or earlier and that have no result."""
-    past = F.unix_timestamp(now) - F.unix_timestamp("deadline") >= after * 60
+    past = pricing.minutes_before(now, F.col("deadline")) >= after
     return schedule.where(past).join(results.select("race_id").distinct(), "race_id", "left_anti")
 
 
 def predictable(schedule: DataFrame, predicted: DataFrame, now: Column, lead_minutes: int) -> DataFrame:
     """Adds skip: why a race isn't predicted now (past, early, already by this version); null where it is."""
-    lead = (F.unix_timestamp("deadline") - F.unix_timestamp(now)) / 60.0
+    lead = pricing.minutes_before(F.col("deadline"), now)
     done = predicted.select("race_id").distinct().withColumn("__done", F.lit(True))
     d = schedule.join(done, "race_id", "left")
     return d.withColumn("skip", F.when(lead <= 0, "past").when(lead > lead_minutes, "early").when(F.col("__done"), "already")).drop("__done")

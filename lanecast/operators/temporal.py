@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lanecast.functions import pricing
+
 TIMES = ("event_time", "published_at", "collected_at", "available_at")
 
 
@@ -92,7 +94,7 @@ def availability_violations(df: DataFrame, prediction: str, features: dict[str,
 
 def due(schedule: DataFrame, leads: DataFrame, done: DataFrame, now: Column, tolerance_minutes: float) -> DataFrame:
     """race_id, lead: races within a lead's window of their deadline and without an observation since it opened; the greatest lead."""
-    s = schedule.crossJoin(F.broadcast(leads)).withColumn("ahead", (F.unix_timestamp("deadline") - F.unix_timestamp(now)) / 60.0)
+    s = schedule.crossJoin(F.broadcast(leads)).withColumn("ahead", pricing.minutes_before(F.col("deadline"), now))
     s = s.where(F.abs(F.col("ahead") - F.col("lead")) <= tolerance_minutes)
     opens = F.col("deadline") - F.make_interval(mins=(F.col("lead") + tolerance_minutes).cast("int"))
     last = done.groupBy("race_id").agg(F.max("observed_at").alias("last"))
