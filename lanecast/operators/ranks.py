@@ -61,6 +61,24 @@ def interpolated(name: str, share: float) -> Column:
     return F.col(f"{name}_a") + (F.col(f"{name}_b") - F.col(f"{name}_a")) * (at - F.floor(at))
 
 
+def in_thirds(df: DataFrame, by: list[str], value: str, tie: str) -> DataFrame:
+    """df with third: ntile(3) of each group in order of value and tie (a whole number below 2^53), with no window over a group.
+
+    The cuts are the values at ranks n/3 and 2n/3, rounded up; among the rows equal to a cut, the tie at the rank that is left. df is read
+    several times: give one that is stored. Rows without a value are left out. For few groups: two rows of each are broadcast."""
+    d = df.where(F.col(value).isNotNull())
+    cuts = thirds(d, by, value).select(*by, F.explode(F.create_map(*[x for k in (1, 2) for x in (F.lit(k), F.struct(F.ceil(k * F.col("n") / 3).alias("__rank"), F.col(f"cut_{k}").alias("__cut")))])).alias("__k", "__c"))
+    cuts = cuts.select(*by, "__k", "__c.*")
+    below = d.join(F.broadcast(cuts), by).groupBy(*by, "__k", "__rank", "__cut").agg(F.count_if(F.col(value) < F.col("__cut")).alias("__below"))
+    at = d.join(F.broadcast(cuts), by).where(F.col(value) == F.col("__cut")).select(*by, "__k", F.col(tie).alias("__tie"))
+    left = below.select(*by, "__k", "__cut", (F.col("__rank") - F.col("__below")).alias("__left"))
+    last = values_at(at.join(F.broadcast(left), [*by, "__k"]), [*by, "__k", "__cut", "__left"], "__tie", {"__last": F.col("__left")})
+    pivot = last.groupBy(*by).agg(*[F.max(F.when(F.col("__k") == k, F.struct(F.col("__cut").alias("v"), F.col("__last").alias("t")))).alias(f"__cut_{k}") for k in (1, 2)])
+    upto = lambda k: (F.col(value) < F.col(f"__cut_{k}.v")) | ((F.col(value) == F.col(f"__cut_{k}.v")) & (F.col(tie) <= F.col(f"__cut_{k}.t")))
+    d = d.join(F.broadcast(pivot), by).withColumn("third", F.when(upto(1), 1).when(upto(2), 2).otherwise(3).cast("long"))
+    return d.drop("__cut_1", "__cut_2")
+
+
 def third(value: Column) -> Column:
     """1, 2, 3 by the cuts of `thirds`; equal values share one."""
     return F.when(value <= F.col("cut_1"), 1).when(value <= F.col("cut_2"), 2).otherwise(3).cast("long")

@@ -267,13 +267,11 @@ def split_half_persistence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return h.agg(F.count(F.lit(1)).alias("racers"), F.round(F.corr("a", "b"), 6).alias("persistence"))
 
 
-@R.query(""", x AS (SELECT lane, quantity, row_number() OVER (PARTITION BY lane ORDER BY quantity) AS r, count(*) OVER (PARTITION BY lane) AS n FROM fields),
-k AS (SELECT lane, max(quantity) FILTER (r = (n + 2) // 3) AS a, max(quantity) FILTER (r = (2 * n + 2) // 3) AS b FROM x GROUP BY lane)
-SELECT lane, CASE WHEN quantity <= a THEN 1 WHEN quantity <= b THEN 2 ELSE 3 END::BIGINT AS third, count(*) AS n, round(avg(won::INT), 9) AS win_rate FROM fields JOIN k USING (lane) GROUP BY ALL""")
+@R.query(", t AS (SELECT lane, won, ntile(3) OVER (PARTITION BY lane ORDER BY quantity, race_id) AS third FROM fields) SELECT lane, third::BIGINT AS third, count(*) AS n, round(avg(won::INT), 9) AS win_rate FROM t GROUP BY ALL")
 def factor_thirds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Win rate by third of the rate within each lane; equal rates share a third."""
-    f = ledgers.stored(full_fields(spark, sf_dir).select("lane", "quantity", "won"), "factor")
-    d = f.join(ranks.thirds(f, ["lane"], "quantity"), "lane").withColumn("third", ranks.third(F.col("quantity")))
+    """Win rate by third of the rate within each lane; equal rates are told apart by their race, so that thirds are of equal size."""
+    f = ledgers.stored(full_fields(spark, sf_dir).select("lane", "quantity", "race_id", "won"), "factor")
+    d = ranks.in_thirds(f, ["lane"], "quantity", "race_id")
     return d.groupBy("lane", "third").agg(F.count(F.lit(1)).alias("n"), r9(F.avg(F.col("won").cast("int"))).alias("win_rate"))
 
 
