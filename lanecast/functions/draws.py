@@ -38,7 +38,8 @@ def _first_word(words: list[np.ndarray], shape: tuple[int, int]) -> np.ndarray:
 
 def _blocks(texts: list[bytes], at: int) -> np.ndarray:
     """A row of 64 bytes a text, which starts at a byte."""
-    return np.frombuffer(b"".join(x.rjust(at + len(x), b"\0").ljust(64, b"\0") for x in texts), np.uint32).reshape(len(texts), 16)
+    gap = b"\0" * at
+    return np.frombuffer(b"".join([(gap + x).ljust(64, b"\0") for x in texts]), np.uint32).reshape(len(texts), 16).copy()
 
 
 def uniforms(seed: int, n: int, keys: list[str]):
@@ -56,6 +57,11 @@ def uniforms(seed: int, n: int, keys: list[str]):
                 yield *where, np.array(whole) / 4294967296.0
                 continue
             rows, across = _blocks([x + b"\x80" for x in some], long), _blocks(heads, 0)
-            words = [rows[:, k:k + 1] | across[None, :, k] if 4 * k < long else rows[:, k:k + 1] for k in range(16)]
-            words[14] = np.array([[8 * (long + len(x))] for x in some], np.uint32)
-            yield *where, _first_word(words, (len(some), len(heads))) / 4294967296.0
+            rows[:, 14] = [8 * (long + len(x)) for x in some]
+            if len(heads) >= len(some):  # the longer side lies along the arrays' rows
+                words = [rows[:, k:k + 1] | across[None, :, k] if 4 * k < long else rows[:, k:k + 1] for k in range(16)]
+                yield *where, _first_word(words, (len(some), len(heads))) / 4294967296.0
+            else:
+                words = [np.ascontiguousarray(rows[:, k])[None] for k in range(16)]
+                words = [w | across[:, k:k + 1] if 4 * k < long else w for k, w in enumerate(words)]
+                yield *where, _first_word(words, (len(heads), len(some))).T / 4294967296.0

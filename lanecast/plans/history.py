@@ -69,17 +69,12 @@ nu AS (SELECT draw, ou.pool, pc.ret, ou.p * odds AS ev FROM ou JOIN pc USING (ra
 ru AS (SELECT pool, avg(ret) AS real FROM (SELECT pool, ret, p * odds AS ev FROM pc WHERE complete QUALIFY row_number() OVER (PARTITION BY pool, race_id ORDER BY p * odds DESC, combination) = 1) WHERE ev >= {LEAST} GROUP BY pool)"""
 
 
-def _priced(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = pooled.pool_candidates(spark, sf_dir).select("race_id", "pool", "combination", "p", "odds", "ret", "complete")
-    return ledgers.stored(c, "pool-candidates")  # read by the draws and by the real bets
-
-
 @R.query(pooled._POOL + _PAIRED + f" SELECT pool, round(avg(roi), 6) AS null_mean, round(max(roi), 6) AS null_max, round(stddev_pop(roi), 6) AS null_sd, round(any_value(real), 6) AS real, round((any_value(real) - avg(roi)) / nullif(stddev_pop(roi), 0), 4) AS z FROM (SELECT draw, pool, avg(ret) AS roi FROM nu WHERE ev >= {LEAST} GROUP BY ALL) LEFT JOIN ru USING (pool) GROUP BY pool")
 def pools_against_chance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every priced pool's return of its best candidates, beside that with other races' chances at the same prices."""
-    c = _priced(spark, sf_dir)
-    real = rules.select_bets(c, {"ev_best": (LEAST,)}, ["race_id", "pool"], "combination").groupBy("pool").agg(F.avg("ret").alias("roi"))
-    d = rules.pools_against_null(rules.pool_null(full_fields(spark, sf_dir).select("race_id", "lane", "p"), c, LEAST, PERMUTATIONS), real)
+    rows = ledgers.stored(pooled.race_rows(spark, sf_dir), "pool-races")  # read by the draws and by the real bets
+    real = pooled.pool_bets(pooled.best_candidates(rows), {"ev_best": (LEAST,)}).groupBy("pool").agg(F.avg("ret").alias("roi"))
+    d = rules.pools_against_null(pooled.pool_null(rows, LEAST, PERMUTATIONS), real)
     return d.select("pool", *[r6(x).alias(x) for x in ("null_mean", "null_max", "null_sd", "real")], F.round("z", 4).alias("z"))
 
 
@@ -91,8 +86,7 @@ y AS (SELECT draw, pool, count(*) AS bets, avg(ret) AS roi FROM (SELECT * FROM x
 SELECT pool, round(avg(roi), 6) AS noisy_roi_mean, round(stddev_pop(roi), 6) AS noisy_roi_sd, round(avg(bets), 6) AS noisy_bets_mean FROM y GROUP BY pool""")
 def pool_price_noise(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every priced pool's best candidates chosen at noisy prices."""
-    c = pooled.pool_candidates(spark, sf_dir).where("complete").select("race_id", "pool", "combination", "p", "odds", "ret")
-    d = rules.noise_sensitivity(c, LEAST, SIGMA, NOISES, by=("pool",), item="combination")
+    d = pooled.pool_noise(pooled.race_rows(spark, sf_dir), LEAST, SIGMA, NOISES)
     return d.groupBy("pool").agg(r6(F.avg("roi")).alias("noisy_roi_mean"), r6(F.stddev_pop("roi")).alias("noisy_roi_sd"), r6(F.avg("bets")).alias("noisy_bets_mean"))
 
 
