@@ -41,34 +41,39 @@ _CANDIDATES = ", ".join(f"('{pool}', {', '.join(str(x) for x in (*lanes, 0, 0)[:
 
 @R.query(f", k(pool, a, b, c) AS (VALUES {_CANDIDATES}) SELECT race_id, pool, count(*) AS n, sum({_TENTHS})::BIGINT AS tenths FROM (SELECT DISTINCT race_id FROM fields), k GROUP BY ALL")
 def odds_grids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every race's win and place cells, pair grids (one triangular) and triple grids (one with blank cells), rendered and parsed back."""
+    """Every race's win and place cells, pair grids (one triangular) and triple grids (one with blank cells), rendered and parsed back.
+
+    A page's grids stay in its row, so that no cell is shuffled and the races are read once."""
+    shift = F.col("page") % 7
+    tenths = lambda x, y=0, z=0: f"#{x * 100 + y * 10 + z}"  # noqa: E731  (a price; what has no mark is text)
+    text = str
+    lanes = range(1, 7)
+    cells = {name: {(0, a - 1): text(str(a)) for a in lanes} for name in ("exacta", "quinella", "trifecta", "trio")}
+    for name in ("exacta", "quinella"):
+        for _, (a, b), _ in joint.candidates_of(name):
+            row = b - 1 if b > a else b
+            cells[name] |= {(row, 2 * (a - 1)): text(str(b)), (row, 2 * (a - 1) + 1): tenths(a, b)}
+    for name in ("trifecta", "trio"):
+        for _, (a, b, c), _ in joint.candidates_of("trifecta"):
+            at_j, at_k = b - 1 - (b > a), c - 1 - (c > a) - (c > b)
+            shown = [text(str(c)), tenths(a, b, c)] if name == "trifecta" or a < b < c else [text(""), text("")]
+            block = [text(str(b)), *shown] if at_k == 0 else shown
+            cells[name] |= {(1 + 4 * at_j + at_k, len(block) * (a - 1) + n): x for n, x in enumerate(block)}
+
+    def rendered(spec):
+        """Texts, and prices of one digit behind the point, moved by the page's shift."""
+        moved = lambda x: F.substring(x, 2, 9).cast("int") + shift
+        price = lambda x: F.concat(F.floor(x / 10).cast("string"), F.lit("."), (x % 10).cast("string"))
+        return F.transform(F.split(spec, ",", -1), lambda c: F.when(c.startswith("#"), F.get(F.transform(F.array(moved(c)), price), F.lit(0))).otherwise(c))
+
+    def grid(name: str):
+        rows = [",".join(cells[name][at] for at in sorted(cells[name]) if at[0] == row) for row in range(max(cells[name])[0] + 1)]
+        return F.transform(F.split(F.lit(";".join(rows)), ";", -1), lambda r, n: F.struct(n.alias("row_no"), rendered(r).alias("v")))
+
+    odds = lambda found, name="odds": F.transform(found, lambda s: s[name])
+    single = pages.win_place_odds(*[rendered(F.lit(",".join(tenths(n) for n in lanes)))] * 2)
+    parsed = {"win": odds(single, "win"), "place": odds(single, "place_low"), "exacta": odds(pages.pair_odds(grid("exacta"), True)), "quinella": odds(pages.pair_odds(grid("quinella"), False)), "trifecta": odds(pages.triple_odds(grid("trifecta"), True)), "trio": odds(pages.triple_odds(grid("trio"), False))}
     races = full_fields(spark, sf_dir).select(F.col("race_id").alias("page")).distinct()
-    grid = spark.createDataFrame([(pool, *(*lanes, 0, 0)[:3]) for pool in ("win", "place", "exacta", "quinella", "trifecta") for _, lanes, _ in joint.candidates_of(pool)], "pool string, a int, b int, c int")
-    d = races.crossJoin(F.broadcast(grid))  # 177 parameter rows
-    a, b, c = map(F.col, "abc")
-    price = lambda x, y, z: F.format_string("%.1f", (x * 100 + y * 10 + z + F.col("page") % 7) / 10)
-    d = d.withColumn("cell", price(a, b, c))
-    of = lambda pool: d.where(F.col("pool") == pool)
-
-    def cells(rows: DataFrame, row, block, stride, *texts) -> DataFrame:
-        """A header of lanes 1 to 6, and of each row its texts in the block's columns."""
-        head = races.select("page", F.lit(0).alias("row_no"), F.posexplode(F.array(*[F.lit(str(n)) for n in range(1, 7)])).alias("col_no", "cell"))
-        body = rows.select("page", row.alias("row_no"), block.alias("block"), stride.alias("stride"), F.posexplode(F.array_compact(F.array(*texts))).alias("at", "cell"))
-        return head.unionByName(body.select("page", "row_no", (F.col("block") * F.col("stride") + F.col("at")).alias("col_no"), "cell"))
-
-    text = lambda x: x.cast("string")
-    pair = lambda pool: cells(of(pool), F.when(b > a, b - 1).otherwise(b), a - 1, F.lit(2), text(b), F.col("cell"))
-    at_j = b - 1 - (b > a).cast("int")
-    at_k = c - 1 - (c > a).cast("int") - (c > b).cast("int")
-    starts = at_k == 0
-
-    def triple(shown) -> DataFrame:
-        blank = lambda x: F.when(shown, x).otherwise("")
-        return cells(of("trifecta"), 1 + 4 * at_j + at_k, a - 1, F.when(starts, 3).otherwise(2), F.when(starts, F.when(F.lit(True), text(b))), blank(text(c)), blank(F.col("cell")))
-
-    parsed = {"exacta": pages.pair_grid(pair("exacta"), True), "quinella": pages.pair_grid(pair("quinella"), False), "trifecta": pages.triple_grid(triple(F.lit(True)), True), "trio": pages.triple_grid(triple((a < b) & (b < c)), False)}
-    lane = lambda pool: of(pool).select("page", a.alias("lane"), "cell")
-    wp = pages.win_place_odds(lane("win"), lane("place"))
-    parsed |= {"win": wp.select("page", F.col("win").alias("odds")), "place": wp.select("page", F.col("place_low").alias("odds"))}
-    rows = reduce(DataFrame.unionByName, [x.select("page", F.lit(pool).alias("pool"), "odds") for pool, x in parsed.items()])
-    return rows.groupBy(F.col("page").alias("race_id"), "pool").agg(F.count("odds").alias("n"), F.sum(F.round(F.col("odds") * 10)).cast("long").alias("tenths"))
+    rows = races.select(F.col("page").alias("race_id"), F.inline(F.array(*[F.struct(F.lit(pool).alias("pool"), x.alias("odds")) for pool, x in parsed.items()])))
+    priced = F.filter("odds", lambda x: x.isNotNull())
+    return rows.where("size(odds) > 0").select("race_id", "pool", F.size(priced).cast("long").alias("n"), F.aggregate(priced, F.lit(0.0), lambda t, x: t + F.round(x * 10)).cast("long").alias("tenths"))
