@@ -92,12 +92,27 @@ def pre_race_block(entries: DataFrame, observations: DataFrame) -> DataFrame:
     """Earliest observation per (race, lane), with its observed_at: z-scores of time and start in the race, tilt as it is, whether
     the course changed; complete only if all six lanes have BLOCK."""
     first = observations.groupBy("race_id", "lane").agg(F.min_by(F.struct(*[c for c in observations.columns if c not in ("race_id", "lane")]), "observed_at").alias("o"))
-    d = entries.join(first.select("race_id", "lane", "o.*"), ["race_id", "lane"], "left")
+    return observed_block(entries.join(first.select("race_id", "lane", "o.*"), ["race_id", "lane"], "left"))
+
+
+def observed_block(d: DataFrame) -> DataFrame:
+    """The block of entries that have their earliest observation beside them; within a race only."""
     d = windows.group_z(windows.group_z(d, ["race_id"], "exhibition_time", "time_z"), ["race_id"], "start_timing", "start_z")
     has = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in BLOCK])
     return d.withColumn("course_changed", (F.col("course") != F.col("lane")).cast("int")).withColumn("block_complete", F.count_if(has).over(Window.partitionBy("race_id")) == 6)
 
 
+def first_capture(captures: Column) -> Column:
+    """Of an entry's own captures (array of structs that begin with observed_at) the earliest."""
+    return F.array_min(F.filter(captures, lambda c: c["observed_at"].isNotNull()))
+
+
+def course_seen(captures: Column, at: Column) -> Column:
+    """The earliest course captured of those known at `at`, as course_taken has it."""
+    known = F.filter(captures, lambda c: c["course"].isNotNull() & (c["observed_at"] <= at))
+    return F.array_min(F.transform(known, lambda c: F.struct(c["observed_at"], c["course"].alias("course"))))["course"]
+
+
 def history(df: DataFrame, key: list[str], day: str, value: str) -> DataFrame:
     """Design-document features: last 5 and 10 racing days, 30 and 90 days, deviation of the last 10, all strictly before the day."""
     daily = df.groupBy(*key, day).agg(F.avg(value).alias("__m"))
