@@ -75,7 +75,7 @@ def pre_race_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @R.query(" SELECT race_id AS page, lane::INT AS lane, racer::INT AS registration, quantity AS weight, 1.5::DOUBLE AS ballast, disc AS exhibition_time, won AS propeller_changed, CASE WHEN finish = 2 THEN 'a,b' ELSE '' END AS parts, finish::INT AS course, 0.1::DOUBLE AS start_timing, won AS flying, '名' AS name, -0.5::DOUBLE AS tilt, 20.5::DOUBLE AS air_temperature, venue::DOUBLE AS wind_speed, 3.0::DOUBLE AS wave_height, NULL::DOUBLE AS water_temperature, CASE WHEN race_id % 3 > 0 THEN (venue % 17)::INT END AS wind_direction, (race_id % 4)::INT AS weather_code, CASE WHEN race_id % 4 = 0 THEN '晴' ELSE '曇り' END AS weather, CASE WHEN race_id % 5 = 0 THEN '締切時' ELSE (race_id % 12 + 1) || 'R時点' END AS label, CASE WHEN race_id % 5 > 0 THEN (race_id % 12 + 1)::INT END AS reference_race FROM fields")
 def pre_race_page_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = pre_race_pages(spark, sf_dir)
+    d = ledgers.stored(pre_race_pages(spark, sf_dir), "pre-race-pages")  # made once, read by three parsers
     boats = pages.pre_race_boats(d, "page", "html").withColumn("parts", F.array_join("parts", ","))
     return boats.join(pages.start_exhibition(d, "page", "html"), ["page", "lane"]).join(pages.surface(d, "page", "html"), "page")
 
