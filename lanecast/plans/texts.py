@@ -37,11 +37,11 @@ def _numbered(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _files(races: DataFrame, kind: str, head: Column, body: Column) -> DataFrame:
-    """path, line_no, line of a file a day. races: race_date, section, pending, off, number, rows."""
+    """path, part, line_no, line of a file a day, in a part a section, so that no task holds a whole day. races: race_date, section, pending, off, number, rows."""
     s = races.groupBy("race_date", "section", "pending", "off").agg(_joined(F.col("rows"), "number").alias("races"))
     text = F.concat_ws("\n", F.concat("section", F.lit(f"{kind}BGN")), head, body, F.concat("section", F.lit(f"{kind}END")))
-    f = s.withColumn("rows", text).groupBy(F.col("race_date").cast("string").alias("path")).agg(_joined(F.col("rows"), "section").alias("value"))
-    return lines.numbered_lines(f)
+    f = s.select(F.col("race_date").cast("string").alias("path"), F.col("section").alias("part"), text.alias("value"))
+    return lines.numbered_lines(f, "value", "path", "part")
 
 
 def card_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

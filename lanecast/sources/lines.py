@@ -11,14 +11,19 @@ from lanecast.functions.text import narrow
 ERAS = {"M": 1867, "T": 1911, "S": 1925, "H": 1988, "R": 2018}
 
 
-def numbered_lines(files: DataFrame, text: str = "value", key: str = "path") -> DataFrame:
-    """key, line_no, line."""
-    return files.select(key, F.posexplode(F.split(text, r"\r?\n")).alias("line_no", "line"))
+def numbered_lines(files: DataFrame, text: str = "value", *key: str) -> DataFrame:
+    """key (path, unless named), line_no, line."""
+    return files.select(*(key or ("path",)), F.posexplode(F.split(text, r"\r?\n")).alias("line_no", "line"))
 
 
-def fill_down(lines: DataFrame, key: str, columns: dict[str, Column], reset: str | None = None) -> DataFrame:
+def of_file(lines: DataFrame) -> list[str]:
+    """What names a file: its path, and its part where files come in parts that begin and end with whole sections."""
+    return [c for c in ("path", "part") if c in lines.columns]
+
+
+def fill_down(lines: DataFrame, key: str | list[str], columns: dict[str, Column], reset: str | None = None) -> DataFrame:
     """Adds each column with its last non-null value so far in the file (or in the section, if `reset` numbers them)."""
-    w = Window.partitionBy(*[key, *([reset] if reset else [])]).orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
+    w = Window.partitionBy(*[*([key] if isinstance(key, str) else key), *([reset] if reset else [])]).orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
     return lines.withColumns({n: F.last(c, ignorenulls=True).over(w) for n, c in columns.items()})
 
 
@@ -44,7 +49,7 @@ def in_sections(lines: DataFrame, kind: str) -> DataFrame:
     narrowed line without outer white space."""
     text = F.trim(narrow(F.col("line")))
     mark = matched(F.trim("line"), rf"^(\d\d){kind}BGN\s*$")
-    w = Window.partitionBy("path").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
+    w = Window.partitionBy(*of_file(lines)).orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
     d = lines.withColumn("text", text).withColumn("mark", mark)
     return d.withColumn("section_no", F.count("mark").over(w)).withColumn("section", F.last("mark", ignorenulls=True).over(w)).where("section_no > 0").drop("mark")
 
@@ -52,7 +57,7 @@ def in_sections(lines: DataFrame, kind: str) -> DataFrame:
 def card_days(lines: DataFrame) -> DataFrame:
     """A row a section of race-card files: path, section, series_day, race_date, title (the last line before the banner, or before the section's end where it has none), races,
     data_pending, is_cancelled, explained (it has races or says why not)."""
-    here = Window.partitionBy("path", "section_no")
+    here = Window.partitionBy(*of_file(lines), "section_no")
     said = F.contains(F.col("line"), F.lit(PENDING)) | F.contains(F.col("line"), F.lit(CALLED_OFF))
     d = in_sections(lines, "B").withColumn("first_race", F.min(F.when(F.col("text").rlike(CARD_HEADER), F.col("line_no"))).over(here))
     before = (F.col("first_race").isNull() | (F.col("line_no") < F.col("first_race"))) & ~said
@@ -61,18 +66,18 @@ def card_days(lines: DataFrame) -> DataFrame:
     d = d.withColumn("banner", F.min(F.when(inside & F.col("text").rlike(BANNER), F.col("line_no"))).over(here))
     title = inside & (F.col("text") != "") & (F.col("banner").isNull() | (F.col("line_no") < F.col("banner"))) & ~F.col("text").rlike(r"^\d\dBEND$")
     day = lambda k: F.max(F.when(F.col("line_no") == F.col("banner"), F.regexp_extract("text", BANNER, k)))
-    g = d.groupBy("path", "section_no", "section").agg(
+    g = d.groupBy(*of_file(lines), "section_no", "section").agg(
         day(1).cast("int").alias("series_day"), F.try_to_timestamp(F.concat_ws("-", day(2), day(3), day(4)), F.lit("y-M-d")).cast("date").alias("race_date"), F.max_by(F.when(title, F.col("text")), F.when(title, F.col("line_no"))).alias("title"),
         F.count_distinct(F.when(F.col("text").rlike(CARD_HEADER), F.regexp_extract("text", CARD_HEADER, 1))).alias("races"), F.bool_or(F.contains(F.col("line"), F.lit(PENDING))).alias("data_pending"), F.bool_or(F.contains(F.col("line"), F.lit(CALLED_OFF))).alias("is_cancelled"),
     )
-    return g.withColumn("explained", (F.col("races") > 0) | F.col("data_pending") | F.col("is_cancelled")).drop("section_no")
+    return g.withColumn("explained", (F.col("races") > 0) | F.col("data_pending") | F.col("is_cancelled")).drop("section_no", "part")
 
 
 def card_rows(lines: DataFrame) -> DataFrame:
     """Entries of race-card files: path, section, race_number, race_class, distance, clock from headers, the fields of ENTRY
     from their columns; a line with a field that should be a number and isn't is no entry."""
     d, t = in_sections(lines, "B"), F.col("text")
-    d = fill_down(d, "path", {"head": F.when(t.rlike(CARD_HEADER), t)}, "section_no")
+    d = fill_down(d, of_file(d), {"head": F.when(t.rlike(CARD_HEADER), t)}, "section_no")
     part = lambda k: F.regexp_extract("head", CARD_HEADER, k)
     line = F.rpad("line", 73, " ")
     fields = {}
@@ -87,7 +92,7 @@ def card_rows(lines: DataFrame) -> DataFrame:
 def _results(lines: DataFrame) -> DataFrame:
     """Lines of result files within their race, with tokens, and whether each is a header, a column line or an entry."""
     d = in_sections(lines, "K")
-    d = fill_down(d, "path", {"head": F.when(F.col("line").rlike(RESULT_HEADER), F.col("line")), "head_no": F.when(F.col("line").rlike(RESULT_HEADER), F.col("line_no"))}, "section_no").where("head IS NOT NULL")
+    d = fill_down(d, of_file(d), {"head": F.when(F.col("line").rlike(RESULT_HEADER), F.col("line")), "head_no": F.when(F.col("line").rlike(RESULT_HEADER), F.col("line_no"))}, "section_no").where("head IS NOT NULL")
     tokens = F.filter(F.split("line", " "), lambda t: t != "")
     at = lambda k: F.get("tokens", F.lit(k))
     d = d.withColumn("race_number", F.regexp_extract("head", RESULT_HEADER, 1).cast("int")).withColumn("tokens", tokens)
@@ -121,7 +126,7 @@ def payout_rows(lines: DataFrame) -> DataFrame:
     d = _results(lines).where("NOT is_head AND NOT is_columns AND NOT is_entry AND size(tokens) > 0")
     first = F.get("tokens", F.lit(0))
     own = first.isin(*POOLS)
-    label = F.last(F.when(own, first), ignorenulls=True).over(Window.partitionBy("path", "section_no", "head_no").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0))
+    label = F.last(F.when(own, first), ignorenulls=True).over(Window.partitionBy(*of_file(d), "section_no", "head_no").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0))
     rest = F.array_join(F.when(own, F.slice("tokens", 2, F.size("tokens"))).otherwise(F.col("tokens")), " ")
     group = r"(\S+) (\S+)(?: 人気(?: (\d+))?)?"
     found = [F.regexp_extract_all("rest", F.lit(group), F.lit(k)).alias(n) for k, n in ((1, "combination"), (2, "amount"), (3, "rank"))]
