@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lanecast.plans import betting, pooled
+from lanecast.plans.contest import candidates_of, full_fields
 from lanecast.plans.registry import Registry
 from lanecast.sources import ledgers
 
@@ -33,11 +34,13 @@ def _long(section: str, sql: str, item: tuple, metrics: tuple) -> str:
 
 @R.query(" UNION ALL ".join(_long(*x) for x in SECTIONS), base=False)
 def attribution_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """section, item, metric, value of rules, pools, price bands, blind counterfactuals, tails, months and realised quotes. Candidates
-    and bets are stored once for all sections; the draws against chance are permutation_against_null and price_noise_summary."""
-    c = betting.kept_candidates(spark, sf_dir)
+    """section, item, metric, value of rules, pools, price bands, blind counterfactuals, tails, months and realised quotes. The full
+    fields, which candidates and pools come from, the candidates and the bets are stored once for all sections; the draws against chance are
+    permutation_against_null and price_noise_summary."""
+    fields = ledgers.stored(full_fields(spark, sf_dir).select("race_id", "race_date", "lane", "p", "odds", "finish", "won"), "fields")
+    c = betting.kept(candidates_of(fields))
     b = ledgers.stored(betting.selected(c), "bets")
-    found = {"rules": betting.book(b, ["rule", "threshold"]), "pools": pooled.QUERIES["pool_rule_book"](spark, sf_dir), "bands": betting.bands(c), "counterfactual": betting.counterfactuals(c, b), "tail": betting.tails(b), "months": betting.months(b), "realisation": betting.realisation(b)}
+    found = {"rules": betting.book(b, ["rule", "threshold"]), "pools": pooled.rule_book_of(pooled.race_rows_of(fields)), "bands": betting.bands(c), "counterfactual": betting.counterfactuals(c, b), "tail": betting.tails(b), "months": betting.months(b), "realisation": betting.realisation(b)}
     parts = []
     for section, _, item, metrics in SECTIONS:
         values = [F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value")) for m in metrics]
