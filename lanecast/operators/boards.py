@@ -86,22 +86,47 @@ def race_board(schedule: DataFrame, lanes: DataFrame, quotes: DataFrame, horizon
     schedule: race_id, venue, race_number, deadline, now, cancelled, surface (whether its conditions are known). lanes: race_id, lane, has_period,
     has_course, motor_rate, boat_rate, exhibition_time, tilt, course, parts_seen (null: not captured), p_card, p_preview.
     Gives decision, best_lane, probability, source, odds, expected_return, availability (map of CATALOGUE), missing (critical), reasons,
-    odds_history (lane 1, oldest first) and lanes: lane, probability, the last readings. A race is grouped by itself only.
+    odds_history (lane 1, oldest first) and lanes: lane, probability, the last readings. Where lanes and quotes come from the same rows, board_of spares joining them.
     """
+    rows = lanes.groupBy("race_id").agg(F.collect_list(F.struct(*[c for c in lanes.columns if c != "race_id"])).alias("entries"))
+    said = quotes.groupBy("race_id").agg(F.collect_list(F.struct("observed_at", "lane", "odds")).alias("quotes"))
+    return board_of(schedule, rows.join(said, "race_id", "left"), horizon_minutes)
+
+
+def with_readings(rows: DataFrame, n: int = READINGS) -> DataFrame:
+    """rows: entries (structs with lane) and quotes (structs of observed_at, lane, odds) of a race. Adds to each entry history, its odds in the
+    race's last n readings, oldest first (null: none), and quote, its odds in the latest."""
+    times = F.sort_array(F.array_distinct(F.transform("quotes", lambda q: q["observed_at"])), asc=False)
+    d = rows.withColumn("__times", F.coalesce(times, F.array()))
+    recent = F.filter("quotes", lambda q: (F.size("__times") <= n) | (q["observed_at"] >= F.get("__times", F.lit(n - 1))))
+    d = d.withColumn("__recent", F.coalesce(F.array_sort(recent), F.array()))
+    own = F.transform("entries", lambda e: F.struct(e.alias("e"), F.filter("__recent", lambda q: q["lane"] == e["lane"]).alias("own")))
+    fields = rows.schema["entries"].dataType.elementType.names
+    last = lambda x: F.get(x["own"], F.size(x["own"]) - 1)
+    history = lambda x: F.when(F.size(x["own"]) > 0, F.transform(x["own"], lambda q: q["odds"]))
+    quote = lambda x: F.when(last(x)["observed_at"].eqNullSafe(F.get("__times", F.lit(0))), last(x)["odds"])
+    d = d.withColumn("__own", own).withColumn("entries", F.transform("__own", lambda x: F.struct(*[x["e"][f].alias(f) for f in fields], history(x).alias("history"), quote(x).alias("quote"))))
+    return d.drop("__times", "__recent", "__own", "quotes")
+
+
+def board_of(schedule: DataFrame, rows: DataFrame, horizon_minutes: int) -> DataFrame:
+    """race_board of a row a race: race_id, entries (structs of the columns of `lanes`), quotes (structs of observed_at, lane, odds); no lane or
+    quote is joined or grouped here."""
     ahead = F.unix_timestamp("deadline") - F.unix_timestamp("now")
     open_ = schedule.where(~F.col("cancelled") & (ahead > 0) & (ahead <= horizon_minutes * 60))
-    r = recent_readings(quotes.join(open_.select("race_id"), "race_id", "left_semi"))
-    r = r.groupBy("race_id", "lane").agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("nth")).alias("n"), "odds"))), lambda s: s["odds"]).alias("history"), F.max(F.when(F.col("nth") == 1, F.col("odds"))).alias("quote"))  # READINGS a lane
-    d = lanes.join(r, ["race_id", "lane"], "left")
-    whole = lambda c: F.count_if(c) == 6
-    per_race = d.groupBy("race_id").agg(
-        ((F.count(F.lit(1)) == 6) & (F.count_distinct(F.when(F.col("lane").between(1, 6), F.col("lane"))) == 6)).alias("six"), F.bool_and("has_period").alias("period"), F.bool_or("has_course").alias("courses"), F.bool_and(F.col("motor_rate").isNotNull() & F.col("boat_rate").isNotNull()).alias("rates"),
-        whole(F.col("exhibition_time").isNotNull()).alias("times"), whole(F.col("tilt").isNotNull()).alias("tilts"), whole(F.col("course").isNotNull()).alias("all_courses"), F.coalesce(F.bool_or(F.col("parts_seen").isNotNull()), F.lit(False)).alias("parts"),
-        (F.count("p_card") > 0).alias("card"), (F.count("p_preview") > 0).alias("preview"), (F.count("quote") > 0).alias("priced"), F.array_sort(F.collect_list(F.when(F.col("course") != F.col("lane"), F.col("lane")))).alias("changed"),
-        F.max(F.when(F.col("lane") == 1, F.col("history"))).alias("odds_history"), F.max_by(F.struct("lane", F.col("p_card").alias("p"), "quote"), F.struct("p_card", -F.col("lane"))).alias("by_card"), F.max_by(F.struct("lane", F.col("p_preview").alias("p"), "quote"), F.struct("p_preview", -F.col("lane"))).alias("by_preview"),
-        F.array_sort(F.collect_list(F.struct("lane", F.coalesce("p_preview", "p_card").alias("probability"), "history"))).alias("lanes"),
-    )
-    b = open_.join(per_race, "race_id", "left")
+    b = with_readings(open_.join(rows, "race_id", "left"))
+    known = lambda c: F.transform("entries", lambda e: e[c].isNotNull())
+    some = lambda c: F.coalesce(F.exists("entries", lambda e: e[c].isNotNull()), F.lit(False))
+    whole = lambda c: F.size(F.filter(known(c), lambda x: x)) == 6
+    of = lambda c: F.transform("entries", lambda e: e[c])
+    numbers = F.array_distinct(F.filter(of("lane"), lambda x: x.between(1, 6)))
+    pick = lambda p: F.array_max(F.transform("entries", lambda e: F.struct(e[p].alias("p"), (-e["lane"]).alias("n"), e["lane"].alias("lane"), e["quote"].alias("quote"))))  # noqa: E731  the greatest p, on ties the lower lane
+    b = b.withColumns({
+        "six": (F.size("entries") == 6) & (F.size(numbers) == 6), "period": F.array_min(of("has_period")), "courses": F.array_max(of("has_course")), "rates": F.forall("entries", lambda e: e["motor_rate"].isNotNull() & e["boat_rate"].isNotNull()),
+        "times": whole("exhibition_time"), "tilts": whole("tilt"), "all_courses": whole("course"), "parts": some("parts_seen"), "card": some("p_card"), "preview": some("p_preview"), "priced": some("quote"),
+        "changed": F.array_sort(F.transform(F.filter("entries", lambda e: e["course"] != e["lane"]), lambda e: e["lane"])), "odds_history": F.array_max(F.transform(F.filter("entries", lambda e: e["lane"] == 1), lambda e: e["history"])), "by_card": pick("p_card"), "by_preview": pick("p_preview"),
+        "lanes": F.array_sort(F.transform("entries", lambda e: F.struct(e["lane"].alias("lane"), F.coalesce(e["p_preview"], e["p_card"]).alias("probability"), e["history"].alias("history")))),
+    })
     yes = lambda c: F.coalesce(F.col(c), F.lit(False))
     has = {
         "race_card": yes("six"), "scheduled_deadline": F.col("deadline").isNotNull(), "racer_period_stats": yes("period"), "course_stats": yes("courses"), "motor_boat_stats": yes("six") & yes("rates"), "prediction_card": yes("card"), "before_info": yes("times") & yes("tilts"), "exhibition_time": yes("times"),
