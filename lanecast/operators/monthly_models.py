@@ -3,14 +3,15 @@
 A model is a point, so the driver holds months x classes x features numbers. What data contribute are sums: per month
 counts, means and squares (each model standardises by its own months), and per step the losses, gradients and curvatures of all
 models, which one pass over the rows takes together: a row of month m adds to every model after m. The start is the fit of the first
-`least_months`, which all models have seen; then all take Newton steps, halved where the loss would rise. Where the tasks' curvatures of
-all models would be more than EXACT_BYTES, they are taken once, at the start, by month, and summed over each model's months; steps are
-shorter then, but go to the same penalised optimum, which depends on neither the start nor the curvature.
+`least_months`, which all models have seen; then all take Newton steps, halved where the loss would rise. A curvature of every model costs
+some classes x features times what its gradient does. So beyond EXACT_ROWS rows, or where the tasks' curvatures of all models would be more
+than EXACT_BYTES, they are taken once, at the start, by month, and summed over each model's months; it takes more steps then, but each
+is a gradient only, and they go to the same penalised optimum, which depends on neither the start nor the curvature.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -21,7 +22,10 @@ from pyspark.sql import functions as F
 
 ADDERS = 64  # tasks that add up what the others found; the driver adds up theirs
 STEPS = 200
+SUMS_BYTES = 1 << 26  # of all arrays that the driver adds up, where there may be fewer adders
 EXACT_BYTES = 1 << 31
+EXACT_ROWS = 1 << 16
+CHUNK = 1024  # rows whose probabilities by all models are held at once
 TOLERANCE = 1e-8  # of the mean gradient
 
 
@@ -60,8 +64,18 @@ def _matrix(batch: pa.RecordBatch) -> np.ndarray:
 
 
 def _softmax(z: np.ndarray) -> np.ndarray:
-    z = np.exp(z - z.max(axis=-1, keepdims=True))
-    return z / z.sum(axis=-1, keepdims=True)
+    z = z - z.max(axis=-1, keepdims=True)
+    np.exp(z, out=z)
+    z /= z.sum(axis=-1, keepdims=True)
+    return z
+
+
+def _runs(month: np.ndarray) -> Iterator[tuple[int, slice]]:
+    """Slices of one month each, of CHUNK rows at most."""
+    ends = [*(np.flatnonzero(np.diff(month)) + 1), len(month)]
+    for lo, hi in zip([0, *ends], ends, strict=False):
+        for at in range(lo, hi, CHUNK):
+            yield int(month[lo]), slice(at, min(at + CHUNK, hi))
 
 
 def _summed(rows: DataFrame, shape: tuple[int, ...], add: Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], None]) -> np.ndarray:
@@ -71,7 +85,8 @@ def _summed(rows: DataFrame, shape: tuple[int, ...], add: Callable[[np.ndarray,
         total = np.zeros(shape)
         for batch in batches:
             if batch.num_rows:
-                add(total, batch.column("month").to_numpy(), _matrix(batch), batch.column("label").to_numpy())
+                order = np.argsort(batch.column("month").to_numpy(), kind="stable")
+                add(total, batch.column("month").to_numpy()[order], _matrix(batch)[order], batch.column("label").to_numpy()[order])
         if total.any():
             yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["sums"])
 
@@ -79,12 +94,13 @@ def _summed(rows: DataFrame, shape: tuple[int, ...], add: Callable[[np.ndarray,
         return pd.DataFrame({"sums": [sum(np.frombuffer(b) for b in group["sums"]).tobytes()]})
 
     parts = rows.select("month", "x", "label").mapInArrow(part, "sums binary")
-    found = parts.withColumn("adder", F.spark_partition_id() % ADDERS).groupBy("adder").applyInPandas(together, "sums binary").collect()  # at most ADDERS rows of the array's size
+    adders = min(ADDERS, max(1, SUMS_BYTES // (8 * int(np.prod(shape)))))
+    found = parts.withColumn("adder", F.spark_partition_id() % adders).groupBy("adder").applyInPandas(together, "sums binary").collect()  # at most ADDERS rows of the array's size
     return sum((np.frombuffer(r["sums"]) for r in found), np.zeros(int(np.prod(shape)))).reshape(shape)
 
 
 def fitted(rows: DataFrame, months: int, classes: int, features: int, least_months: int = 12, c: float = 1.0, tolerance: float = TOLERANCE) -> Models:
-    """rows: month (0 to months - 1), label (0 to classes - 1), x (array of doubles, as many as features); stored, and best dealt by month.
+    """rows: month (0 to months - 1), label (0 to classes - 1), x (array of doubles, as many as features); stored, best dealt evenly and each part in order of month.
 
     Models for the months least_months .. months - 1; the penalty is |w|^2 / (2 c) without the intercepts, as with a sum of losses."""
     d, count = features + 1, max(0, months - least_months)
@@ -114,50 +130,50 @@ def fitted(rows: DataFrame, months: int, classes: int, features: int, least_mont
     size = classes * d
     pairs = [(a, b) for a in range(classes) for b in range(a, classes)]
 
-    def crossed(v, weights):
-        """Sum over rows of v v' by each column of weights: columns x d x d."""
-        return ((v[:, :, None] * v[:, None, :]).reshape(len(v), d * d).T @ weights).T.reshape(-1, d, d)
+    def squares(v):
+        """v v' of each row, flat."""
+        return (v[:, :, None] * v[:, None, :]).reshape(len(v), d * d)
 
     def evaluate(w: np.ndarray, models: range, curved: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Losses, gradients and curvatures of the models at w, in the features as given."""
         shape = (len(models), 1 + size + curved * size * size)
 
         def add(total, month, x, label):
-            for m in np.unique(month):
-                at = max(models.start, m - least_months + 1)  # the models that have seen month m
-                open_, v, y = w[at : models.stop], x[month == m], label[month == m]
+            for m, at in _runs(month):
+                first = max(models.start, m - least_months + 1)  # the models from here on have seen month m
+                open_, v, y = w[first : models.stop], x[at], label[at]
                 if not len(open_):
                     continue
                 p = _softmax((v @ open_.reshape(-1, d).T).reshape(len(v), len(open_), classes))
-                out = total[at - models.start :]
+                out = total[first - models.start :]
                 out[:, 0] -= np.log(np.maximum(p[np.arange(len(v)), :, y], 1e-300)).sum(axis=0)
                 if curved:
-                    h = out[:, 1 + size :].reshape(len(open_), classes, d, classes, d)
+                    h, vv = out[:, 1 + size :].reshape(len(open_), classes, d, classes, d), squares(v).T
                     for a, b in pairs:
-                        c = crossed(v, p[:, :, a] * ((a == b) - p[:, :, b]))
+                        c = (vv @ (p[:, :, a] * ((a == b) - p[:, :, b]))).T.reshape(-1, d, d)
                         h[:, a, :, b, :] += c
                         if a != b:
                             h[:, b, :, a, :] += c
                 p[np.arange(len(v)), :, y] -= 1
                 out[:, 1 : 1 + size] += (p.reshape(len(v), -1).T @ v).reshape(len(open_), size)
 
-        total = _summed(rows, shape, add)
+        total = _summed(rows.where(F.col("month") < least_months + models.stop - 1), shape, add)  # the last of them has seen no others
         return total[:, 0], total[:, 1 : 1 + size].reshape(-1, classes, d), total[:, 1 + size :].reshape(len(models), -1)
 
     def curvatures(w: np.ndarray) -> np.ndarray:
         """Of each model's months, at one point (features as given)."""
 
         def add(total, month, x, _):
-            for m in np.unique(month):
-                v = x[month == m]
+            for m, at in _runs(month):
+                v = x[at]
                 p = _softmax(v @ w.T)
-                for a, b in pairs:
-                    c = crossed(v, (p[:, a] * ((a == b) - p[:, b]))[:, None])[0]
-                    total[m, a, :, b, :] += c
-                    if a != b:
-                        total[m, b, :, a, :] += c
+                total[m] += np.stack([p[:, a] * ((a == b) - p[:, b]) for a, b in pairs]) @ squares(v)
 
-        return np.cumsum(_summed(rows, (months, classes, d, classes, d), add), axis=0)[least_months - 1 : months - 1]
+        half = np.cumsum(_summed(rows, (months, len(pairs), d * d), add), axis=0)[least_months - 1 : months - 1].reshape(count, len(pairs), d, d)
+        h = np.zeros((count, classes, d, classes, d))
+        for n_, (a, b) in enumerate(pairs):
+            h[:, a, :, b, :] = h[:, b, :, a, :] = half[:, n_]
+        return h
 
     def descend(v: np.ndarray, models: range, fixed: np.ndarray | None = None) -> np.ndarray:
         """v with these models at their optimum."""
@@ -188,5 +204,5 @@ def fitted(rows: DataFrame, months: int, classes: int, features: int, least_mont
     start = descend(np.zeros((count, classes, d)), range(1))
     w0 = raw(start)[0]
     v = np.stack([w0 @ np.linalg.inv(m) for m in scale])  # the same point for every model, in its own scale
-    exact = rows.rdd.getNumPartitions() * count * size * size * 8 <= EXACT_BYTES
+    exact = n[-1] <= EXACT_ROWS and rows.rdd.getNumPartitions() * count * size * size * 8 <= EXACT_BYTES
     return Models(least_months, raw(descend(v, range(count), None if exact else curvatures(w0))), n)

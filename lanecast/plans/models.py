@@ -21,16 +21,23 @@ R = Registry()
 QUERIES, SQL = R.QUERIES, R.SQL
 MONTHS, LANES = 12, 6  # that the first model has seen
 NAMES = ("quantity", "form", "odds")
+PARTS = 96
 
 
 def model_rows(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[dt.date]]:
-    """race_id, race_class, month (number), label (the winner's lane less one), x, stored by month; the months' first days."""
-    d = full_fields(spark, sf_dir).withColumn("score", pricing.finish_score(F.col("finish"), F.lit(True)))
+    """race_id, race_class, month (number), label (the winner's lane less one), x, stored; the months' first days."""
+    return model_rows_of(full_fields(spark, sf_dir))
+
+
+def model_rows_of(fields: DataFrame) -> tuple[DataFrame, list[dt.date]]:
+    spark = fields.sparkSession
+    d = fields.withColumn("score", pricing.finish_score(F.col("finish"), F.lit(True)))
     d = features.lane_features(d)
     day = [F.max(c).alias(c) for c in ("race_date", "race_class")]
     w = features.wide(d, list(NAMES), LANES, F.max(F.when(F.col("won"), F.col("lane") - 1)).cast("int").alias("label"), *day)
     w = w.select("race_id", "race_class", F.trunc("race_date", "month").alias("m"), "label", F.array(*[F.col(f"lane{n}_{x}").cast("double") for n in range(1, LANES + 1) for x in NAMES]).alias("x"))
-    w = ledgers.stored(w.repartitionByRange("m"), "model-rows")
+    # a month's rows count in all models after it, so months are dealt evenly; a row is few bytes and much work: a number given is kept
+    w = ledgers.stored(w.repartition(PARTS, "race_id").sortWithinPartitions("m"), "model-rows")
     months = [r["m"] for r in w.select("m").distinct().orderBy("m").collect()]  # a row a month
     number = spark.createDataFrame(list(enumerate(months)), "month int, m date")
     return w.join(F.broadcast(number), "m").drop("m"), months  # a row a month
