@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from lanecast.functions import pricing
 from lanecast.operators import features, folds, metrics, monthly_models
 from lanecast.plans import betting
-from lanecast.plans.contest import full_fields
+from lanecast.plans.contest import candidates_of, full_fields
 from lanecast.plans.registry import Registry
 from lanecast.sources import ledgers
 
@@ -97,7 +97,9 @@ def logistic_calibration_walk_forward(spark: SparkSession, sf_dir: str) -> DataF
 def logistic_rule_walk_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The published grid's rule of each month, chosen on the months before it, on probabilities that no model gave which had seen the
     race's month; whether the month returned more than was staked."""
-    rows, months = model_rows(spark, sf_dir)
+    kept = ("race_id", "race_date", "race_class", "lane", "racer", "quantity", "rate", "odds", "p", "finish", "won")
+    fields = ledgers.stored(full_fields(spark, sf_dir).select(*kept), "fields")  # for the models and the candidates
+    rows, months = model_rows_of(fields)
     p = by_lane(fitted(rows, months).score(rows)).select("race_id", F.col("lane").cast("long").alias("lane"), "p")
-    c = betting.kept_candidates(spark, sf_dir).drop("p").join(p, ["race_id", "lane"])
+    c = candidates_of(fields).select(*betting.CANDIDATE).drop("p").join(p, ["race_id", "lane"])
     return betting.grid_choices(ledgers.stored(c, "scored"), 1).withColumn("above", F.col("roi") > 1.0)

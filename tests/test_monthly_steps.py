@@ -3,7 +3,7 @@
 import numpy as np
 
 from lanecast.operators import monthly_models
-from lanecast.plans import models
+from lanecast.plans import contest, models
 
 SF = "/root/testdata/sf0.001"
 
@@ -41,3 +41,10 @@ def test_every_part_has_rows_of_many_months(spark, monkeypatch):
     rows, months = models.model_rows(spark, SF)
     seen = [len({r["month"] for r in part}) for part in rows.rdd.glom().collect() if part]
     assert min(seen) > len(months) // 4  # before: a part had some months' rows only, the first ones those of most work
+
+
+def test_the_rule_derives_the_fields_once(spark, monkeypatch):
+    calls, runners = [], contest.runners
+    monkeypatch.setattr(contest, "runners", lambda *a: calls.append(1) or runners(*a))
+    models.logistic_rule_walk_forward(spark, SF)
+    assert len(calls) == 1  # before: 3
