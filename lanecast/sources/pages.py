@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from lanecast.functions import text
+from lanecast.sources import grids as of_grids
 
 
 def table_cells(pages: DataFrame, key: str, html: str, heading: str | None = None) -> DataFrame:
@@ -23,13 +26,6 @@ def elements(pages: DataFrame, key: str, html: str, tag: str) -> DataFrame:
     return pages.select(key, F.posexplode(F.regexp_extract_all(html, rx, F.lit(1))).alias("nth", "body")).withColumn("body", F.trim(F.regexp_replace("body", r"(?s)<[^>]*>", "")))
 
 
-def win_place_odds(win: Column, place: Column) -> Column:
-    """Cells of a page's lanes, in order, to array<struct<lane, win, place_low, place_high>>."""
-    rows = F.arrays_zip(win.alias("w"), place.alias("p"))
-    of = lambda x, n, low: F.struct((n + 1).alias("lane"), text.odds_cell(x["w"])["low"].alias("win"), low["low"].alias("place_low"), low["high"].alias("place_high"))
-    return F.transform(rows, lambda x, n: of(x, n, text.odds_cell(x["p"])))
-
-
 def grids(cells: DataFrame) -> DataFrame:
     """Cells (page, row_no, col_no, cell) to a row a page: page, grid, the page's rows in order as struct<row_no, v>, v by column."""
     one = cells.groupBy("page", "row_no", "col_no").agg(F.max("cell").alias("cell"))
@@ -39,60 +35,28 @@ def grids(cells: DataFrame) -> DataFrame:
     return rows.groupBy("page").agg(F.array_sort(F.collect_list(F.struct("row_no", "v"))).alias("grid"))  # a page's rows
 
 
-def _under_head(grid: Column, found) -> Column:
-    """found(head's cells, the other rows) of a grid; the lambda binds both, so that neither is sought again for each cell."""
-    head = F.get(F.filter(grid, lambda r: r["row_no"] == 0), F.lit(0))["v"]
-    body = F.filter(grid, lambda r: r["row_no"] > 0)
-    return F.flatten(F.transform(F.filter(F.array(F.struct(head.alias("head"), body.alias("body"))), lambda s: s["head"].isNotNull()), lambda s: found(s["head"], s["body"])))
-
-
-def _priced(found: Column) -> Column:
-    return F.filter(F.transform(found, lambda x: F.struct(x["combination"].alias("combination"), text.odds_cell(x["cell"])["low"].alias("odds"))), lambda x: x["odds"].isNotNull())
-
-
-def pair_odds(grid: Column, ordered: bool) -> Column:
-    """Two columns (second lane, odds) under each header lane: array<struct<combination, odds>> of a page's grid; row 0 is the header."""
-
-    def found(head: Column, body: Column) -> Column:
-        at = lambda v, b: F.struct(F.get(head, b).try_cast("int").alias("i"), F.get(v, b * 2).try_cast("int").alias("j"), F.get(v, b * 2 + 1).alias("cell"))
-        return F.flatten(F.transform(body, lambda r: F.transform(F.sequence(F.lit(0), F.floor((F.size(r["v"]) - 1) / 2).cast("int")), lambda b: at(r["v"], b))))
-
-    kept = F.filter(_under_head(grid, found), lambda x: x["i"].isNotNull() & x["j"].isNotNull() & (x["i"] != x["j"]))
-    lanes = lambda x: (x["i"], x["j"]) if ordered else (F.least(x["i"], x["j"]), F.greatest(x["i"], x["j"]))
-    return _priced(F.transform(kept, lambda x: F.struct(F.concat_ws("-", *[c.cast("string") for c in lanes(x)]).alias("combination"), x["cell"].alias("cell"))))
-
-
-def triple_odds(grid: Column, ordered: bool) -> Column:
-    """Blocks under header lanes: rows of three cells a block start a second lane, rows of two carry it on; a row whose
-    cells don't divide is skipped. array<struct<combination, odds>> of a page's grid, a combination once."""
-    row = "struct<js:array<int>,v:array<string>,stride:int>"
-
-    def found(head: Column, body: Column) -> Column:
-        blocks = F.sequence(F.lit(0), F.size(head) - 1)
-        strides = F.transform(body, lambda r: F.struct(r["v"].alias("v"), (F.size(F.filter(r["v"], lambda c: c.isNotNull())) / F.size(head)).alias("stride")))
-
-        def carry(acc: Column, r: Column) -> Column:
-            js = F.transform(blocks, lambda b: F.coalesce(F.when(r["stride"] == 3, F.get(r["v"], b * 3).try_cast("int")), F.get(F.try_element_at(acc, F.lit(-1))["js"], b)))
-            return F.concat(acc, F.array(F.struct(js.alias("js"), r["v"].alias("v"), r["stride"].cast("int").alias("stride")).cast(row)))
+def _entries(cells: DataFrame, odds, ordered: bool) -> DataFrame:
+    """page, combination, odds of the pages' grids; odds: a function of the module grids."""
+    d = grids(cells)
 
-        rows = F.aggregate(F.filter(strides, lambda r: r["stride"].isin(2, 3)), F.array().cast(f"array<{row}>"), carry)
-        at = lambda r, b: F.struct(F.get(head, b).try_cast("int").alias("i"), F.get(r["js"], b).alias("j"), F.get(r["v"], b * r["stride"] + r["stride"] - 2).try_cast("int").alias("k"), F.get(r["v"], b * r["stride"] + r["stride"] - 1).alias("cell"))
-        return F.flatten(F.transform(rows, lambda r: F.transform(blocks, lambda b: at(r, b))))
+    def read(batches):
+        for batch in batches:
+            for lo in range(0, batch.num_rows, of_grids.PAGES):
+                some = batch.slice(lo, of_grids.PAGES)
+                page, lanes, found = odds(some.column("grid"), ordered)
+                yield pa.RecordBatch.from_arrays([some.column("page").take(pa.array(page)), of_grids.combinations(lanes), pa.array(found)], names=["page", "combination", "odds"])
 
-    lanes = lambda x: (lambda a: a if ordered else F.sort_array(a))(F.array(x["i"], x["j"], x["k"]))
-    kept = F.transform(F.filter(_under_head(grid, found), lambda x: x["k"].isNotNull()), lambda x: F.struct(F.array_join(lanes(x).cast("array<string>"), "-").alias("combination"), x["cell"].alias("cell")))
-    once = lambda s: F.filter(s, lambda x, n: (n == 0) | (F.get(s, n - 1)["combination"] != x["combination"]))
-    return F.flatten(F.transform(F.array(F.sort_array(_priced(kept))), once))
+    return d.mapInArrow(read, StructType([d.schema["page"], StructField("combination", StringType()), StructField("odds", DoubleType())]))
 
 
 def pair_grid(cells: DataFrame, ordered: bool) -> DataFrame:
-    """page, combination, odds by pair_odds. cells: page, row_no, col_no, cell; row 0 is the header."""
-    return grids(cells).select("page", F.inline(pair_odds(F.col("grid"), ordered)))
+    """page, combination, odds by grids.pair_odds. cells: page, row_no, col_no, cell; row 0 is the header."""
+    return _entries(cells, of_grids.pair_odds, ordered)
 
 
 def triple_grid(cells: DataFrame, ordered: bool) -> DataFrame:
-    """page, combination, odds by triple_odds."""
-    return grids(cells).select("page", F.inline(triple_odds(F.col("grid"), ordered)))
+    """page, combination, odds by grids.triple_odds."""
+    return _entries(cells, of_grids.triple_odds, ordered)
 
 
 # fixed values: a reading's data column in rows of 17 and of 20 data columns
